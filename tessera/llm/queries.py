@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality, secret_scan, simhash, toxicity, warc
+from . import embedding_dedup, media, packing, quality, secret_scan, simhash, toxicity, warc
 from .common import table
 
 
@@ -35,12 +35,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_media, op5_packing, op8_simhash, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_media, op5_packing, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
