@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, media, packing, quality, secret_scan, simhash, toxicity, warc
+from . import embedding_dedup, media, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, toxicity, warc
 from .common import table
 
+#: The query's key; a real one belongs in a secret store and is a parameter of the operator.
+PII_KEY = "a key for the registered query only"
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
@@ -31,10 +34,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scrub(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -44,7 +55,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_media, op5_packing, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality)}
+    each = (op1_secret_scan, op2_toxicity, op3_media, op4_sentencepiece, op5_packing, op6_pii, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
