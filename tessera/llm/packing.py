@@ -34,41 +34,47 @@ from tokenizers import Tokenizer
 from .common import tune, written
 
 CAPACITY, END = 2048, 0
-KNOWN_CHUNKS, CHUNK_CHARS = 400_000, 48
+KNOWN_PARTS, PART_CHARS = 1_600_000, 32
 ROUNDS = 20_000
 
 
-@cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
-class Encoder:
-    """Ids of texts as unsigned 32-bit little-endian bytes.
+class Encoder(dict):
+    """Ids of texts as unsigned 32-bit little-endian bytes; its items are those of parts without spaces.
 
-    The tokenizer treats white space as a gap between words that no token crosses, so a text's ids are those of its
-    parts between spaces or line ends. Short parts are remembered, KNOWN_CHUNKS of them at most.
+    The tokenizer treats white space as a gap that no token crosses, so a text's ids are those of its parts between
+    spaces or line ends. It lower-cases, and ends a word where points or commas follow a letter, so most parts that are
+    new have known ids but for their case or last signs. Up to KNOWN_PARTS short parts are remembered in a process.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {"": b""}
-
-    def encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def batch(self, texts) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({p for parts in split for p in parts if p not in self.known})
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known = {"": b""}
-            new = list({p for parts in split for p in parts if p})
-        if new:
-            self.known.update(zip(new, self.encode(new), strict=True))
-        for parts in split:
-            yield b"".join(map(self.known.__getitem__, parts))
-        for p in new:
-            if len(p) > CHUNK_CHARS:
-                del self.known[p]
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __missing__(self, part: str) -> bytes:
+        low = part.lower() if part.isascii() else part
+        body = low.rstrip(".,")
+        if "<" in part:  # may hold a special token, whose case counts
+            ids = self.fresh(part)
+        elif body and body != low and body[-1].isalpha():
+            ids = self[body] + self[low[len(body) :]]
+        else:
+            ids = self[low] if low != part else self.fresh(part)
+        if len(part) <= PART_CHARS:
+            if len(self) >= KNOWN_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def fresh(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -78,11 +84,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     @F.pandas_udf("task long, length array<int>, crc array<long>, rank array<long>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder, seen, task = Encoder(path), Counter(), TaskContext.get().partitionId()
+        known, seen, task = encoder(path), Counter(), TaskContext.get().partitionId()
         for texts in parts:
             out = []
-            for ids in encoder.batch(texts):
-                ids += mark
+            for text in texts:
+                ids = known.ids(text) + mark
                 each = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
                 lengths, ranks = [len(x) // 4 for x in each], []
                 for n in lengths:
