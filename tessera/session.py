@@ -1,0 +1,13 @@
+"""The session settings that the operators count on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "tessera", **conf: str) -> SparkSession:
+    """A session in UTC with adaptive execution; `conf` holds further settings, with underscores for points in a name."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for key, value in conf.items():
+        builder = builder.config(key.replace("_", "."), value)
+    return builder.getOrCreate()
