@@ -99,8 +99,13 @@ def contains_approximately(haystack: Column, needle: Column, edits: Column) -> C
     def starts_at(i: Column) -> Column:
         return F.exists(F.sequence(F.greatest(F.lit(0), n - edits), n + edits), lambda k: F.levenshtein(F.substring(haystack, i, k), needle) <= edits)
 
+    def cut(i: Column) -> Column:
+        return F.floor(n * i / (edits + 1)).cast("int")
+
+    # of (edits + 1) pieces of the needle one is whole in every such part: without any, nothing needs to be tried
+    piece = F.exists(F.sequence(F.lit(0), edits), lambda i: haystack.contains(F.substring(needle, cut(i) + 1, cut(i + 1) - cut(i))))
     some = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(haystack))), starts_at)
-    return exact | (n <= edits) | ((edits > 0) & some)
+    return exact | (n <= edits) | ((edits > 0) & piece & some)
 
 
 def name_words(name: Column) -> Column:

@@ -96,7 +96,7 @@ STEPS = "steps AS (SELECT game_id AS game, lag(version) OVER w AS source, versio
 #: Query name: (views that it reads, SQL). A leading + goes on with the list of common table expressions.
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "knn_topk": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
-    "knn_topk_blocks": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
+    "knn_topk_in_order": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
     "vote_frames": (("index_rows",), VOTE + " SELECT scan_id, rank, id, row, round(score, 6) AS score, frames FROM voted"),
     "expand_arts": (("index_rows",), ARTS + " SELECT scan_id, art_rank, art_id, id, round(score, 6) AS score FROM arts"),
     "picture_confidence": (

@@ -69,9 +69,9 @@ def knn_topk(spark, sf):
 
 
 @query
-def knn_topk_blocks(spark, sf):
+def knn_topk_in_order(spark, sf):
     index = view(spark, sf, "index_rows")
-    return search.knn_topk_blocks(index, asked(index)).select("query_id", "rank", "row", "id", six(F.col("score")).alias("score"))
+    return search.knn_topk_in_order(index, asked(index)).select("query_id", "rank", "row", "id", six(F.col("score")).alias("score"))
 
 
 @query
