@@ -173,24 +173,29 @@ def local_search(bins: Counter, capacity: int, rounds: int = ROUNDS) -> Counter:
         _, a = heapq.heappop(heap)
         if not bins[a]:
             continue
+        best: tuple[int, Pattern | None, tuple[Pattern, Pattern] | None] = (0, None, None)
         for b in sorted((p for p in bins if bins[p] and fill(a) <= fill(p) < capacity), key=lambda p: (-fill(p), p)):
             rounds -= 1
-            if a == b and bins[a] < 2 or not (to := exchange(a, b, capacity)):
-                if rounds <= 0:
-                    break
-                continue
-            times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-            for p in (a, b):
-                bins[p] -= times
-            for p in to:
-                if p:
-                    bins[p] += times
-                    if fill(p) < capacity:
-                        heapq.heappush(heap, (fill(p), p))
-            number -= times * (not to[0])
-            if bins[a]:
-                heapq.heappush(heap, (fill(a), a))
-            break
+            to = exchange(a, b, capacity) if a != b or bins[a] > 1 else None
+            gain = sum(fill(p) ** 2 for p in to) - fill(a) ** 2 - fill(b) ** 2 if to else 0
+            if gain > best[0]:
+                best = gain, b, to
+            if rounds <= 0:
+                break
+        _, b, to = best
+        if not to:
+            continue
+        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        for p in (a, b):
+            bins[p] -= times
+        for p in to:
+            if p:
+                bins[p] += times
+                if fill(p) < capacity:
+                    heapq.heappush(heap, (fill(p), p))
+        number -= times * (not to[0])
+        if bins[a]:
+            heapq.heappush(heap, (fill(a), a))
     return +bins
 
 
