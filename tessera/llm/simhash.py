@@ -7,23 +7,31 @@ every linked pair, and the join condition verifies the distance. A pair is taken
 segment within one bit; the differing bit, or the segment's first bit when equal), so no pair is made twice.
 
 Copies are collapsed to distinct fingerprints before the join; they cost nothing however many there are.
+
+Near copies by similarity (`keep_representatives`) may differ in more bits than the segments guarantee: candidates still
+are fingerprints with a segment within one bit, verified at a greater distance, so most but not all such pairs are met
+(`recall` gives the share). There a group of near copies could make pairs with the square of its size. So a first pass
+links the members of each signature to its least one, a row for each at most; the join then only makes pairs of what
+lies in different components after that.
+
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
 doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, free_name, tune, written
 
 SEED = 42
+SIMILAR, SIMILAR_SEGMENTS = 8, 3
 CHUNK = 1 << 15
 
 
@@ -56,52 +64,101 @@ def simhash(text: Column, words: int = 4) -> Column:
     return udf(text)
 
 
-def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment."""
-    n = max_distance // 2 + 1
+def segments(n: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each of n segments."""
     cuts = [64 * i // n for i in range(n + 1)]
     return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(fingerprints: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits."""
-    segs = segments(max_distance)
-    bit = F.col("p")
+def exact_segments(max_distance: int) -> int:
+    """Segments of which one differs in at most one bit whatever the max_distance bits are."""
+    return max_distance // 2 + 1
+
+
+def recall(bits: int, n: int) -> float:
+    """The share of pairs that differ in so many bits (placed at random) of which some of n segments has at most one."""
+    from math import comb
+
+    ways = {0: 1}  # of bits placed so that all segments so far have two or more
+    for _, width in segments(n):
+        new: dict[int, int] = {}
+        for used, w in ways.items():
+            for here in range(2, min(width, bits - used) + 1):
+                new[used + here] = new.get(used + here, 0) + w * comb(width, here)
+        ways = new
+    return 1 - ways.get(bits, 0) / comb(64, bits)
+
+
+def part(x: Column, lo: int, n: int) -> Column:
+    return F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
 
-    def part(x: Column, lo: int, n: int) -> Column:
-        return F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+ONE = "shiftleft(1L, p)"  # the masked bit p, in its place
 
-    def by_segment(f) -> Column:
-        out = f(0, *segs[0])
-        for j, (lo, n) in enumerate(segs[1:], 1):
-            out = F.when(bit >= lo, f(j, lo, n)).otherwise(out)
-        return out
 
-    one = F.expr("shiftleft(1L, p)")  # the masked bit, in place
-    value = by_segment(lambda j, lo, n: part(F.col("fp").bitwiseAND(F.bitwise_not(one)), lo, n))
-    width = max(n for _, n in segs)
+def by_segment(segs: list[tuple[int, int]], f: Callable[[int, int, int], Column]) -> Column:
+    """f(number, first bit, bits) of the segment that bit p is in."""
+    out = f(0, *segs[0])
+    for j, (lo, n) in enumerate(segs[1:], 1):
+        out = F.when(F.col("p") >= lo, f(j, lo, n)).otherwise(out)
+    return out
+
+
+def signatures(fingerprints: DataFrame, n: int) -> DataFrame:
+    """The columns of fingerprints (fp, others) with p and k: for each bit p, its segment's value without that bit."""
+    segs = segments(n)
+    value = by_segment(segs, lambda j, lo, w: part(F.col("fp").bitwiseAND(F.bitwise_not(F.expr(ONE))), lo, w))
+    width = max(w for _, w in segs)
     assert width + 6 < 63, "a variant and its bit share one long"
-    index = fingerprints.select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-    index = index.select("fp", "p", (F.shiftleft(F.col("p").cast("long"), width).bitwiseOR(value)).alias("k"))
-    left = index.select("k", "p", F.col("fp").alias("a"))
-    right = index.select("k", F.col("fp").alias("b"))
+    index = fingerprints.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return index.withColumn("k", F.shiftleft(F.col("p").cast("long"), width).bitwiseOR(value))
+
+
+def links(fingerprints: DataFrame, max_distance: int = 4, n: int | None = None, apart: str | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits and share a signature
+    of n segments (by default so many that all such pairs do). With `apart`, only pairs that differ in that column."""
+    n = n or exact_segments(max_distance)
+    segs, bit = segments(n), F.col("p")
+    index = signatures(fingerprints.select("fp", *filter(None, [apart])).distinct(), n)
+    left = index.select("k", "p", F.col("fp").alias("a"), *[F.col(apart).alias("group_a")] if apart else [])
+    right = index.select("k", F.col("fp").alias("b"), *[F.col(apart).alias("group_b")] if apart else [])
     x = F.col("a").bitwiseXOR(F.col("b"))
 
-    def first_signature(j: int, lo: int, n: int) -> Column:
-        here = part(x, lo, n)
-        own = (F.shiftleft(here, lo) == one) | ((here == 0) & (bit == lo))
-        for lo2, n2 in segs[:j]:
-            own = own & (F.bit_count(part(x, lo2, n2)) > 1)
+    def first_signature(j: int, lo: int, w: int) -> Column:
+        here = part(x, lo, w)
+        own = (F.shiftleft(here, lo) == F.expr(ONE)) | ((here == 0) & (bit == lo))
+        for lo2, w2 in segs[:j]:
+            own = own & (F.bit_count(part(x, lo2, w2)) > 1)
         return own
 
-    verified = (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_distance) & by_segment(first_signature)
+    verified = (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_distance) & by_segment(segs, first_signature)
+    if apart:
+        verified = verified & (F.col("group_a") != F.col("group_b"))
     return left.join(right, (left["k"] == right["k"]) & verified).select("a", "b")
 
 
-def components(prints: DataFrame, max_distance: int = 4) -> DataFrame:
+def leader_links(fingerprints: DataFrame, max_distance: int, n: int) -> DataFrame:
+    """(a, b): each fingerprint and the least one of a signature that it shares, where that is within max_distance bits."""
+    index = signatures(fingerprints.select("fp"), n)
+    led = index.withColumn("b", F.min("fp").over(Window.partitionBy("k")))
+    return led.where("fp <> b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_distance).select(F.col("fp").alias("a"), "b").distinct()
+
+
+def linked_components(classes: DataFrame, max_distance: int, n: int | None = None) -> DataFrame:
+    """(fp, component): components of the fingerprints that have links."""
+    if n is None:
+        return connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp")
+    led = written(leader_links(classes, max_distance, n), "simhash-led")
+    first = written(connected_components(led).withColumnRenamed("node", "fp"), "simhash-first")
+    known = classes.join(first, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    rest = links(written(known, "simhash-known"), max_distance, n, apart="component")
+    return connected_components(led.union(rest)).withColumnRenamed("node", "fp")
+
+
+def components(prints: DataFrame, max_distance: int = 4, n: int | None = None) -> DataFrame:
     """(fp, component_id) for each distinct fp of `prints` (doc_id, fp): the smallest doc_id of all linked fingerprints."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    cc = written(connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp"), "simhash-components")
+    cc = written(linked_components(classes, max_distance, n), "simhash-components")
     low = cc.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("low"))
     linked = cc.join(low, "component").select("fp", "low")
     return classes.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
@@ -114,9 +171,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> D
     return prints.join(components(prints, max_distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
+def keep_representatives(docs: DataFrame, words: int = 5, max_distance: int = SIMILAR, n: int | None = SIMILAR_SEGMENTS) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id (null ids come last), then by row order.
 
+    By default, near copies by similarity: SIMILAR bits of 64 are what shingles with a Jaccard similarity of about 0.83
+    differ in on average (acos(2 s / (1 + s)) / pi of all bits).
+
     Columns stay as they are. Components are found over fingerprints, so the texts are not shuffled for that; each
     component then keeps one row by a partially aggregated minimum over (doc_id, row number), whatever its size.
     """
@@ -124,7 +184,7 @@ def keep_representatives(docs: DataFrame, words: int = 4, max_distance: int = 4)
     fp, row, comp = (free_name(docs.columns, c) for c in ("fp", "row", "comp"))
     rows = written(docs.withColumn(fp, simhash(F.col("text"), words)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
     prints = rows.select("doc_id", F.col(fp).alias("fp"))
-    which = components(prints, max_distance)
+    which = components(prints, max_distance, n)
     # a component is named by its fingerprint class here, for ids may be null or repeated
     first = rows.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("at")).groupBy("fp").agg(F.min("at").alias("at"))
     named = first.join(which, "fp").select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.hex("fp"))).alias(comp), "at")

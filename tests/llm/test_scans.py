@@ -101,6 +101,21 @@ def test_links_against_all_pairs(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_similar_pairs_are_met_as_often_as_computed(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(400)]
+    bits = 8
+    other = [b ^ sum(1 << p for p in rng.sample(range(64), bits)) for b in base]
+    signed = [v - (1 << 64) if v >> 63 else v for v in base + other]
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    met = simhash.links(frame, bits, 3).count()
+    assert abs(met / 400 - simhash.recall(bits, 3)) < 0.1
+    assert all(simhash.recall(d, simhash.exact_segments(4)) == 1 for d in range(5))
+    two_step = simhash.linked_components(frame, bits, 3)
+    joined = common.connected_components(simhash.links(frame, bits, 3))
+    assert {(r.fp, r.component) for r in two_step.collect()} == {(r.node, r.component) for r in joined.collect()}
+
+
 def test_components_and_representatives(spark):
     long = " ".join(f"w{i}" for i in range(300))
     texts = [None, "", long, long + " end", "other words of a text that is not alike", long, "  "]
