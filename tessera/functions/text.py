@@ -118,6 +118,16 @@ def is_index_stale(stored: Column, remote: Column) -> Column:
     return remote.isNotNull() & ~remote.eqNullSafe(stored)
 
 
+def index_needs_download(held: Column, stored: Column, remote: Column) -> Column:
+    """A missing index is fetched; one that is held only if the server names another copy."""
+    return ~held | is_index_stale(stored, remote)
+
+
+def host_of(url: Column) -> Column:
+    """The host that a fetcher's pace is kept for; null for what is no address."""
+    return F.try_parse_url(url, F.lit("HOST"))
+
+
 def is_mutable_pack(path: Column) -> Column:
     """Index packs grow in place; other packs never change."""
     return path.rlike(r"/index-[^/]*\.(bin|ids)$")

@@ -135,6 +135,23 @@ def apply_delta(tables: dict[str, DataFrame], delta: dict[str, DataFrame], remov
     return out
 
 
+#: What a client takes where a pack leaves a column out.
+DEFAULTS = {"variant": "normal", "language": "en"}
+
+
+def with_defaults(rows: DataFrame, now: Column) -> DataFrame:
+    """A pack's rows with defaults in place of nulls, and `now` for missing times."""
+    given = {c: F.lit(v) for c, v in DEFAULTS.items()} | {"updated_at": now}
+    return rows.select(*[F.coalesce(c, given[c]).alias(c) if c in given else F.col(c) for c in rows.columns])
+
+
+def sync(tables: dict[str, DataFrame], chain: list[dict[str, DataFrame]], full: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """A client's tables after a chain of deltas in order; without a chain, after the full pack (upserted, as deltas are)."""
+    for delta in chain or ([full] if full else []):
+        tables = apply_delta(tables, delta, delta.get("removed"))
+    return tables
+
+
 def stale_games(versions: DataFrame, cutoff: Column) -> DataFrame:
     """game_id, latest of games whose newest version is older than the cutoff, the stalest first."""
     return versions.groupBy("game_id").agg(F.max("created_at").alias("latest")).where(F.col("latest") < cutoff).orderBy("latest", "game_id")

@@ -230,6 +230,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
           UNION ALL SELECT w.game, w.target, w.step + 1, l.source, l.next FROM walk w JOIN links l ON l.game = w.game AND l.source = w.next WHERE w.next <> w.target AND w.step <= 64)
         SELECT game, step, source AS "from", next AS "to" FROM walk WHERE game IN (SELECT game FROM walk GROUP BY game HAVING arg_max(next, step) = max(target) AND max(step) <= 64)""",
     ),
+    "version_upsert": (
+        ("versions",),
+        "SELECT game_id, strftime(created_at, '%Y%m') AS version, arg_max(printings_count, {'c': created_at, 'v': version::BIGINT}) AS printings_count, arg_min({'k': index_pack_key}, {'c': created_at, 'v': version::BIGINT}).k AS index_pack_key, min(created_at)::DATE AS created_at FROM versions GROUP BY ALL",
+    ),
+    "progress_steps": ((), "SELECT o_custkey::VARCHAR AS game_id, count(*) AS cursor, 12::BIGINT AS total, count(*) AS sets, sum(floor(o_totalprice))::BIGINT AS printings, 2 * count(*) AS prices, count(*) >= 12 AS done FROM orders GROUP BY ALL"),
+    "url_hosts": ((), "SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY ALL"),
     "stale_games": (("versions",), "SELECT game_id, max(created_at)::DATE AS latest FROM versions GROUP BY game_id HAVING max(created_at) < TIMESTAMP '2001-01-01'"),
     "newest_at_most": ((), "SELECT o_custkey::VARCHAR AS game, max(strftime(o_orderdate, '%Y%m%d')) AS version FROM orders WHERE o_orderkey % 4 <> 0 AND strftime(o_orderdate, '%Y%m%d') <= '20000930' GROUP BY ALL"),
     "pending_page": (("printings",), "SELECT id, game_id, image_url FROM printings WHERE image_url IS NOT NULL AND fingerprinted_at IS NULL AND game_id = '1' ORDER BY id LIMIT 500"),

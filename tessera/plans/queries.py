@@ -15,7 +15,7 @@ from ..functions import image as I
 from ..functions import reading as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import catalogue, collection, merge, publish, scan, search
+from ..operators import catalogue, collection, merge, publish, refresh, scan, search
 from ..sources import index_pack
 from ..streaming import autoscan, capture_gate
 from .views import view
@@ -403,6 +403,38 @@ def delta_chain(spark, sf):
     return publish.delta_chain(links, first)
 
 
+@query
+def version_upsert(spark, sf):
+    v = view(spark, sf, "versions").select("game_id", F.date_format("created_at", "yyyyMM").alias("version"), "printings_count", "index_pack_key", F.col("created_at").cast("date").alias("created_at"), F.struct("created_at", F.col("version").cast("long").alias("v")).alias("seq"))
+    return refresh.record_versions(v.drop("seq").limit(0), v)
+
+
+@query
+def progress_steps(spark, sf):
+    """Games are customers, batches are their orders: twelve orders are a pass."""
+    o = view(spark, sf, "orders")
+    games = o.select(F.col("o_custkey").cast("string").alias("game_id"), F.lit(1).cast("long").alias("run_id")).distinct()
+    empty = spark.createDataFrame([], "game_id string, run_id long, cursor long, total long, sets long, printings long, prices long, unmatched long, started_at timestamp, updated_at timestamp, done_at timestamp")
+    now = F.lit("2024-01-01").cast("timestamp")
+    n = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    batches = o.select(F.col("o_custkey").cast("string").alias("game_id"), F.row_number().over(n).cast("long").alias("next_cursor"), F.lit(12).cast("long").alias("size"), F.lit(1).alias("sets"), F.floor("o_totalprice").alias("printings"), F.lit(2).alias("prices"), F.lit(0).alias("unmatched"))
+    out = refresh.advance_progress(refresh.reset_progress(empty, games, now), batches, now)
+    return out.select("game_id", "cursor", "total", "sets", "printings", "prices", F.col("done_at").isNotNull().alias("done"))
+
+
+@query
+def url_hosts(spark, sf):
+    return view(spark, sf, "pages").groupBy(T.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query
+def detector_decode(spark, sf):
+    e = view(spark, sf, "events")
+    raw = F.array(*[(F.col("event_id") % (7 + i) / F.lit(5.0) - F.lit(0.2)).cast("double") for i in range(8)])
+    d = G.detection(raw, F.col("value"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9 / 100.0))
+    return e.select("event_id", d.alias("d")).select("event_id", six(F.col("d.confidence")).alias("confidence"), "d.card_present", six(G.quad_area(F.col("d.corners"))).alias("area"))
+
+
 @query
 def stale_games(spark, sf):
     return publish.stale_games(view(spark, sf, "versions"), F.lit("2001-01-01").cast("timestamp_ntz")).select("game_id", F.col("latest").cast("date").alias("latest"))

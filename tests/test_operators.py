@@ -175,3 +175,47 @@ def test_collection_value(spark):
     rows = spark.createDataFrame([(1, 2, None, None, "2024", "a"), (1, 3, 2.0, "USD", "2023", "b"), (2, 1, None, None, "2024", "a")], "portfolio_id int, quantity long, market double, currency string, added_at string, printing_id string")
     got = {r.portfolio_id: (r.quantity, r.value, r.currency) for r in collection.collection_value(rows).collect()}
     assert got == {1: (5, 6.0, "USD"), 2: (1, 0.0, "GBP")}
+
+
+def test_growing_an_index_by_chunks(spark):
+    from tessera.operators.fingerprint import fingerprint_missing
+
+    printings = spark.createDataFrame([(i, c, c) for i, c in enumerate("abcdef")], "ordinal long, id string, address string")
+    pack = spark.createDataFrame([(0, "c", [1.0])], "row long, id string, embedding array<double>")
+    saved = []
+
+    def embed(part):
+        return part.select("id", F.array(F.lit(2.0)).alias("embedding"), F.when(F.col("id") == "b", "broken").alias("error"))
+
+    def save(grown, ids):
+        rows = grown.collect()
+        saved.append((len(rows), sorted(r.id for r in ids.collect())))
+        return spark.createDataFrame(rows, pack.schema)
+
+    out = fingerprint_missing(printings, pack, embed, save, chunk=2)
+    assert saved == [(2, ["a"]), (3, ["d"]), (5, ["e", "f"])]
+    assert [r.id for r in out.orderBy("row").collect()] == ["c", "a", "d", "e", "f"]
+    assert fingerprint_missing(printings.where("id = 'c'"), pack, embed, save) is pack
+
+
+def test_books(spark):
+    from tessera.operators import refresh
+
+    versions = spark.createDataFrame([("g", "1", 5, None, "2024")], "game_id string, version string, printings_count long, index_pack_key string, created_at string")
+    again = versions.withColumn("printings_count", F.lit(7).cast("long")).withColumn("created_at", F.lit("2025")).withColumn("seq", F.lit(0))
+    assert tuple(refresh.record_versions(versions, again).first()) == ("g", "1", 7, None, "2024")
+    assert refresh.attach_index(versions, "g", "1", "k").first().index_pack_key == "k"
+    runs = spark.createDataFrame([(1, "a", None, "running", None), (2, "b", None, "running", None)], "id int, started_at string, finished_at string, status string, detail string")
+    ended = spark.createDataFrame([(1, "z", "ok", "d")], "id int, finished_at string, status string, detail string")
+    assert sorted(map(tuple, refresh.close_runs(runs, ended).collect())) == [(1, "a", "z", "ok", "d"), (2, "b", None, "running", None)]
+    held = spark.createDataFrame([("g", "1", 5)], "game_id string, version string, n long")
+    assert tuple(refresh.set_client_versions(held, spark.createDataFrame([("g", "2", 6, 0)], "game_id string, version string, n long, seq int")).first()) == ("g", "2", 6)
+
+
+def test_sync_by_chain_or_full_pack(spark):
+    base = {"cards": spark.createDataFrame([("a", "A", "x")], "id string, name string, art_id string")}
+    deltas = [{"cards": spark.createDataFrame([("a", n, "y", 0), (n, n, "z", 1)], "id string, name string, art_id string, seq int")} for n in ("B", "C")]
+    assert sorted(map(tuple, publish.sync(base, deltas)["cards"].collect())) == [("B", "B", "z"), ("C", "C", "z"), ("a", "C", "y")]
+    assert publish.sync(base, [], deltas[0])["cards"].count() == 2 and publish.sync(base, []) is base
+    rows = spark.createDataFrame([(None, None)], "variant string, updated_at string")
+    assert tuple(publish.with_defaults(rows, F.lit("now")).first()) == ("normal", "now")
