@@ -32,8 +32,8 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUE
     """query_id, rank, row, id, score: the k rows of index (row, id, embedding) with the greatest inner product.
 
     All rows are compared with every query (query_id, embedding): queries are broadcast in blocks of a fixed size, each
-    batch of rows is one matrix product in double precision, and keeps its own k best of every query before anything is
-    shuffled. A query of another length than a row's, or a score that is no number, gives no row.
+    batch of rows is one matrix product in double precision, and a task keeps its k best of every query before anything
+    is shuffled. A query of another length than a row's, or a score that is no number, gives no row.
     """
     spark, out = index.sparkSession, None
     kind = {c: s.dataType.simpleString() for s, c in ((queries.schema["query_id"], "query_id"), (index.schema["row"], "row"), (index.schema["id"], "id"))}
@@ -44,18 +44,23 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUE
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, vectors = shared.value
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_size.setdefault(len(v), []).append(i)
+            asked = {size: np.stack([vectors[i] for i in mine]) for size, mine in by_size.items()}
+            kept: dict[int, list[np.ndarray]] = {}  # score, row and id of the best so far, a line for each query
             for b in batches:
                 for size, rows in b.groupby(b["embedding"].map(len)):
-                    mine = [i for i, v in enumerate(vectors) if len(v) == size]
-                    if not mine:
+                    if size not in asked:
                         continue
-                    rows = rows.sort_values("row")
-                    s = np.stack([vectors[i] for i in mine]) @ np.stack(rows["embedding"]).astype(np.float64).T
-                    s[np.isnan(s)] = -np.inf
-                    at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    q, r = np.repeat(np.arange(len(mine)), at.shape[1]), at.ravel()
-                    score = s[q, r]
-                    yield pd.DataFrame({"query_id": ids[mine][q], "row": rows["row"].to_numpy()[r], "id": rows["id"].to_numpy()[r], "score": score})[np.isfinite(score)]
+                    s = asked[size] @ np.stack(rows["embedding"]).astype(np.float64).T
+                    new = [s, *(np.broadcast_to(rows[c].to_numpy(), s.shape) for c in ("row", "id"))]
+                    both = [np.concatenate(x, axis=1) for x in zip(kept[size], new, strict=True)] if size in kept else new
+                    order = np.lexsort((both[1], -np.nan_to_num(both[0], nan=-np.inf)), axis=1)[:, :k]
+                    kept[size] = [np.take_along_axis(x, order, axis=1) for x in both]
+            for size, (score, row, id_) in kept.items():
+                q = np.repeat(ids[by_size[size]], score.shape[1])
+                yield pd.DataFrame({"query_id": q, "row": row.ravel(), "id": id_.ravel(), "score": score.ravel()})[np.isfinite(score.ravel())]
 
         found = index.select("row", "id", "embedding").where("embedding IS NOT NULL").mapInPandas(best, schema)
         out = found if out is None else out.unionByName(found)
