@@ -8,11 +8,11 @@ segment within one bit; the differing bit, or the segment's first bit when equal
 
 Copies are collapsed to distinct fingerprints before the join; they cost nothing however many there are.
 
-Near copies by similarity (`keep_representatives`) may differ in more bits than the segments guarantee: candidates still
-are fingerprints with a segment within one bit, verified at a greater distance, so most but not all such pairs are met
-(`recall` gives the share). There a group of near copies could make pairs with the square of its size. So a first pass
-links the members of each signature to its least one, a row for each at most; the join then only makes pairs of what
-lies in different components after that.
+Near copies by similarity (`keep_representatives`) differ in more bits than segments guarantee. There each text has
+FINGERPRINTS fingerprints of independent hashes; candidates share a signature of any of them, and are verified by the
+distance over all. Most such pairs are met, not all (`recall` gives the share for one fingerprint). A group of near
+copies could make pairs with the square of its size, so a first pass links the members of each signature to its least
+one, a row for each at most; the join then only makes pairs of what lies in different components after that.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
 doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are.
@@ -21,6 +21,7 @@ doc_id keep their row; the smallest non-null doc_id names the component. Repeate
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,35 +32,58 @@ from pyspark.sql import functions as F
 from .common import connected_components, free_name, tune, written
 
 SEED = 42
-SIMILAR, SIMILAR_SEGMENTS = 8, 3
+FINGERPRINTS, SIMILAR, SIMILAR_SEGMENTS = 2, 18, 3
+#: Bits that a signature's value has at most; the number of the masked bit is above them.
+WIDTH = 56
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash over `words`-word shingles, repeats included, of the text with A-Z lower-cased."""
+def fingerprints(text: str | None, words: int = 4, count: int = 1, seed: int = SEED) -> list[int]:
+    """Signed 64-bit SimHashes over `words`-word shingles, repeats included, of the text with A-Z lower-cased.
+
+    The first is over XXH64 of the shingles, others over mixes of that hash.
+    """
     tokens = (text or "").encode().lower().split()  # bytes.split() parts at exactly 0x20 and 0x09-0x0D
     if not tokens:
-        return 0
+        return [0] * count
     joined = b" ".join(tokens)
     starts = np.zeros(len(tokens), dtype=np.int64)
     np.cumsum(np.fromiter(map(len, tokens[:-1]), dtype=np.int64, count=len(tokens) - 1) + 1, out=starts[1:])
     n = max(1, len(tokens) - words + 1)
     ends = np.append(starts[words:] - 1, len(joined))[:n] if len(tokens) >= words else np.array([len(joined)])
-    view, ones, digest = joined, np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
+    view, ones, digest = joined, np.zeros((count, 64), dtype=np.int64), xxhash.xxh64_intdigest
     for i in range(0, n, CHUNK):
-        part = [digest(view[s:e], seed) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=False)]
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+        h = np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=False)], dtype="<u8")
+        for k in range(count):
+            bits = np.unpackbits((mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash for each hash: the finaliser of SplitMix64 after k steps."""
+    z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
+    return fingerprints(text, words, 1, seed)[0]
 
 
 def simhash(text: Column, words: int = 4) -> Column:
     """The fingerprint column (long) of a text column."""
+    return simhashes(text, words, 1)[0]
+
 
-    @F.pandas_udf("long")
+def simhashes(text: Column, words: int, count: int) -> Column:
+    """A column of `count` fingerprints (array<long>) of a text column."""
+
+    @F.pandas_udf("array<long>")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([fingerprint(t, words) for t in s], dtype="int64")
+            yield pd.Series([fingerprints(t, words, count) for t in s], dtype=object)
 
     return udf(text)
 
@@ -96,69 +120,90 @@ def part(x: Column, lo: int, n: int) -> Column:
 ONE = "shiftleft(1L, p)"  # the masked bit p, in its place
 
 
-def by_segment(segs: list[tuple[int, int]], f: Callable[[int, int, int], Column]) -> Column:
-    """f(number, first bit, bits) of the segment that bit p is in."""
+def by_segment(segs: list[tuple[int, int]], bit: Column, f: Callable[[int, int, int], Column]) -> Column:
+    """f(number, first bit, bits) of the segment that a bit is in."""
     out = f(0, *segs[0])
     for j, (lo, n) in enumerate(segs[1:], 1):
-        out = F.when(F.col("p") >= lo, f(j, lo, n)).otherwise(out)
+        out = F.when(bit >= lo, f(j, lo, n)).otherwise(out)
     return out
 
 
-def signatures(fingerprints: DataFrame, n: int) -> DataFrame:
-    """The columns of fingerprints (fp, others) with p and k: for each bit p, its segment's value without that bit."""
-    segs = segments(n)
-    value = by_segment(segs, lambda j, lo, w: part(F.col("fp").bitwiseAND(F.bitwise_not(F.expr(ONE))), lo, w))
-    width = max(w for _, w in segs)
-    assert width + 6 < 63, "a variant and its bit share one long"
-    index = fingerprints.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-    return index.withColumn("k", F.shiftleft(F.col("p").cast("long"), width).bitwiseOR(value))
-
-
-def links(fingerprints: DataFrame, max_distance: int = 4, n: int | None = None, apart: str | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits and share a signature
-    of n segments (by default so many that all such pairs do). With `apart`, only pairs that differ in that column."""
-    n = n or exact_segments(max_distance)
-    segs, bit = segments(n), F.col("p")
-    index = signatures(fingerprints.select("fp", *filter(None, [apart])).distinct(), n)
-    left = index.select("k", "p", F.col("fp").alias("a"), *[F.col(apart).alias("group_a")] if apart else [])
-    right = index.select("k", F.col("fp").alias("b"), *[F.col(apart).alias("group_b")] if apart else [])
-    x = F.col("a").bitwiseXOR(F.col("b"))
-
-    def first_signature(j: int, lo: int, w: int) -> Column:
-        here = part(x, lo, w)
-        own = (F.shiftleft(here, lo) == F.expr(ONE)) | ((here == 0) & (bit == lo))
+def signatures(rows: DataFrame, n: int, of: str = "fp") -> DataFrame:
+    """The columns of rows with k: for each bit, the value of its segment of fingerprint `of` without that bit, after
+    the bit's number."""
+    segs, fp = segments(n), F.col(of)
+    value = by_segment(segs, F.col("p"), lambda j, lo, w: part(fp.bitwiseAND(F.bitwise_not(F.expr(ONE))), lo, w))
+    index = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return index.select(*rows.columns, F.shiftleft(F.col("p").cast("long"), WIDTH).bitwiseOR(value).alias("k"))
+
+
+def first_signature(x: Column, k: Column, n: int) -> Column:
+    """Whether k is the first of the signatures that two fingerprints with differing bits x share."""
+    segs, bit = segments(n), F.shiftright(k, WIDTH).cast("int")
+
+    def here(j: int, lo: int, w: int) -> Column:
+        # the differing bit, or the segment's first bit when it is equal
+        own = F.shiftleft(part(x, lo, w), lo)
+        first = (own == F.call_function("shiftleft", F.lit(1).cast("long"), bit)) | ((own == 0) & (bit == lo))
         for lo2, w2 in segs[:j]:
-            own = own & (F.bit_count(part(x, lo2, w2)) > 1)
-        return own
+            first = first & (F.bit_count(part(x, lo2, w2)) > 1)
+        return first
+
+    return by_segment(segs, bit, here)
+
+
+def links(rows: DataFrame, max_distance: int = 4) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits: all of them."""
+    n = exact_segments(max_distance)
+    index = signatures(rows.select("fp").distinct(), n)
+    left, right = index.alias("l"), index.alias("r")
+    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    verified = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= max_distance) & first_signature(x, F.col("l.k"), n)
+    return left.join(right, (F.col("l.k") == F.col("r.k")) & verified).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
+
+def names(count: int) -> list[str]:
+    return [f"f{i}" for i in range(count)]
 
-    verified = (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_distance) & by_segment(segs, first_signature)
-    if apart:
-        verified = verified & (F.col("group_a") != F.col("group_b"))
-    return left.join(right, (left["k"] == right["k"]) & verified).select("a", "b")
 
+def apart(a: str, b: str, count: int) -> Column:
+    """Differing bits of two rows over all fingerprints."""
+    return sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in names(count)), F.lit(0))
 
-def leader_links(fingerprints: DataFrame, max_distance: int, n: int) -> DataFrame:
-    """(a, b): each fingerprint and the least one of a signature that it shares, where that is within max_distance bits."""
-    index = signatures(fingerprints.select("fp"), n)
-    led = index.withColumn("b", F.min("fp").over(Window.partitionBy("k")))
-    return led.where("fp <> b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_distance).select(F.col("fp").alias("a"), "b").distinct()
 
+def leader_links(classes: DataFrame, of: str, count: int, max_distance: int, n: int) -> DataFrame:
+    """(a, b): each cid and the least one of a signature of fingerprint `of` that it shares, where that is near enough."""
+    cols = ["cid", *names(count)]
+    index = signatures(classes.select(*cols), n, of).select("k", F.struct(*cols).alias("x"))
+    led = index.withColumn("y", F.min("x").over(Window.partitionBy("k")))
+    return led.where("x.cid <> y.cid").where(apart("x", "y", count) <= max_distance).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
-def linked_components(classes: DataFrame, max_distance: int, n: int | None = None) -> DataFrame:
-    """(fp, component): components of the fingerprints that have links."""
-    if n is None:
-        return connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp")
-    led = written(leader_links(classes, max_distance, n), "simhash-led")
-    first = written(connected_components(led).withColumnRenamed("node", "fp"), "simhash-first")
-    known = classes.join(first, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    rest = links(written(known, "simhash-known"), max_distance, n, apart="component")
-    return connected_components(led.union(rest)).withColumnRenamed("node", "fp")
 
+def outer_links(classes: DataFrame, of: str, count: int, max_distance: int, n: int) -> DataFrame:
+    """(a, b) of near enough cids of different components that share a signature of fingerprint `of`."""
+    index = signatures(classes.select("cid", "component", *names(count)), n, of)
+    left, right = index.alias("l"), index.alias("r")
+    x = F.col(f"l.{of}").bitwiseXOR(F.col(f"r.{of}"))
+    verified = (F.col("l.cid") < F.col("r.cid")) & (F.col("l.component") != F.col("r.component")) & (apart("l", "r", count) <= max_distance) & first_signature(x, F.col("l.k"), n)
+    return left.join(right, (F.col("l.k") == F.col("r.k")) & verified).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
 
-def components(prints: DataFrame, max_distance: int = 4, n: int | None = None) -> DataFrame:
+
+def similar_components(classes: DataFrame, count: int, max_distance: int, n: int) -> DataFrame:
+    """(cid, component) of classes (cid, f0 and more) that are linked: within max_distance bits over all fingerprints."""
+
+    def union(find: Callable[..., DataFrame], rows: DataFrame) -> DataFrame:
+        return reduce(DataFrame.union, [find(rows, f, count, max_distance, n) for f in names(count)])
+
+    led = written(union(leader_links, classes).distinct(), "simhash-led")
+    first = connected_components(led).withColumnRenamed("node", "cid")
+    known = written(classes.join(first, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
+    return connected_components(led.union(union(outer_links, known))).withColumnRenamed("node", "cid")
+
+
+def components(prints: DataFrame, max_distance: int = 4) -> DataFrame:
     """(fp, component_id) for each distinct fp of `prints` (doc_id, fp): the smallest doc_id of all linked fingerprints."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    cc = written(linked_components(classes, max_distance, n), "simhash-components")
+    cc = written(connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp"), "simhash-components")
     low = cc.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("low"))
     linked = cc.join(low, "component").select("fp", "low")
     return classes.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
@@ -171,22 +216,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> D
     return prints.join(components(prints, max_distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 5, max_distance: int = SIMILAR, n: int | None = SIMILAR_SEGMENTS) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (null ids come last), then by row order.
-
-    By default, near copies by similarity: SIMILAR bits of 64 are what shingles with a Jaccard similarity of about 0.83
-    differ in on average (acos(2 s / (1 + s)) / pi of all bits).
+def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRINTS, max_distance: int = SIMILAR, n: int = SIMILAR_SEGMENTS) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest doc_id (null ids come last), then
+    by row order. Columns stay as they are.
 
-    Columns stay as they are. Components are found over fingerprints, so the texts are not shuffled for that; each
-    component then keeps one row by a partially aggregated minimum over (doc_id, row number), whatever its size.
+    Shingles with a Jaccard similarity s differ in acos(2 s / (1 + s)) / pi of all bits on average: SIMILAR of 128 is
+    0.83. Groups are found over fingerprints, so the texts are not shuffled for that; each then keeps one row by a
+    partially aggregated minimum over (doc_id, row number), whatever its size.
     """
     tune(docs.sparkSession)
-    fp, row, comp = (free_name(docs.columns, c) for c in ("fp", "row", "comp"))
-    rows = written(docs.withColumn(fp, simhash(F.col("text"), words)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    prints = rows.select("doc_id", F.col(fp).alias("fp"))
-    which = components(prints, max_distance, n)
-    # a component is named by its fingerprint class here, for ids may be null or repeated
-    first = rows.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("at")).groupBy("fp").agg(F.min("at").alias("at"))
-    named = first.join(which, "fp").select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.hex("fp"))).alias(comp), "at")
-    kept = named.groupBy(comp).agg(F.min("at").alias("at")).select(F.col("at.r").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    fps, row = (free_name(docs.columns, c) for c in ("fps", "row"))
+    rows = written(docs.withColumn(fps, simhashes(F.col("text"), words, count)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
+    prints = rows.select(*[F.col(fps)[i].alias(f) for i, f in enumerate(names(count))], at.alias("at"))
+    classes = prints.groupBy(*names(count)).agg(F.min("at").alias("at")).withColumn("cid", F.monotonically_increasing_id())
+    classes = written(classes, "simhash-classes")
+    cc = similar_components(classes.drop("at"), count, max_distance, n)
+    first = classes.join(cc, "cid", "left").groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("at").alias("at"))
+    return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

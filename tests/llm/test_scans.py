@@ -103,17 +103,25 @@ def test_links_against_all_pairs(spark):
 
 def test_similar_pairs_are_met_as_often_as_computed(spark):
     rng = random.Random(7)
-    base = [rng.getrandbits(64) for _ in range(400)]
-    bits = 8
-    other = [b ^ sum(1 << p for p in rng.sample(range(64), bits)) for b in base]
-    signed = [v - (1 << 64) if v >> 63 else v for v in base + other]
-    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
-    met = simhash.links(frame, bits, 3).count()
-    assert abs(met / 400 - simhash.recall(bits, 3)) < 0.1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    flipped = lambda v, bits: v ^ sum(1 << p for p in rng.sample(range(64), bits))
+    pairs = [(i, rng.getrandbits(64), rng.getrandbits(64)) for i in range(400)]
+    rows = [(i, signed(a), signed(b)) for i, a, b in pairs] + [(1000 + i, signed(flipped(a, 8)), signed(flipped(b, 8))) for i, a, b in pairs]
+    frame = spark.createDataFrame(rows, "cid long, f0 long, f1 long")
+    got = {r.cid: r.component for r in simhash.similar_components(frame, 2, 16, 3).collect()}
+    met = sum(got.get(1000 + i) == i for i in range(400))
+    assert len(got) == 2 * met and abs(met / 400 - (1 - (1 - simhash.recall(8, 3)) ** 2)) < 0.08
+    assert simhash.similar_components(frame, 2, 15, 3).count() == 0  # verified over both
     assert all(simhash.recall(d, simhash.exact_segments(4)) == 1 for d in range(5))
-    two_step = simhash.linked_components(frame, bits, 3)
-    joined = common.connected_components(simhash.links(frame, bits, 3))
-    assert {(r.fp, r.component) for r in two_step.collect()} == {(r.node, r.component) for r in joined.collect()}
+
+
+def test_a_group_of_near_copies_is_one_component(spark):
+    rng = random.Random(1)
+    base = [rng.getrandbits(63), rng.getrandbits(63)]
+    rows = [(i, *(b ^ sum(1 << p for p in rng.sample(range(63), 3)) for b in base)) for i in range(300)] + [(500, 1, 2)]
+    frame = spark.createDataFrame(rows, "cid long, f0 long, f1 long")
+    got = {r.cid: r.component for r in simhash.similar_components(frame, 2, 18, 3).collect()}
+    assert got == {i: 0 for i in range(300)}
 
 
 def test_components_and_representatives(spark):
