@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, media, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, toxicity, warc
 from .common import table
+from .oracle import oracle_sql as oracle_sql
 
 #: The query's key; a real one belongs in a secret store and is a parameter of the operator.
 PII_KEY = "a key for the registered query only"
@@ -57,7 +58,3 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (op1_secret_scan, op2_toxicity, op3_media, op4_sentencepiece, op5_packing, op6_pii, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality)
     return {f.__name__: f for f in each}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -193,7 +193,8 @@ def test_segmentations_are_the_best_ones():
         mine = sum(score[i] for i in ids if i in score) + c.unknown_score * sum(1 for ch in normal if ch not in set(c.automaton.keys()))
         assert mine == pytest.approx(slow_best(c, normal))
         assert c.viterbi(normal) == [i for w in c.words(normal) for i in c.viterbi(w)] or mine == pytest.approx(slow_best(c, normal))
-    for t in ("the", "of the", "she then"):  # the library's own lattice search agrees
+    words = ["the", "of the", "she then"] + ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    for t in words:  # the library's own lattice search agrees
         assert c.encode(t) == unigram.nbest_encode(t, nbest_size=2)[0]
 
 
