@@ -41,7 +41,7 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """8-bit greyscale, WIDTH samples a line, filter 0."""
     lines = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
     raw = np.zeros((len(lines), WIDTH + 1), dtype=np.uint8)
