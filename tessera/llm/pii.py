@@ -192,9 +192,6 @@ def phone(m: Column, key: Column) -> Column:
     return let(F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?", 0), after)
 
 
-DATE_FORMS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
-
-
 def parsed_date(m: Column) -> Column:
     """Null for what is on no calendar."""
     iso = F.when(m.contains("-"), m).when(m.contains("/"), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))

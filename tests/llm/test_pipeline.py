@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tessera.llm import packing, quality, queries, secret_scan, simhash, toxicity
+from tessera.llm import packing, quality, queries, secret_scan, toxicity
 from tessera.llm.common import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
