@@ -19,9 +19,11 @@ Null texts count as empty: a document of the end mark alone. Repeated rows are p
 from __future__ import annotations
 
 import heapq
+import sys
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,39 +36,54 @@ from tokenizers import Tokenizer
 from .common import tune, written
 
 CAPACITY, END = 2048, 0
-KNOWN_PARTS, PART_CHARS = 1_600_000, 32
+KNOWN_PARTS, PART_CHARS = 450_000, 32
 ROUNDS = 20_000
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder(dict):
     """Ids of texts as unsigned 32-bit little-endian bytes; its items are those of parts without spaces.
 
     The tokenizer treats white space as a gap that no token crosses, so a text's ids are those of its parts between
     spaces or line ends. It lower-cases, and ends a word where points or commas follow a letter, so most parts that are
-    new have known ids but for their case or last signs. Up to KNOWN_PARTS short parts are remembered in a process.
+    new have known ids but for their case or last signs. A process remembers short parts: when there are KNOWN_PARTS of
+    them they become the older half, of which only those that are met again stay.
     """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
     def __missing__(self, part: str) -> bytes:
-        low = part.lower() if part.isascii() else part
-        body = low.rstrip(".,")
-        if "<" in part:  # may hold a special token, whose case counts
-            ids = self.fresh(part)
-        elif body and body != low and body[-1].isalpha():
-            ids = self[body] + self[low[len(body) :]]
-        else:
-            ids = self[low] if low != part else self.fresh(part)
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.learned(part)
         if len(part) <= PART_CHARS:
             if len(self) >= KNOWN_PARTS:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
 
+    def learned(self, part: str) -> bytes:
+        low = part.lower() if part.isascii() else part
+        body = low.rstrip(".,")
+        if "<" in part:  # may hold a special token, whose case counts
+            return self.fresh(part)
+        if body and body != low and body[-1].isalpha():
+            return self[body] + self[low[len(body) :]]
+        return self[low] if low != part else self.fresh(part)
+
     def fresh(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if part.isascii() and part.isalpha() and part.islower():  # one word that no normaliser changes
+            return packed(token.id for token in self.tokenizer.model.tokenize(part))
+        return packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
@@ -80,7 +97,7 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of docs (doc_id, text), and its place: task, rank (among the task's pieces of its length)."""
     tune(docs.sparkSession)
-    mark = np.array([end], dtype="<u4").tobytes()
+    mark = packed([end])
 
     @F.pandas_udf("task long, length array<int>, crc array<long>, rank array<long>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
