@@ -9,10 +9,11 @@ segment within one bit; the differing bit, or the segment's first bit when equal
 Copies are collapsed to distinct fingerprints before the join; they cost nothing however many there are.
 
 Near copies by similarity (`keep_representatives`) differ in more bits than segments guarantee. There each text has
-FINGERPRINTS fingerprints of independent hashes; candidates share a signature of any of them, and are verified by the
-distance over all. Most such pairs are met, not all (`recall` gives the share for one fingerprint). A group of near
-copies could make pairs with the square of its size, so a first pass links the members of each signature to its least
-one, a row for each at most; the join then only makes pairs of what lies in different components after that.
+FINGERPRINTS fingerprints of independent hashes over its set of shingles; candidates share one of KEYS keys, each of
+KEY_BITS bits of any fingerprint, and are within NEAR bits of the first. `key_recall` gives the share of pairs with a
+common key. Candidates only count as near copies when the exact Jaccard similarity of their shingles is SIMILARITY or
+more. A group of near copies could make pairs with the square of its size, so a first pass links the members of each
+key to its least one, a row for each at most; the join then only makes pairs of what lies in different components.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
 doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are.
@@ -26,13 +27,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, free_name, tune, written
 
 SEED = 42
-FINGERPRINTS, SIMILAR, SIMILAR_SEGMENTS = 2, 18, 3
+FINGERPRINTS, KEYS, KEY_BITS, NEAR = 8, 96, 16, 22
+SIMILARITY = 4, 5  # as a fraction, so that the bound is exact
 #: Bits that a signature's value has at most; the number of the masked bit is above them.
 WIDTH = 56
 CHUNK = 1 << 15
@@ -43,21 +45,39 @@ def fingerprints(text: str | None, words: int = 4, count: int = 1, seed: int = S
 
     The first is over XXH64 of the shingles, others over mixes of that hash.
     """
+    h, ones = hashes(text, words, seed), np.zeros((count, 64), dtype=np.int64)
+    for i in range(0, len(h), CHUNK):
+        for k in range(count):
+            ones[k] += bit_sums(mixed(h[i : i + CHUNK], k) if k else h[i : i + CHUNK])
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def hashes(text: str | None, words: int = 4, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle in order (a shorter text is one); none of a text without words."""
     tokens = (text or "").encode().lower().split()  # bytes.split() parts at exactly 0x20 and 0x09-0x0D
     if not tokens:
-        return [0] * count
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(tokens)
     starts = np.zeros(len(tokens), dtype=np.int64)
     np.cumsum(np.fromiter(map(len, tokens[:-1]), dtype=np.int64, count=len(tokens) - 1) + 1, out=starts[1:])
     n = max(1, len(tokens) - words + 1)
     ends = np.append(starts[words:] - 1, len(joined))[:n] if len(tokens) >= words else np.array([len(joined)])
-    view, ones, digest = joined, np.zeros((count, 64), dtype=np.int64), xxhash.xxh64_intdigest
-    for i in range(0, n, CHUNK):
-        h = np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=False)], dtype="<u8")
-        for k in range(count):
-            bits = np.unpackbits((mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), ends.tolist(), strict=True)), dtype="<u8", count=n)
+
+
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits; sums of 255 rows fit in bytes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    q = len(bits) // 255 * 255
+    whole = bits[:q].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return whole + bits[q:].sum(axis=0, dtype=np.uint8)
+
+
+def set_fingerprints(text: str | None, words: int = 5, count: int = FINGERPRINTS) -> list[int]:
+    """`count` fingerprints over the set of shingles: repeats count once, as in a Jaccard similarity."""
+    h = np.unique(hashes(text, words))
+    return np.packbits(np.array([bit_sums(mixed(h, k) if k else h) for k in range(count)]) * 2 > len(h), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -72,6 +92,17 @@ def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     return fingerprints(text, words, 1, seed)[0]
 
 
+def per_text(text: Column, of: Callable[[str | None], list[int] | np.ndarray]) -> Column:
+    """The numbers that `of` gives for each text (array<long>)."""
+
+    @F.pandas_udf("array<long>")
+    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([of(t) for t in s], dtype=object)
+
+    return udf(text)
+
+
 def simhash(text: Column, words: int = 4) -> Column:
     """The fingerprint column (long) of a text column."""
     return simhashes(text, words, 1)[0]
@@ -79,13 +110,16 @@ def simhash(text: Column, words: int = 4) -> Column:
 
 def simhashes(text: Column, words: int, count: int) -> Column:
     """A column of `count` fingerprints (array<long>) of a text column."""
+    return per_text(text, lambda t: fingerprints(t, words, count))
 
-    @F.pandas_udf("array<long>")
-    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([fingerprints(t, words, count) for t in s], dtype=object)
 
-    return udf(text)
+def set_simhashes(text: Column, words: int, count: int) -> Column:
+    return per_text(text, lambda t: set_fingerprints(t, words, count))
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    """The distinct shingles of a text column, as hashes (array<long>)."""
+    return per_text(text, lambda t: np.unique(hashes(t, words)).view("<i8"))
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -175,7 +209,7 @@ def leader_links(classes: DataFrame, of: str, count: int, max_distance: int, n:
     """(a, b): each cid and the least one of a signature of fingerprint `of` that it shares, where that is near enough."""
     cols = ["cid", *names(count)]
     index = signatures(classes.select(*cols), n, of).select("k", F.struct(*cols).alias("x"))
-    led = index.withColumn("y", F.min("x").over(Window.partitionBy("k")))
+    led = index.join(index.groupBy("k").agg(F.min("x").alias("y")), "k")
     return led.where("x.cid <> y.cid").where(apart("x", "y", count) <= max_distance).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
 
@@ -200,6 +234,86 @@ def similar_components(classes: DataFrame, count: int, max_distance: int, n: int
     return connected_components(led.union(union(outer_links, known))).withColumnRenamed("node", "cid")
 
 
+def key_positions(bits: int, keys: int = KEYS, width: int = KEY_BITS) -> np.ndarray:
+    """The bit positions of each key (keys x width): random, and apart among the bits // width keys of each deal."""
+    rng, each = np.random.default_rng(SEED), bits // width
+    deals = [rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-keys // each))]
+    return np.concatenate(deals)[:keys]
+
+
+def key_recall(share: float, bits: int = 64 * FINGERPRINTS, keys: int = KEYS, width: int = KEY_BITS) -> float:
+    """The share of pairs with some key in common, of those that differ in each bit with probability `share`."""
+    from math import comb
+
+    met = lambda d: 1 - (1 - comb(bits - d, width) / comb(bits, width)) ** keys
+    return sum(comb(bits, d) * share**d * (1 - share) ** (bits - d) * met(d) for d in range(bits + 1))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """The columns of rows (fps, and others) but fps, with f0 (the first fingerprint) and k: each key after its number."""
+
+    @F.pandas_udf("array<int>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            bits = np.unpackbits(np.stack(s.to_numpy()).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            at = key_positions(bits.shape[1])
+            values = np.packbits(bits[:, at.ravel()].reshape(-1, KEY_BITS), axis=1, bitorder="little").view("<u2").reshape(len(s), -1)
+            yield pd.Series(list(values + (np.arange(len(at), dtype=np.int32) << KEY_BITS)), dtype=object)
+
+    rest = [c for c in rows.columns if c != "fps"]
+    return rows.select(*rest, F.col("fps")[0].alias("f0"), keys("fps").alias("ks")).select(*rest, "f0", F.explode("ks").alias("k"))
+
+
+def led_candidates(classes: DataFrame, near: int) -> DataFrame:
+    """(a, b): each cid and the least one that has the least f0 of a key that it shares, where their f0 are near enough.
+
+    Least values are partially aggregated and joined back, so no key's rows are ever gathered.
+    """
+    index = keyed(classes)
+    least = index.groupBy("k").agg(F.min("f0").alias("g0"), F.count("*").alias("n")).where("n > 1").select("k", "g0")
+    pairs = index.join(least, "k").where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= near).select("cid", "g0").distinct()
+    of = classes.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("b"))
+    return pairs.join(of, "g0").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+
+
+def outer_candidates(classes: DataFrame, near: int) -> DataFrame:
+    """(a, b) of different components that share a key and whose f0 are near enough.
+
+    A large group of near copies is one component by now, most often the least of its keys: pairs are made of the rows
+    of other components with all, so not with the square of the group.
+    """
+    index = keyed(classes)
+    mixed_keys = index.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "lo")
+    left, right = index.join(mixed_keys, "k").where("component <> lo").alias("l"), index.alias("r")
+    once = (F.col("r.component") == F.col("l.lo")) | (F.col("l.cid") < F.col("r.cid"))
+    met = (F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))) <= near) & (F.col("l.component") != F.col("r.component")) & once
+    return left.join(right, (F.col("l.k") == F.col("r.k")) & met).select(F.greatest("l.cid", "r.cid").alias("a"), F.least("l.cid", "r.cid").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts (cid, text) have a Jaccard similarity of shingles of at least that; only texts of
+    pairs are read."""
+    pairs = written(pairs, "simhash-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = written(texts.join(met, "cid").select("cid", shingle_sets(F.col("text"), words).alias("s")), "simhash-shingles")
+    # sizes first: of sets too unlike in size no shingle is moved
+    sizes = sets.select("cid", F.size("s").alias("n"))
+    x, y = (sizes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    of, per = similarity
+    near = pairs.join(x, "a").join(y, "b").where(per * F.least("na", "nb") >= of * F.greatest("na", "nb")).select("a", "b")
+    x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return near.join(x, "a").join(y, "b").where(per * both >= of * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NEAR) -> DataFrame:
+    """(cid, component) of classes (cid, fps) that are linked; texts (cid, text) decide."""
+    led = written(similar(led_candidates(classes, near), texts, words), "simhash-led")
+    first = connected_components(led).withColumnRenamed("node", "cid")
+    known = written(classes.join(first, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
+    return connected_components(led.union(similar(outer_candidates(known, near), texts, words))).withColumnRenamed("node", "cid")
+
+
 def components(prints: DataFrame, max_distance: int = 4) -> DataFrame:
     """(fp, component_id) for each distinct fp of `prints` (doc_id, fp): the smallest doc_id of all linked fingerprints."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
@@ -216,21 +330,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> D
     return prints.join(components(prints, max_distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRINTS, max_distance: int = SIMILAR, n: int = SIMILAR_SEGMENTS) -> DataFrame:
+def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRINTS) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id (null ids come last), then
     by row order. Columns stay as they are.
 
-    Shingles with a Jaccard similarity s differ in acos(2 s / (1 + s)) / pi of all bits on average: SIMILAR of 128 is
-    0.83. Groups are found over fingerprints, so the texts are not shuffled for that; each then keeps one row by a
-    partially aggregated minimum over (doc_id, row number), whatever its size.
+    Shingles with a Jaccard similarity s differ in acos(2 s / (1 + s)) / pi of all bits on average: at 0.8 that is 9.7
+    of 64, and such pairs have a key in common in 0.996 of cases. Copies with equal fingerprints (all 512 bits) are
+    one class before any join. Each group keeps one row by a partially aggregated minimum over (doc_id, row number).
     """
     tune(docs.sparkSession)
     fps, row = (free_name(docs.columns, c) for c in ("fps", "row"))
-    rows = written(docs.withColumn(fps, simhashes(F.col("text"), words, count)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    rows = written(docs.withColumn(fps, set_simhashes(F.col("text"), words, count)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
     at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
-    prints = rows.select(*[F.col(fps)[i].alias(f) for i, f in enumerate(names(count))], at.alias("at"))
-    classes = prints.groupBy(*names(count)).agg(F.min("at").alias("at")).withColumn("cid", F.monotonically_increasing_id())
+    prints = rows.select(F.col(fps).alias("fps"), at.alias("at"))
+    classes = prints.groupBy("fps").agg(F.min("at").alias("at")).select("fps", "at", F.col("at.r").alias("cid"))
     classes = written(classes, "simhash-classes")
-    cc = similar_components(classes.drop("at"), count, max_distance, n)
+    texts = rows.select(F.col(row).alias("cid"), "text")  # a class is known by the row of its first document
+    cc = near_copies(classes.select("cid", "fps"), texts, words)
     first = classes.join(cc, "cid", "left").groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("at").alias("at"))
     return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

@@ -124,6 +124,23 @@ def test_a_group_of_near_copies_is_one_component(spark):
     assert got == {i: 0 for i in range(300)}
 
 
+def test_near_copies_are_those_of_brute_force_at_0_8(spark):
+    rng, texts = random.Random(12), []
+    for i in range(400):  # pairs of similarities about 0.8, on either side of it
+        n = rng.randint(30, 200)
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        shared = rng.choice([0.74, 0.78, 0.79, 0.8, 0.81, 0.83, 0.86])
+        last = round((n - 4) * (1 - shared) / (1 + shared))
+        texts += [" ".join(words), " ".join(words[: n - last] + [f"x{rng.randrange(5000)}" for _ in range(last)])]
+    texts += ["one line " * 40 + "a b c d e f", "one line " * 3 + "a b c d e f"]  # equal but for repeats
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    close = {i for i in range(0, len(texts), 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])}
+    gone = set(range(len(texts))) - {r.doc_id for r in simhash.keep_representatives(docs(spark, texts)).collect()}
+    want = {i + 1 for i in close}
+    assert 150 < len(want) < 300 and gone <= want and len(gone) >= 0.98 * len(want) and len(texts) - 1 in gone
+    assert simhash.key_recall(0.1515) > 0.99
+
+
 def test_components_and_representatives(spark):
     long = " ".join(f"w{i}" for i in range(300))
     texts = [None, "", long, long + " end", "other words of a text that is not alike", long, "  "]
