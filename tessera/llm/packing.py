@@ -7,7 +7,8 @@ content are planned together as one pattern with a count.
 1. Pieces by falling length go to the bins with the least room that takes them (best fit, decreasing).
 2. Local search between underfull patterns: a move of one piece, or an exchange of one for one or two for one, is made
    where it increases the sum of squared fill; fuller bins fill up and the emptiest run empty. All bins that two
-   patterns have in common are treated at once.
+   patterns have in common are treated at once. The best partner of a bin is looked up in an index of rooms by length,
+   and the search ends only when no change increases the sum, or the number of bins is the least possible.
 
 The plan is broadcast as ranges: the k-th piece of length n has its bin and offset. A piece's rank among those of its
 length is its number within its task, plus those of earlier tasks, so no length is ever gathered in one place. Pieces
@@ -37,7 +38,6 @@ from .common import tune, written
 
 CAPACITY, END = 2048, 0
 KNOWN_PARTS, PART_CHARS = 450_000, 32
-ROUNDS = 20_000
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -162,58 +162,113 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum(by_room.values(), Counter())
 
 
-def exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern, Pattern] | None:
-    """The change between a bin of a and a fuller or equal one of b that increases the sum of squares most, if any.
+class Underfull:
+    """Patterns with room, by the lengths they hold (0: none asked for).
 
-    With d more tokens in b, the squares grow by 2 d (fill b - fill a + d): the largest d that fits is best.
+    rooms[n + d, n] is the least room of at least d that a pattern with length n has; NONE where there is none.
     """
-    room, best = capacity - fill(b), (0, None)
-    gives = [(n, ((n, -1),), ((n, 1),)) for n, _ in a]
-    gives += [(n + m, ((n, -1), (m, -1)), ((n, 1), (m, 1))) for i, (n, k) in enumerate(a) for m, _ in (a[i:] if k > 1 else a[i + 1 :])]
-    takes = [(0, (), ())] + [(n, ((n, -1),), ((n, 1),)) for n, _ in b]
-    for given, out_a, in_b in gives:
-        for taken, out_b, in_a in takes:
-            d = given - taken
-            if best[0] < d <= room and not (len(out_a) == 2 and not taken):
-                best = d, (changed(a, *out_a, *in_a), changed(b, *in_b, *out_b))
-    return best[1]
-
-
-def local_search(bins: Counter, capacity: int, rounds: int = ROUNDS) -> Counter:
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held = capacity, {}
+        self.rooms = np.full((capacity + 1, capacity + 1), self.NONE, dtype=np.int32)
+        self.falling = np.arange(capacity, 0, -1, dtype=np.int64)
+
+    def add(self, p: Pattern) -> None:
+        room = self.capacity - fill(p)
+        for n in (0, *(n for n, _ in p)) if room else ():
+            of = self.held.setdefault((n, room), {})
+            if not of:
+                seen = self.rooms[n + 1 : n + room + 1, n]
+                np.minimum(seen, room, out=seen)
+            of[p] = None
+
+    def remove(self, p: Pattern) -> None:
+        room = self.capacity - fill(p)
+        for n in (0, *(n for n, _ in p)) if room else ():
+            of = self.held[n, room]
+            del of[p]
+            if not of:
+                seen, above = self.rooms[n + 1 : n + room + 1, n], n + room + 1
+                seen[seen == room] = self.rooms[above, n] if above <= self.capacity else self.NONE
+
+    def exchange(self, a: Pattern) -> tuple[Pattern, Pattern, Pattern] | None:
+        """The pattern b, fuller than a or equal, and the change between them that increases the sum of squares most.
+
+        With d more tokens in b, the squares grow by 2 d (fill b - fill a + d); for a given d the least room is best.
+        """
+        room, best, found = self.capacity - fill(a), 0, None
+        gives = {n: (n,) for n, _ in a}
+        for i, (n, k) in enumerate(a):
+            for m, _ in a[i:] if k > 1 else a[i + 1 :]:
+                gives.setdefault(n + m, (n, m))
+        for g, given in gives.items():
+            lone = len(given) == 1  # two for none are two moves
+            rooms, d = self.rooms[g, not lone : g], self.falling[self.capacity - g + (not lone) :]
+            gain = np.where(rooms <= room, d * (room - rooms + d), 0)
+            i = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[i] > best:
+                best, found = gain[i], (given, i + (not lone), int(rooms[i]))
+        if not found:
+            return None
+        given, taken, room_b = found
+        b = next(iter(self.held[taken, room_b]))
+        to_a, to_b = [(n, -1) for n in given], [(n, 1) for n in given]
+        if taken:
+            to_a, to_b = [*to_a, (taken, 1)], [*to_b, (taken, -1)]
+        return b, changed(a, *to_a), changed(b, *to_b)
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Empties the emptiest bins into fuller ones; ends when the least number of bins is reached or no change is left."""
     bins = +bins
     total = sum(fill(p) * c for p, c in bins.items())
     least, number = -(-total // capacity), sum(bins.values())
-    heap = [(fill(p), p) for p in bins if fill(p) < capacity]
-    heapq.heapify(heap)
-    while heap and number > least and rounds > 0:
-        _, a = heapq.heappop(heap)
-        if not bins[a]:
-            continue
-        best: tuple[int, Pattern | None, tuple[Pattern, Pattern] | None] = (0, None, None)
-        for b in sorted((p for p in bins if bins[p] and fill(a) <= fill(p) < capacity), key=lambda p: (-fill(p), p)):
-            rounds -= 1
-            to = exchange(a, b, capacity) if a != b or bins[a] > 1 else None
-            gain = sum(fill(p) ** 2 for p in to) - fill(a) ** 2 - fill(b) ** 2 if to else 0
-            if gain > best[0]:
-                best = gain, b, to
-            if rounds <= 0:
-                break
-        _, b, to = best
-        if not to:
-            continue
-        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for p in (a, b):
-            bins[p] -= times
-        for p in to:
-            if p:
-                bins[p] += times
-                if fill(p) < capacity:
-                    heapq.heappush(heap, (fill(p), p))
-        number -= times * (not to[0])
-        if bins[a]:
-            heapq.heappush(heap, (fill(a), a))
-    return +bins
+    index = Underfull(capacity)
+    if number > least:
+        for p in sorted(bins):
+            index.add(p)
+
+    def put(p: Pattern, more: int) -> None:
+        before = bins[p]
+        bins[p] += more
+        if p and not before:
+            index.add(p)
+        elif not bins[p]:
+            del bins[p]
+            if before:
+                index.remove(p)
+
+    improved = True
+    while improved and number > least:
+        improved, heap = False, [(fill(p), p) for p in bins if fill(p) < capacity]
+        heapq.heapify(heap)
+        while heap and number > least:
+            _, a = heapq.heappop(heap)
+            if a not in bins:
+                continue
+            lone = bins[a] == 1
+            if lone:  # has no other bin of its kind to change with
+                index.remove(a)
+            to = index.exchange(a)
+            if lone:
+                index.add(a)
+            if not to:
+                continue
+            improved, (b, *new) = True, to
+            times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+            for p in (a, b):
+                put(p, -times)
+            for p in new:
+                if p:
+                    put(p, times)
+                    if fill(p) < capacity:
+                        heapq.heappush(heap, (fill(p), p))
+            number -= times * (not new[0])
+            if a in bins:
+                heapq.heappush(heap, (fill(a), a))
+    return bins
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:

@@ -82,7 +82,7 @@ def set_fingerprints(text: str | None, words: int = 5, count: int = FINGERPRINTS
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Another hash for each hash: the finaliser of SplitMix64 after k steps."""
-    z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
