@@ -78,6 +78,24 @@ def test_shared_distribution_sums_to_one():
     assert np.allclose(p.reshape(-1, toxicity.ALPHABET).sum(axis=1), 1)
 
 
+def test_words_are_learned_from_all_labels_beyond_any_sample(spark):
+    """A rare insult in 12 of 600 documents counts whatever the size of the curve's sample, and by its own key."""
+    rows = [(i, " ".join(RNG.choice(WORDS) for _ in range(30)) + (" qwzxj" if i % 50 == 0 else "")) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, per_class=16)
+    insult = toxicity.expressions("qwzxj")[1]
+    assert model.slack == 0 and model.of_words(insult)[0] == model.words.max() > 1
+    assert model.of_words(toxicity.expressions("neverseen")[1])[0] == 0
+    parts = toxicity.fit(frame, labels, per_class=16, labels_at_once=150)  # labels in blocks count the same
+    assert np.array_equal(parts.keys, model.keys) and np.allclose(parts.words, model.words) and np.allclose(parts.letters, model.letters)
+    few = toxicity.fit(frame, labels, per_class=16, most_words=20)  # what is left out has an evidence up to slack
+    out = set(model.keys.tolist()) - set(few.keys.tolist())
+    assert len(few.keys) <= 20 and out and max(abs(model.of_words(np.array(sorted(out))))) <= few.slack
+    for text in (r[1] for r in rows[:50]):
+        assert np.abs(np.array(few.evidence(text)) - model.evidence(text)).max() <= few.slack + 1e-6
+
+
 # --- vectors
 
 
