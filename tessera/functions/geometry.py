@@ -47,14 +47,25 @@ def shortest_edge_top(quad: Column, width: Column, height: Column) -> Column:
     return F.concat(F.slice(quad, first, F.lit(4)), F.slice(quad, F.lit(1), first - 1))
 
 
-def ordered_corners(quad: Column) -> Column:
-    """Clockwise (y pointing down) from the corner with the least x + y."""
+def ordered_corners(quad: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Clockwise (y pointing down) from the corner with the least x + y; with a frame's width and height, from the
+    first shortest edge in pixels instead, as a card's top edge is."""
     cx, cy = (sum(quad[i][c] for i in range(4)) / 4 for c in "xy")
     keyed = F.transform(quad, lambda p, i: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("a"), i.alias("i"), p.alias("p")))
     by_angle = F.transform(F.array_sort(keyed), lambda k: k["p"])
-    sums = F.transform(by_angle, lambda p: p["x"] + p["y"])
-    first = F.array_position(sums, F.array_min(sums)).cast("int")
-    return F.concat(F.slice(by_angle, first, F.lit(4)), F.slice(by_angle, F.lit(1), first - 1))
+
+    def from_least(q: Column) -> Column:
+        sums = F.transform(q, lambda p: p["x"] + p["y"])
+        first = F.array_position(sums, F.array_min(sums)).cast("int")
+        return F.concat(F.slice(q, first, F.lit(4)), F.slice(q, F.lit(1), first - 1))
+
+    steps = [from_least, lambda q: F.when(shoelace(q) < 0, F.array(*[q[i] for i in (0, 3, 2, 1)])).otherwise(q)]
+    if width is not None and height is not None:
+        steps.append(lambda q: shortest_edge_top(q, width, height))
+    out = F.array(by_angle)  # of one quad: a lambda binds what several uses of an expression would compute again
+    for step in steps:
+        out = F.transform(out, step)
+    return out[0]
 
 
 def solve_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -91,11 +102,14 @@ def frame_rejection(present: Column, quad: Column, min_area: float = 0.1) -> Col
     return F.when(~present, "no-card").when(~usable_quad(quad), "bad-quad").when(quad_area(quad) < min_area, "too-small")
 
 
-def detection(corners: Column, presence: Column, sharpness: Column, min_card: float = 0.03, min_presence: float = 0.35) -> Column:
-    """struct(corners, confidence, card_present) of a detector's outputs: eight corner numbers and two heads."""
+def detection(corners: Column, presence: Column, sharpness: Column, width: Column, height: Column, min_card: float = 0.03, min_presence: float = 0.35) -> Column:
+    """struct(corners, confidence, card_present) of a detector's outputs: eight corner numbers and two heads.
+
+    Corners begin with the shortest edge in a frame of that width and height.
+    """
     from .vector import clamp01, sigmoid
 
     points = F.array(*[F.struct(clamp01(corners[2 * i]).alias("x"), clamp01(corners[2 * i + 1]).alias("y")) for i in range(4)])
     confidence = F.coalesce(sharpness, sigmoid(presence))
     floor = F.when(sharpness.isNotNull(), min_card).otherwise(min_presence)
-    return F.struct(ordered_corners(points).alias("corners"), confidence.alias("confidence"), (confidence >= floor).alias("card_present"))
+    return F.struct(ordered_corners(points, width, height).alias("corners"), confidence.alias("confidence"), (confidence >= floor).alias("card_present"))

@@ -9,7 +9,8 @@ from .text import matched
 
 # Printed forms, marks of languages, and look-alikes of digits.
 HYPHENATED = r"\b([A-Z]{2,4}[0-9]{0,2})[-–]([A-Z]{2})?([0-9]{1,4})\b"
-NUMBER_OVER_TOTAL = r"\b([0-9]{1,3})\s*/\s*([0-9]{1,3})\b"
+SPACES = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+NUMBER_OVER_TOTAL = r"\b([0-9]{1,3})" + SPACES + r"*/" + SPACES + r"*([0-9]{1,3})\b"
 BARE_CODE = r"\b([A-Z]{2,5})\b"
 BARE_NUMBER = r"\b([0-9]{1,4})\b"
 NOT_CODES = r"\b(THE|AND|FOR|INC|LTD|ILLUS|NM|EN|US)\b"
@@ -17,6 +18,9 @@ LANGUAGES = (("ja", r"\bJP\b|日本語|ポケモン"), ("de", r"(?i)\bDE\b|\bDeu
 LOOKS_LIKE, DIGITS = "OQDILSBZ", "00011582"
 SERIAL_PREFIXES = "OP|ST|EB|PRB"
 DASHES = "[–—−‐‑_]"
+HYPHENATED_SERIAL = rf"(0P|{SERIAL_PREFIXES})([0-9{LOOKS_LIKE}]{{2}})-([0-9{LOOKS_LIKE}]{{3}})(?![0-9])"
+JOINED_SERIAL = rf"({SERIAL_PREFIXES})([0-9]{{2}})([0-9]{{3}})(?![0-9])"
+PROMO_SERIAL = r"(?:^|[^A-Z])P-([0-9]{3})(?![0-9])"
 MIN_NAME_WORD = 4
 
 
@@ -26,7 +30,7 @@ def parse_corner(lines: Column) -> Column:
     A hyphenated code comes first, then number/total (its number only if there is none yet), then a bare code that is
     no stop word, then a bare number; marks of a language count only if the number names none.
     """
-    text = F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.array_join(lines, " "), SPACES + "+", " "))
     upper = F.upper(text)
     code = F.coalesce(matched(upper, HYPHENATED, 1), matched(F.regexp_replace(upper, NOT_CODES, " "), BARE_CODE))
     number = F.coalesce(matched(upper, HYPHENATED, 3), matched(upper, NUMBER_OVER_TOTAL, 1), matched(upper, BARE_NUMBER))
@@ -43,17 +47,15 @@ def fix_digits(s: Column) -> Column:
 
 def parse_serial_line(line: Column) -> Column:
     """The serial in one line: hyphenated (look-alikes of digits allowed), else unhyphenated, else a promotion's."""
-    plain = F.regexp_replace(F.upper(line), r"\s+", "")
-    compact = F.regexp_replace(F.regexp_replace(F.upper(line), DASHES, "-"), r"\s+", "")
-    like = f"[0-9{LOOKS_LIKE}]"
-    hyphenated = rf"(0P|{SERIAL_PREFIXES})({like}{{2}})-({like}{{3}})(?![0-9])"
-    joined = rf"({SERIAL_PREFIXES})([0-9]{{2}})([0-9]{{3}})(?![0-9])"
-    promo = r"(?:^|[^A-Z])P-([0-9]{3})(?![0-9])"
-    prefix = F.regexp_replace(F.regexp_extract(compact, hyphenated, 1), "^0P$", "OP")
+    plain = F.regexp_replace(F.upper(line), SPACES + "+", "")
+    compact = F.regexp_replace(F.regexp_replace(F.upper(line), DASHES, "-"), SPACES + "+", "")
+    prefix = F.regexp_replace(F.regexp_extract(compact, HYPHENATED_SERIAL, 1), "^0P$", "OP")
+    digits = [fix_digits(F.regexp_extract(compact, HYPHENATED_SERIAL, i)) for i in (2, 3)]
+    joined = [F.regexp_extract(compact, JOINED_SERIAL, i) for i in (1, 2, 3)]
     return (
-        F.when(compact.rlike(hyphenated), F.concat(prefix, fix_digits(F.regexp_extract(compact, hyphenated, 2)), F.lit("-"), fix_digits(F.regexp_extract(compact, hyphenated, 3))))
-        .when(compact.rlike(joined), F.concat(F.regexp_extract(compact, joined, 1), F.regexp_extract(compact, joined, 2), F.lit("-"), F.regexp_extract(compact, joined, 3)))
-        .when(plain.rlike(promo), F.concat(F.lit("P-"), F.regexp_extract(plain, promo, 1)))
+        F.when(compact.rlike(HYPHENATED_SERIAL), F.concat(prefix, digits[0], F.lit("-"), digits[1]))
+        .when(compact.rlike(JOINED_SERIAL), F.concat(joined[0], joined[1], F.lit("-"), joined[2]))
+        .when(plain.rlike(PROMO_SERIAL), F.concat(F.lit("P-"), F.regexp_extract(plain, PROMO_SERIAL, 1)))
     )
 
 
@@ -72,7 +74,7 @@ def serial_set(serial: Column) -> Column:
 
 
 def compact_set_code(code: Column) -> Column:
-    return F.regexp_replace(F.upper(code), r"[\s-]", "")
+    return F.regexp_replace(F.upper(code), f"{SPACES}|-", "")
 
 
 def near_serial_patterns(serial: Column) -> Column:
@@ -116,6 +118,19 @@ def allowed_edits(word: Column) -> Column:
     return F.when(F.length(word) >= 8, 2).when(F.length(word) >= 5, 1).otherwise(0)
 
 
+def pieces(word: Column, most: int) -> Column:
+    """The beginnings, `most` signs at most, of (edits + 1) pieces of a word: with so many slips one piece stays whole."""
+    edits, n = allowed_edits(word), F.length(word)
+    cut = lambda i: F.floor(n * i / (edits + 1)).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(word, cut(i) + 1, F.least(cut(i + 1) - cut(i), F.lit(most)))))
+
+
+def parts(line: Column, most: int) -> Column:
+    """All parts of a line of 2 to `most` signs."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(most)), lambda k: F.transform(starts, lambda i: F.substring(line, i, k)))))
+
+
 def name_similarity(lines: Column, name: Column) -> Column:
     """The share of a name's longer words that the lines have, longer ones with slips; 0 without such words."""
     words, plain = name_words(name), F.transform(lines, alphanumeric)

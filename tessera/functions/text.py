@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 
 # Patterns and words with a given meaning.
 VARIANT_PATTERNS = ((r"reverse\s*holo|reverse\s*foil", "reverse"), (r"1st\s*edition|first\s*edition", "first_edition"), (r"foil|holo|hyper|prism|cold\s*foil", "foil"))
-NUMBER_OVER_TOTAL = r"^\s*([A-Za-z0-9\-]+?)\s*/\s*([A-Za-z0-9]+)\s*$"
+NUMBER_OVER_TOTAL = r"(?U)^\s*([A-Za-z0-9\-]+?)\s*/\s*([A-Za-z0-9]+)\s*$"
+OUTER_SPACE = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"
 LEADING_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 CURRENCY_SIGNS = {"GBP": "£", "EUR": "€"}
 OTHER_SIGN = "$"
@@ -34,9 +35,10 @@ def decomposed(s: pd.Series) -> pd.Series:
 
 
 def normalise_name(s: Column, ascii_only: bool = False) -> Column:
-    """Lower case without accents, other signs as single spaces. With ascii_only, names are known to hold no others
-    and stay in the JVM."""
-    folded = F.lower(s) if ascii_only else decomposed(s)
+    """Lower case without accents, other signs as single spaces. Names of ASCII signs stay in the JVM; with ascii_only
+    all are known to be such."""
+    other = F.when(~s.rlike(r"^[\x00-\x7F]*$"), s)  # Python gets nulls for the rest
+    folded = F.lower(s) if ascii_only else F.coalesce(decomposed(other), F.lower(s))
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
@@ -68,7 +70,7 @@ def split_number(raw: Column) -> Column:
     """struct(number, total) of a collector number such as 025/198; no total without a slash."""
     has = raw.rlike(NUMBER_OVER_TOTAL)
     return F.struct(
-        F.when(has, F.regexp_extract(raw, NUMBER_OVER_TOTAL, 1)).otherwise(F.trim(raw)).alias("number"),
+        F.when(has, F.regexp_extract(raw, NUMBER_OVER_TOTAL, 1)).otherwise(F.regexp_replace(raw, OUTER_SPACE, "")).alias("number"),
         F.when(has, F.regexp_extract(raw, NUMBER_OVER_TOTAL, 2)).alias("total"),
     )
 

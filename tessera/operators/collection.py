@@ -36,7 +36,13 @@ def collection_value(rows: DataFrame, default_currency: str = "GBP") -> DataFram
     )
 
 
+def listing(rows: DataFrame, portfolio_id: int) -> DataFrame:
+    """A portfolio's entries (see collection_rows), the last added first; equal times in order of the printing's id."""
+    return rows.where(F.col("portfolio_id") == portfolio_id).orderBy(F.desc("added_at"), "printing_id", "entry_variant")
+
+
 def default_portfolio(portfolios: DataFrame) -> DataFrame:
+    """The portfolio with the least id."""
     return portfolios.orderBy("id").limit(1)
 
 

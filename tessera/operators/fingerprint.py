@@ -7,28 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .catalogue import select_missing
 from .merge import append_rows
 
-CHUNK = 1000
+CHUNK = 100_000
 
 
-def fingerprint_missing(printings: DataFrame, pack: DataFrame, embed: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, DataFrame], DataFrame], chunk: int = CHUNK) -> DataFrame:
-    """The pack (row, id, embedding) with rows for printings (ordinal, id, address) that it lacked.
+def fingerprint_missing(printings: DataFrame, pack: DataFrame, embed: Callable[[DataFrame], DataFrame], progress: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The pack (row, id, embedding) with rows for printings (ordinal, id, address) that it lacked, and the new ids.
 
-    `embed` gives id, embedding and error for a chunk's printings, in parallel; those with an error are left out, and a
-    chunk of errors only changes nothing. `save` stores the pack so far and the chunk's ids, and returns the stored
-    pack, which the next chunk grows. Chunks are ranges of ordinals, so one is as large as its share of what is missing.
+    `embed` gives id, embedding and error for printings, in parallel; those with an error are left out, and where
+    nothing is new the pack is the one given. What is missing is found once. Chunks are ranges of ordinals, each saved
+    under the folder `progress` as it is done; a run with the same folder goes on after those that are whole. The pack
+    grows once, at the end.
     """
-    missing = select_missing(printings, pack)
-    span = missing.agg(F.min("ordinal"), F.max("ordinal")).first()
-    if span[0] is None:
-        return pack
-    for start in range(span[0], span[1] + 1, chunk):
-        part = missing.where(F.col("ordinal").between(start, start + chunk - 1))
-        done = embed(part).where("error IS NULL").join(part.select("id", F.col("ordinal").alias("row")), "id").select("row", "id", "embedding").persist()
-        if done.isEmpty():
-            continue
-        pack = save(append_rows(pack, done), done.select("id"))
-        done.unpersist()
-    return pack
+    spark = printings.sparkSession
+    missing = select_missing(printings, pack).select("*", F.floor(F.col("ordinal") / chunk).alias("chunk"))
+    missing = written(missing, "missing")
+    chunks = sorted(r["chunk"] for r in missing.select("chunk").distinct().collect())  # one for each `chunk` printings
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for c in chunks:
+        saved = path_of(f"{progress}/{c}/_SUCCESS")
+        if not saved.getFileSystem(conf).exists(saved):
+            part = missing.where(F.col("chunk") == c).drop("chunk")
+            done = embed(part).where("error IS NULL").join(part.select("id", F.col("ordinal").alias("row")), "id")
+            done.select("row", "id", "embedding").write.mode("overwrite").parquet(f"{progress}/{c}")
+    if not chunks:
+        return pack, pack.select("id").limit(0)
+    new = spark.read.parquet(*[f"{progress}/{c}" for c in chunks])
+    ids = new.select("id").distinct()
+    return (pack if new.isEmpty() else append_rows(pack, new.select(*[F.col(c).cast(pack.schema[c].dataType) for c in pack.columns]))), ids

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import new_dir, scope, written
 from .merge import delete_keys, merge_lww
+from .refresh import record_versions
 
 MANIFEST_DELTAS, CHAIN_LIMIT = 14, 64
 
@@ -42,23 +49,94 @@ def delta_pack(tables: dict[str, DataFrame], game: str, since: Column) -> dict[s
     return {"sets": shown(tables["sets"].limit(0), "sets"), "cards": shown(cards, "cards"), "printings": shown(changed, "printings"), "prices": shown(prices, "prices")}
 
 
-def write_pack(pack: dict[str, DataFrame], path: str, start: str, to: str) -> None:
-    """A pack as a folder of JSON lines by table, written in parallel, and a head with its versions."""
-    spark = next(iter(pack.values())).sparkSession
-    for name, rows in pack.items():
-        rows.write.mode("overwrite").json(f"{path}/{name}")
-    spark.createDataFrame([(start, to)], "from string, to string").coalesce(1).write.mode("overwrite").json(f"{path}/head")
+#: A pack's tables in the order of its document, and the client's names for them.
+SECTIONS = ("sets", "cards", "printings", "prices", "removedPrintings")
+
+
+def document(pack: dict[str, DataFrame], game: str, start: str | None, to: str) -> DataFrame:
+    """The lines (section, kind, value) of a pack as one JSON document, in their order but for the commas between rows:
+    a head, then each table as a list, a row a line. `removed` of pack (id) is the list of removed printings."""
+    spark = pack["printings"].sparkSession
+    head = f'{{"game":{json.dumps(game)},"from":{json.dumps(start)},"to":{json.dumps(to)}'
+    fixed = [(0, 0, head), (len(SECTIONS) + 1, 0, "}")]
+    for i, name in enumerate(SECTIONS, 1):
+        fixed += [(i, 0, f',"{name}":['), (i, 2, "]")]
+    out = spark.createDataFrame(fixed, "section int, kind int, value string")
+    for i, name in enumerate(SECTIONS, 1):
+        rows = pack.get("removed" if name == "removedPrintings" else name)
+        if rows is None:
+            continue
+        one = F.to_json(F.struct("*"))
+        if name == "removedPrintings":  # names alone: a list of one, without its brackets
+            one = F.regexp_replace(F.to_json(F.array("id")), r"^\[|\]$", "")
+        out = out.unionByName(rows.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), one.alias("value")))
+    return out
+
+
+def with_commas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A document's sorted lines with commas before all rows of a list but the first."""
+    last = None
+    for b in batches:
+        here = b["section"].where(b["kind"] == 1, -1)
+        before = here.shift(fill_value=last if last is not None else -1)
+        again = (here == before) & (here >= 0)
+        last = here.iloc[-1] if len(here) else last
+        yield pd.DataFrame({"value": b["value"].where(~again, "," + b["value"])})
+
+
+def write_pack(pack: dict[str, DataFrame], path: str, game: str, start: str | None, to: str) -> str:
+    """A pack as one JSON file of that name. Lines are sorted in parallel; the one file is streamed by one task, as the
+    format asks for, and takes its name when it is whole."""
+    spark = pack["printings"].sparkSession
+    with scope(spark):
+        parts = new_dir(spark, "pack")
+        n, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ("section", "kind", "value")
+        lines = document(pack, game, start, to).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        lines.coalesce(1).mapInPandas(with_commas, "value string").write.text(parts)
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        target, conf = path_of(path), spark._jsc.hadoopConfiguration()
+        store = target.getFileSystem(conf)
+        (part,) = [f.getPath() for f in store.globStatus(path_of(f"{parts}/part-*"))]
+        store.mkdirs(target.getParent())
+        store.delete(target, False)
+        if not store.rename(part, target):
+            raise OSError(f"{path} could not be written")
+    return path
+
+
+def read_pack(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a pack's document under the names of the catalogue's columns, with `seq` (their place in it), and
+    `removed`. Absent lists are empty. A document is one row to Spark: it must fit a task's memory."""
+    kinds = {"updatedAt": "timestamp", "asOf": "timestamp", "tcgplayerProductId": "bigint"} | dict.fromkeys(("market", "low", "trend", "avg7", "avg30"), "double")
+    fields = {t: ",".join(f"{b}:{kinds.get(b, 'string')}" for b in names.values()) for t, names in RENAMED.items()}
+    schema = ", ".join(["game string", "`from` string", "`to` string", *[f"{t} array<struct<{f}>>" for t, f in fields.items()], "removedPrintings array<string>"])
+    whole = spark.read.schema(schema).json(path, multiLine=True)
+    out = {}
+    for t, names in RENAMED.items():
+        rows = whole.select(F.posexplode(t).alias("seq", "x"))
+        out[t] = rows.select(*[F.col(f"x.{b}").alias(a) for a, b in names.items()], "seq")
+    return out | {"removed": whole.select(F.explode("removedPrintings").alias("id"))}
 
 
 def publish(tables: dict[str, DataFrame], game: str, version: str, root: str, previous: tuple[str, Column] | None = None) -> list[str]:
     """Writes the full pack, and a delta from the previous version (its name and time) unless that is the same one."""
-    full = f"{root}/games/{game}/catalog-{version}"
-    write_pack(full_pack(tables, game), full, "", version)
-    if previous is None or previous[0] == version:
-        return [full]
-    delta = f"{root}/games/{game}/delta-{previous[0]}-{version}"
-    write_pack(delta_pack(tables, game, previous[1]), delta, previous[0], version)
-    return [full, delta]
+    paths = [write_pack(full_pack(tables, game), f"{root}/games/{game}/catalog-{version}.json", game, None, version)]
+    if previous is not None and previous[0] != version:
+        delta = delta_pack(tables, game, previous[1])
+        paths.append(write_pack(delta, f"{root}/games/{game}/delta-{previous[0]}-{version}.json", game, previous[0], version))
+    return paths
+
+
+def publish_next(tables: dict[str, DataFrame], versions: DataFrame, game: str, version: str, now: datetime, root: str) -> tuple[list[str], DataFrame]:
+    """Publishes a game's next version after the newest that `versions` has, and gives the packs' paths and versions
+    (game_id, version, printings_count, index_pack_key, created_at) with it; a version published again keeps its time."""
+    last = versions.where(F.col("game_id") == game).orderBy(F.desc("created_at"), F.desc("version")).select("version", "created_at").first()
+    paths = publish(tables, game, version, root, (last[0], F.lit(last[1])) if last else None)
+    count = tables["printings"].where(F.col("game_id") == game).count()
+    kinds = {f.name: f.dataType for f in versions.schema}
+    values = {"game_id": game, "version": version, "printings_count": count, "index_pack_key": None, "created_at": now}
+    new = versions.sparkSession.range(1).select(*[F.lit(values[c]).cast(kinds[c]).alias(c) for c in versions.columns], F.lit(0).alias("seq"))
+    return paths, record_versions(versions, new)
 
 
 def manifest(versions: DataFrame, origin: str, base: str | None = None) -> DataFrame:
@@ -93,26 +171,25 @@ def delta_chain(deltas: DataFrame, wanted: DataFrame, limit: int = CHAIN_LIMIT)
     """game, step, from, to: the deltas to apply in order; no row where there is no whole chain, or nothing to do.
 
     deltas: game, from, to, ordinal (of several from one version the last counts). wanted: game, local, target.
+
+    By pointer doubling: jumps of 1, 2, 4 ... links are made by joining each with itself, and every version reached is
+    taken on by the next jump, so a chain of `limit` links costs log2(limit) joins, whatever the number of games.
     """
-    spark = deltas.sparkSession
-    one = deltas.groupBy("game", "from").agg(F.max_by("to", "ordinal").alias("to")).persist()  # read once for each step
     start = wanted.where(F.col("local").isNotNull() & (F.col("local") != "") & (F.col("local") != F.col("target")))
-    walked = spark.sql(
-        """
-        WITH RECURSIVE walk (game, target, step, source, next) MAX RECURSION LEVEL 200 AS (
-          SELECT w.game, w.target, 1, d.`from`, d.`to` FROM {wanted} w JOIN {deltas} d ON d.game = w.game AND d.`from` = w.local
-          UNION ALL
-          SELECT k.game, k.target, k.step + 1, d.`from`, d.`to` FROM walk k JOIN {deltas} d ON d.game = k.game AND d.`from` = k.next
-          WHERE k.next <> k.target AND k.step <= {limit}
-        ) SELECT * FROM walk
-        """,
-        wanted=start,
-        deltas=one,
-        limit=limit,
-    )
-    game = Window.partitionBy("game")
-    whole = (F.max_by("next", "step").over(game) == F.col("target")) & (F.max("step").over(game) <= limit)
-    return walked.withColumn("whole", whole).where("whole").select("game", "step", F.col("source").alias("from"), F.col("next").alias("to"))
+    links = deltas.join(start.select("game").distinct(), "game", "left_semi").groupBy("game", "from").agg(F.max_by("to", "ordinal").alias("to"))
+    jump = links = written(links, "chain-links")
+    walked, length = start.select("game", "local", "target", F.col("local").alias("at"), F.lit(0).alias("step")), 1
+    while length <= limit:
+        far = walked.join(jump.select("game", F.col("from").alias("at"), F.col("to").alias("far")), ["game", "at"], "left")
+        both = F.filter(F.array(F.struct("at", "step"), F.struct(F.col("far").alias("at"), (F.col("step") + length).alias("step"))), lambda x: x["at"].isNotNull())
+        walked = far.select("game", "local", "target", F.explode(both).alias("x")).select("game", "local", "target", "x.*")
+        length *= 2
+        if length <= limit:
+            left, right = jump.select("game", "from", F.col("to").alias("mid")), jump.select("game", F.col("from").alias("mid"), "to")
+            jump = written(left.join(right, ["game", "mid"]).select("game", "from", "to"), "chain-jumps")
+    ends = F.min(F.when(F.col("at") == F.col("target"), F.col("step"))).over(Window.partitionBy("game", "local", "target"))
+    steps = walked.withColumn("end", ends).where((F.col("end") <= limit) & (F.col("step") < F.col("end")))
+    return steps.join(links.withColumnRenamed("from", "at"), ["game", "at"]).select("game", (F.col("step") + 1).alias("step"), F.col("at").alias("from"), "to")
 
 
 #: A client updates more of a row than the server.

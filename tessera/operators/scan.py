@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import reading as R
 from ..functions import vector as V
+from ..scratch import written
 
-NEAR_LIMIT = 400
+NEAR_LIMIT, ALTERNATIVES, PIECE = 400, 10, 4
 
 
 def near_printings(reads: DataFrame, printings: DataFrame, limit: int = NEAR_LIMIT) -> DataFrame:
@@ -25,45 +26,55 @@ def near_printings(reads: DataFrame, printings: DataFrame, limit: int = NEAR_LIM
 
 
 def with_image_score(near: DataFrame, embeddings: DataFrame, index: DataFrame) -> DataFrame:
-    """near with `image_score`: the product of the scan's embedding and the printing's last index row, null without one."""
-    last = index.groupBy("id").agg(F.max_by("embedding", "row").alias("__v"))
+    """near with `image_score`: the product of the scan's embedding and the printing's last index row, null without one.
+
+    near is written once; of the index only rows of its printings are shuffled.
+    """
+    near = written(near, "near")
+    last = index.join(near.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max_by("embedding", "row").alias("__v"))
     out = near.join(last, "id", "left").join(embeddings.select("scan_id", F.col("embedding").alias("__q")), "scan_id", "left")
     return out.withColumn("image_score", V.dot(F.col("__q"), F.col("__v"))).drop("__v", "__q")
 
 
-def choose_serial(near: DataFrame) -> DataFrame:
-    """scan_id, read, serial, exact, name_score, image_score of the best-backed printing; the first of equal ones.
+def with_choice(near: DataFrame) -> DataFrame:
+    """near (scan_id, serial as read, lines, number, name, image_score, ordinal) with `choice`: the best-backed
+    printing's serial, what was read, exact, name_score and image_score; the first of equal ones.
 
-    near: scan_id, serial (as read), lines, number, name, image_score, ordinal.
+    A window over a scan's printings, of which there are NEAR_LIMIT at most, so near is planned once.
     """
     exact = F.col("number") == F.col("serial")
-    rows = near.withColumn("name_score", R.name_similarity(F.col("lines"), F.col("name"))).withColumn("exact", exact)
-    rows = rows.withColumn("score", V.choice_score(F.col("name_score"), F.col("exact"), F.col("image_score")))
-    best = F.max_by(F.struct("number", "serial", "exact", "name_score", "image_score"), F.struct("score", -F.col("ordinal"))).alias("b")
-    out = rows.groupBy("scan_id").agg(best)
-    return out.select("scan_id", F.col("b.serial").alias("read"), F.col("b.number").alias("serial"), "b.exact", "b.name_score", "b.image_score")
-
-
-def rank_by_serial(near: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The printings with the chosen serial and their `place`: by picture and a bonus for the serial's own set, then
-    plain before others, then catalogue order."""
-    picked = chosen.select("scan_id", F.col("serial").alias("chosen"))
-    rows = near.join(picked, "scan_id").where(F.col("number") == F.col("chosen"))
-    rows = rows.withColumn("home", R.compact_set_code(F.col("set_code")) == R.serial_set(F.col("chosen")))
+    rows = near.withColumn("__name", R.name_similarity(F.col("lines"), F.col("name")))
+    what = F.struct(F.col("serial").alias("read"), F.col("number").alias("serial"), exact.alias("exact"), F.col("__name").alias("name_score"), "image_score")
+    score = V.choice_score(F.col("__name"), exact, F.col("image_score"))
+    best = F.max_by(what, F.struct(score, -F.col("ordinal"))).over(Window.partitionBy("scan_id"))
+    return rows.withColumn("choice", best).drop("__name")
+
+
+def choose_serial(chosen: DataFrame) -> DataFrame:
+    """scan_id, read, serial, exact, name_score, image_score of each scan of rows with_choice."""
+    return chosen.groupBy("scan_id").agg(F.first("choice").alias("c")).select("scan_id", "c.read", "c.serial", "c.exact", "c.name_score", "c.image_score")
+
+
+def rank_by_serial(chosen: DataFrame) -> DataFrame:
+    """The printings (with_choice) that carry the chosen serial and their `place`: by picture and a bonus for the
+    serial's own set, then plain before others, then catalogue order."""
+    rows = chosen.where(F.col("number") == F.col("choice.serial"))
+    rows = rows.withColumn("home", R.compact_set_code(F.col("set_code")) == R.serial_set(F.col("choice.serial")))
     key = F.coalesce("image_score", F.lit(-1.0)) + F.when(F.col("home"), V.HOME_BONUS).otherwise(0.0)
     order = Window.partitionBy("scan_id").orderBy(key.desc(), (F.col("variant") == "normal").desc(), "ordinal")
     return rows.withColumn("place", F.row_number().over(order))
 
 
-def serial_results(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """scan_id, printing_id, serial and a confidence struct, from ranked printings and what settled the serial."""
+def serial_results(ranked: DataFrame) -> DataFrame:
+    """scan_id, printing_id, serial, n and a confidence struct, from ranked printings with what settled the serial."""
     two = ranked.groupBy("scan_id").agg(
         F.count("*").alias("n"),
         F.max(F.when(F.col("place") == 1, F.col("id"))).alias("printing_id"),
         F.max(F.when(F.col("place") == 1, F.col("image_score"))).alias("top"),
         F.max(F.when(F.col("place") == 2, F.col("image_score"))).alias("second"),
+        F.first("choice").alias("c"),
     )
-    rows = two.join(chosen, "scan_id")
+    rows = two.select("*", "c.serial", "c.read", "c.exact", "c.name_score", "c.image_score")
     confidence = V.serial_confidence(*map(F.col, ("serial", "n", "top", "second", "read", "exact", "name_score", "image_score")))
     return rows.select("scan_id", "printing_id", "serial", "n", confidence.alias("confidence"))
 
@@ -112,8 +123,33 @@ def other_candidates(expanded: DataFrame, printings: DataFrame, by_serial: DataF
     return expanded.join(named, ["scan_id", "art_id"], "left_anti")
 
 
+def alternatives(printings: DataFrame, chosen: DataFrame, limit: int = ALTERNATIVES) -> DataFrame:
+    """The first `limit` candidates' printings (scan_id, ordinal, id) of a scan but the chosen one (scan_id,
+    printing_id), with their `place`."""
+    rest = printings.join(chosen.select("scan_id", F.col("printing_id").alias("id")), ["scan_id", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy("ordinal"))
+    return rest.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def first_reading(readings: DataFrame) -> DataFrame:
     """The first orientation with a serial, of readings (frame_id, turn, lines); turns count in their order."""
     rows = readings.withColumn("serial", R.parse_serial(F.col("lines"))).where("serial IS NOT NULL")
     best = F.min_by(F.struct("serial", "lines", "turn"), F.col("turn")).alias("r")
     return rows.groupBy("frame_id").agg(best).select("frame_id", "r.*")
+
+
+def named_in(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, name, similarity (above 0) of texts (key, lines) and names (name) that have words in common, with slips.
+
+    A word with up to e slips in a line leaves one of its e + 1 pieces whole, so texts and words are joined on equal
+    pieces (by their first PIECE signs at most), and only what meets is compared.
+    """
+    words = names.select("name").distinct().select("name", F.posexplode(R.name_words(F.col("name"))).alias("n", "word"))
+    of = words.groupBy("name").agg(F.count("*").alias("n"))
+    each = words.select("word").distinct().withColumn("piece", F.explode(R.pieces(F.col("word"), PIECE)))
+    plain = texts.select(key, F.transform("lines", R.alphanumeric).alias("lines"))
+    parts = plain.select(key, F.explode("lines").alias("line")).select(key, F.explode(R.parts(F.col("line"), PIECE)).alias("piece")).distinct()
+    met = parts.join(each, "piece").select(key, "word").distinct().join(plain, key)
+    found = met.where(F.exists("lines", lambda x: R.contains_approximately(x, F.col("word"), R.allowed_edits(F.col("word"))))).select(key, "word")
+    hits = found.join(words, "word").groupBy(key, "name").agg(F.count("*").alias("hits"))
+    return hits.join(of, "name").select(key, "name", (F.col("hits") / F.col("n")).alias("similarity"))

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot
-
-#: A block of queries that is broadcast: at 128 numbers each, 4 MB.
-QUERY_BLOCK = 4096
-
-
-def query_blocks(queries: DataFrame, n: int, size: int) -> Iterator[DataFrame]:
-    """The n queries in blocks of about `size`, dealt by a hash of their ids."""
-    blocks = -(-n // size)
-    for b in range(blocks):
-        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+#: A cell of the grid has at most about this many queries and rows: at 128 numbers each, some 8 and 16 MB as read.
+QUERY_BLOCK, INDEX_BLOCK = 8_192, 32_768
+#: Products are taken this many rows at a time, so a cell's scores have at most 64 MB.
+ROWS_AT_ONCE = 1_024
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -28,67 +19,86 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def finite(frame: pd.DataFrame) -> dict[int, tuple[pd.DataFrame, np.ndarray]]:
+    """The rows whose embeddings hold finite numbers only, and these as a matrix, by length."""
+    out = {}
+    for size, rows in frame.groupby(frame["v"].map(len)) if len(frame) else ():
+        if size:
+            v = np.stack([np.asarray(x, dtype=np.float64) for x in rows["v"]])
+            fine = np.isfinite(v).all(axis=1)
+            out[size] = rows[fine], v[fine]
+    return out
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of two rows each, summed from the first number to the last: equal bits on every machine."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def best_of_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query. A matrix product finds all rows that may be among them; their scores are then
+    summed in order, and ranked by those."""
+    out, indexed = [], finite(rows)
+    for size, (asked, q) in finite(queries).items():
+        if size not in indexed or not len(asked):
+            continue
+        mine, v = indexed[size]
+        row = mine["row"].to_numpy()
+        slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0)
+        at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)  # query, row and score of the best so far
+        for i in range(0, len(v), ROWS_AT_ONCE):
+            s = q @ v[i : i + ROWS_AT_ONCE].T
+            n = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+            a, b = np.nonzero(s >= (least - slack)[:, None])
+            exact = np.concatenate([in_order(q[a[j : j + 65_536]], v[i + b[j : j + 65_536]]) for j in range(0, len(a), 65_536)] or [np.zeros(0)])
+            a, b, exact = (np.concatenate(x) for x in zip(at, (a, b + i, exact), strict=True))
+            order = np.lexsort((row[b], -exact, a))
+            a, b, exact = a[order], b[order], exact[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            at = a[place < k], b[place < k], exact[place < k]
+        a, b, exact = at
+        out.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[a], "row": row[b], "id": mine["id"].to_numpy()[b], "score": exact})[np.isfinite(exact)])
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "id": [], "score": []}, dtype=object)
+
+
+def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
     """query_id, rank, row, id, score: the k rows of index (row, id, embedding) with the greatest inner product.
 
-    All rows are compared with every query (query_id, embedding): queries are broadcast in blocks of a fixed size, each
-    batch of rows is one matrix product in double precision, and a task keeps its k best of every query before anything
-    is shuffled. A query of another length than a row's, or a score that is no number, gives no row.
+    All rows are compared with every query (query_id, embedding). Both sides are dealt into blocks by hashes, and each
+    pair of blocks is a cell of a grid: queries are copied to the blocks of rows, rows to those of queries, so neither
+    side passes through the driver or has to fit in one place. A cell gives k rows for each of its queries at most.
+    Scores are double precision sums in order of the vectors' numbers, so they have equal bits on every machine. A
+    query of another length than a row's, a vector with other than finite numbers, or a score that is none, gives no row.
     """
-    spark, out = index.sparkSession, None
-    kind = {c: s.dataType.simpleString() for s, c in ((queries.schema["query_id"], "query_id"), (index.schema["row"], "row"), (index.schema["id"], "id"))}
+    rows = index.where("embedding IS NOT NULL").select(*[F.col(c).alias(a) for c, a in (("row", "row"), ("id", "id"), ("embedding", "v"))])
+    asked = queries.where("embedding IS NOT NULL").select(*[F.col(c).alias(a) for c, a in (("query_id", "query_id"), ("embedding", "v"))])
+    sizes = rows.agg(F.count("*").alias("n")).union(asked.agg(F.count("*"))).collect()
+    down, across = (max(1, -(-r["n"] // size)) for r, size in zip(sizes, (index_block, query_block), strict=True))
+
+    def dealt(side: DataFrame, by: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
+        cells = side.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks)))
+        return cells.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("i", "j")
+
+    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "row"), (rows, "id"))}
     schema = f"query_id {kind['query_id']}, row {kind['row']}, id {kind['id']}, score double"
-    for part in query_blocks(queries, queries.count(), block):
-        got = part.select("query_id", "embedding").where("embedding IS NOT NULL").toPandas()
-        shared = spark.sparkContext.broadcast((got["query_id"].to_numpy(), [np.asarray(v, dtype=np.float64) for v in got["embedding"]]))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            asked = {size: np.stack([vectors[i] for i in mine]) for size, mine in by_size.items()}
-            kept: dict[int, list[np.ndarray]] = {}  # score, row and id of the best so far, a line for each query
-            for b in batches:
-                for size, rows in b.groupby(b["embedding"].map(len)):
-                    if size not in asked:
-                        continue
-                    s = asked[size] @ np.stack(rows["embedding"]).astype(np.float64).T
-                    new = [s, *(np.broadcast_to(rows[c].to_numpy(), s.shape) for c in ("row", "id"))]
-                    both = [np.concatenate(x, axis=1) for x in zip(kept[size], new, strict=True)] if size in kept else new
-                    order = np.lexsort((both[1], -np.nan_to_num(both[0], nan=-np.inf)), axis=1)[:, :k]
-                    kept[size] = [np.take_along_axis(x, order, axis=1) for x in both]
-            for size, (score, row, id_) in kept.items():
-                q = np.repeat(ids[by_size[size]], score.shape[1])
-                yield pd.DataFrame({"query_id": q, "row": row.ravel(), "id": id_.ravel(), "score": score.ravel()})[np.isfinite(score.ravel())]
-
-        found = index.select("row", "id", "embedding").where("embedding IS NOT NULL").mapInPandas(best, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top(out, k).select("query_id", "rank", "row", "id", "score")
-
-
-def knn_topk_in_order(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """knn_topk with sums in index order, inside the JVM: equal bits on every machine, at several times the cost."""
-    out = None
-    for part in query_blocks(queries, max(1, queries.count()), block):
-        pairs = index.select("row", "id", "embedding").crossJoin(F.broadcast(part.select("query_id", F.col("embedding").alias("q"))))
-        found = pairs.select("query_id", "row", "id", dot(F.col("embedding"), F.col("q")).alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return top(out.where(F.col("score").isNotNull() & ~F.isnan("score")), k).select("query_id", "rank", "row", "id", "score")
+    left, right = dealt(asked, "query_id", "j", across, "i", down), dealt(rows, "row", "i", down, "j", across)
+    found = left.cogroup(right).applyInPandas(lambda q, r: best_of_cell(q, r, k), schema)
+    return top(found, k).select("query_id", "rank", "row", "id", "score")
 
 
 def vote_frames(candidates: DataFrame, k: int = 10) -> DataFrame:
     """scan_id, rank, id, row, score: mean scores of ids over a scan's frames that have candidates.
 
-    candidates: scan_id, frame, rank, id, row, score. Ties keep the order of first sight.
+    candidates: scan_id, frame, rank, id, row, score. Ties keep the order of first sight. Scores are summed as decimals
+    of twelve places, whatever their order; a sum of a million million or more is an error.
     """
-    frames = candidates.groupBy("scan_id").agg(F.countDistinct("frame").alias("frames"))
-    seen = F.min(F.struct("frame", "rank", "row"))
-    # sums in decimals do not depend on the order of rows
-    sums = candidates.groupBy("scan_id", "id").agg(F.sum(F.col("score").cast("decimal(24,12)")).cast("double").alias("total"), seen.alias("seen"))
-    voted = sums.join(frames, "scan_id").withColumn("score", F.col("total") / F.col("frames"))
+    scan = Window.partitionBy("scan_id")
+    # sums in decimals do not depend on the order of rows; candidates are read once
+    total, seen = F.sum(F.col("score").cast("decimal(24,12)")).cast("double"), F.min(F.struct("frame", "rank", "row"))
+    sums = candidates.groupBy("scan_id", "id").agg(total.alias("total"), seen.alias("seen"), F.collect_set("frame").alias("in"))
+    frames = F.size(F.array_distinct(F.flatten(F.collect_list("in").over(scan)))).cast("long")
+    voted = sums.withColumn("frames", frames).withColumn("score", F.col("total") / F.col("frames"))
     order = Window.partitionBy("scan_id").orderBy(F.desc("score"), F.asc("seen.frame"), F.asc("seen.rank"))
     ranked = voted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("scan_id", "rank", "id", F.col("seen.row").alias("row"), "score", "frames")

@@ -56,6 +56,9 @@ ARTS = VOTE + """,
 TOPS = ARTS + """,
   tops AS (SELECT scan_id, max(art_id) FILTER (art_rank = 1) AS art_id, max(id) FILTER (art_rank = 1) AS id, max(score) FILTER (art_rank = 1) AS top, max(score) FILTER (art_rank = 2) AS second, max(frames) AS frames FROM arts GROUP BY ALL)"""
 
+CANDIDATES = TOPS + """,
+  candidates AS (SELECT a.scan_id, a.art_id, i.id, row_number() OVER (PARTITION BY a.scan_id ORDER BY a.art_rank, i.row) AS ordinal FROM arts a JOIN index_rows i ON concat('art:', i.label::VARCHAR) = a.art_id JOIN printings p ON p.id = i.id)"""
+
 #: Masked forms of a serial: itself, and each digit as _ .
 MASKS = """SELECT {key}, unnest(list_concat([{serial}], list_transform(list_filter(range(1, length({serial}) + 1), lambda i: regexp_matches(substr({serial}, i, 1), '[0-9]')), lambda i: concat(substr({serial}, 1, i - 1), '_', substr({serial}, i + 1))))) AS pattern"""
 NEAR = f"""+ a AS ({MASKS.format(key='scan_id, game_id, serial, seen', serial='serial')} FROM reads),
@@ -90,9 +93,30 @@ GATE = QUADS + """,
   gated AS (SELECT camera_id, seq, ts, CASE WHEN NOT present THEN 'no-card' WHEN sharpness < 12 THEN 'blurry' WHEN three IS NULL OR NOT three THEN 'steadying' WHEN far > {drift} THEN 'moving' END AS reason FROM drift)"""
 
 ENTRIES = "+ entries AS (SELECT o_custkey AS portfolio_id, l_partkey::VARCHAR AS printing_id, l_returnflag AS variant, l_linestatus AS condition, l_quantity::BIGINT AS quantity, l_extendedprice AS cost_basis, o_orderdate AS added_at, {'a': l_orderkey, 'b': l_linenumber, 'c': l_suppkey, 'd': l_shipdate, 'e': l_quantity, 'f': l_extendedprice} AS seq FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
-PACKS = "+ p AS (SELECT *, TIMESTAMP '1996-01-01' + to_days((ordinal % 2000)::INT) AS updated_at FROM printings), c AS (SELECT DISTINCT card_id, game_id, name FROM p), g AS (SELECT unnest(['1', '3']) AS game)"
+PACKS = "+ p AS (SELECT * REPLACE (concat(game_id, ':', name) AS card_id), TIMESTAMP '1996-01-01' + to_days((ordinal % 2000)::INT) AS updated_at FROM printings), c AS (SELECT DISTINCT card_id, game_id, name, art_id FROM p), g AS (SELECT unnest(['0', '1', '2', '3', '4']) AS game)"
+CHANGED = "updated_at > TIMESTAMP '2000-01-01'"
+PACKED = {
+    "sets": 'SELECT set_id::VARCHAR AS id, game_id AS "gameId", set_code AS code, set_name AS name, release_date AS "releaseDate", game_id AS game FROM sets',
+    "cards": 'SELECT card_id AS id, game_id AS "gameId", name, art_id AS "artId", game_id AS game FROM c',
+    "printings": """SELECT id, card_id AS "cardId", game_id AS "gameId", set_id AS "setId", number, set_total AS "setTotal", rarity, variant, language, image_url AS "imageUrl", updated_at::DATE AS "updatedAt", game_id AS game FROM p""",
+    "prices": 'SELECT printing_id AS "printingId", source, x.market, x.low, as_of::DATE AS "asOf", game_id AS game FROM prices x JOIN p ON p.id = x.printing_id',
+}
 STEPS = "steps AS (SELECT game_id AS game, lag(version) OVER w AS source, version AS next, row_number() OVER w AS ordinal FROM versions WINDOW w AS (PARTITION BY game_id ORDER BY created_at, version))"
 
+#: The automatic shutter's state machine, a camera's samples one by one: each row is its state after a sample.
+AUTOSCAN = """RECURSIVE thumbs AS (SELECT user_id::VARCHAR AS camera_id, event_id AS seq, epoch_ms(ts) AS ms, list_transform([1, 2, 3, 4], lambda i: ((event_id // 150 // 8) * 37 * i % 200 + value % 2)::DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  walk AS (
+    SELECT camera_id, n, seq, ms AS sampled, t AS prev, NULL::DOUBLE[] AS ref, 0 AS stable, 1 AS away, true AS armed, NULL::BIGINT AS kept_at, NULL::DOUBLE[] AS kept, false AS trigger, false AS keep FROM thumbs WHERE n = 1
+    UNION ALL
+    SELECT camera_id, n, seq, CASE WHEN taken THEN ms ELSE sampled END, CASE WHEN taken THEN t ELSE prev END, CASE WHEN fires THEN t ELSE ref END, CASE WHEN fires THEN 0 ELSE stable END, CASE WHEN fires THEN 0 ELSE away END, armed AND NOT fires,
+      CASE WHEN fires AND NOT again THEN ms ELSE kept_at END, CASE WHEN fires AND NOT again THEN t ELSE kept END, fires, fires AND NOT again
+    FROM (SELECT *, taken AND armed AND stable >= 5 AS fires, coalesce(ms - kept_at < 30000 AND list_avg(list_transform([1, 2, 3, 4], lambda i: abs((t[i] - list_avg(t)) - (kept[i] - list_avg(kept))))) < 10, false) AS again
+    FROM (SELECT * REPLACE (armed OR (taken AND away >= 3) AS armed)
+    FROM (SELECT * REPLACE (CASE WHEN NOT taken THEN stable WHEN list_avg(list_transform([1, 2, 3, 4], lambda i: abs(t[i] - prev[i]))) <= 4 THEN stable + 1 ELSE 0 END AS stable,
+      CASE WHEN NOT taken THEN away WHEN ref IS NULL OR list_avg(list_transform([1, 2, 3, 4], lambda i: abs((t[i] - list_avg(t)) - (ref[i] - list_avg(ref))))) >= 10 THEN away + 1 ELSE 0 END AS away)
+    FROM (SELECT w.camera_id, s.n, s.seq, s.ms, s.t, w.sampled, w.prev, w.ref, w.stable, w.away, w.armed, w.kept_at, w.kept, s.ms - w.sampled >= 120 AS taken FROM walk w JOIN thumbs s ON s.camera_id = w.camera_id AND s.n = w.n + 1)))))
+  SELECT camera_id, seq, keep AS kept FROM walk WHERE trigger"""
+
 #: Query name: (views that it reads, SQL). A leading + goes on with the list of common table expressions.
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "knn_topk": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
@@ -116,6 +140,14 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT frame_id, turn::INT AS turn, rank, id, round(score, 6) AS score FROM turned JOIN pick USING (frame_id, turn)""",
     ),
     "printing_lookup": (("printings",), "SELECT art_id, row_number() OVER (PARTITION BY art_id ORDER BY release_date DESC NULLS LAST, number, id) AS place, id, name, set_code, number, variant FROM printings"),
+    "for_art": (("printings",), "SELECT id, set_code, number, variant, release_date FROM printings WHERE art_id = 'art:blue bolt'"),
+    "by_serial": (("printings",), "SELECT id, set_code, number, release_date FROM printings WHERE game_id = '1' AND number = 'OP11-000'"),
+    "printing_rows": (
+        ("printings", "sets"),
+        PACKS
+        + """ SELECT p.id, p.card_id, p.game_id, c.name, p.set_id, s.set_code, s.set_name, p.number, p.set_total, p.rarity, p.variant, p.language, p.image_url, c.art_id, s.release_date
+        FROM p JOIN c ON c.card_id = p.card_id JOIN sets s ON s.set_id = p.set_id""",
+    ),
     "matched_first": (
         ("printings",),
         "SELECT w.s_suppkey::VARCHAR AS wanted, row_number() OVER (PARTITION BY w.s_suppkey ORDER BY p.id = m.id DESC, p.release_date DESC NULLS LAST, p.number, p.id) AS place, p.id, p.art_id FROM supplier w JOIN printings m ON m.id = w.s_suppkey::VARCHAR JOIN printings p ON p.art_id = m.art_id",
@@ -142,7 +174,29 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT scan_id, printing_id, 'serial' AS "by", CASE WHEN doubtful THEN 'check' WHEN n = 1 OR gap0 >= 0.03 THEN 'high' ELSE 'check' END AS tier, round(CASE WHEN doubtful THEN least(base, 0.7) ELSE base END, 6)::DOUBLE AS score FROM graded
         UNION ALL SELECT scan_id, id, 'picture', CASE WHEN top < 0.5 THEN 'low' WHEN s >= 0.78 THEN 'high' WHEN s >= 0.6 THEN 'check' ELSE 'low' END, round(s, 6) FROM rated WHERE scan_id NOT IN (SELECT scan_id FROM graded)""",
     ),
-    "name_similarity": (("cards",), "+ named AS (SELECT name FROM cards), read_lines AS (SELECT item_id AS key, string_split(text, chr(10)) AS lines FROM benchmark)," + SIMILARITY + " SELECT b.item_id, n.name, round(coalesce(s.similarity, 0), 6) AS similarity FROM benchmark b CROSS JOIN named n LEFT JOIN alike s ON s.key = b.item_id AND s.name = n.name"),
+    "name_similarity": (("cards",), "+ named AS (SELECT name FROM cards), read_lines AS (SELECT item_id AS key, string_split(text, chr(10)) AS lines FROM benchmark)," + SIMILARITY + " SELECT key AS item_id, name, round(similarity, 6) AS similarity FROM alike WHERE similarity > 0"),
+    "picture_with_corner": (
+        ("index_rows", "printings"),
+        CANDIDATES
+        + """, read AS (SELECT ordinal // 10 AS scan_id, set_total FROM printings WHERE ordinal % 10 = 0),
+        many AS (SELECT c.scan_id, count(*) FILTER (c.art_id = t.art_id) AS n, arg_min(c.id, c.ordinal) AS first_id FROM candidates c JOIN tops t USING (scan_id) GROUP BY ALL),
+        hits AS (SELECT c.scan_id, c.id, c.ordinal, 0.4 * (ltrim(p.number, '0') = r.set_total)::INT + 0.2 * (p.set_total = r.set_total)::INT AS score FROM candidates c JOIN read r USING (scan_id) JOIN printings p ON p.id = c.id),
+        best AS (SELECT scan_id, id FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, ordinal) = 1),
+        rated AS (SELECT t.*, CASE WHEN many.n > 1 THEN b.id END AS read_id, many.first_id, CASE WHEN second IS NULL THEN top ELSE top - second END AS gap FROM tops t LEFT JOIN many USING (scan_id) LEFT JOIN best b USING (scan_id)),
+        scored AS (SELECT *, greatest(0, least(1, 0.6 * top + 0.25 * least(1, gap * 8) + CASE WHEN read_id IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN frames >= 3 THEN 0.05 ELSE 0 END)) AS s FROM rated)
+        SELECT scan_id, coalesce(read_id, first_id) AS printing_id, CASE WHEN top < 0.5 THEN 'low' WHEN s >= 0.78 THEN 'high' WHEN s >= 0.6 THEN 'check' ELSE 'low' END AS tier, round(s, 6) AS score,
+        concat_ws('; ', CASE WHEN read_id IS NOT NULL THEN 'set/number matched' END, CASE WHEN frames >= 3 THEN concat(frames::VARCHAR, ' frames agreed') END, CASE WHEN top < 0.5 THEN 'weak match' END) AS reasons FROM scored""",
+    ),
+    "alternatives": (
+        ("index_rows", "printings"),
+        CANDIDATES + ", firsts AS (SELECT scan_id, arg_min(id, ordinal) AS id FROM candidates GROUP BY ALL) SELECT c.scan_id, row_number() OVER (PARTITION BY c.scan_id ORDER BY ordinal) AS place, c.id FROM candidates c JOIN firsts f ON f.scan_id = c.scan_id AND f.id <> c.id QUALIFY place <= 10",
+    ),
+    "other_candidates": (("index_rows", "printings"), CANDIDATES + " SELECT scan_id, art_rank, art_id FROM arts WHERE (scan_id, art_id) NOT IN (SELECT (scan_id, art_id) FROM candidates WHERE id::BIGINT % 40 = 1)"),
+    "first_reading": (
+        (),
+        """SELECT l_orderkey AS frame_id, concat('OP', lpad((s % 100)::VARCHAR, 2, '0'), '-', lpad((s % 1000)::VARCHAR, 3, '0')) AS serial, (l_linenumber - 1)::INT AS turn FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)
+        WHERE s % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1""",
+    ),
     "corner_parse": ((), f"SELECT p_partkey, {corner('t')} FROM (SELECT p_partkey, upper(concat({LINE}, ' ©2024')) AS t FROM part)"),
     "serial_parse": (
         (),
@@ -185,6 +239,22 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "quad_filter": ((), QUADS + " SELECT event_id, round(area, 6) AS area, usable, CASE WHEN NOT present THEN 'no-card' WHEN NOT usable THEN 'bad-quad' WHEN area < 0.1 THEN 'too-small' END AS rejected FROM graded"),
     "ordered_corners": ((), QUADS + " SELECT event_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(x3, 6) AS x3, round(y3, 6) AS y3 FROM q WHERE NOT odd"),
     "homography": ((), QUADS + " SELECT event_id, round(s + side / 2, 6) AS x, round(d + side / 2, 6) AS y FROM q WHERE NOT odd"),
+    "detector_decode": (
+        ("detections",),
+        """+ raw AS (SELECT event_id, width, height, CASE WHEN event_id % 3 = 0 THEN (event_id % 9) / 100.0 ELSE 1 / (1 + exp(-value)) END AS confidence, event_id % 3 = 0 AS sharp,
+          list_transform([[c0, c1], [c2, c3], [c4, c5], [c6, c7]], lambda p: [greatest(0.0, least(1.0, p[1])), greatest(0.0, least(1.0, p[2]))]) AS q FROM detections),
+        middle AS (SELECT *, (q[1][1] + q[2][1] + q[3][1] + q[4][1]) / 4 AS cx, (q[1][2] + q[2][2] + q[3][2] + q[4][2]) / 4 AS cy FROM raw),
+        flat AS (SELECT event_id, unnest(q) AS p, unnest([1, 2, 3, 4]) AS i, cx, cy FROM middle),
+        sorted AS (SELECT event_id, list(p ORDER BY atan2(p[2] - cy, p[1] - cx), i) AS s FROM flat GROUP BY ALL),
+        least_sum AS (SELECT *, list_position(list_transform(s, lambda p: p[1] + p[2]), list_min(list_transform(s, lambda p: p[1] + p[2]))) AS f FROM sorted),
+        started AS (SELECT event_id, list_concat(s[f:], s[:f - 1]) AS s FROM least_sum),
+        edges AS (SELECT r.event_id, confidence, sharp, s, list_transform([1, 2, 3, 4], lambda i: ((s[i][1] - s[i % 4 + 1][1]) * width) ** 2 + ((s[i][2] - s[i % 4 + 1][2]) * height) ** 2) AS e FROM started JOIN raw r USING (event_id)),
+        turned AS (SELECT *, list_position(e, list_min(e)) AS f FROM edges),
+        o AS (SELECT event_id, confidence, sharp, list_concat(s[f:], s[:f - 1]) AS s FROM turned)
+        SELECT event_id, round(confidence, 6)::DOUBLE AS confidence, confidence >= CASE WHEN sharp THEN 0.03 ELSE 0.35 END AS card_present, """
+        + ", ".join(f"round(s[{i + 1}][{j + 1}], 6) AS {c}{i}" for i in range(4) for j, c in enumerate("xy"))
+        + " FROM o",
+    ),
     "capture_gate_frames": ((), GATE.replace("{drift}", "0.04") + " SELECT camera_id, seq, reason FROM gated"),
     "locked_scans": ((), GATE.replace("{drift}", "0.6") + ", locked AS (SELECT *, (row_number() OVER (PARTITION BY camera_id ORDER BY ts, seq) - 1) // 3 AS scan FROM gated WHERE reason IS NULL) SELECT camera_id, seq, scan FROM locked QUALIFY count(*) OVER (PARTITION BY camera_id, scan) = 3"),
     "upsert_prices_lww": (
@@ -214,6 +284,15 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         + """ SELECT game, 'sets' AS tbl, 0::BIGINT AS n FROM g UNION ALL SELECT game, 'cards', (SELECT count(*) FROM c WHERE game_id = game AND card_id IN (SELECT card_id FROM p WHERE p.game_id = game AND updated_at > TIMESTAMP '2000-01-01')) FROM g
         UNION ALL SELECT game, 'printings', (SELECT count(*) FROM p WHERE game_id = game AND updated_at > TIMESTAMP '2000-01-01') FROM g UNION ALL SELECT game, 'prices', (SELECT count(*) FROM prices x JOIN p ON p.id = x.printing_id WHERE p.game_id = game AND x.as_of > TIMESTAMP '2000-01-01') FROM g""",
     ),
+    **{f"full_pack_{t}": (("printings", "sets", "prices"), f"{PACKS} {sql}") for t, sql in PACKED.items()},
+    "delta_cards": (("printings",), f"{PACKS} {PACKED['cards']} WHERE (card_id, game_id) IN (SELECT (card_id, game_id) FROM p WHERE {CHANGED})"),
+    "delta_printings": (("printings",), f"{PACKS} {PACKED['printings']} WHERE {CHANGED}"),
+    "delta_prices": (("printings", "prices"), f"{PACKS} {PACKED['prices']} WHERE as_of > TIMESTAMP '2000-01-01'"),
+    "publish_and_sync": (
+        ("printings",),
+        """SELECT id, concat('1:', name) AS card_id, set_id::VARCHAR AS set_id, CASE WHEN ordinal % 5 = 0 THEN concat(number, '*') ELSE number END AS number, rarity, variant,
+        CASE WHEN ordinal % 5 = 0 THEN DATE '2024-03-01' WHEN ordinal % 3 = 0 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS updated_at FROM printings WHERE game_id = '1'""",
+    ),
     "manifest_latest": (
         ("versions",),
         """+ o AS (SELECT *, row_number() OVER w AS n, lag(version) OVER w AS newer FROM versions WINDOW w AS (PARTITION BY game_id ORDER BY created_at DESC, version DESC)),
@@ -242,10 +321,23 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "pending_all_page": (("printings",), "SELECT id, game_id, image_url FROM printings WHERE image_url IS NOT NULL ORDER BY id LIMIT 2000 OFFSET 100"),
     "select_missing": (("printings", "index_rows"), "SELECT ordinal, id FROM printings WHERE id NOT IN (SELECT id FROM index_rows)"),
     "append_rows": (
+        (),
+        """SELECT (row_number() OVER (ORDER BY is_new, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1)::BIGINT AS row, l_partkey AS id, l_quantity + is_new AS value
+        FROM (SELECT *, CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS is_new FROM lineitem)""",
+    ),
+    "index_append": (
         ("index_rows",),
-        "SELECT (row_number() OVER (ORDER BY is_new, row) - 1)::BIGINT AS row, id, round(first::DOUBLE, 6) AS first FROM (SELECT row, id, 0 AS is_new, embedding[1] AS first FROM index_rows WHERE row % 7 <> 0 UNION ALL SELECT row, id, 1, (embedding[1] + 1)::FLOAT FROM index_rows WHERE row % 7 = 0)",
+        """SELECT (row_number() OVER (ORDER BY is_new, row) - 1)::BIGINT AS row, id, round(list_inner_product(e::DOUBLE[], e::DOUBLE[]), 6) AS squared, round(e[1]::DOUBLE, 6) AS first
+        FROM (SELECT row, id, 0 AS is_new, embedding AS e FROM index_rows WHERE row % 7 <> 0 UNION ALL SELECT row, id, 1, list_transform(embedding, lambda x: (x + 1)::FLOAT) FROM index_rows WHERE row % 7 = 0)""",
+    ),
+    "quarantine": ((), """SELECT concat('{"productId":', p_partkey::VARCHAR, ',"name":"', p_name, CASE WHEN p_type = 'PROMO' THEN ' (Foil)' ELSE '' END, '"}') AS payload, 'no-number' AS reason FROM part WHERE p_size % 5 = 0"""),
+    "collection_listing": (
+        ("printings",),
+        """SELECT l_partkey::VARCHAR AS printing_id, p.name, p.set_code, l_returnflag AS entry_variant, l_quantity::BIGINT AS quantity, o_orderdate::DATE AS added_at,
+        CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS market, CASE WHEN p_size % 4 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'EUR' ELSE 'USD' END END AS currency
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN printings p ON p.ordinal = l_partkey JOIN part ON p_partkey = l_partkey WHERE o_custkey = 7""",
     ),
-    "quarantine": ((), """SELECT concat('{"productId":', p_partkey::VARCHAR, ',"name":"', p_name, '"}') AS payload, 'no-number' AS reason FROM part WHERE p_size % 5 IN (0, 1)"""),
+    "default_portfolio": ((), "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_custkey LIMIT 1"),
     "collection_value": (
         (),
         ENTRIES
@@ -260,8 +352,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT e.id, concat('onepiece:', f.p_name) AS card_id, concat('onepiece:SET', f.grp::VARCHAR) AS set_id, f.number, '050' AS set_total, l.p_type AS rarity, f.variant, l.p_partkey AS tcgplayer_product_id, CASE WHEN l.p_size % 4 <> 0 THEN round(l.p_retailprice, 2) END AS market
         FROM ends e JOIN part l0 ON l0.p_partkey = last_key JOIN keyed l ON l.p_partkey = last_key JOIN keyed f ON f.p_partkey = first_key""",
     ),
-    "pack_roundtrip": (("index_rows",), "SELECT row, id, len(embedding)::INT AS dim FROM index_rows"),
+    "autoscan_batch": ((), AUTOSCAN),
+    "stream_autoscan": ((), AUTOSCAN),
+    "pack_roundtrip": (("index_rows",), "SELECT row, id, len(embedding)::INT AS dim, true AS near, CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 0 ELSE 1 END::DOUBLE AS squared FROM index_rows"),
 }
+SQL["pack_roundtrip_half"] = SQL["pack_roundtrip"]
 SQL["manifest_latest"] = (
     ("versions",),
     re.sub(r'SELECT o\.game_id AS game', 'SELECT * EXCLUDE ("indexUrl0", "indexIdsUrl0", none), CASE WHEN NOT none THEN "indexUrl0" END AS "indexUrl", CASE WHEN NOT none THEN "indexIdsUrl0" END AS "indexIdsUrl" FROM (SELECT o.game_id AS game', SQL["manifest_latest"][1]) + ")",

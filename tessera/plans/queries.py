@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +14,8 @@ from ..functions import image as I
 from ..functions import reading as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import catalogue, collection, merge, publish, refresh, scan, search
+from ..operators import catalogue, collection, frames, merge, publish, refresh, scan, search
+from ..scratch import new_dir, written
 from ..sources import index_pack
 from ..streaming import autoscan, capture_gate
 from .views import view
@@ -55,13 +55,6 @@ def voted(spark: SparkSession, sf: str) -> DataFrame:
     return search.vote_frames(frames_of(search.knn_topk(index, asked(index))))
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query
 def knn_topk(spark, sf):
     index = view(spark, sf, "index_rows")
@@ -70,8 +63,9 @@ def knn_topk(spark, sf):
 
 @query
 def knn_topk_in_order(spark, sf):
+    """A grid of several cells gives the same rows, whose scores are sums in order of the vectors' numbers."""
     index = view(spark, sf, "index_rows")
-    return search.knn_topk_in_order(index, asked(index)).select("query_id", "rank", "row", "id", six(F.col("score")).alias("score"))
+    return search.knn_topk(index, asked(index), query_block=16, index_block=500).select("query_id", "rank", "row", "id", six(F.col("score")).alias("score"))
 
 
 @query
@@ -103,9 +97,24 @@ def best_rotation(spark, sf):
 
 @query
 def printing_lookup(spark, sf):
-    rows = view(spark, sf, "printings")
-    order = Window.partitionBy("art_id").orderBy(F.desc_nulls_last("release_date"), "number", "id")
-    return rows.select("art_id", F.row_number().over(order).alias("place"), "id", "name", "set_code", "number", "variant")
+    return catalogue.by_art(view(spark, sf, "printings")).select("art_id", "place", "id", "name", "set_code", "number", "variant")
+
+
+@query
+def for_art(spark, sf):
+    return catalogue.for_art(view(spark, sf, "printings"), "art:blue bolt").select("id", "set_code", "number", "variant", "release_date")
+
+
+@query
+def by_serial(spark, sf):
+    return catalogue.by_serial(view(spark, sf, "printings"), "1", "OP11-000").select("id", "set_code", "number", "release_date")
+
+
+@query
+def printing_rows(spark, sf):
+    t = catalogue_tables(spark, sf)
+    rows = catalogue.printing_rows(t["printings"].drop("name", "art_id", "set_code", "set_name", "release_date"), t["cards"], t["sets"])
+    return rows.select("id", "card_id", "game_id", "name", "set_id", "set_code", "set_name", "number", "set_total", "rarity", "variant", "language", "image_url", "art_id", "release_date")
 
 
 @query
@@ -123,7 +132,7 @@ def name_search(spark, sf):
 def near(spark: SparkSession, sf: str) -> DataFrame:
     reads, rows, index = view(spark, sf, "reads"), view(spark, sf, "printings"), view(spark, sf, "index_rows")
     found = scan.near_printings(reads, rows).join(reads.select("scan_id", F.array(F.col("seen"), F.concat(F.lit("x "), "seen")).alias("lines")), "scan_id")
-    return scan.with_image_score(found, index.select(F.col("row").alias("scan_id"), "embedding"), index)
+    return scan.with_choice(scan.with_image_score(found, index.select(F.col("row").alias("scan_id"), "embedding"), index))
 
 
 @query
@@ -138,24 +147,35 @@ def serial_choose(spark, sf):
 
 @query
 def serial_rank(spark, sf):
-    rows = near(spark, sf)
-    out = scan.rank_by_serial(rows, scan.choose_serial(rows))
-    return out.select("scan_id", "place", "id", "number", "home", six(F.col("image_score")).alias("image_score"))
+    return scan.rank_by_serial(near(spark, sf)).select("scan_id", "place", "id", "number", "home", six(F.col("image_score")).alias("image_score"))
 
 
 @query
 def serial_confidence(spark, sf):
-    rows = near(spark, sf)
-    chosen = scan.choose_serial(rows)
-    out = scan.serial_results(scan.rank_by_serial(rows, chosen), chosen)
+    out = scan.serial_results(scan.rank_by_serial(near(spark, sf)))
     return out.select("scan_id", "printing_id", "serial", "n", "confidence.tier", six(F.col("confidence.score")).alias("score"), six(F.col("confidence.gap")).alias("gap"), F.array_join("confidence.reasons", "; ").alias("reasons"))
 
 
+def candidate_printings(spark: SparkSession, sf: str, expanded: DataFrame) -> DataFrame:
+    """The printings of expanded artworks, as scan_id, ordinal, art_id and the catalogue's columns, and the corner that
+    each scan read (scan_id, corner)."""
+    rows = view(spark, sf, "index_rows").select("id", F.concat(F.lit("art:"), F.col("label").cast("string")).alias("art_id"))
+    known = view(spark, sf, "printings").select("id", "set_code", "number", "set_total", "language")
+    printings = expanded.select("scan_id", "art_rank", "art_id").join(rows, "art_id").join(known, "id")
+    order = Window.partitionBy("scan_id").orderBy("art_rank", F.col("id").cast("long"))
+    return printings.withColumn("ordinal", F.row_number().over(order))
+
+
+def corners_of(spark: SparkSession, sf: str) -> DataFrame:
+    """What each scan's corner says: the number of the printing whose id is ten times the scan's."""
+    p = view(spark, sf, "printings").where("ordinal % 10 = 0")
+    line = F.concat(F.col("set_total"), F.lit("/"), F.col("set_total"), F.lit(" EN"))
+    return p.select((F.col("ordinal") / 10).cast("long").alias("scan_id"), R.parse_corner(F.array(line)).alias("corner"))
+
+
 @query
 def scan_finish(spark, sf):
-    rows = near(spark, sf)
-    chosen = scan.choose_serial(rows)
-    by_serial = scan.serial_results(scan.rank_by_serial(rows, chosen), chosen)
+    by_serial = scan.serial_results(scan.rank_by_serial(near(spark, sf)))
     expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
     art = arts_of(view(spark, sf, "index_rows"))
     printings = expanded.select("scan_id", "art_rank", "art_id").join(art, "art_id")
@@ -165,11 +185,46 @@ def scan_finish(spark, sf):
     return out.select("scan_id", "printing_id", "by", "confidence.tier", six(F.col("confidence.score")).alias("score"))
 
 
+@query
+def picture_with_corner(spark, sf):
+    """Scans without a serial whose corner was read: it picks among the printings of the candidates."""
+    expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
+    out = scan.picture_results(search.top_pair(expanded), candidate_printings(spark, sf, expanded), corners_of(spark, sf))
+    return out.select("scan_id", "printing_id", "confidence.tier", six(F.col("confidence.score")).alias("score"), F.array_join("confidence.reasons", "; ").alias("reasons"))
+
+
+@query
+def alternatives(spark, sf):
+    expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
+    printings = candidate_printings(spark, sf, expanded)
+    chosen = scan.picture_results(search.top_pair(expanded), printings)
+    return scan.alternatives(printings, chosen).select("scan_id", "place", "id")
+
+
+@query
+def other_candidates(spark, sf):
+    """Of the artworks of each scan, those that hold none of the printings with an odd id."""
+    expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
+    printings = candidate_printings(spark, sf, expanded)
+    named = printings.where("CAST(id AS BIGINT) % 40 = 1").select("scan_id", "id")
+    return scan.other_candidates(expanded, printings, named).select("scan_id", "art_rank", "art_id")
+
+
+@query
+def first_reading(spark, sf):
+    """Lines as four orientations of a frame: the first with a serial."""
+    rows = view(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    line = F.when(F.col("s") % 3 == 0, F.concat(F.lit("OP"), F.lpad((F.col("s") % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("s") % 1000).cast("string"), 3, "0"))).otherwise("nothing")
+    out = scan.first_reading(rows.select(F.col("l_orderkey").alias("frame_id"), (F.col("l_linenumber") - 1).alias("turn"), F.array(F.lit("a card"), line).alias("lines")))
+    return out.select("frame_id", "serial", "turn")
+
+
 @query
 def name_similarity(spark, sf):
+    """Texts with the names that they have words of."""
     texts = view(spark, sf, "benchmark").select("item_id", F.split("text", "\n").alias("lines"))
     names = view(spark, sf, "cards").select("name")
-    return texts.crossJoin(F.broadcast(names)).select("item_id", "name", six(R.name_similarity(F.col("lines"), F.col("name"))).alias("similarity"))
+    return scan.named_in(texts, names, "item_id").select("item_id", "name", six(F.col("similarity")).alias("similarity"))
 
 
 @query
@@ -358,32 +413,130 @@ def insert_missing(spark, sf):
 
 
 def catalogue_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    p = view(spark, sf, "printings").withColumn("updated_at", F.expr("timestampadd(DAY, CAST(ordinal % 2000 AS INT), TIMESTAMP '1996-01-01 00:00:00')"))
+    p = view(spark, sf, "printings").withColumn("updated_at", F.expr("timestampadd(DAY, CAST(ordinal % 2000 AS INT), TIMESTAMP '1996-01-01 00:00:00')")).withColumn("card_id", F.concat_ws(":", "game_id", "name"))
     cards = p.select(F.col("card_id").alias("id"), "game_id", "name", "art_id").distinct()
     sets = view(spark, sf, "sets").select(F.col("set_id").cast("string").alias("id"), "game_id", F.col("set_code").alias("code"), F.col("set_name").alias("name"), "release_date")
     prices = view(spark, sf, "prices").select("printing_id", "source", "market", "low", F.col("as_of").cast("timestamp").alias("as_of"))
     return {"sets": sets, "cards": cards, "printings": p, "prices": prices}
 
 
-def counted(pack: dict[str, DataFrame], game: str) -> DataFrame:
+GAMES = ("0", "1", "2", "3", "4")
+
+
+def all_games(pack: Callable[[str], dict[str, DataFrame]], table: str) -> DataFrame:
+    out = None
+    for game in GAMES:
+        one = pack(game)[table].withColumn("game", F.lit(game))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def counted(pack: Callable[[str], dict[str, DataFrame]]) -> DataFrame:
     out = None
-    for name, rows in sorted(pack.items()):
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(game).alias("game"), F.lit(name).alias("tbl"), "n")
+    for name in ("sets", "cards", "printings", "prices"):
+        games = F.array(*map(F.lit, GAMES))
+        found = all_games(pack, name).groupBy("game").agg(F.count("*").alias("n"))
+        each = pack(GAMES[0])["sets"].sparkSession.range(1).select(F.explode(games).alias("game"))  # five rows
+        one = each.join(found, "game", "left").select("game", F.lit(name).alias("tbl"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def full(spark: SparkSession, sf: str) -> Callable[[str], dict[str, DataFrame]]:
+    tables = catalogue_tables(spark, sf)
+    return lambda game: publish.full_pack(tables, game)
+
+
+def delta(spark: SparkSession, sf: str) -> Callable[[str], dict[str, DataFrame]]:
+    tables = catalogue_tables(spark, sf)
+    return lambda game: publish.delta_pack(tables, game, F.lit(SINCE).cast("timestamp"))
+
+
 @query
 def full_pack_counts(spark, sf):
-    tables = catalogue_tables(spark, sf)
-    return counted(publish.full_pack(tables, "1"), "1").unionByName(counted(publish.full_pack(tables, "3"), "3"))
+    return counted(full(spark, sf))
 
 
 @query
 def delta_since(spark, sf):
+    return counted(delta(spark, sf))
+
+
+def dated(rows: DataFrame) -> DataFrame:
+    """Times as days, which all engines show alike."""
+    return rows.select(*[F.col(c).cast("date").alias(c) if c in ("updatedAt", "asOf") else F.col(c) for c in rows.columns])
+
+
+@query
+def full_pack_sets(spark, sf):
+    return all_games(full(spark, sf), "sets")
+
+
+@query
+def full_pack_cards(spark, sf):
+    return all_games(full(spark, sf), "cards")
+
+
+@query
+def full_pack_printings(spark, sf):
+    return dated(all_games(full(spark, sf), "printings"))
+
+
+@query
+def full_pack_prices(spark, sf):
+    return dated(all_games(full(spark, sf), "prices"))
+
+
+@query
+def delta_cards(spark, sf):
+    return all_games(delta(spark, sf), "cards")
+
+
+@query
+def delta_printings(spark, sf):
+    return dated(all_games(delta(spark, sf), "printings"))
+
+
+@query
+def delta_prices(spark, sf):
+    return dated(all_games(delta(spark, sf), "prices"))
+
+
+#: The times of three versions of a catalogue.
+RELEASES = (("v1", "2024-01-01"), ("v2", "2024-02-01"), ("v3", "2024-03-01"))
+
+
+def catalogue_at(spark: SparkSession, sf: str, release: int) -> dict[str, DataFrame]:
+    """The catalogue when a version is published: of each of three printings one comes with the second version, and of
+    each of five one is numbered anew with the third."""
     tables = catalogue_tables(spark, sf)
-    since = F.lit(SINCE).cast("timestamp")
-    return counted(publish.delta_pack(tables, "1", since), "1").unionByName(counted(publish.delta_pack(tables, "3", since), "3"))
+    times = [F.lit(t).cast("timestamp") for _, t in RELEASES]
+    p = tables["printings"].where("ordinal % 3 <> 0" if release == 0 else "true")
+    at, number = F.when(F.col("ordinal") % 3 == 0, times[1]).otherwise(times[0]), F.col("number")
+    if release == 2:
+        new = F.col("ordinal") % 5 == 0
+        at, number = F.when(new, times[2]).otherwise(at), F.when(new, F.concat("number", F.lit("*"))).otherwise(F.col("number"))
+    p = p.withColumn("updated_at", at).withColumn("number", number)
+    prices = tables["prices"].groupBy("printing_id", "source").agg(F.max("market").alias("market"), F.min("low").alias("low"), F.max("as_of").alias("as_of"))
+    return tables | {"printings": p, "prices": prices}
+
+
+@query
+def publish_and_sync(spark, sf):
+    """Three versions published as documents; a client of the first reads the chain of deltas to the third."""
+    game, root = "1", new_dir(spark, "packs")
+    versions = spark.createDataFrame([], "game_id string, version string, printings_count long, index_pack_key string, created_at timestamp")
+    for i, (name, at) in enumerate(RELEASES):
+        _, versions = publish.publish_next(catalogue_at(spark, sf, i), versions, game, name, datetime.fromisoformat(at), root)
+        versions = written(versions, "versions")
+    links = publish.manifest(versions, "x").select("game", F.explode("deltas").alias("d")).select("game", "d.from", "d.to", F.lit(0).alias("ordinal"))
+    wanted = spark.createDataFrame([(game, RELEASES[0][0], RELEASES[2][0])], "game string, local string, target string")
+    steps = sorted(publish.delta_chain(links, wanted).collect(), key=lambda r: r["step"])  # CHAIN_LIMIT links at most
+    start = publish.read_pack(spark, f"{root}/games/{game}/catalog-{RELEASES[0][0]}.json")
+    held = {n: start[n].drop("seq") for n in publish.RENAMED}
+    chain = [publish.read_pack(spark, f"{root}/games/{game}/delta-{r['from']}-{r['to']}.json") for r in steps]
+    rows = publish.sync(held, chain)["printings"]
+    return rows.select("id", "card_id", "set_id", "number", "rarity", "variant", F.col("updated_at").cast("date").alias("updated_at"))
 
 
 @query
@@ -429,10 +582,11 @@ def url_hosts(spark, sf):
 
 @query
 def detector_decode(spark, sf):
-    e = view(spark, sf, "events")
-    raw = F.array(*[(F.col("event_id") % (7 + i) / F.lit(5.0) - F.lit(0.2)).cast("double") for i in range(8)])
-    d = G.detection(raw, F.col("value"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9 / 100.0))
-    return e.select("event_id", d.alias("d")).select("event_id", six(F.col("d.confidence")).alias("confidence"), "d.card_present", six(G.quad_area(F.col("d.corners"))).alias("area"))
+    e = view(spark, sf, "detections")
+    raw = F.array(*[F.col(f"c{i}") for i in range(8)])
+    d = G.detection(raw, F.col("value"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9 / 100.0), F.col("width"), F.col("height"))
+    each = [six(F.col("d.corners")[i][c]).alias(f"{c}{i}") for i in range(4) for c in "xy"]
+    return e.select("event_id", d.alias("d")).select("event_id", six(F.col("d.confidence")).alias("confidence"), "d.card_present", *each)
 
 
 @query
@@ -463,51 +617,90 @@ def select_missing(spark, sf):
 
 @query
 def append_rows(spark, sf):
-    index = view(spark, sf, "index_rows").select("row", "id", F.col("embedding")[0].alias("first"))
-    new = index.where("row % 7 = 0").select(F.col("row"), "id", (F.col("first") + 1).cast("float").alias("first"))
-    return merge.append_rows(index, new).select("row", "id", six(F.col("first").cast("double")).alias("first"))
+    """Lines as an index of rows: those of every seventh part are replaced and come after all others."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    index = view(spark, sf, "lineitem").select(order.alias("row"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value"))
+    new = index.where("id % 7 = 0").withColumn("value", F.col("value") + 1)
+    return merge.append_rows(index, new).select("row", "id", "value")
+
+
+@query
+def index_append(spark, sf):
+    """The same of vectors."""
+    index = view(spark, sf, "index_rows").select("row", "id", "embedding")
+    new = index.where("row % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x + 1).cast("float")))
+    out = merge.append_rows(index, new)
+    return out.select("row", "id", six(V.dot(F.col("embedding"), F.col("embedding"))).alias("squared"), six(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+def parts_feed(spark: SparkSession, sf: str) -> catalogue.Imported:
+    """Parts as a feed: brands are groups, retail prices are price lines; every fifth part has no number."""
+    part = view(spark, sf, "part").withColumn("groupId", F.expr("CAST(substr(p_brand, 7) AS BIGINT)"))
+    groups = part.groupBy("groupId").agg(F.min("p_brand").alias("name")).select("groupId", "name", F.concat(F.lit("SET-"), "groupId").alias("abbreviation"), F.lit("2020-01-01").alias("publishedOn"))
+    number = F.expr("CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 5 = 0 THEN '' ELSE concat(lpad(CAST(p_size AS STRING), 3, '0'), '/050') END")
+    item = F.array(F.struct(F.lit("Number").alias("name"), F.lit("#").alias("displayName"), number.alias("value")), F.struct(F.lit("Rarity").alias("name"), F.lit("r").alias("displayName"), F.col("p_type").alias("value")))
+    products = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.concat("p_name", F.expr("CASE WHEN p_type = 'PROMO' THEN ' (Foil)' ELSE '' END")).alias("name"), F.col("p_name").alias("cleanName"), F.lit("u").alias("imageUrl"), item.alias("extendedData"))
+    prices = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.expr("CASE WHEN p_size % 4 <> 0 THEN p_retailprice END").alias("marketPrice"), F.lit(None).cast("double").alias("lowPrice"))
+    return catalogue.import_feed("onepiece", groups, products, prices, F.lit("2024-01-01").cast("timestamp"))
 
 
 @query
 def quarantine(spark, sf):
-    rows = view(spark, sf, "part").select(F.expr("CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN '' ELSE p_name END").alias("raw"), "p_partkey", "p_name")
-    return rows.where("raw IS NULL OR raw = ''").select(F.to_json(F.struct(F.col("p_partkey").alias("productId"), F.col("p_name").alias("name"))).alias("payload"), F.lit("no-number").alias("reason"))
+    return parts_feed(spark, sf).unmatched.select("payload", "reason")
 
 
 @query
-def collection_value(spark, sf):
+def collection_listing(spark, sf):
+    """The entries of one portfolio, the last added first."""
+    rows = collection.listing(held_entries(spark, sf), 7)
+    return rows.select("printing_id", "name", "set_code", "entry_variant", "quantity", F.col("added_at").cast("date").alias("added_at"), "market", "currency")
+
+
+@query
+def default_portfolio(spark, sf):
+    return collection.default_portfolio(view(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
+def held_entries(spark: SparkSession, sf: str) -> DataFrame:
     p = view(spark, sf, "printings")
     o, li = view(spark, sf, "orders"), view(spark, sf, "lineitem")
     entries = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("portfolio_id"), F.col("l_partkey").cast("string").alias("printing_id"), F.col("l_returnflag").alias("variant"), F.col("l_quantity").cast("long").alias("quantity"), F.col("o_orderdate").alias("added_at"))
     prices = view(spark, sf, "part").where("p_size % 4 <> 0").select(F.col("p_partkey").cast("string").alias("printing_id"), F.lit("cardmarket").alias("source"), F.col("p_retailprice").alias("market"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'EUR' ELSE 'USD' END").alias("currency"))
-    out = collection.collection_value(collection.collection_rows(entries, p, prices))
+    return collection.collection_rows(entries, p, prices)
+
+
+@query
+def collection_value(spark, sf):
+    out = collection.collection_value(held_entries(spark, sf))
     return out.select("portfolio_id", "quantity", F.round("value", 2).alias("value"), "currency")
 
 
 @query
 def import_feed(spark, sf):
-    """Parts as a feed: brands are groups, retail prices are price lines."""
-    part = view(spark, sf, "part").withColumn("groupId", F.expr("CAST(substr(p_brand, 7) AS BIGINT)"))
-    groups = part.groupBy("groupId").agg(F.min("p_brand").alias("name")).select("groupId", "name", F.concat(F.lit("SET-"), "groupId").alias("abbreviation"), F.lit("2020-01-01").alias("publishedOn"))
-    number = F.expr("CASE WHEN p_size % 5 = 0 THEN NULL ELSE concat(lpad(CAST(p_size AS STRING), 3, '0'), '/050') END")
-    item = F.array(F.struct(F.lit("Number").alias("name"), F.lit("#").alias("displayName"), number.alias("value")), F.struct(F.lit("Rarity").alias("name"), F.lit("r").alias("displayName"), F.col("p_type").alias("value")))
-    products = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.concat("p_name", F.expr("CASE WHEN p_type = 'PROMO' THEN ' (Foil)' ELSE '' END")).alias("name"), F.col("p_name").alias("cleanName"), F.lit("u").alias("imageUrl"), item.alias("extendedData"))
-    prices = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.expr("CASE WHEN p_size % 4 <> 0 THEN p_retailprice END").alias("marketPrice"), F.lit(None).cast("double").alias("lowPrice"))
-    new = catalogue.import_feed("onepiece", groups, products, prices, F.lit("2024-01-01").cast("timestamp"))
+    new = parts_feed(spark, sf)
     tables = catalogue.merged(catalogue.empty_tables(new), new)
     rows = tables["printings"].join(tables["prices"].select(F.col("printing_id").alias("id"), "market"), "id", "left")
     return rows.select("id", "card_id", "set_id", "number", "set_total", "rarity", "variant", "tcgplayer_product_id", F.round("market", 2).alias("market"))
 
 
+def packed(spark: SparkSession, sf: str, half: bool) -> DataFrame:
+    """Vectors written as index packs of 700 rows and read back, and whether each number is near the unit vector's."""
+    index, root = view(spark, sf, "index_rows"), new_dir(spark, "packs")
+    index_pack.write_shards(index, root, half=half, shard_rows=700).agg(F.sum("rows")).first()
+    back = index_pack.read_pack(spark, root).select("row", "id", F.col("embedding").alias("e"))
+    both = back.join(index.select("row", V.l2_normalise(F.col("embedding")).alias("v")), "row")
+    near = F.zip_with("v", "e", lambda x, y: F.abs(x - y) <= F.abs(x) / (2e3 if half else 1e6) + 1e-7)
+    return both.select("row", "id", F.size("e").alias("dim"), F.forall(near, lambda x: x).alias("near"), F.round(V.dot(F.col("e"), F.col("e")), 2).alias("squared"))
+
+
 @query
 def pack_roundtrip(spark, sf):
-    """Vectors written as index packs and read back."""
-    index, root = view(spark, sf, "index_rows"), scratch(spark, "packs")
-    out = None
-    for row in index_pack.write_shards(index, root, half=False, shard_rows=index_pack.SHARD_ROWS).orderBy("path").collect():
-        part = index_pack.read_pack(spark, row["path"])
-        out = part if out is None else out.unionByName(part)
-    return out.select("row", "id", F.size("embedding").alias("dim"))
+    return packed(spark, sf, half=False)
+
+
+@query
+def pack_roundtrip_half(spark, sf):
+    return packed(spark, sf, half=True)
 
 
 def thumbs(spark: SparkSession, sf: str) -> DataFrame:
@@ -526,7 +719,7 @@ def autoscan_batch(spark, sf):
 @query
 def stream_autoscan(spark, sf):
     """The same samples as a stream of files, in one pass over what is there."""
-    root = scratch(spark, "autoscan")
+    root = new_dir(spark, "autoscan")
     thumbs(spark, sf).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("camera_id string, ts timestamp, seq long, thumb array<double>").parquet(f"{root}/in")
     writer = autoscan.autoscan_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
@@ -559,6 +752,37 @@ def image_ops(spark, sf):
     return rows.select("p_partkey", F.sha2("image.data", 256).alias("sha"), (turned["data"] == F.col("image.data")).alias("same"), F.col("quarter.width").alias("turned_width"), F.sha2("square.data", 256).alias("square_sha"), F.sha2("flat.data", 256).alias("flat_sha"), "sharpness")
 
 
+def block_means(image: Column) -> Column:
+    """A stand-in for the model: the colours of 4 x 4 blocks of a square image, less their mean, at length 1."""
+
+    @F.pandas_udf("array<double>")
+    def udf(images):
+        import pandas as pd
+
+        out = []
+        for d, w, h in images[["data", "width", "height"]].itertuples(index=False):
+            a = I.pixels(d, int(w), int(h))[:, :, :3].astype(np.float64)
+            v = a.reshape(4, h // 4, 4, w // 4, 3).mean(axis=(1, 3)).ravel()
+            out.append((v - v.mean()) / max(np.linalg.norm(v - v.mean()), 1e-9))
+        return pd.Series(out, dtype=object)
+
+    return udf(image)
+
+
+@query
+def process_frames(spark, sf):
+    """Pictures as frames, some of them turned, against an index of all upright ones."""
+    rows = pictures(spark, sf).where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("frame_id"), "image")
+    whole = F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0)])
+    index = rows.select(F.col("frame_id").alias("row"), F.col("frame_id").cast("string").alias("id"), block_means(I.squash_resize(F.col("image"), 16)).alias("embedding"))
+    turned = F.when(F.col("frame_id") % 8 == 0, I.rotate180(F.col("image"))).otherwise(F.col("image"))
+    sharp = F.when(F.col("frame_id") % 5 == 0, 0.01).otherwise(0.5)
+    asked = rows.select("frame_id", turned.alias("image"), whole.alias("raw"), F.lit(0.0).alias("presence"), sharp.alias("sharpness"))
+    seen, found = frames.process_frames(asked, index, block_means, k=3, size=16, retry_below=0.9)
+    best = found.where("rank = 1").select("frame_id", "turn", "id", six(F.col("score")).alias("score"))
+    return seen.select("frame_id", "rejected").join(best, "frame_id", "left")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: search, vote, artworks, confidence."""
     return picture_confidence(spark, sf)

@@ -24,9 +24,16 @@ VIEWS = {
     "reads": """SELECT s_suppkey AS scan_id, CAST(n.n_regionkey AS VARCHAR(9)) AS game_id,
         concat(CASE s_suppkey % 3 WHEN 0 THEN 'OP' WHEN 1 THEN 'ST' ELSE 'EB' END, lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), '-', lpad(CAST((s_suppkey + s_suppkey % 2) % 1000 AS VARCHAR(9)), 3, '0')) AS serial,
         p_name AS seen, s_acctbal FROM supplier JOIN nation n ON n.n_nationkey = s_nationkey JOIN part ON p_partkey = s_suppkey""",
+    "detections": """SELECT event_id, value, width, height, CASE turn WHEN 0 THEN a0 WHEN 1 THEN a2 WHEN 2 THEN a4 ELSE a6 END AS c0, CASE turn WHEN 0 THEN a1 WHEN 1 THEN a3 WHEN 2 THEN a5 ELSE a7 END AS c1,
+        CASE turn WHEN 0 THEN a2 WHEN 1 THEN a4 WHEN 2 THEN a6 ELSE a0 END AS c2, CASE turn WHEN 0 THEN a3 WHEN 1 THEN a5 WHEN 2 THEN a7 ELSE a1 END AS c3,
+        CASE turn WHEN 0 THEN a4 WHEN 1 THEN a6 WHEN 2 THEN a0 ELSE a2 END AS c4, CASE turn WHEN 0 THEN a5 WHEN 1 THEN a7 WHEN 2 THEN a1 ELSE a3 END AS c5,
+        CASE turn WHEN 0 THEN a6 WHEN 1 THEN a0 WHEN 2 THEN a2 ELSE a4 END AS c6, CASE turn WHEN 0 THEN a7 WHEN 1 THEN a1 WHEN 2 THEN a3 ELSE a5 END AS c7
+        FROM (SELECT event_id, value, event_id % 4 AS turn, CAST(640 + event_id % 3 * 320 AS DOUBLE) AS width, CAST(480 AS DOUBLE) AS height,
+        CAST(event_id % 7 AS DOUBLE) / 97 + 0.1 AS a0, CAST(event_id % 8 AS DOUBLE) / 97 + 0.1 AS a1, CAST(event_id % 9 AS DOUBLE) / 89 + CASE WHEN event_id % 19 = 0 THEN 1.6 ELSE 0.6 END AS a2, CAST(event_id % 10 AS DOUBLE) / 83 + 0.15 AS a3,
+        CAST(event_id % 11 AS DOUBLE) / 79 + 0.55 AS a4, CAST(event_id % 12 AS DOUBLE) / 73 + 0.7 AS a5, CAST(event_id % 13 AS DOUBLE) / 71 + 0.05 AS a6, CAST(event_id % 14 AS DOUBLE) / 67 + 0.75 AS a7 FROM events ) made""",
     "index_rows": "SELECT CAST(vec_id AS VARCHAR(20)) AS id, CAST(vec_id AS BIGINT) AS row, embedding, label FROM embeddings",
 }
-NEEDS = {"sets": ["nation"], "cards": ["part"], "printings": ["part", "sets"], "prices": ["lineitem"], "versions": ["orders"], "reads": ["supplier", "nation", "part"], "index_rows": ["embeddings"]}
+NEEDS = {"sets": ["nation"], "cards": ["part"], "printings": ["part", "sets"], "prices": ["lineitem"], "versions": ["orders"], "reads": ["supplier", "nation", "part"], "detections": ["events"], "index_rows": ["embeddings"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

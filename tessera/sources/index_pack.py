@@ -7,6 +7,7 @@ its format, so writing one is a single task's work; `write_shards` keeps packs o
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # Fixed values of the format.
 MAGIC, VERSION, HEADER = b"CVIX", 1, struct.Struct("<4sIIII")
 DTYPES = {0: np.dtype("<f4"), 1: np.dtype("<f2")}
-ROWS_PER_TASK, SHARD_ROWS = 100_000, 1_000_000
+#: The width that a pack without rows names.
+EMPTY_DIM = 128
+ROWS_PER_TASK, ROWS_PER_BATCH, SHARD_ROWS = 100_000, 10_000, 50_000
 SCHEMA = "row bigint, id string, embedding array<float>"
 
 
@@ -73,8 +76,25 @@ def pack_bytes(matrix: np.ndarray, half: bool = True) -> bytes:
 
 
 class RowRange(InputPartition):
-    def __init__(self, uri: str, first: int, last: int, strict: bool):
-        self.uri, self.first, self.last, self.strict = uri, first, last, strict
+    """Rows first to last of a pack; `start` is the number of rows in the packs before it."""
+
+    def __init__(self, uri: str, first: int, last: int, start: int, strict: bool):
+        self.uri, self.first, self.last, self.start, self.strict = uri, first, last, start, strict
+
+
+def packs_at(uri: str) -> list[str]:
+    """The pack of that name, or those of a folder in order of their names."""
+    system, path = opened(uri)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        return [uri]
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".bin"))
+    return [f"{uri.rstrip('/')}/{n}" for n in names]
+
+
+def exists(uri: str) -> bool:
+    """Whether there is a pack: a reader of a missing one takes it for none (see read_pack)."""
+    system, path = opened(uri)
+    return system.get_file_info(path).type != fs.FileType.NotFound
 
 
 class PackReader(DataSourceReader):
@@ -82,29 +102,34 @@ class PackReader(DataSourceReader):
         self.uri, self.strict = options["path"], options.get("strict", "true") == "true"
 
     def partitions(self):
-        system, path = opened(self.uri)
-        with system.open_input_file(path) as f:
-            _, rows, _ = parse_header(f.read(HEADER.size), self.strict)
-        return [RowRange(self.uri, i, min(rows, i + ROWS_PER_TASK), self.strict) for i in range(0, max(rows, 1), ROWS_PER_TASK)]
+        out, start = [], 0
+        for uri in packs_at(self.uri):
+            system, path = opened(uri)
+            with system.open_input_file(path) as f:
+                _, rows, _ = parse_header(f.read(HEADER.size), self.strict)
+            out += [RowRange(uri, i, min(rows, i + ROWS_PER_TASK), start, self.strict) for i in range(0, max(rows, 1), ROWS_PER_TASK)]
+            start += rows
+        return out
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         system, path = opened(part.uri)
-        with system.open_input_file(path) as f:
-            dtype, rows, dim = parse_header(f.read(HEADER.size), part.strict)
-            f.seek(HEADER.size + part.first * dim * dtype.itemsize)
-            raw = f.read((part.last - part.first) * dim * dtype.itemsize)
         beside = path.removesuffix(".bin") + ".ids"
         ids = []
         if system.get_file_info(beside).type == fs.FileType.File:
             with system.open_input_file(beside) as f:
                 ids = ids_of(f.read().decode())
-        if part.strict and len(ids) != rows:
-            raise PackError(f"index pack has {rows} rows but {len(ids)} ids")
-        n = part.last - part.first
-        values = pa.array(np.frombuffer(raw, dtype=dtype).astype(np.float32))
-        vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), values)
-        mine = [ids[i] if i < len(ids) else None for i in range(part.first, part.last)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(part.first, part.last), pa.int64()), pa.array(mine, pa.string()), vectors], names=["row", "id", "embedding"])
+        with system.open_input_file(path) as f:
+            dtype, rows, dim = parse_header(f.read(HEADER.size), part.strict)
+            if part.strict and len(ids) != rows:
+                raise PackError(f"index pack has {rows} rows but {len(ids)} ids")
+            f.seek(HEADER.size + part.first * dim * dtype.itemsize)
+            for first in range(part.first, part.last, ROWS_PER_BATCH):
+                n = min(ROWS_PER_BATCH, part.last - first)
+                values = pa.array(np.frombuffer(f.read(n * dim * dtype.itemsize), dtype=dtype).astype(np.float32))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), values)
+                mine = [ids[i] if i < len(ids) else None for i in range(first, first + n)]
+                rows_ = pa.array(np.arange(part.start + first, part.start + first + n), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows_, pa.array(mine, pa.string()), vectors], names=["row", "id", "embedding"])
 
 
 class IndexPackSource(DataSource):
@@ -122,41 +147,76 @@ class IndexPackSource(DataSource):
 
 
 def read_pack(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Rows of a pack, or of all packs of a folder, numbered through. Where there is none, no rows."""
     spark.dataSource.register(IndexPackSource)
+    if not exists(path):
+        return spark.createDataFrame([], SCHEMA)
     return spark.read.format("indexpack").option("strict", str(strict).lower()).load(path)
 
 
-def _write(uri: str, rows: pd.DataFrame, half: bool) -> int:
-    rows = rows.sort_values("row")
-    matrix = np.stack(rows["embedding"]) if len(rows) else np.zeros((0, 0), dtype=np.float32)
-    system, path = opened(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path, compression=None) as f:
-        f.write(pack_bytes(matrix, half))
-    with system.open_output_stream(path.removesuffix(".bin") + ".ids", compression=None) as f:
-        f.write("\n".join(rows["id"]).encode())
-    return len(rows)
+class PackWriter:
+    """Appends rows to a pack of a known number of rows, a batch at a time; the files take their names when whole, so a
+    task that is tried again, or twice at once, leaves one whole pack."""
+
+    def __init__(self, uri: str, rows: int, half: bool):
+        self.rows, self.half, self.done = rows, half, 0
+        self.system, self.path = opened(uri)
+        self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.names = [self.path, self.path.removesuffix(".bin") + ".ids"]
+        self.parts = [f"{n}.{uuid.uuid4().hex}.part" for n in self.names]
+        self.bin, self.ids = (self.system.open_output_stream(p, compression=None) for p in self.parts)
+
+    def head(self, dim: int) -> None:
+        self.bin.write(HEADER.pack(MAGIC, VERSION, int(self.half), self.rows, dim))
+
+    def add(self, batch: pd.DataFrame) -> None:
+        matrix = np.stack(batch["embedding"]).astype(np.float32)
+        if not self.done:
+            self.head(matrix.shape[1])
+        self.bin.write(unit_rows(matrix).astype(DTYPES[int(self.half)]).tobytes())
+        self.ids.write((("\n" if self.done else "") + "\n".join(batch["id"])).encode())
+        self.done += len(batch)
+
+    def close(self) -> int:
+        if not self.done:
+            self.head(EMPTY_DIM)
+        self.bin.close()
+        self.ids.close()
+        if self.done != self.rows:
+            raise PackError(f"{self.done} rows came, not {self.rows}")
+        for part, name in zip(self.parts, self.names, strict=True):
+            self.system.move(part, name)
+        return self.done
 
 
 def write_shards(index: DataFrame, folder: str, half: bool = True, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Packs of at most shard_rows rows (row, id, embedding) in order of row, each by a task of its own: path, rows."""
+    """Packs of at most shard_rows rows (row, id, embedding) in order of row, each by a task of its own: path, rows.
+    Rows are numbered from 0 without gaps."""
     shard = F.floor(F.col("row") / shard_rows)
 
     def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/part-{key[0]:06d}.bin"
-        return pd.DataFrame({"path": [path], "rows": [_write(path, rows, half)]})
+        path, rows = f"{folder}/part-{key[0]:06d}.bin", rows.sort_values("row")
+        out = PackWriter(path, len(rows), half)
+        for i in range(0, len(rows), ROWS_PER_BATCH):
+            out.add(rows.iloc[i : i + ROWS_PER_BATCH])
+        return pd.DataFrame({"path": [path], "rows": [out.close()]})
 
     return index.select("row", "id", "embedding", shard.alias("shard")).groupBy("shard").applyInPandas(save, "path string, rows long")
 
 
-def write_pack(index: DataFrame, path: str, half: bool = True, limit: int = SHARD_ROWS) -> int:
-    """One pack of all rows, for an index that a single reader must take; larger ones than `limit` belong in shards."""
-    if (n := index.count()) > limit:
-        raise PackError(f"{n} rows are too many for one pack of {limit}; use write_shards")
-    rows = index.select("row", "id", "embedding").withColumn("all", F.lit(0))
+def write_pack(index: DataFrame, path: str, half: bool = True) -> int:
+    """One pack of all rows, for a reader that takes a single file. By its format that is one task's work: it streams
+    the rows in order, a batch at a time, so its memory does not grow with them."""
+    n = index.count()
 
-    def save(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"rows": [_write(path, group, half)]})
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = None
+        for batch in batches:
+            if len(batch):
+                out = out or PackWriter(path, n, half)
+                out.add(batch)
+        if out:
+            yield pd.DataFrame({"rows": [out.close()]})
 
-    done = rows.groupBy("all").applyInPandas(save, "rows long").collect()
-    return done[0]["rows"] if done else _write(path, pd.DataFrame({"row": [], "id": [], "embedding": []}), half)
+    done = index.select("row", "id", "embedding").repartition(1).sortWithinPartitions("row").mapInPandas(save, "rows long").collect()
+    return done[0]["rows"] if done else PackWriter(path, 0, half).close()

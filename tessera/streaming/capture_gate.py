@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FRAMES, DRIFT, SHARP = 3, 0.04, 12.0
 
@@ -45,3 +50,39 @@ def locked_sets(gated: DataFrame, order: tuple[str, ...] = ("ts", "seq"), wanted
     rows = gated.where("reason IS NULL").withColumn("scan", F.floor((F.row_number().over(by) - 1) / wanted))
     whole = rows.withColumn("__n", F.count("*").over(Window.partitionBy("camera_id", "scan")))
     return whole.where(F.col("__n") == wanted).drop("__n")
+
+
+STREAMED = "camera_id string, ts timestamp, seq long, reason string, scan long"
+STATE = "held array<double>, locked long"
+
+
+def capture_stream(frames: DataFrame, n: int = FRAMES, drift: float = DRIFT, sharp: float = SHARP, wanted: int = FRAMES, restart: bool = True) -> DataFrame:
+    """STREAMED for a streaming DataFrame of frames (camera_id, ts, seq, quad, sharpness, rejected): capture_gate's
+    reason, and for a locked frame the number of the scan that it belongs to, `wanted` frames each.
+
+    With `restart` the history starts anew after each whole scan, as it does after a rejected frame. A camera's last n
+    quads and its count of locked frames are the query's state. Frames are taken in order within a
+    micro-batch; one that comes after a later one of its camera counts when it comes. The last scan may be incomplete.
+    """
+
+    def task(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, locked = state.get if state.exists else ([], 0)
+        quads = [q for q in np.asarray(held, dtype=np.float64).reshape(-1, 4, 2)]
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
+            reason = r.rejected if isinstance(r.rejected, str) else None
+            if reason is None:
+                quads = [*quads, np.array([(p["x"], p["y"]) for p in r.quad])][-n:]
+                apart = np.linalg.norm(np.array(quads[1:]).reshape(-1, 4, 2) - quads[0], axis=2)
+                reason = "blurry" if r.sharpness < sharp else "steadying" if len(quads) < n else "moving" if (apart > drift).any() else None
+            else:
+                quads = []
+            out.append((r.camera_id, r.ts, r.seq, reason, None if reason else locked // wanted))
+            locked += reason is None
+            if restart and reason is None and locked % wanted == 0:
+                quads = []
+        state.update((np.array(quads).ravel().tolist(), locked))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAMED.split(", ")]).astype({"scan": "Int64"})
+
+    keyed = frames.select("camera_id", "ts", "seq", "quad", "sharpness", "rejected").where("camera_id IS NOT NULL").groupBy("camera_id")
+    return keyed.applyInPandasWithState(task, STREAMED, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,19 +1,26 @@
 """Resumable import: each micro-batch takes some landed groups into the catalogue, the checkpoint is the cursor.
 
-A landed file is one group: {"group": ..., "products": [...], "prices": [...]}. A batch that fails is taken again; its
-merge is idempotent and a snapshot is only seen when it is whole.
+A landed file is one group: {"group": ..., "products": [...], "prices": [...]}. The four tables change together, in one
+commit, so a reader never sees new printings with old prices. A batch that fails is taken again: its merge is
+idempotent, and its counts and quarantine replace those of its own number. Once all is taken in, the catalogue is
+published and its version recorded.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalogue import UPDATES, empty_tables, import_feed, merged
 from ..operators.merge import Snapshots
+from ..operators.publish import publish_next
 from ..sources.feed import GROUP, PRICE, PRODUCT, _typed
 
 GROUPS_PER_BATCH = 12
+REPORT = "sets long, printings long, unmatched long, prices long"
+VERSIONS = "game_id string, version string, printings_count long, index_pack_key string, created_at timestamp"
 
 
 def landed(group: str, product: str, price: str) -> str:
@@ -25,20 +32,18 @@ SCHEMA = landed(GROUP, PRODUCT, PRICE)
 
 
 def import_batch(game: str, rows: DataFrame, root: str, batch_id: int = 0) -> None:
-    """Merges one batch of landed groups into the snapshots under `root`, and appends its counts and quarantine."""
+    """Merges one batch of landed groups into the catalogue under `root`, with its counts and quarantine."""
     spark = rows.sparkSession
     groups = rows.select("group.*")
     gid = F.col("group.groupId").alias("groupId")
     products = rows.select(gid, F.posexplode("products").alias("pos", "x")).select("pos", "x.*")
     prices = rows.select(gid, F.posexplode("prices").alias("pos", "x")).select("groupId", "pos", "x.*")
-    stores = {name: Snapshots(spark, f"{root}/{name}") for name in UPDATES}
-    known = stores["printings"].read() if stores["printings"].versions() else None
-    new = import_feed(game, groups, products, prices, F.current_timestamp(), known)
-    old = {n: s.read() if s.versions() else empty_tables(new)[n] for n, s in stores.items()}
-    for name, table in merged(old, new).items():
-        stores[name].write(table)
-    new.unmatched.write.mode("append").json(f"{root}/unmatched")
-    new.report().withColumn("batch", F.lit(batch_id)).write.mode("append").json(f"{root}/reports")
+    store = Snapshots(spark, f"{root}/catalogue")
+    old = store.read() if store.versions() else None
+    new = import_feed(game, groups, products, prices, F.current_timestamp(), old["printings"] if old else None)
+    store.write(merged(old or empty_tables(new), new))
+    new.unmatched.write.mode("overwrite").json(f"{root}/unmatched/batch={batch_id}")
+    new.report().write.mode("overwrite").json(f"{root}/reports/batch={batch_id}")
 
 
 def run_import(spark: SparkSession, game: str, landing: str, root: str, checkpoint: str, per_batch: int = GROUPS_PER_BATCH) -> None:
@@ -46,3 +51,18 @@ def run_import(spark: SparkSession, game: str, landing: str, root: str, checkpoi
     stream = spark.readStream.schema(SCHEMA).option("multiLine", "true").option("maxFilesPerTrigger", per_batch).json(landing)
     query = stream.writeStream.foreachBatch(lambda rows, n: import_batch(game, rows, root, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def totals(spark: SparkSession, root: str) -> DataFrame:
+    """One row: the sums of all batches' counts."""
+    return spark.read.schema(f"{REPORT}, batch long").json(f"{root}/reports").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sets", "printings", "prices", "unmatched")])
+
+
+def run_refresh(spark: SparkSession, game: str, landing: str, root: str, checkpoint: str, version: str, now: datetime, per_batch: int = GROUPS_PER_BATCH) -> list[str]:
+    """Imports what has landed, publishes the game's packs under root/packs once, and records the version; the paths."""
+    run_import(spark, game, landing, root, checkpoint, per_batch)
+    store = Snapshots(spark, f"{root}/versions")
+    known = store.read()["versions"] if store.versions() else spark.createDataFrame([], VERSIONS)
+    paths, versions = publish_next(Snapshots(spark, f"{root}/catalogue").read(), known, game, version, now, f"{root}/packs")
+    store.write({"versions": versions})
+    return paths

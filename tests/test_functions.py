@@ -37,8 +37,8 @@ def test_scalar_tables(spark, f, cases):
 
 
 def test_split_number(spark):
-    got = of_strings(spark, ["025/198", "OP07-119", " 25 / 198 "], T.split_number)
-    assert [tuple(x) for x in got] == [("025", "198"), ("OP07-119", None), ("25", "198")]
+    got = of_strings(spark, ["025/198", "OP07-119", " 25 / 198 ", "\t25\u00a0/\n198\r\n", "\tOP07-119\u3000\n"], T.split_number)
+    assert [tuple(x) for x in got] == [("025", "198"), ("OP07-119", None), ("25", "198"), ("25", "198"), ("OP07-119", None)]
 
 
 def test_keys(spark):
@@ -143,6 +143,31 @@ def test_quads(spark):
     assert [(p["x"], p["y"]) for p in got] == [(0, 0), (1, 0), (1, 1), (0, 1)]
 
 
+def test_corners_start_with_the_shortest_edge(spark):
+    """A card that lies on its side: the left edge is the top one."""
+    side = quad((0.1, 0.3), (0.9, 0.3), (0.9, 0.7), (0.1, 0.7))
+    rows = [([side[i] for i in order], w, h) for order in ((0, 1, 2, 3), (2, 0, 3, 1)) for w, h in ((100, 100), (100, 300))]
+    got = values(spark, rows, f"q {G.QUAD}, w int, h int", G.ordered_corners(col("q"), col("w"), col("h")))
+    points = [[(p["x"], p["y"]) for p in g] for g in got]
+    corners = [(p["x"], p["y"]) for p in side]
+    assert points == [corners[1:] + corners[:1], corners] * 2  # of equal edges the first: right before left
+    raw = [1.9, 0.3, float("nan"), 0.3, 0.1, 0.7, 0.9, 0.7]
+    d = values(spark, [(raw, 0.0, None), (raw, 5.0, 0.02), ([0.5] * 8, 5.0, 0.5)], "r array<double>, p double, s double", G.detection(col("r"), col("p"), col("s"), F.lit(640), F.lit(480)))
+    assert [(round(x["confidence"], 3), x["card_present"]) for x in d] == [(0.5, True), (0.02, False), (0.5, True)]
+    assert {(p["x"], p["y"]) for p in d[0]["corners"]} == {(1.0, 0.3), (0.0, 0.3), (0.1, 0.7), (0.9, 0.7)}
+
+
+def test_small_functions(spark):
+    assert of_strings(spark, ["2024-07-01 10:00:00"], lambda s: T.next_version(s.cast("timestamp"))) == ["20240701"]
+    assert of_strings(spark, ["aGVs\n bG8="], lambda s: T.decoded_base64(s).cast("string")) == ["hello"]
+    assert of_strings(spark, ["2024-07-01T10:00:00Z"], T.day_of) == ["2024-07-01"]
+    rows = [(False, None, None), (True, "a", "a"), (True, "a", "b"), (True, "a", None)]
+    assert values(spark, rows, "h boolean, s string, r string", T.index_needs_download(col("h"), col("s"), col("r"))) == [True, False, True, False]
+    assert values(spark, [([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>", V.mean_abs_diff(col("a"), col("b"))) == [1.5]
+    rows = [(0, None, "a"), (2, "a", None), (2, "a", "a"), (2, "a", "b")]
+    assert values(spark, rows, "n int, f string, c string", V.ocr_agreement(col("n"), col("f"), col("c"))) == [None, False, True, False]
+
+
 def test_homography(spark):
     to = quad((10, 20), (30, 22), (28, 50), (12, 44))
     h = G.homography(col("a"), col("b"))

@@ -1,8 +1,13 @@
 import datetime as dt
+import json
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import catalogue, collection, merge, publish, scan, search
@@ -49,9 +54,39 @@ def test_published_packs(spark, tmp_path):
     new = feed(spark)
     tables = catalogue.merged(catalogue.empty_tables(new), new)
     paths = publish.publish(tables, "onepiece", "20240701", f"file://{tmp_path}", ("20240601", F.lit("2000-01-01").cast("timestamp")))
-    assert [p.rsplit("/", 1)[1] for p in paths] == ["catalog-20240701", "delta-20240601-20240701"]
-    assert spark.read.json(f"{paths[0]}/printings").count() == 4
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["catalog-20240701.json", "delta-20240601-20240701.json"]
+    whole = json.loads((tmp_path / "games/onepiece/catalog-20240701.json").read_text())
+    assert [len(whole[n]) for n in publish.SECTIONS] == [2, 3, 4, 4, 0] and (whole["from"], whole["to"]) == (None, "20240701")
+    assert {"id": "onepiece:OP07", "gameId": "onepiece", "code": "OP07", "name": "Five Hundred Years", "releaseDate": "2024-06-28"} in whole["sets"]
+    back = publish.read_pack(spark, paths[0])
+    for name in publish.RENAMED:
+        want = tables[name].select(*[c for c in publish.RENAMED[name] if c in tables[name].columns])
+        got = back[name].select(*[F.col(c).cast(want.schema[c].dataType) for c in want.columns])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert publish.publish(tables, "onepiece", "20240701", f"file://{tmp_path}", ("20240701", F.lit(None)))[1:] == []
+    gone = spark.createDataFrame([("a\"b",), ("c",)], "id string")
+    publish.write_pack({n: t.limit(0) for n, t in publish.full_pack(tables, "onepiece").items()} | {"removed": gone}, f"file://{tmp_path}/r.json", "g", "1", "2")
+    assert json.loads((tmp_path / "r.json").read_text())["removedPrintings"] == ['a"b', "c"]
+    assert sorted(r.id for r in publish.read_pack(spark, f"file://{tmp_path}/r.json")["removed"].collect()) == ['a"b', "c"]
+
+
+def test_commas_across_batches():
+    rows = [(0, 0, "h"), (1, 0, "["), (1, 1, "a"), (1, 1, "b"), (1, 1, "c"), (1, 2, "]"), (2, 0, "["), (2, 1, "d"), (2, 2, "]")]
+    for size in (1, 2, 4, 9):
+        batches = (pd.DataFrame(rows[i : i + size], columns=["section", "kind", "value"]) for i in range(0, 9, size))
+        assert "".join(v for b in publish.with_commas(batches) for v in b["value"]) == "h[a,b,c][d]"
+
+
+def test_versions_of_a_game(spark, tmp_path):
+    new = feed(spark)
+    tables = catalogue.merged(catalogue.empty_tables(new), new)
+    none = spark.createDataFrame([], "game_id string, version string, printings_count long, index_pack_key string, created_at timestamp")
+    paths, versions = publish.publish_next(tables, none, "onepiece", "1", dt.datetime(2024, 1, 1), f"file://{tmp_path}")
+    assert len(paths) == 1 and [tuple(r) for r in versions.collect()] == [("onepiece", "1", 4, None, dt.datetime(2024, 1, 1))]
+    paths, versions = publish.publish_next(tables, versions, "onepiece", "2", dt.datetime(2025, 1, 1), f"file://{tmp_path}")
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["catalog-2.json", "delta-1-2.json"] and versions.count() == 2
+    delta = publish.read_pack(spark, paths[1])
+    assert delta["printings"].count() == 4 and delta["sets"].count() == 0  # all were written after the first version
 
 
 rows = st.lists(st.tuples(st.integers(0, 4), st.one_of(st.none(), st.integers(0, 9)), st.one_of(st.none(), st.integers(0, 9))), max_size=12)
@@ -86,26 +121,66 @@ def test_append_rows(spark):
     pack = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0)], "row long, id string, v double")
     new = spark.createDataFrame([(0, "b", 9.0), (1, "d", 4.0), (2, "d", 5.0)], "row long, id string, v double")
     assert [tuple(r) for r in merge.append_rows(pack, new).orderBy("row").collect()] == [(0, "a", 1.0), (1, "c", 3.0), (2, "b", 9.0), (3, "d", 4.0), (4, "d", 5.0)]
+    assert merge.append_rows(pack.limit(0), new.limit(0)).count() == 0
+
+
+def test_rows_are_numbered_without_gaps_in_many_partitions(spark):
+    """Far more rows than a sort samples: kept ones first, then new ones, each in order."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        pack = spark.range(400_000).select(F.col("id").alias("row"), (F.col("id") * 31 % 400_009).alias("id"), F.col("id").alias("old"))
+        out = merge.append_rows(pack, pack.where("row % 7 = 0")).persist()
+        n = F.count("*"), F.countDistinct("row"), F.min("row"), F.max("row")
+        assert tuple(out.agg(*n).first()) == (400_000, 400_000, 0, 399_999)
+        w = Window.partitionBy(F.floor(F.col("row") / 20_000)).orderBy("row")
+        new, before_ = (F.col("old") % 7 == 0).cast("int"), F.lag(F.struct((F.col("old") % 7 == 0).cast("int"), "old")).over(w)
+        assert out.withColumn("fine", before_.isNull() | (before_ < F.struct(new, "old"))).where("NOT fine").count() == 0
+        assert out.where("old % 7 <> 0").agg(F.max("row")).first()[0] == 400_000 - 57_143 - 1
+        out.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_snapshots(spark, tmp_path):
     store = merge.Snapshots(spark, f"file://{tmp_path}/t")
     with pytest.raises(FileNotFoundError):
         store.read()
-    assert store.write(spark.range(3)) == 1
-    assert store.write(store.read().where("id > 0")) == 2  # reads one version while it writes the next
-    assert store.versions() == [1, 2] and store.read().count() == 2 and store.read(1).count() == 3
-    (tmp_path / "t" / "v3").mkdir()  # not complete
+    assert store.write({"a": spark.range(3), "b": spark.range(1)}) == 1
+    old = store.read()
+    assert store.write({"a": old["a"].where("id > 0"), "b": old["b"]}) == 2  # reads one version while it writes the next
+    assert store.versions() == [1, 2] and {n: t.count() for n, t in store.read().items()} == {"a": 2, "b": 1} and store.read(1)["a"].count() == 3
+    (tmp_path / "t" / "v3-left").mkdir()  # never committed
     assert store.versions() == [1, 2]
+    late = merge.Snapshots(spark, f"file://{tmp_path}/t")
+    late.versions = lambda: [1]  # another writer that has not seen the second version
+    with pytest.raises(Exception, match="exist"):
+        late.write({"a": spark.range(9)})
+    assert store.read()["a"].count() == 2
+
+
+def test_scratch_tables(spark):
+    from tessera import scratch
+
+    with scratch.scope(spark) as made:
+        rows = scratch.written(spark.range(5), "x")
+        kept = scratch.new_dir(spark, "y")
+        made.remove(kept)
+        assert rows.count() == 5 and len(made) == 1
+        path = made[0]
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert scratch.numbered(spark.range(0), ["id"], "n").count() == 0
 
 
 def test_search_and_votes(spark):
     index = spark.createDataFrame([(0, "a", [1.0, 0.0, 0.0]), (1, "b", [0.0, 1.0, 0.0]), (2, "c", [0.9, 0.1, 0.0]), (3, "d", [0.0, 0.0, 1.0])], "row long, id string, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<float>")
-    for f in (search.knn_topk, search.knn_topk_in_order):
-        got = f(index, queries, 3).orderBy("query_id", "rank").collect()
+    for blocks in ({}, {"query_block": 1, "index_block": 2}):
+        got = search.knn_topk(index, queries, 3, **blocks).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.id) for r in got] == [(1, "a"), (1, "c"), (1, "b")] and got[0].score == pytest.approx(1.0)
-        assert f(index.limit(0), queries, 3).count() == 0
+        assert search.knn_topk(index.limit(0), queries, 3, **blocks).count() == 0
+    odd = spark.createDataFrame([(0, "n", None), (1, "x", [float("inf"), 0.0, 0.0]), (2, "e", [])], index.schema)
+    assert search.knn_topk(odd, queries.unionByName(odd.select(F.col("row").alias("query_id"), "embedding")), 3).count() == 0
     frames = [(1, 0, 1, "lucky", 9, 0.2), (1, 1, 1, "lucky", 9, 0.1), (1, 2, 1, "lucky", 9, 0.95), (1, 0, 2, "steady", 4, 0.7), (1, 2, 2, "steady", 5, 0.72)]
     votes = search.vote_frames(spark.createDataFrame(frames, "scan_id long, frame int, rank int, id string, row long, score double")).orderBy("rank").collect()
     assert [(r.id, r.row) for r in votes] == [("steady", 4), ("lucky", 9)] and votes[0].score == pytest.approx(1.42 / 3)
@@ -121,6 +196,27 @@ def test_top_k_against_a_full_sort(spark, vectors, k):
     queries = spark.createDataFrame([(0, [1.0, 2.0])], "query_id long, embedding array<float>")
     want = [i for _, i in sorted((-(v[0] + 2 * v[1]), i) for i, v in enumerate(vectors))][:k]
     assert [r.row for r in search.knn_topk(index, queries, k).orderBy("rank").collect()] == want
+    assert [r.row for r in search.knn_topk(index, queries, k, index_block=4).orderBy("rank").collect()] == want
+
+
+def test_scores_are_sums_in_order(spark):
+    """Copies tie to the lower row, and a score is the plain loop's to the last bit."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((2_500, 37))
+    v[rng.integers(0, 2_500, 900)] = v[7]
+    index = spark.createDataFrame([(i, str(i), x.tolist()) for i, x in enumerate(v)], "row long, id string, embedding array<double>")
+    asked = index.where("row % 500 = 7").select(F.col("row").alias("query_id"), "embedding")
+
+    def plain(a, b):
+        s = 0.0
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            s += x * y
+        return s
+
+    got = search.knn_topk(index, asked, 40, index_block=900).collect()
+    for q in (7, 507, 1007):
+        want = sorted((-plain(v[q], x), i) for i, x in enumerate(v))[:40]
+        assert [(-r.score, r.row) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
 
 
 def test_rotation_retry(spark):
@@ -142,12 +238,12 @@ def test_serial_chain(spark):
     reads = spark.createDataFrame([(1, "g", "OP18-070")], "scan_id int, game_id string, serial string")
     near = scan.near_printings(reads, printings).withColumn("lines", F.array(F.lit("SCRATCHMEN apoo"))).withColumn("image_score", F.lit(None).cast("double"))
     assert near.count() == 3
-    chosen = scan.choose_serial(near)
-    got = chosen.first()
+    chosen = scan.with_choice(near)
+    got = scan.choose_serial(chosen).first()
     assert (got.serial, got.exact, got.name_score) == ("OP17-070", False, 1.0)
-    ranked = scan.rank_by_serial(near, chosen)
+    ranked = scan.rank_by_serial(chosen)
     assert [r.id for r in ranked.orderBy("place").collect()] == ["p1", "p2"]  # the home set first
-    out = scan.serial_results(ranked, chosen).first()
+    out = scan.serial_results(ranked).first()
     assert out.printing_id == "p1" and out.confidence.tier == "check"
 
 
@@ -155,6 +251,12 @@ def test_chain_and_stale(spark):
     deltas = spark.createDataFrame([("g", "1", "2", 0), ("g", "2", "3", 1), ("h", "1", "2", 0)], "game string, `from` string, `to` string, ordinal int")
     wanted = spark.createDataFrame([("g", "1", "3"), ("h", "1", "3"), ("i", None, "3")], "game string, local string, target string")
     assert sorted((r.game, r.step, r.to) for r in publish.delta_chain(deltas, wanted).collect()) == [("g", 1, "2"), ("g", 2, "3")]
+    steps = [("a", str(i), str(i + 1), 0) for i in range(80)] + [("b", "1", "2", 0), ("b", "2", "1", 0), ("b", "1", "3", 1)]
+    deltas = spark.createDataFrame(steps, deltas.schema)
+    wanted = spark.createDataFrame([("a", "0", "64"), ("a", "3", "68"), ("a", "79", "80"), ("a", "5", "5"), ("b", "2", "3"), ("b", "2", "9")], wanted.schema)
+    rows = publish.delta_chain(deltas, wanted).collect()
+    assert len(rows) == 64 + 1 + 2  # 65 links are too many; a cycle has no end
+    assert sorted((r.step, r["from"], r.to) for r in rows if r.game == "b") == [(1, "2", "1"), (2, "1", "3")]
     versions = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2)), ("b", dt.datetime(2024, 3, 1))], "game_id string, created_at timestamp")
     assert [r.game_id for r in publish.stale_games(versions, F.lit("2024-02-01").cast("timestamp")).collect()] == ["a"]
     progress = spark.createDataFrame([("c", None, dt.datetime(2024, 1, 1)), ("d", dt.datetime(2024, 1, 1), dt.datetime(2023, 1, 1))], "game_id string, done_at timestamp, updated_at timestamp")
@@ -177,25 +279,27 @@ def test_collection_value(spark):
     assert got == {1: (5, 6.0, "USD"), 2: (1, 0.0, "GBP")}
 
 
-def test_growing_an_index_by_chunks(spark):
+def test_growing_an_index_by_chunks(spark, tmp_path):
     from tessera.operators.fingerprint import fingerprint_missing
 
     printings = spark.createDataFrame([(i, c, c) for i, c in enumerate("abcdef")], "ordinal long, id string, address string")
     pack = spark.createDataFrame([(0, "c", [1.0])], "row long, id string, embedding array<double>")
-    saved = []
+    seen = []
 
     def embed(part):
+        ids = sorted(r.id for r in part.collect())
+        seen.append(ids)
+        if ids == ["d"] and len(seen) == 2:
+            raise RuntimeError("the run dies")
         return part.select("id", F.array(F.lit(2.0)).alias("embedding"), F.when(F.col("id") == "b", "broken").alias("error"))
 
-    def save(grown, ids):
-        rows = grown.collect()
-        saved.append((len(rows), sorted(r.id for r in ids.collect())))
-        return spark.createDataFrame(rows, pack.schema)
-
-    out = fingerprint_missing(printings, pack, embed, save, chunk=2)
-    assert saved == [(2, ["a"]), (3, ["d"]), (5, ["e", "f"])]
-    assert [r.id for r in out.orderBy("row").collect()] == ["c", "a", "d", "e", "f"]
-    assert fingerprint_missing(printings.where("id = 'c'"), pack, embed, save) is pack
+    with pytest.raises(RuntimeError):
+        fingerprint_missing(printings, pack, embed, f"file://{tmp_path}/p", chunk=2)
+    out, ids = fingerprint_missing(printings, pack, embed, f"file://{tmp_path}/p", chunk=2)
+    assert seen == [["a", "b"], ["d"], ["d"], ["e", "f"]]  # what was done is not done again
+    assert [r.id for r in out.orderBy("row").collect()] == ["c", "a", "d", "e", "f"] and sorted(r.id for r in ids.collect()) == ["a", "d", "e", "f"]
+    same, none = fingerprint_missing(printings.where("id = 'c'"), pack, embed, f"file://{tmp_path}/q")
+    assert same is pack and none.count() == 0
 
 
 def test_books(spark):
@@ -219,3 +323,43 @@ def test_sync_by_chain_or_full_pack(spark):
     assert publish.sync(base, [], deltas[0])["cards"].count() == 2 and publish.sync(base, []) is base
     rows = spark.createDataFrame([(None, None)], "variant string, updated_at string")
     assert tuple(publish.with_defaults(rows, F.lit("now")).first()) == ("normal", "now")
+
+
+def test_other_candidates_and_readings(spark):
+    expanded = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x")], "scan_id long, art_rank int, art_id string")
+    printings = spark.createDataFrame([(1, 1, "x", "a"), (1, 2, "y", "b"), (1, 3, "y", "c"), (2, 1, "x", "a")], "scan_id long, ordinal int, art_id string, id string")
+    named = spark.createDataFrame([(1, "c")], "scan_id long, id string")
+    assert sorted((r.scan_id, r.art_id) for r in scan.other_candidates(expanded, printings, named).collect()) == [(1, "x"), (2, "x")]
+    chosen = spark.createDataFrame([(1, "a"), (2, "z")], "scan_id long, printing_id string")
+    assert sorted((r.scan_id, r.place, r.id) for r in scan.alternatives(printings, chosen, 1).collect()) == [(1, 1, "b"), (2, 1, "a")]
+    readings = spark.createDataFrame([(1, 2, ["OP01-002"]), (1, 1, ["x", "OP01-001"]), (1, 0, ["none"]), (2, 0, [])], "frame_id long, turn int, lines array<string>")
+    assert [tuple(r) for r in scan.first_reading(readings).collect()] == [(1, "OP01-001", ["x", "OP01-001"], 1)]
+
+
+def test_names_in_texts_against_every_pair(spark):
+    from tessera.functions import reading as R
+
+    lines = [["SCRATCHMEN  apoo", "x"], ["men Apoo"], ["Scratchrnen Apoo"], ["Apco"], [], [""], ["monkey d lufly and namı"]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "k long, lines array<string>")
+    names = spark.createDataFrame([("Scratchmen Apoo",), ("Monkey D Luffy",), ("Nami",), ("to be",), ("Apoo Apoo Monkeys",)], "name string")
+    want = texts.crossJoin(names).select("k", "name", R.name_similarity(F.col("lines"), F.col("name")).alias("s")).where("s > 0").collect()
+    got = scan.named_in(texts, names, "k").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 4
+
+
+def test_frames_are_turned_where_they_are_weak(spark):
+    from tessera.functions import image as I
+    from tessera.operators import frames
+    from tessera.plans.queries import block_means
+
+    rng = np.random.default_rng(3)
+    cards = [np.concatenate([np.kron(rng.integers(0, 256, (4, 4, 3)), np.ones((8, 8, 1))), np.full((32, 32, 1), 255)], axis=2).astype(np.uint8) for _ in range(4)]
+    quad = [0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0]
+    shots = [cards[0], cards[1][::-1, ::-1], np.rot90(cards[2], 1), cards[3], cards[3]]
+    rows = [(i, (*I.packed(a),), quad if i != 4 else [0.0] * 8, 0.0, 0.01 if i == 3 else 0.5) for i, a in enumerate(shots)]
+    asked = spark.createDataFrame(rows, f"frame_id long, image struct<{I.IMAGE}>, raw array<double>, presence double, sharpness double")
+    known = spark.createDataFrame([(i, str(i), (*I.packed(a),)) for i, a in enumerate(cards)], f"row long, id string, image struct<{I.IMAGE}>")
+    index = known.select("row", "id", block_means(F.col("image")).alias("embedding"))
+    seen, found = frames.process_frames(asked, index, block_means, k=2, size=32, retry_below=0.9)
+    assert {r.frame_id: r.rejected for r in seen.collect()} == {0: None, 1: None, 2: None, 3: "no-card", 4: "bad-quad"}
+    assert sorted((r.frame_id, r.turn, r.id) for r in found.where("rank = 1").collect()) == [(0, 0, "0"), (1, 180, "1"), (2, 90, "2")]

@@ -88,6 +88,43 @@ def test_capture_gate(spark):
     assert [(r.seq, r.scan) for r in capture_gate.locked_sets(out, wanted=2).orderBy("seq").collect()] == [(2, 0), (7, 0)]
 
 
+def gate_by_a_loop(frames, restart):
+    """The gate and the scans' counter as one plain loop."""
+    held, locked, out = [], 0, []
+    for seq, (quad, sharp, rejected) in enumerate(frames):
+        if rejected:
+            held = []
+            out.append((seq, rejected, None))
+            continue
+        held = [*held, quad][-3:]
+        far = max((abs(complex(x, y) - complex(*held[0][i])) for q in held[1:] for i, (x, y) in enumerate(q)), default=0)
+        reason = "blurry" if sharp < 12 else "steadying" if len(held) < 3 else "moving" if far > 0.04 else None
+        out.append((seq, reason, None if reason else locked // 3))
+        locked += reason is None
+        if restart and reason is None and locked % 3 == 0:
+            held = []
+    return out
+
+
+def test_gate_as_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    square = [(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)]
+    frames = [([(x + float(d), y) for x, y in square], float(s), "no-card" if r < 0.08 else None) for d, s, r in zip(rng.choice([0.0, 0.01, 0.1], 90, p=[0.6, 0.3, 0.1]), rng.choice([5, 20, 30], 90, p=[0.1, 0.5, 0.4]), rng.random(90))]
+    rows = [("c", START + dt.timedelta(seconds=i), i, [{"x": x, "y": y} for x, y in q], s, r) for i, (q, s, r) in enumerate(frames)]
+    schema = "camera_id string, ts timestamp, seq long, quad array<struct<x:double,y:double>>, sharpness double, rejected string"
+    df = spark.createDataFrame(rows, schema)
+    for part in range(3):
+        df.where(F.floor(F.col("seq") / 30) == part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    for restart in (False, True):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        writer = capture_gate.capture_stream(stream, restart=restart).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c{restart}")
+        writer.trigger(availableNow=True).start(f"file://{tmp_path}/out{restart}").awaitTermination()
+        got = spark.read.parquet(f"file://{tmp_path}/out{restart}").orderBy("seq").collect()
+        assert [(r.seq, r.reason, r.scan) for r in got] == gate_by_a_loop(frames, restart)
+    batch = {r.seq: r.reason for r in capture_gate.capture_gate(df).collect()}
+    assert batch == {seq: reason for seq, reason, _ in gate_by_a_loop(frames, False)}
+
+
 def test_index_pack_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     matrix = rng.standard_normal((7, 8)).astype(np.float32)
@@ -105,8 +142,15 @@ def test_index_pack_round_trip(spark, tmp_path):
     with pytest.raises(Exception, match="7 rows but 2 ids"):
         index_pack.read_pack(spark, f"file://{tmp_path}/False.bin").collect()
     assert index_pack.read_pack(spark, f"file://{tmp_path}/False.bin", strict=False).count() == 7
+    whole = index_pack.read_pack(spark, f"file://{tmp_path}/shards").orderBy("row").collect()  # a folder of packs
+    assert [(r.row, r.id) for r in whole] == [(r[0], r[1]) for r in rows]
+    assert index_pack.read_pack(spark, f"file://{tmp_path}/none.bin").count() == 0
+    assert index_pack.write_pack(df.limit(0), f"file://{tmp_path}/empty.bin") == 0
+    assert index_pack.parse_header((tmp_path / "empty.bin").read_bytes())[1:] == (0, 128) and index_pack.read_pack(spark, f"file://{tmp_path}/empty.bin").count() == 0
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+    index_pack.check_pair(index_pack.pack_bytes(matrix), "\n".join("abcdefg"))
     with pytest.raises(index_pack.PackError):
-        index_pack.write_pack(df, f"file://{tmp_path}/x.bin", limit=3)
+        index_pack.check_pair(index_pack.pack_bytes(matrix), "a\nb")
     data = index_pack.pack_bytes(matrix)
     assert index_pack.row_count(data) == 7
     for broken in (data[:10], b"XXXX" + data[4:], data[:8] + b"\x07" + data[9:]):
@@ -136,13 +180,21 @@ def test_resumable_import(spark, tmp_path):
 
     def go():
         importer.run_import(spark, "onepiece", f"file://{landing}", f"file://{tmp_path}/root", f"file://{tmp_path}/c", per_batch=1)
-        return {n: importer.Snapshots(spark, f"file://{tmp_path}/root/{n}").read().count() for n in importer.UPDATES}
+        return {n: t.count() for n, t in importer.Snapshots(spark, f"file://{tmp_path}/root/catalogue").read().items()}
 
     land(1), land(2)
     assert go() == {"sets": 2, "cards": 2, "printings": 2, "prices": 2}
     land(3)
     assert go() == {"sets": 3, "cards": 3, "printings": 3, "prices": 3}
     assert spark.read.json(f"file://{tmp_path}/root/reports").count() == 3
+    batch = spark.read.schema(importer.SCHEMA).option("multiLine", "true").json(f"file://{landing}/3.json")
+    importer.import_batch("onepiece", batch, f"file://{tmp_path}/root", 2)  # the last batch taken again
+    assert tuple(importer.totals(spark, f"file://{tmp_path}/root").first()) == (3, 3, 3, 0)
+    land(4)
+    paths = importer.run_refresh(spark, "onepiece", f"file://{landing}", f"file://{tmp_path}/root", f"file://{tmp_path}/c", "20240801", dt.datetime(2024, 8, 1), per_batch=2)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["catalog-20240801.json"]
+    versions = importer.Snapshots(spark, f"file://{tmp_path}/root/versions").read()["versions"].collect()
+    assert [(r.game_id, r.version, r.printings_count) for r in versions] == [("onepiece", "20240801", 4)]
 
 
 def test_image_functions(spark):
@@ -167,6 +219,65 @@ def test_image_functions(spark):
     assert I.from_plane(plane.tobytes(), 1, 1, 4, True).tolist() == [[[1, 2, 3, 255]]]
 
 
+def naive_bilinear(a, x, y):
+    """One sampled colour, by the textbook formula with the edge repeated."""
+    h, w = a.shape[:2]
+    x, y = min(max(x, 0), w - 1), min(max(y, 0), h - 1)
+    i, j = int(x), int(y)
+    k, m, u, v = min(i + 1, w - 1), min(j + 1, h - 1), x - i, y - j
+    return [int((a[j, i, c] * (1 - u) + a[j, k, c] * u) * (1 - v) + (a[m, i, c] * (1 - u) + a[m, k, c] * u) * v) for c in range(3)]
+
+
+def test_image_functions_against_pixel_loops(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (9, 7, 4), dtype=np.uint8)
+    df = spark.createDataFrame([(bytearray(a.tobytes()), 7, 9), (None, None, None)], I.IMAGE).select(F.struct("data", "width", "height").alias("image"))
+
+    def shown(column):
+        first, second = (r[0] for r in df.select(column).collect())
+        assert second is None or not isinstance(second, list) and second.data is None
+        return np.frombuffer(first.data, np.uint8).reshape(first.height, first.width, 4) if hasattr(first, "data") else first
+
+    small = shown(I.squash_resize(F.col("image"), 4))
+    for y in range(4):
+        for x in range(4):
+            assert small[y, x].tolist() == [*naive_bilinear(a, (x + 0.5) * 7 / 4 - 0.5, (y + 0.5) * 9 / 4 - 0.5), 255]
+    part = shown(I.crop_normalised(F.col("image"), 0.3, 0.2, 0.5, 0.4))  # from (2, 2): 2.1 and 1.8; 3.5 and 3.6 pixels
+    assert np.array_equal(part[..., :3], a[2:6, 2:6, :3])
+    less = shown(I.downscale(F.col("image"), 3))  # 3 x 4 from 7 x 9
+    assert less.shape == (4, 3, 4) and all(less[y, x, :3].tolist() == a[min(8, int(y * 7 / 3)), min(6, int(x * 7 / 3)), :3].tolist() for y in range(4) for x in range(3))
+    mean, deviation = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+    want = [(a[y, x, c] / 255 - mean[c]) / deviation[c] for c in range(3) for y in range(9) for x in range(7)]
+    assert np.allclose(shown(I.to_tensor(F.col("image"))), want, atol=1e-6)
+    words = [int.from_bytes(bytes([255, *a[y, x, :3].tolist()]), "big", signed=True) for y in range(9) for x in range(7)]
+    assert shown(I.to_argb(F.col("image"))) == words
+    quad = F.expr("array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(1D AS x, 1D AS y), struct(0D AS x, 1D AS y))")
+    strip = shown(I.dewarp_region(F.col("image"), quad, (0.0, 0.5, 1.0, 0.5), 7, 2))
+    for y in range(2):
+        for x in range(7):
+            assert np.abs(np.array(naive_bilinear(a, x + 0.5, (0.5 + (y + 0.5) / 4) * 9)) - strip[y, x, :3]).max() <= 1
+    plane = rng.integers(0, 256, (50, 40 * 3 + 8), dtype=np.uint8)
+    rows = spark.createDataFrame([(bytearray(plane.tobytes()), 40, 50, 128, 3, 1)], "p binary, w int, h int, s int, c int, g int")
+    thumb = rows.select(I.thumbnails(*[F.col(c) for c in "pwhscg"]).alias("t")).first().t
+    for row, col in ((0, 0), (11, 7), (23, 15)):
+        cy, cx = int((row + 0.5) * 50 / 24), int((col + 0.5) * 40 / 16)
+        cells = [plane[min(49, max(0, cy + dy - 2)), min(39, max(0, cx + dx - 2)) * 3 + 1] for dy in range(4) for dx in range(4)]
+        assert thumb[row * 16 + col] == np.mean(cells)
+    frame = media_files.camera_frames(spark.createDataFrame([(bytearray([3, 2, 1, 9]), 1, 1, 4, True, "k")], "plane binary, width int, height int, stride int, bgra boolean, note string")).first()
+    assert list(frame.image.data) == [1, 2, 3, 255] and frame.note == "k"
+
+
+def test_small_sources(spark, tmp_path):
+    product = {"productId": 1, "name": "n", "groupId": 7, "extendedData": [{"name": "Number", "displayName": "d", "value": "1"}]}
+    (tmp_path / "p.json").write_text(json.dumps({"success": True, "results": [product, product]}))
+    assert [(r.pos, r.productId, r.extendedData[0]["value"]) for r in feed.products(spark, f"file://{tmp_path}/p.json").collect()] == [(0, 1, "1"), (1, 1, "1")]
+    game = {"game": "g", "version": "2", "printingsCount": 3, "deltas": [{"from": "1", "to": "2", "url": "u"}]}
+    (tmp_path / "m.json").write_text(json.dumps({"version": "2", "games": [game]}))
+    assert [(r.game, r.deltas[0]["from"]) for r in feed.manifest(spark, f"file://{tmp_path}/m.json").collect()] == [("g", "1")]
+    assert {r.path.rsplit("/", 1)[1]: r.length > 0 for r in feed.stored_keys(spark, f"file://{tmp_path}").collect()} == {"p.json": True, "m.json": True}
+    assert {r.game: r.category for r in feed.category_of(spark).collect()}["pokemon"] == 3
+
+
 def test_strip_sizes(spark):
     got = spark.createDataFrame([("onepiece",), ("mtg",)], "g string").select(I.strip_size(F.col("g"), 900).alias("s")).collect()
     assert [(r.s.width, r.s.height) for r in got] == [(900, 189), (900, 293)]
