@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 At each end position the automaton's output links are followed from the longest piece down, and each piece that ends
-there relaxes the best score; of equal scores the longer last piece stays, as in SentencePiece's own search. Characters
-that no piece covers become an unknown of the least score less UNKNOWN_PENALTY, written as byte pieces where the
-vocabulary has them. Pieces, scores and the normaliser's settings come from the model file; nothing is trained.
+there relaxes the best score; of equal scores the longer last piece stays, as in SentencePiece's own search. A
+character without a piece of its own may always be an unknown, of the least score less UNKNOWN_PENALTY, written as byte
+pieces where the vocabulary has them. Pieces, scores and the normaliser's settings come from the model file; nothing is trained.
 
 The segmentation is the one of greatest total score (the unigram search). For a file of the BPE kind SentencePiece
 itself applies merges in order of score instead, so the ids may differ from its own; decoding is the same for both.
@@ -49,35 +49,39 @@ class Codec:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.silent = {i for i in range(size) if sp.is_control(i)}
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.automaton = ahocorasick.Automaton()
-        for i in normal:
-            self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i]), sp.get_score(i)))
-        self.automaton.make_automaton()
-        self.unknown_score = min(sp.get_score(i) for i in normal) - UNKNOWN_PENALTY
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in normal)
+        self.index({self.pieces[i]: (i, sp.get_score(i)) for i in normal})
         # the file's normaliser: whether a text gets a mark in front, and whether runs of spaces are kept
         self.prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
         self.keeps_spaces = sp.decode(sp.encode("a  a")) == "a  a"
         self.normalize = sp.normalize
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def index(self, scored: dict[str, tuple[int, float]]) -> None:
+        """Takes pieces with their ids and scores."""
+        self.automaton = ahocorasick.Automaton()
+        for piece, (i, score) in scored.items():
+            self.automaton.add_word(piece, (i, len(piece), score))
+        self.automaton.make_automaton()
+        self.lone = {p for p in scored if len(p) == 1}
+        self.unknown_score = min(score for _, score in scored.values()) - UNKNOWN_PENALTY
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in scored)
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a normalised text."""
-        n = len(text)
+        n, lone, unknown_score = len(text), self.lone, self.unknown_score
         best, came, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [self.unknown] * (n + 1)
         at = 1  # positions before it are settled
         for end, (i, size, score) in self.automaton.iter(text):
-            while at <= end:  # at this position no piece has ended
-                if best[at] == -np.inf:
-                    best[at], came[at] = best[at - 1] + self.unknown_score, at - 1
+            while at <= end:  # all pieces that end at this position have come
+                if text[at - 1] not in lone and (total := best[at - 1] + unknown_score) > best[at]:
+                    best[at], came[at], piece[at] = total, at - 1, self.unknown
                 at += 1
             start = end + 1 - size
             if (total := best[start] + score) > best[end + 1]:
                 best[end + 1], came[end + 1], piece[end + 1] = total, start, i
         for at in range(at, n + 1):
-            if best[at] == -np.inf:
-                best[at], came[at] = best[at - 1] + self.unknown_score, at - 1
-        # a single character without a piece of its own stays open to an unknown only where nothing reaches it
+            if text[at - 1] not in lone and (total := best[at - 1] + unknown_score) > best[at]:
+                best[at], came[at], piece[at] = total, at - 1, self.unknown
         out = []
         while n:
             if piece[n] == self.unknown:
