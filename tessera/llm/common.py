@@ -1,16 +1,22 @@
-"""What several operators of this folder share: scratch tables, batch sizes and connected components."""
+"""What several operators of this folder share: scratch tables, batch sizes, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_dir as new_dir
+from ..scratch import remove as remove
+from ..scratch import scope as scope
+from ..scratch import shared_dir as shared_dir
+from ..scratch import written as written
+
 #: Rows of one Arrow batch: whole texts may be long, so batches are kept small.
 ARROW_ROWS = 256
+#: A key with one in so many of all rows is hot; there are no more hot keys than that.
+SHARES = 1_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -18,26 +24,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    spark, path = df.sparkSession, new_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,26 +36,56 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def with_values(rows: DataFrame, values: DataFrame, key: Sequence[str], many: str | None = None, total: int | None = None) -> DataFrame:
+    """rows with the other columns of values (one row for each key), null where there are none.
+
+    `many` of values says how many rows have its key. Hot keys, with one in SHARES of all rows or more, are looked up in
+    a broadcast of SHARES rows at most; rows that have one are spread over all tasks of the join that serves the rest.
+    Without `many`, rows are counted by key here.
+    """
+    if many is None:
+        many = "__many"
+        values = written(values.join(rows.groupBy(*key).agg(F.count("*").alias(many)), list(key), "left").fillna(0, [many]), "values")
+    if total is None:
+        total = values.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    others = [c for c in values.columns if c not in key and c != "__many"]
+    known = values.select(*key, F.lit(0).cast("long").alias("__at"), F.struct(*others).alias("__cold"))
+    hot = values.where(F.col(many) * SHARES >= max(1, total)).select(*key, F.struct(*others).alias("__hot"))
+    # a row with a hot key meets nothing in the second join, wherever it goes
+    out = rows.join(F.broadcast(hot), list(key), "left")
+    out = out.withColumn("__at", F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    out = out.join(known, [*key, "__at"], "left").withColumn("__v", F.coalesce("__hot", "__cold"))
+    return out.select(*[c for c in rows.columns], *[F.col(f"__v.{c}").alias(c) for c in others])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per node and a join,
-    so no neighbour list is ever gathered. A round's edges are written to the shared folder, which cuts lineage.
-    Self loops and repeated edges are fine; an edge with a null end is left out; no edges give no rows.
+    so no neighbour list is ever gathered, and the hub of a star is looked up (see with_values). A round's edges are
+    written to the shared folder, which cuts lineage; those of the round before are removed. Self loops and repeated
+    edges are fine; an edge with a null end is left out; no edges give no rows.
     """
+    spark = edges.sparkSession
     cur = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    cur, before = written(cur, "cc"), None
+    before, old = None, None
     while True:
+        with scope(spark) as made:
+            cur = written(cur, "cc")
+            path = made.pop()
+        if old:
+            remove(spark, old)
+        old = path
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now[0] == 0 or now == before:
             break
         before = now
         both = cur.union(cur.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = with_values(both, low, ["a"], "n", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        cur = written(small.where("a <> b").distinct(), "cc")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_values(large, low, ["a"], "n", 2 * now[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        cur = small.where("a <> b").distinct()
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
