@@ -1,14 +1,15 @@
 """Media columns: content-addressed payloads in tar shards; rows carry digest, shard, offset and length.
 
-A payload is kept as a greyscale PNG of 64 samples of 8 bits a line, named by the SHA-256 of its samples. Each task
-appends the payloads that it has not stored yet to tar shards of its own, of SHARD_BYTES at most (one larger payload
-has a shard to itself), so texts are never shuffled. One place of each digest, the first by shard name and offset,
-becomes the place of all rows that have it. Metadata columns come from range reads of the PNG header (HEADER bytes at
-the offset); only features read whole payloads, once for each digest.
-
-A shard's name is unique to the attempt that wrote it; rows of a lost attempt are lost with it, so no row points to a
-half-written shard. Null texts count as empty, which is one line of zeros. Rows stay as they are, repeated ones and
-null ids too.
+A payload is kept as a greyscale PNG of 64 samples of 8 bits a line, named by the SHA-256 of its samples. Each is
+stored once: digests are computed first, and each goes to the first task that reads a text of it; a task then appends
+the payloads that are its own to tar shards of SHARD_BYTES at most (one larger payload has a shard to itself). Texts are
+read twice but never shuffled. Metadata columns come from range reads of the PNG headers alone (HEADER bytes at the
+offset); digests and features from reads of whole payloads, once for each.
+
+A shard is named by its first payload's digest and takes that name when it is whole, so runs over the same partitions
+give the same columns, and a task that is tried again, or twice at once, leaves one whole shard. Null texts count as
+empty, which is one line of zeros. Rows stay as they are, repeated ones and null ids too; other columns are not read,
+whatever their names. An empty table gives none. Texts of any length are whole in one payload.
 """
 
 from __future__ import annotations
@@ -23,18 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
+from pyarrow.dataset import dataset
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, tune, written
-from .storage import create, read_at
+from .common import new_dir, remove, tune, with_values, written
+from .storage import create, opened, read_at, rename
 
 WIDTH = 64
-SHARD_BYTES = 256 << 20
+SHARD_BYTES, READ_BYTES = 256 << 20, 32 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and IHDR chunk
 BLOCK = 512
-PLACE = "digest string, shard string, offset long, length long"
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -90,8 +93,9 @@ class Shards:
             media = to_png(payload)
             if self.out is None or self.at + BLOCK + len(media) > SHARD_BYTES and self.at:
                 self.close()
-                self.name, self.at = f"{self.folder}/{uuid.uuid4().hex}.tar", 0
-                self.out = create(self.name)
+                self.name, self.at = f"{digest}.tar", 0
+                self.part = f"{self.folder}/{digest}.{uuid.uuid4().hex}.part"
+                self.out = create(self.part)
             info = tarfile.TarInfo(f"{digest}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.USTAR_FORMAT)
@@ -105,62 +109,99 @@ class Shards:
         if self.out is not None:
             self.out.write(bytes(2 * BLOCK))
             self.out.close()
+            rename(self.part, f"{self.folder}/{self.name}")
             self.out = None
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, digest, shard, offset, length of each row of docs (doc_id, text); see `placed`."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, digest and task of each row of docs (doc_id, text)."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = docs.select("doc_id", body.alias("b")).select("doc_id", "b", F.octet_length("b").cast("long").alias("n_bytes"))
+    size = F.greatest(F.lit(WIDTH), F.ceil(F.col("n_bytes") / WIDTH) * WIDTH)
+    digest = F.sha2(F.rpad("b", size.cast("int"), F.lit(b"\0")), 256)
+    return rows.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), digest.alias("digest"), F.spark_partition_id().alias("task"))
+
+
+def owned(folder: str, task: int) -> set[bytes]:
+    """The digests that a task has to store: those of its own file under the folder."""
+    system, path = opened(f"{folder}/task={task}")
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return set()
+    return {bytes.fromhex(x) for x in dataset(path, filesystem=system, format="parquet").to_table(["digest"])["digest"].to_pylist()}
+
+
+def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
+    """(rows as keyed, places (digest, shard, offset, length), the shards' folder); None where docs was dealt to tasks otherwise when it
+    was read again."""
     spark = docs.sparkSession
-    tune(spark)
-    folder = new_dir(spark, "media")
+    folder, owners = new_dir(spark, "media"), new_dir(spark, "media-owners")
+    rows = written(keyed(docs), "media-rows")
+    rows.groupBy("digest").agg(F.min("task").alias("task")).repartition("task").write.partitionBy("task").parquet(owners)
 
-    @F.pandas_udf(f"n_bytes long, payload_bytes long, {PLACE}")
-    def stored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shards = Shards(folder)
+    @F.pandas_udf("array<struct<digest:string,shard:string,offset:bigint,length:bigint>>")
+    def put(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shards, mine = Shards(folder), owned(owners, TaskContext.get().partitionId())
         for texts in parts:
-            rows = []
+            out = []
             for text in texts:
-                payload, n = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
-                rows.append((n, len(payload), digest, *shards.put(digest, payload)))
-            yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "digest", "shard", "offset", "length"])
+                payload, _ = payload_of(text)
+                raw = hashlib.sha256(payload).digest()
+                new = raw in mine
+                if new:
+                    mine.discard(raw)
+                    out.append([{"digest": raw.hex()} | dict(zip(("shard", "offset", "length"), shards.put(raw.hex(), payload), strict=True))])
+                else:
+                    out.append([])
+            yield pd.Series(out)
         shards.close()
 
-    return written(docs.select("doc_id", stored(F.col("text")).alias("s")).select("doc_id", "s.*"), "media-rows")
-
+    at = written(docs.select(F.explode(put(F.col("text"))).alias("s")).select("s.*"), "media-places")
+    same = at.count() == spark.read.schema("digest string").parquet(owners).count()
+    remove(spark, owners)
+    return (rows, at, folder) if same else None
 
-def places(rows: DataFrame) -> DataFrame:
-    """One place of each digest, dealt by shard so that a task reads few files."""
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return first.select("digest", "at.shard", "at.offset", "at.length").repartition(n, "shard")
 
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(doc_id, n_bytes, payload_bytes, digest, task of each row; the places of all digests (digest, shard, offset, length); the folder of the shards).
 
-def placed(rows: DataFrame) -> DataFrame:
-    """rows with the one place of their digest."""
-    return rows.drop("shard", "offset", "length").join(places(rows), "digest")
+    Files are dealt to tasks alike whenever they are read; what is not read from files is written first.
+    """
+    tune(docs.sparkSession)
+    done = stored(docs) or stored(written(docs.select("doc_id", "text"), "media-docs"))
+    if not done:
+        raise RuntimeError("the table was dealt to tasks otherwise when it was read again")
+    return done
 
 
-def ranges(rows: pd.DataFrame, size: int | None = None) -> Iterator[tuple[int, bytes]]:
+def ranges(rows: pd.DataFrame, folder: str, size: int | None = None) -> Iterator[tuple[int, bytes]]:
     """Position in rows and the bytes at each row's place (its first `size` ones), shard by shard in order of offset."""
     rows = rows.reset_index(drop=True)
     for shard, group in rows.sort_values(["shard", "offset"]).groupby("shard", sort=False):
-        with read_at(shard) as f:
+        with read_at(f"{folder}/{shard}") as f:
             for i, offset, length in zip(group.index, group["offset"], group["length"], strict=True):
                 f.seek(offset)
                 yield i, f.read(length if size is None else min(size, length))
 
 
-def metadata(stored: DataFrame) -> DataFrame:
-    """digest, width, height, bit_depth, colour_type of each digest, by range reads of the headers alone."""
+def dealt(places: DataFrame) -> DataFrame:
+    """places by shard, so that a task reads few files, but those of one shard to several tasks."""
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(n, "shard", (F.col("offset") / READ_BYTES).cast("long"))
+
+
+METADATA = "width long, height long, bit_depth int, colour_type int"
+
+
+def metadata(places: DataFrame, folder: str) -> DataFrame:
+    """digest and METADATA of each of places, by range reads of the headers alone."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [{"digest": b["digest"].iloc[i]} | png_header(head) for i, head in ranges(b, HEADER)]
+            got = [{"digest": b["digest"].iloc[i]} | png_header(head) for i, head in ranges(b, folder, HEADER)]
             yield pd.DataFrame(got, columns=["digest", "width", "height", "bit_depth", "colour_type"])
 
-    tune(stored.sparkSession)
-    return places(stored).mapInPandas(task, "digest string, width long, height long, bit_depth int, colour_type int")
+    tune(places.sparkSession)
+    return dealt(places).mapInPandas(task, f"digest string, {METADATA}")
 
 
 def features(payload: bytes) -> str:
@@ -172,27 +213,31 @@ def features(payload: bytes) -> str:
     return f"{len(x)}:{n[0]}:{n @ v}:{n @ (v * v)}:{x.max()}:{bins}"
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """digest, its place, and what its stored bytes say: payload_sha256, tail_crc32, media_bytes, media_sha256, width, height, feature."""
-    names = ["digest", "shard", "offset", "length", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
+CONTENTS = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def contents(places: DataFrame, folder: str) -> DataFrame:
+    """digest and CONTENTS of each of places: what its whole stored bytes say."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            b = b.reset_index(drop=True)
-            for i, media in ranges(b):
-                head, payload = png_header(media[:HEADER]), from_png(media)
-                out.append((*b.loc[i, ["digest", "shard", "offset", "length"]], hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), head["width"], head["height"], features(payload)))
-            yield pd.DataFrame(out, columns=names)
+            for i, media in ranges(b, folder):
+                payload = from_png(media)
+                out.append((b["digest"].iloc[i], hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
+            yield pd.DataFrame(out, columns=["digest", *(x.split()[0] for x in CONTENTS.split(", "))])
 
-    tune(stored.sparkSession)
-    return places(stored).mapInPandas(task, PLACE + ", payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string")
+    tune(places.sparkSession)
+    return dealt(places).mapInPandas(task, f"digest string, {CONTENTS}")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Every row's place and what the stored bytes at it say."""
-    rows = store(docs)
-    return rows.drop("shard", "offset", "length").join(read_back(rows), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    """Every row's place, METADATA and CONTENTS."""
+    rows, at, folder = store(docs)
+    known = written(at.join(contents(at, folder), "digest").join(metadata(at, folder), "digest"), "media-known")
+    rows = with_values(rows.drop("task"), known, ["digest"])
+    names = ["doc_id", "n_bytes", "payload_bytes", *(x.split()[0] for x in f"{CONTENTS}, {METADATA}".split(", ")), "shard", "offset", "length"]
+    return rows.select(*names)
 
 
 def members(uri: str) -> list[tuple[str, bytes]]:

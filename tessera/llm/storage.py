@@ -22,3 +22,9 @@ def read_at(uri: str) -> BinaryIO:
     """A file for range reads."""
     system, path = opened(uri)
     return system.open_input_file(path)
+
+
+def rename(uri: str, to: str) -> None:
+    """Gives a whole file its name; one that is there already (from another attempt, with equal content) is replaced."""
+    system, path = opened(uri)
+    system.move(path, opened(to)[1])
