@@ -12,8 +12,10 @@ are one class with a number of copies, so copies cost nothing however many there
    component is dealt into tiles of about TILE classes, every two tiles meet in one task, and partial counts are added
    up. Pairs are never emitted.
 
-A link is missed only if no pass brings its two components together; more passes or a wider window lower that chance
-(a pair at the threshold agrees on k signs with probability (1 - acos(threshold) / pi) ** k).
+A link is missed only if no pass brings its two components together. A pair at the threshold agrees on k signs with
+probability (1 - acos(threshold) / pi) ** k, and shares a window when k signs leave no more vectors than it holds, so
+the number of passes grows with the logarithm of the largest label's number of vectors: `passes_for` keeps the computed
+share of pairs met at RECALL, and PASSES is the least.
 
 Null vectors, those with null or non-finite cells, zero vectors, empty ones and those without a label link with
 nothing. Null ids come after all others when a component is named; a component without any id is named null. Repeated
@@ -22,6 +24,7 @@ rows are vectors like any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, with_values, written
 
-PASSES, WINDOW, BLOCK, TILE, SEED = 8, 64, 1024, 1024, 11
+PASSES, RECALL, WINDOW, BLOCK, TILE, SEED = 8, 0.999, 64, 1024, 1024, 11
 BITS = 64
 
 
@@ -55,6 +58,13 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return written(of.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "label", F.size("v").alias("dim"), "v", "copies", "rep"), "embedding-classes")
 
 
+def passes_for(vectors: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes after which a lone pair at the threshold has shared a window with this probability, among so many vectors."""
+    signs = math.ceil(math.log2(max(1.0, vectors / window)))
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** signs
+    return PASSES if together == 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The first row of each row's component, of n rows linked by a, b."""
     root = np.arange(n)
@@ -141,21 +151,26 @@ def links_within(members: DataFrame, threshold: float, tile: int = TILE) -> Data
     return dealt.groupBy("c", "i", "j").applyInPandas(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding, label); passes_for the largest label
+    unless their number is given."""
     cells = F.col("embedding")
     fine = F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(cells, lambda x: x != 0)
     rows = vectors.select("vec_id", "label", cells.alias("v"), F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)).alias("valid"))
     # 128 bits of content name a class
     rows = rows.select("*", F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(SEED), "v", "label").alias("h2"))
     classes = classes_of(rows)
+    if passes is None:
+        largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
+        passes = passes_for(largest or 0, threshold, window)
     found = written(connected_components(edges(classes, threshold, passes, window, block)), "embedding-components")
     named = found.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     sizes = named.groupBy("component").agg(F.count("*").alias("size"), F.min("rep").alias("low"))
     members = written(classes.select("cid", "v", "copies").join(found.withColumnRenamed("node", "cid"), "cid").join(sizes, "component"), "embedding-members")
     links = links_within(members, threshold, tile)
     known = classes.join(members.select("cid", "low", F.lit(True).alias("linked")), "cid", "left").join(links, "cid", "left")
-    known = known.select("h1", "h2", F.when(F.col("linked"), F.col("low")).otherwise(F.col("rep")).alias("low"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    valid = rows.where("valid").select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", F.col("n").alias("n_links"), F.col("low").alias("component_id"))
+    known = known.select("h1", "h2", "copies", F.when(F.col("linked"), F.col("low")).otherwise(F.col("rep")).alias("low"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    # copies of one vector may be a large share of all rows
+    valid = with_values(rows.where("valid").select("vec_id", "h1", "h2"), known, ["h1", "h2"], "copies").select("vec_id", F.col("n").alias("n_links"), F.col("low").alias("component_id"))
     rest = rows.where(~F.col("valid")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return valid.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
