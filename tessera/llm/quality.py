@@ -1,19 +1,21 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, a temperature.
 
-Every word falls into one of BUCKETS hash buckets, each with a sparse random index vector. The context vector of a
-bucket is the sum of the index vectors of its neighbours within WINDOW words over the whole corpus; tasks add up
-their part, Spark sums the parts per bucket, so the result has a fixed size whatever the input. A document is pooled
-into means and deviations of its words' context vectors, the mean of their index vectors, and its length. The
+Every word has a sparse random index vector, drawn from a hash of the word. The context vector of a word is the sum of
+the index vectors of its neighbours within WINDOW words over the whole corpus. The WORDS most frequent words of the
+corpus, counted over all of it, have context vectors of their own; each other word shares that of one of BUCKETS hash
+buckets, so the model has a fixed size whatever the input. Tasks add up their part, and Spark sums the parts. A document
+is pooled into means and deviations of its words' context vectors, the mean of their index vectors, and its length. The
 network is fitted on a bounded labelled sample (`max_rows`) and its temperature on a fifth of it set apart.
 
 Null and empty texts are documents without words and get a score too. Without labels, or with one class only, every
-score is the share of 1 among the labels (0.5 without any).
+score is the share of 1 among the labels (0.5 without any). Rows stay as they are, repeated ones too; extra columns are
+not read, whatever their names. Ids may be of any type. Texts of any length count whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,72 +26,116 @@ from pyspark.sql import functions as F
 from .common import free_name, tune
 from .labelled import held_out, odds_shift, sample
 
-BUCKETS, DIM, NONZERO, WINDOW, SEED = 1 << 14, 32, 2, 2, 7
-CHUNK = 1 << 15
+WORDS, BUCKETS, DIM, NONZERO, WINDOW, SEED = 1 << 15, 1 << 12, 32, 2, 2, 7
+ROWS = WORDS + BUCKETS  # of the table of context vectors; one more stands for no word
+PLACES = 1 << 14  # index vectors, drawn once; a word has that of its hash
+CHUNK, COUNT_CHUNK = 1 << 15, 1 << 19
 THRESHOLD = 0.5
 MAX_ROWS = 20_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero cells of each bucket's index vector; a last, empty one stands for no word."""
+    """Places and signs of the nonzero cells of each index vector; a last, empty one stands for no word."""
     rng = np.random.default_rng(SEED)
-    place = np.argsort(rng.random((BUCKETS + 1, DIM)), axis=1)[:, :NONZERO]
-    sign = rng.choice([-1, 1], (BUCKETS + 1, NONZERO))
-    sign[BUCKETS] = 0
+    place = np.argsort(rng.random((PLACES + 1, DIM)), axis=1)[:, :NONZERO]
+    sign = rng.choice([-1, 1], (PLACES + 1, NONZERO))
+    sign[PLACES] = 0
     return place, sign
 
 
 def dense_index() -> np.ndarray:
     place, sign = index_vectors()
-    out = np.zeros((BUCKETS + 1, DIM), dtype=np.float32)
+    out = np.zeros((PLACES + 1, DIM), dtype=np.float32)
     np.put_along_axis(out, place, sign.astype(np.float32), axis=1)
-    return out[:BUCKETS]
+    return out[:PLACES]
 
 
-def bucket_ids(text: str | None) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)).astype(np.int64) % BUCKETS
+def word_hashes(text: str | None) -> np.ndarray:
+    """The CRC-32 of each word (in lower case, between spaces)."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)).astype(np.int64)
 
 
-def context_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's context vectors: one row for each bucket it met."""
-    place, sign = index_vectors()
-    total, seen = np.zeros((BUCKETS + 1) * DIM), np.zeros(BUCKETS + 1, dtype=np.int64)
-
-    def add(ids: np.ndarray) -> None:
-        nonlocal total, seen
-        seen += np.bincount(ids, minlength=BUCKETS + 1)
-        cells, weights = [], []
-        for step in range(1, WINDOW + 1):
-            for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                cells.append((a[:, None] * DIM + place[b]).ravel())
-                weights.append(sign[b].ravel())
-        total += np.bincount(np.concatenate(cells), np.concatenate(weights), minlength=total.size)
-
-    gap = np.full(WINDOW, BUCKETS)
-    for batch in batches:
-        waiting, n = [], 0
-        for text in batch["text"]:
-            ids = bucket_ids(text)
-            for i in range(0, len(ids), CHUNK):  # contexts end at a piece's ends
-                waiting += [ids[i : i + CHUNK], gap]
-                n += len(waiting[-2])
-                if n >= CHUNK:
-                    add(np.concatenate(waiting))
-                    waiting, n = [], 0
-        if waiting:
-            add(np.concatenate(waiting))
-    rows = np.flatnonzero(seen[:BUCKETS])
-    cells = np.rint(total.reshape(-1, DIM)[rows]).astype(np.int64)
-    yield pd.DataFrame({"b": rows, "n": seen[rows]} | {f"c{i}": cells[:, i] for i in range(DIM)})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIM unit context vectors over all of docs.text, less the mean direction of all words."""
+def rows_of(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The row of each word in the table of context vectors: its own where it is among `words` (rising), else a bucket's."""
+    bucket = WORDS + hashes % BUCKETS
+    if not len(words):
+        return bucket
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return np.where(words[at] == hashes, at, bucket)
+
+
+def frequent_words(docs: DataFrame) -> np.ndarray:
+    """The hashes (rising) of the WORDS most frequent words of all of docs.text."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, size = [], 0
+
+        def part() -> pd.DataFrame:
+            h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *waiting]), return_counts=True)
+            return pd.DataFrame({"h": h, "n": n})
+
+        for b in batches:
+            for text in b["text"]:
+                waiting.append(word_hashes(text))
+                size += len(waiting[-1])
+                if size >= COUNT_CHUNK:
+                    yield part()
+                    waiting, size = [], 0
+        yield part()
+
+    counts = docs.select("text").mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(WORDS).select("h").toArrow()["h"].to_numpy())
+
+
+class Contexts:
+    """A task's sums of the neighbours' index vectors, by row of the table."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, (self.place, self.sign) = words, index_vectors()
+        self.total, self.seen = np.zeros(ROWS * DIM), np.zeros(ROWS, dtype=np.int64)
+
+    def add(self, texts: Iterable[str | None]) -> None:
+        gap = np.full(WINDOW, -1)
+        hashes = np.concatenate([x for t in texts for x in (word_hashes(t), gap)] or [gap])
+        row, index = rows_of(hashes, self.words), np.where(hashes < 0, PLACES, hashes % PLACES)
+        for i in range(0, len(row), CHUNK):  # with the neighbours on both sides of the chunk
+            here = np.flatnonzero(hashes[i : i + CHUNK] >= 0) + i
+            self.seen += np.bincount(row[here], minlength=ROWS)
+            cells, weights = [], []
+            for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+                a = here[(here + step >= 0) & (here + step < len(row))]
+                near = index[a + step]
+                cells.append((row[a, None] * DIM + self.place[near]).ravel())
+                weights.append(self.sign[near].ravel())
+            self.total += np.bincount(np.concatenate(cells), np.concatenate(weights), minlength=self.total.size)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        at = np.flatnonzero(self.seen)
+        cells = np.rint(self.total.reshape(-1, DIM)[at]).astype(np.int64)
+        yield pd.DataFrame({"b": at, "n": self.seen[at]} | {f"c{i}": cells[:, i] for i in range(DIM)})
+
+
+def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """ROWS x DIM unit context vectors over all of docs.text, less the mean direction of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, waiting, size = Contexts(shared.value), [], 0
+        for b in batches:
+            for text in b["text"]:
+                waiting.append(text)
+                size += len(text or "")
+                if size >= 8 * CHUNK:
+                    sums.add(waiting)
+                    waiting, size = [], 0
+        sums.add(waiting)
+        yield from sums.rows()
+
     cols = [f"c{i}" for i in range(DIM)]
-    parts = docs.select("text").mapInPandas(context_parts, "b long, n long, " + ", ".join(f"{c} long" for c in cols))
-    got = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols]).toArrow()
-    out, n = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
+    parts = docs.select("text").mapInPandas(contexts, "b long, n long, " + ", ".join(f"{c} long" for c in cols))
+    got = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols]).toArrow()  # ROWS rows at most
+    out, n = np.zeros((ROWS, DIM)), np.zeros(ROWS)
     if got.num_rows:
         b = got["b"].to_numpy()
         out[b] = np.stack([got[c].to_numpy() for c in cols], axis=1)
@@ -102,15 +148,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 FEATURES = 3 * DIM + 2
 
 
-def pooled(text: str | None, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    ids, out = bucket_ids(text), np.zeros(FEATURES)
-    if n := len(ids):
+def pooled(text: str | None, words: np.ndarray, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    hashes, out = word_hashes(text), np.zeros(FEATURES)
+    if n := len(hashes):
         one, two, bag = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
         for i in range(0, n, CHUNK):
-            x = vectors[ids[i : i + CHUNK]]
+            h = hashes[i : i + CHUNK]
+            x = vectors[rows_of(h, words)]
             one += x.sum(axis=0, dtype=np.float64)
             two += np.square(x).sum(axis=0, dtype=np.float64)
-            bag += index[ids[i : i + CHUNK]].sum(axis=0, dtype=np.float64)
+            bag += index[h % PLACES].sum(axis=0, dtype=np.float64)
         out[:DIM] = one / n
         out[DIM : 2 * DIM] = np.sqrt(np.maximum(0, two / n - np.square(one / n)))
         out[2 * DIM : 3 * DIM] = bag / n
@@ -175,6 +222,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, units: int = 32, epochs: int = 60,
 
 @dataclass
 class Model:
+    words: np.ndarray
     vectors: np.ndarray
     network: Network
 
@@ -182,29 +230,33 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Word vectors over all of docs; the network on at most max_rows labelled documents, half of each class at most."""
     tune(docs.sparkSession)
-    vectors, index = word_vectors(docs), dense_index()
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    words = frequent_words(docs)
+    vectors, index = word_vectors(docs, words), dense_index()
+    shared = docs.sparkSession.sparkContext.broadcast((words, vectors))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [pooled(t, shared.value, index) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "x": [pooled(t, *shared.value, index) for t in b["text"]]})
 
-    got = sample(docs, labels, label, max_rows // 2).mapInPandas(features, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", key=lambda s: s.map(lambda v: zlib.crc32(str(v).encode())), kind="stable")
+    rows = sample(docs, labels, label, max_rows // 2).select(F.crc32(F.col("doc_id").cast("string")).alias("h"), "text", "y")
+    got = rows.mapInPandas(features, "h long, y int, x array<double>").toPandas()  # max_rows rows at most
+    got = got.iloc[np.lexsort((got["x"].map(sum), got["y"], got["h"]))]  # an order of the rows' own
     x = np.stack(got["x"]) if len(got) else np.zeros((0, FEATURES))
     net = fit_network(x, got["y"].to_numpy(dtype=np.float64))
     net.shift = odds_shift(labels, label, net.prior)
-    return Model(vectors, net)
+    return Model(words, vectors, net)
 
 
 def score(model: Model, text: Column, spark) -> Column:
-    """The probability of label 1 for a text column. What is broadcast has a fixed size (2 MB of vectors)."""
+    """The probability of label 1 for a text column. What is broadcast has a fixed size (5 MB of vectors)."""
     shared, index = spark.sparkContext.broadcast(model), dense_index()
 
     @F.pandas_udf("double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
         for s in parts:
-            x = np.stack([pooled(t, shared.value.vectors, index) for t in s]) if len(s) else np.zeros((0, FEATURES))
-            yield pd.Series(shared.value.network.probability(x))
+            x = np.stack([pooled(t, m.words, m.vectors, index) for t in s]) if len(s) else np.zeros((0, FEATURES))
+            yield pd.Series(m.network.probability(x))
 
     return udf(text)
 
