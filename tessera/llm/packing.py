@@ -20,6 +20,7 @@ Null texts count as empty: a document of the end mark alone. Repeated rows are p
 from __future__ import annotations
 
 import heapq
+import json
 import sys
 import zlib
 from array import array
@@ -37,7 +38,21 @@ from tokenizers import Tokenizer
 from .common import tune, written
 
 CAPACITY, END = 2048, 0
-KNOWN_PARTS, PART_CHARS = 450_000, 32
+KNOWN_PARTS, PART_CHARS = 250_000, 32
+# Settings with which a tokenizer may be asked for a text's parts one by one.
+BY_PARTS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -50,15 +65,19 @@ def packed(ids: Iterable[int]) -> bytes:
 class Encoder(dict):
     """Ids of texts as unsigned 32-bit little-endian bytes; its items are those of parts without spaces.
 
-    The tokenizer treats white space as a gap that no token crosses, so a text's ids are those of its parts between
-    spaces or line ends. It lower-cases, and ends a word where points or commas follow a letter, so most parts that are
-    new have known ids but for their case or last signs. A process remembers short parts: when there are KNOWN_PARTS of
-    them they become the older half, of which only those that are met again stay.
+    A tokenizer of BY_PARTS treats white space as a gap that no token crosses, so a text's ids are those of its parts
+    between spaces or line ends. It lower-cases, and ends a word where points or commas follow a letter, so most parts
+    that are new have known ids but for their case or last signs. A process remembers short parts: when there are
+    KNOWN_PARTS of them they become the older half, of which only those that are met again stay. Any other tokenizer
+    encodes each text as a whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        told = json.loads(self.tokenizer.to_str())
+        marked = all(t["special"] and "<" in t["content"] and " " not in t["content"] for t in told["added_tokens"])
+        self.by_parts = marked and all(told[k] == v for k, v in BY_PARTS.items()) and told["model"]["type"] == "BPE"
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
@@ -86,6 +105,8 @@ class Encoder(dict):
         return packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
+        if not self.by_parts:
+            return packed(self.tokenizer.encode(text or "", add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
