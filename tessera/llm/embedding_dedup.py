@@ -19,7 +19,7 @@ share of pairs met at RECALL, and PASSES is the least.
 
 Null vectors, those with null or non-finite cells, zero vectors, empty ones and those without a label link with
 nothing. Null ids come after all others when a component is named; a component without any id is named null. Repeated
-rows are vectors like any other.
+rows are vectors like any other; an empty table gives no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,6 +3,9 @@
 One automaton pass over the lower-cased text finds keyword hits (and four-digit hexadecimal seeds for the hex kind);
 a regular expression is tried only at a hit, anchored there. Token kinds that embed a checksum are kept only when it
 holds. Null texts count as empty. Spans are code points, end exclusive, ordered by start and then kind.
+
+Rows stay as they are, repeated ones and null ids too; an empty table gives no rows. Texts of any length are scanned
+whole. Extra columns are not read, whatever their names; redaction keeps them as they are.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ itself applies merges in order of score instead, so the ids may differ from its
 No piece of such a vocabulary has a word mark after another sign (checked on loading; a vocabulary that has is searched
 as a whole), so a text is the sequence of its words and each word is searched once: KNOWN_WORDS of them are remembered.
 
-Null texts give no pieces, as empty ones do. Lone surrogates cannot occur in Spark strings. Repeated rows stay.
+Null texts give no pieces, as empty ones do. Lone surrogates cannot occur in Spark strings. Rows stay as they are,
+repeated ones and null ids too; an empty table gives none; extra columns are not read, whatever their names. Texts of
+any length are searched whole, word by word.
 """
 
 from __future__ import annotations
