@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import image as I
 from ..scratch import written
+from .scan import first_reading
 from .search import best_rotation, knn_topk
 
 #: Orientations in the order in which they are tried: upright, upside down, a quarter to the right, one to the left.
 TURNS = (0, 180, 90, 270)
-RETRY_BELOW = 0.6
+RETRY_BELOW, STRIP_WIDTH = 0.6, 900
 
 
 def detected(frames: DataFrame, min_area: float = 0.1) -> DataFrame:
@@ -49,3 +50,20 @@ def process_frames(frames: DataFrame, index: DataFrame, embed: Callable[[Column]
     found = best_rotation(upright.unionByName(searched(again)), retry_below)
     degrees = F.array(*map(F.lit, TURNS))
     return rows, found.withColumn("turn", F.get(degrees, F.col("turn")))
+
+
+def read_serials(frames: DataFrame, game: str, recognise: Callable[[Column], Column], width: int = STRIP_WIDTH) -> DataFrame:
+    """frame_id, serial, lines, turn: the first of four orientations of a frame (frame_id, image, detection) whose strip
+    has a serial, by `recognise`, which gives the lines (array<string>) of a column of images.
+
+    A quarter turn of a card only names its corners anew, so the strip of each orientation is cut out of the frame by
+    corners taken in turn.
+    """
+    region = I.REGIONS[game]
+    size = I.strip_size(F.lit(game), width)
+    height = frames.sparkSession.range(1).select(size["height"]).first()[0]
+    corners = F.col("detection.corners")
+    turned = F.array(*[F.struct(F.lit(t).alias("turn"), F.array(*[corners[(i + t) % 4] for i in range(4)]).alias("corners")) for t in range(4)])
+    each = frames.select("frame_id", "image", F.explode(turned).alias("t"))
+    strips = each.select("frame_id", "t.turn", I.dewarp_region(F.col("image"), F.col("t.corners"), region, width, height).alias("strip"))
+    return first_reading(strips.select("frame_id", "turn", recognise(F.col("strip")).alias("lines")))

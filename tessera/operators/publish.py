@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..scratch import new_dir, scope, written
-from .merge import delete_keys, merge_lww
+from .merge import Snapshots, delete_keys, merge_lww
 from .refresh import record_versions
 
 MANIFEST_DELTAS, CHAIN_LIMIT = 14, 64
@@ -229,6 +229,11 @@ def sync(tables: dict[str, DataFrame], chain: list[dict[str, DataFrame]], full:
     return tables
 
 
+def sync_store(store: Snapshots, chain: list[dict[str, DataFrame]], full: dict[str, DataFrame] | None = None) -> int:
+    """Brings a client's stored tables up to date in one new version, so that no reader sees half a delta."""
+    return store.write(sync(store.read(), chain, full))
+
+
 def stale_games(versions: DataFrame, cutoff: Column) -> DataFrame:
     """game_id, latest of games whose newest version is older than the cutoff, the stalest first."""
     return versions.groupBy("game_id").agg(F.max("created_at").alias("latest")).where(F.col("latest") < cutoff).orderBy("latest", "game_id")

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.image import thumbnails
+
 # Limits of the gate, in brightness, samples and milliseconds.
 STILL, CHANGED, STABLE, AWAY, NEVER = 4.0, 10.0, 5, 3, 1000.0
 SAMPLE_MS, REPEAT_MS = 120, 30_000
@@ -25,7 +28,9 @@ STATE = "sampled long, prev array<double>, ref array<double>, stable int, away i
 
 @dataclass
 class Gate:
-    """One camera. `kept` is the last scene whose picture was kept: the same scene within REPEAT_MS is dropped."""
+    """One camera: two run lengths (of still samples, and of samples unlike the last picture) and a latch, which a
+    picture closes and a long enough run of unlike samples opens. `kept` is the last scene whose picture was kept: the
+    same scene within REPEAT_MS is dropped."""
 
     sampled: int | None = None
     prev: np.ndarray | None = None
@@ -40,22 +45,22 @@ class Gate:
         """Whether enough time has gone by since the last sample taken."""
         return self.sampled is None or ms - self.sampled >= SAMPLE_MS
 
-    def step(self, ms: int, thumb: np.ndarray) -> tuple[bool, bool, float, float]:
+    def repeats(self, ms: int, scene: np.ndarray) -> bool:
+        return self.kept_at is not None and ms - self.kept_at < REPEAT_MS and apart(scene, self.kept) < CHANGED
+
+    def step(self, ms: int, scene: np.ndarray) -> tuple[bool, bool, float, float]:
         """(trigger, kept, still, changed) for a sample."""
-        self.sampled = ms
-        still = NEVER if self.prev is None else float(np.abs(thumb - self.prev).mean())
-        changed = NEVER if self.ref is None else apart(thumb, self.ref)
-        self.prev = thumb
-        self.stable = self.stable + 1 if still <= STILL else 0
-        self.away = self.away + 1 if changed >= CHANGED else 0
-        self.armed = self.armed or self.away >= AWAY
-        if not (self.armed and self.stable >= STABLE):
-            return False, False, still, changed
-        self.ref, self.armed, self.stable, self.away = thumb, False, 0, 0
-        repeat = self.kept_at is not None and ms - self.kept_at < REPEAT_MS and apart(thumb, self.kept) < CHANGED
-        if not repeat:
-            self.kept_at, self.kept = ms, thumb
-        return True, not repeat, still, changed
+        motion = NEVER if self.prev is None else float(np.abs(scene - self.prev).mean())
+        unlike = NEVER if self.ref is None else apart(scene, self.ref)
+        runs = [(n + 1) * on for n, on in ((self.stable, motion <= STILL), (self.away, unlike >= CHANGED))]
+        open_latch = self.armed or runs[1] >= AWAY
+        fires = open_latch and runs[0] >= STABLE
+        keeps = fires and not self.repeats(ms, scene)
+        self.sampled, self.prev, self.armed = ms, scene, open_latch and not fires
+        self.stable, self.away = (0, 0) if fires else runs
+        self.ref = scene if fires else self.ref
+        self.kept_at, self.kept = (ms, scene) if keeps else (self.kept_at, self.kept)
+        return fires, keeps, motion, unlike
 
     def to_state(self) -> tuple:
         return tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in vars(self).values())
@@ -81,6 +86,13 @@ def framed(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
+def samples_of(frames: DataFrame) -> DataFrame:
+    """Samples (camera_id, ts, seq, thumb) of camera planes (camera_id, ts, seq, plane, width, height, stride, channels,
+    green: the place of the green byte in a pixel)."""
+    thumb = thumbnails(*[F.col(c) for c in ("plane", "width", "height", "stride", "channels", "green")])
+    return frames.select("camera_id", "ts", "seq", thumb.alias("thumb"))
+
+
 def autoscan_batch(samples: DataFrame) -> DataFrame:
     """OUT for each sample taken of samples (camera_id, ts, seq, thumb).
 

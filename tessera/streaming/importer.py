@@ -18,7 +18,8 @@ from ..operators.merge import Snapshots
 from ..operators.publish import publish_next
 from ..sources.feed import GROUP, PRICE, PRODUCT, _typed
 
-GROUPS_PER_BATCH = 12
+#: Files of one micro-batch. Each rewrites the catalogue once, so batches are large; a smaller number suits tight memory.
+GROUPS_PER_BATCH = 10_000
 REPORT = "sets long, printings long, unmatched long, prices long"
 VERSIONS = "game_id string, version string, printings_count long, index_pack_key string, created_at timestamp"
 

@@ -152,8 +152,13 @@ def test_snapshots(spark, tmp_path):
     assert store.versions() == [1, 2] and {n: t.count() for n, t in store.read().items()} == {"a": 2, "b": 1} and store.read(1)["a"].count() == 3
     (tmp_path / "t" / "v3-left").mkdir()  # never committed
     assert store.versions() == [1, 2]
+    assert publish.sync_store(store, []) == 3 and store.read()["a"].count() == 2
+    store.prune(keep=2)
+    assert store.versions() == [2, 3] and store.read(2)["a"].count() == 2
+    with pytest.raises(Exception):
+        store.read(1)
     late = merge.Snapshots(spark, f"file://{tmp_path}/t")
-    late.versions = lambda: [1]  # another writer that has not seen the second version
+    late.versions = lambda: [2]  # another writer that has not seen the third version
     with pytest.raises(Exception, match="exist"):
         late.write({"a": spark.range(9)})
     assert store.read()["a"].count() == 2
@@ -363,3 +368,22 @@ def test_frames_are_turned_where_they_are_weak(spark):
     seen, found = frames.process_frames(asked, index, block_means, k=2, size=32, retry_below=0.9)
     assert {r.frame_id: r.rejected for r in seen.collect()} == {0: None, 1: None, 2: None, 3: "no-card", 4: "bad-quad"}
     assert sorted((r.frame_id, r.turn, r.id) for r in found.where("rank = 1").collect()) == [(0, 0, "0"), (1, 180, "1"), (2, 90, "2")]
+
+
+def test_serials_are_read_in_the_first_orientation_that_has_one(spark):
+    """A recogniser that sees a serial where the strip is red: the top of the card, which lies to the right."""
+    from tessera.functions import image as I
+    from tessera.operators import frames
+
+    a = np.zeros((80, 60, 4), dtype=np.uint8)
+    a[:, :9, 0] = 255  # the strip at the card's foot, whose foot is the frame's left side
+
+    @F.pandas_udf("array<string>")
+    def recognise(strips: pd.DataFrame) -> pd.Series:
+        reds = [I.pixels(d, w, h)[..., 0].mean() for d, w, h in strips[["data", "width", "height"]].itertuples(index=False)]
+        return pd.Series([["OP01-001"] if r > 200 else ["nothing"] for r in reds])
+
+    square = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    rows = [(1, (*I.packed(a),), (square,)), (2, (*I.packed(a * 0),), (square,))]
+    frame = spark.createDataFrame(rows, f"frame_id long, image struct<{I.IMAGE}>, detection struct<corners:array<struct<x:double,y:double>>>")
+    assert [(r.frame_id, r.serial, r.turn) for r in frames.read_serials(frame, "onepiece", recognise, width=90).collect()] == [(1, "OP01-001", 1)]

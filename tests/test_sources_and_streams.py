@@ -48,6 +48,12 @@ def test_autoscan_triggers(spark):
     assert {n: sorted(r.seq for r in got if r.camera_id == n) for n in SEQUENCES} == {n: want for n, (_, want) in SEQUENCES.items()}
 
 
+def test_samples_of_camera_planes(spark):
+    rows = [("c", START, 0, bytearray([7] * 24 * 64 * 3), 64, 24, 192, 3, 1)]
+    frames = spark.createDataFrame(rows, "camera_id string, ts timestamp, seq long, plane binary, width int, height int, stride int, channels int, green int")
+    assert autoscan.samples_of(frames).first().thumb == [7.0] * 384
+
+
 def test_small_differences_are_still(spark):
     gate = autoscan.Gate()
     gate.step(0, flat(100))
