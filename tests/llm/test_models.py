@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -127,6 +128,8 @@ def test_vectors_against_all_pairs(spark):
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+    clash = frame.select("*", *[F.lit("x").alias(c) for c in ("cid", "H1", "v", "component", "copies")])
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(clash).collect())) == sorted(map(tuple, got.values()))
 
 
 # --- packing
@@ -198,6 +201,40 @@ def best_gain(bins, capacity):
     return best
 
 
+def least_bins(pieces, capacity):
+    """The least number of bins, by trying every place of every piece."""
+    pieces = sorted(pieces, reverse=True)
+
+    def fits(i, rooms):
+        if i == len(pieces):
+            return True
+        for j, room in enumerate(rooms):
+            if room >= pieces[i] and room not in rooms[:j] and fits(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]]):
+                return True
+        return False
+
+    return next(n for n in range(1, len(pieces) + 1) if fits(0, [capacity] * n))
+
+
+def test_plans_of_few_pieces_against_every_packing():
+    rng, more = random.Random(17), 0
+    for _ in range(150):
+        pieces = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        got, least = sum(packing.plan(Counter(pieces), 20).values()), least_bins(pieces, 20)
+        assert least <= got <= least + 1
+        more += got > least
+    assert more <= 5
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    path = public_tokenizers.path(name)
+    e, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not e.by_parts and packing.Encoder(WORD_BPE).by_parts
+    for t in ("Hello, World... it's  here", "a b\nc", "", None):
+        assert e.ids(t) == packing.packed(plain.encode(t or "", add_special_tokens=False).ids)
+
+
 def test_the_search_ends_only_where_no_exchange_gains():
     for seed in range(6):
         rng = random.Random(seed)
@@ -214,17 +251,35 @@ def test_the_search_ends_only_where_no_exchange_gains():
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def slow_best(c, text):
-    """The best total score of any segmentation, by trying every piece at every end."""
-    scores = {c.pieces[i]: s for _, (i, _, s) in ((0, c.automaton.get(w)) for w in c.automaton.keys())}
-    best = [0.0] + [-np.inf] * len(text)
-    for end in range(1, len(text) + 1):
-        for start in range(max(0, end - 20), end):
-            if text[start:end] in scores:
-                best[end] = max(best[end], best[start] + scores[text[start:end]])
-        if best[end] == -np.inf:
-            best[end] = best[end - 1] + c.unknown_score
-    return best[-1]
+def slow_best(scores, unknown, text):
+    """The best total score of any segmentation into pieces and, for signs that are no piece themselves, unknowns."""
+
+    @cache
+    def best(at):
+        if at == len(text):
+            return 0.0
+        found = [scores[text[at:end]] + best(end) for end in range(at + 1, min(len(text), at + 20) + 1) if text[at:end] in scores]
+        if text[at] not in scores:
+            found.append(unknown + best(at + 1))
+        return max(found)
+
+    return best(0)
+
+
+def test_the_search_against_every_segmentation_of_random_vocabularies():
+    rng = random.Random(31)
+    for _ in range(3000):
+        pieces = {"".join(rng.choice("abX") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 6))}
+        scored = {p: (i, -rng.randint(1, 40) / 2) for i, p in enumerate(sorted(pieces))}
+        c = object.__new__(sentencepiece_codec.Codec)
+        c.unknown, c.byte = len(scored), {}
+        c.index(scored)
+        text, scores = "".join(rng.choice("abX") for _ in range(rng.randint(0, 9))), {p: s for p, (_, s) in scored.items()}
+        ids, names = c.viterbi(text), sorted(pieces)
+        assert sum(scores[names[i]] if i < len(names) else c.unknown_score for i in ids) == slow_best(scores, c.unknown_score, text)
+    c.index({"bbba": (0, -2.0), "aX": (1, -1.0)})
+    c.unknown = 2
+    assert c.viterbi("bbbaX") == [0, 2]  # the last sign is an unknown, though a piece ends there
 
 
 def test_segmentations_are_the_best_ones():
@@ -233,12 +288,13 @@ def test_segmentations_are_the_best_ones():
     rng = random.Random(8)
     texts = ["".join(rng.choice("abc theé\n①日") for _ in range(rng.randint(1, 14))) for _ in range(150)] + ["the and of", "  a  b ", "▁x"]
     score = {i: s for w in c.automaton.keys() for i, _, s in [c.automaton.get(w)]}
+    scores = {c.pieces[i]: s for i, s in score.items()}
     for t in texts:
         ids = c.encode(t)
         normal = c.normalized(t)
         mine = sum(score[i] for i in ids if i in score) + c.unknown_score * sum(1 for ch in normal if ch not in set(c.automaton.keys()))
-        assert mine == pytest.approx(slow_best(c, normal))
-        assert c.viterbi(normal) == [i for w in c.words(normal) for i in c.viterbi(w)] or mine == pytest.approx(slow_best(c, normal))
+        assert mine == pytest.approx(slow_best(scores, c.unknown_score, normal))
+        assert c.viterbi(normal) == [i for w in c.words(normal) for i in c.viterbi(w)] or mine == pytest.approx(slow_best(scores, c.unknown_score, normal))
     words = ["the", "of the", "she then"] + ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 9))) for _ in range(300)]
     for t in words:  # the library's own lattice search agrees
         assert c.encode(t) == unigram.nbest_encode(t, nbest_size=2)[0]
@@ -256,6 +312,10 @@ def test_round_trips(spark):
     back = frame.select("text", sentencepiece_codec.decode(sentencepiece_codec.encode(F.col("text"), PIECES), PIECES).alias("back")).collect()
     assert all(r.back == (r.text or "") for r in back)
     assert sentencepiece_codec.digests(frame.limit(0), PIECES).count() == 0
+    clash = frame.select("*", *[F.lit("x").alias(c) for c in ("s", "n_pieces", "Round_Trip")]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r[1:] for r in sentencepiece_codec.digests(clash, PIECES).collect()) == sorted(tuple(r)[1:] for r in rows)
+    whole = "a long text of words " * 20_000
+    assert sentencepiece_codec.digests(spark.createDataFrame([(1, whole)], "doc_id long, text string"), PIECES).first().round_trip
 
 
 # --- pseudonyms
@@ -330,3 +390,113 @@ def test_permutations(spark):
 def test_plan_has_no_python(spark):
     plan = pii.scrub(spark.createDataFrame([(1, "a")], "doc_id long, text string"), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_have_vectors_of_their_own(spark):
+    rows = [(i, " ".join(RNG.choice(WORDS) for _ in range(30))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = quality.frequent_words(frame)
+    seen = Counter(w for _, t in rows for w in t.split())
+    assert sorted(words.tolist()) == words.tolist() and set(words.tolist()) == {int(quality.word_hashes(w)[0]) for w in seen}
+    assert quality.rows_of(quality.word_hashes("neverseen"), words)[0] >= quality.WORDS
+    got = quality.Contexts(words)
+    got.add([t for _, t in rows])
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.ROWS, quality.DIM))
+    for _, t in rows:
+        h = quality.word_hashes(t)
+        at = quality.rows_of(h, words)
+        for i in range(len(h)):
+            for j in range(max(0, i - quality.WINDOW), min(len(h), i + quality.WINDOW + 1)):
+                if j != i:
+                    want[at[i], place[h[j] % quality.PLACES]] += sign[h[j] % quality.PLACES]
+    assert np.array_equal(got.total.reshape(want.shape), want)
+
+
+def test_contexts_run_on_over_chunks(monkeypatch):
+    text = " ".join(RNG.choice(WORDS) for _ in range(500))
+    words = np.unique(quality.word_hashes(text))
+    sums = []
+    for chunk in (1 << 15, 7):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        c = quality.Contexts(words)
+        c.add([text, None, "a b"])
+        sums.append((c.total, c.seen))
+    assert np.array_equal(sums[0][0], sums[1][0]) and np.array_equal(sums[0][1], sums[1][1]) and sums[0][1].sum() == 502
+
+
+def test_passes_grow_with_the_largest_label():
+    assert embedding_dedup.passes_for(0, 0.98) == embedding_dedup.passes_for(5_000, 0.98) == embedding_dedup.PASSES
+    many = [embedding_dedup.passes_for(10**k, 0.98) for k in (5, 6, 7, 8, 9)]
+    assert many == sorted(many) and many[-1] > many[0] and embedding_dedup.passes_for(10**6, 1.0) == embedding_dedup.PASSES
+    signs = 14  # a million vectors, 64 to a window
+    assert 1 - (1 - (1 - np.arccos(0.98) / np.pi) ** signs) ** many[1] >= embedding_dedup.RECALL
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_ids_of_any_type(spark, corpus, op):
+    frame, labels = corpus
+    named = frame.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = op.classify(*named).join(named[1], "doc_id").collect()
+    label = "toxic" if op is toxicity else "quality"
+    held = [r for r in got if r.held_out]
+    assert len(got) == 600 and sum(r.predicted == r[label] for r in held) / len(held) > 0.95
+
+
+def test_word_model_against_a_slow_one(spark):
+    """Evidence of words by plain loops over documents: the same counts, discount and shared frequencies."""
+    rows = [(i, " ".join(RNG.choice(WORDS[:40]) for _ in range(12)) + (" zorx" if i % 4 == 0 else "")) for i in range(240)]
+    frame, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, per_class=8)
+    import zlib
+
+    learned = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    order = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    curve = {i for y in (0, 1) for i in sorted((i for i in learned if order[i] % 4 == 0 and (i % 4 == 0) == y), key=lambda i: (order[i], i))[:2]}
+    n, by = Counter(w for _, t in rows for w in set(t.split())), (Counter(), Counter())
+    for i in learned:
+        if i not in curve:
+            by[i % 4 == 0].update(set(rows[i][1].split()))
+    total, kinds = sum(n.values()), len(n)
+    left = [1 - sum(max(0, c - 3) for c in by[y].values()) / max(1, sum(by[y].values())) for y in (0, 1)]
+    for w in n:
+        f = (n[w] + 0.5) / (total + 0.5 * (kinds + 1))
+        p = [max(0, by[y][w] - 3) / sum(by[y].values()) + left[y] * f for y in (0, 1)]
+        want = np.log(p[1] / left[1]) - np.log(p[0] / left[0]) if max(by[0][w], by[1][w]) > 3 else 0
+        assert model.of_words(toxicity.expressions(w)[1])[0] == pytest.approx(want, abs=1e-5)
+
+
+def slow_date(iso):
+    import datetime as dt
+
+    d = dt.date.fromisoformat(iso)
+    start = dt.date(d.year - (d.year - pii.FIRST_YEAR) % pii.BLOCK_YEARS, 1, 1)
+    r1, r2 = pii.BLOCK_DAYS // pii.BLOCK_RADIX, pii.BLOCK_RADIX
+    a, b = slow_feistel((d - start).days // r2, r1, (d - start).days % r2, r2, f"date{start.isoformat()}")
+    return start + dt.timedelta(days=a * r2 + b)
+
+
+def slow_box(box):
+    a, b = box[: len(box) // 2], box[len(box) // 2 :]
+    for r in range(pii.ROUNDS):
+        noise = "".join(hashlib.sha256(f"{KEY}:email:{r}:{i}:{b}".encode()).hexdigest() for i in (0, 1))
+        moved = []
+        for i, c in enumerate(a, 1):
+            k, lo, n = int(noise[2 * i % 124 :][:4], 16), *((97, 26) if c.islower() else (65, 26) if c.isupper() else (48, 10))
+            moved.append(chr(lo + (ord(c) - lo + k) % n) if c.isalnum() else c)
+        a, b = b, "".join(moved)
+    return a + b
+
+
+def test_dates_mail_and_accounts_against_a_plain_version(spark):
+    got = [r.text for r in scrubbed(spark, ["1987-02-28", "28.02.1987", "Ab.c9@x.org", "z@y.de", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"])]
+    d = slow_date("1987-02-28")
+    assert got[0] == d.isoformat() and got[1] == d.strftime("%d.%m.%Y")
+    assert got[2] == slow_box("Ab.c9") + "@x.org" and got[3] == slow_box("z") + "@y.de"
+    for text, country, letters, digits in ((got[4], "GB", "WEST", "12345698765432"), (got[5], "DE", "", "370400440532013000")):
+        account = letters + slow_digits(digits, "iban")
+        check = 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+        assert text.replace(" ", "") == f"{country}{check:02d}{account}"
+    long = " ".join(["mail Ab.c9@x.org of 1987-02-28"] * 20_000)
+    row = scrubbed(spark, [long])[0]
+    assert (row.n_email, row.n_date, row.text.split(" ")[1]) == (20_000, 20_000, got[2]) and len(row.text) == len(long)

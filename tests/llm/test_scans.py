@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import struct
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import common, media, secret_scan, simhash, storage, warc
 
@@ -59,6 +61,12 @@ def test_checksums_are_validated():
     assert secret_scan.scan(f"x {bad} y") == [] and secret_scan.scan(None) == []
 
 
+def test_tokens_of_the_package_registry():
+    good = token("npm_")
+    bad = good[:-1] + ("0" if good[-1] != "0" else "1")
+    assert [(k, s, e) for s, k, e in secret_scan.scan(f"é {good}, {bad} {good}x")] == [(secret_scan.NPM, 2, 2 + len(good))]
+
+
 def test_scan_columns_and_redaction(spark):
     texts = ["token = abcdefgh 1", None, "", "nothing", "nothing"]
     got = secret_scan.scan_secrets(docs(spark, texts, Spans=["a"] * 5)).orderBy("doc_id").collect()
@@ -101,27 +109,24 @@ def test_links_against_all_pairs(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
-def test_similar_pairs_are_met_as_often_as_computed(spark):
-    rng = random.Random(7)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    flipped = lambda v, bits: v ^ sum(1 << p for p in rng.sample(range(64), bits))
-    pairs = [(i, rng.getrandbits(64), rng.getrandbits(64)) for i in range(400)]
-    rows = [(i, signed(a), signed(b)) for i, a, b in pairs] + [(1000 + i, signed(flipped(a, 8)), signed(flipped(b, 8))) for i, a, b in pairs]
-    frame = spark.createDataFrame(rows, "cid long, f0 long, f1 long")
-    got = {r.cid: r.component for r in simhash.similar_components(frame, 2, 16, 3).collect()}
-    met = sum(got.get(1000 + i) == i for i in range(400))
-    assert len(got) == 2 * met and abs(met / 400 - (1 - (1 - simhash.recall(8, 3)) ** 2)) < 0.08
-    assert simhash.similar_components(frame, 2, 15, 3).count() == 0  # verified over both
-    assert all(simhash.recall(d, simhash.exact_segments(4)) == 1 for d in range(5))
+def test_segments_miss_nothing_up_to_four_bits():
+    assert all(simhash.recall(d, simhash.exact_segments(4)) == 1 for d in range(5)) and simhash.recall(8, 3) < 1
 
 
 def test_a_group_of_near_copies_is_one_component(spark):
-    rng = random.Random(1)
-    base = [rng.getrandbits(63), rng.getrandbits(63)]
-    rows = [(i, *(b ^ sum(1 << p for p in rng.sample(range(63), 3)) for b in base)) for i in range(300)] + [(500, 1, 2)]
-    frame = spark.createDataFrame(rows, "cid long, f0 long, f1 long")
-    got = {r.cid: r.component for r in simhash.similar_components(frame, 2, 18, 3).collect()}
-    assert got == {i: 0 for i in range(300)}
+    rng, words = random.Random(1), [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:200], f"x{i}", *words[200:]]) for i in range(150)] + [" ".join(rng.choice(words) for _ in range(400))]
+    frame = docs(spark, texts).repartition(5)
+    assert sorted(r.doc_id for r in simhash.keep_representatives(frame).collect()) == [0, 150]
+
+
+def test_rows_with_hot_keys_find_their_values(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("n")).union(spark.sql("SELECT CAST(NULL AS BIGINT), -1L"))
+    values = rows.groupBy("k").agg(F.count("*").alias("many"), F.max("n").alias("high")).where("k IS NULL OR k <> 8")
+    got = sorted(map(tuple, common.with_values(rows, values, ["k"], "many").collect()), key=str)
+    want = sorted(map(tuple, rows.join(values, "k", "left").select("k", "n", "many", "high").collect()), key=str)
+    assert got == want and common.with_values(rows.limit(0), values.limit(0), ["k"], "many").count() == 0
+    assert sorted(map(tuple, common.with_values(rows, values.select("k", "high"), ["k"]).collect()), key=str) == sorted(((k, n, h) for k, n, _, h in want), key=str)
 
 
 def test_near_copies_are_those_of_brute_force_at_0_8(spark):
@@ -138,7 +143,31 @@ def test_near_copies_are_those_of_brute_force_at_0_8(spark):
     gone = set(range(len(texts))) - {r.doc_id for r in simhash.keep_representatives(docs(spark, texts)).collect()}
     want = {i + 1 for i in close}
     assert 150 < len(want) < 300 and gone <= want and len(gone) >= 0.98 * len(want) and len(texts) - 1 in gone
-    assert simhash.key_recall(0.1515) > 0.99
+
+
+def test_keys_grow_with_the_number_of_texts():
+    widths = [simhash.key_width(n) for n in (0, 1, 1000, 10**6, 10**9)]
+    assert widths[:3] == [simhash.KEY_BITS] * 3 and widths[3:] == [22, 32]
+    share = np.arccos(2 * 0.8 / 1.8) / np.pi
+    for width in (20, 24):
+        keys = simhash.keys_for(width)
+        assert simhash.key_recall(share, keys, width) >= simhash.KEY_RECALL > simhash.key_recall(share, keys - 8, width)
+        at = simhash.key_positions(512, keys, width)
+        assert at.shape == (keys, width) and at.max() < 512 and all(len(set(k)) == width for k in at.tolist())
+
+
+def test_candidates_of_a_large_group_grow_with_its_size(spark):
+    """Texts that share much, but less than 0.8: no more pairs than CLOSEST a text and turn, whatever the group."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(300)]
+    frame = docs(spark, texts).select(F.col("doc_id").alias("cid"), simhash.set_simhashes(F.col("text"), 5, 8).alias("f"))
+    classes = common.written(frame.select("cid", F.slice("f", 1, 8).alias("fps"), F.col("f")[8].alias("size")), "classes")
+    assert classes.where("cid = 0").first()["size"] == len({tuple(texts[0].split()[i : i + 5]) for i in range(116)})
+    shared, known = simhash.shared_keys(classes), classes.withColumn("component", F.col("cid"))
+    first = common.written(simhash.led_candidates(shared, known, None, simhash.NEAR, 0), "first")
+    again = simhash.led_candidates(shared, known, first, simhash.NEAR, 0)
+    assert 300 <= first.count() <= simhash.CLOSEST * 300 and first.intersect(again).count() == 0
 
 
 def test_components_and_representatives(spark):
@@ -156,6 +185,14 @@ def test_components_and_representatives(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_representatives(nulls).collect()) == ["7", "None"]
 
 
+def test_a_very_long_text_has_one_fingerprint(spark):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(40_000))  # more shingles than are summed at once
+    got = simhash.near_duplicates(docs(spark, [text, text + "  "], fingerprint=["x", "y"], component_id=["x", "y"])).collect()
+    assert {r.fingerprint for r in got} == {f"{slow_fingerprint(text):016x}"} and {r.component_id for r in got} == {0}
+    assert len(simhash.keep_representatives(docs(spark, [text, text.upper()])).collect()) == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]
@@ -177,24 +214,43 @@ def test_png_round_trip():
         media.from_png(png[:40] + b"\0" + png[41:])
 
 
+def slow_features(payload):
+    bins = [sum(b // 16 == i for b in payload) for i in range(16)]
+    return f"{len(payload)}:{payload.count(0)}:{sum(payload)}:{sum(b * b for b in payload)}:{max(payload)}:{'.'.join(map(str, bins))}"
+
+
 def test_media_columns_against_hashes(spark):
     texts = [None, "", "short", "long " * 500, "short", "ü" * 64]
     frame = docs(spark, texts, digest=["x"] * 6, Offset=["y"] * 6)
-    rows = {r.doc_id: r for r in media.media_columns(frame).collect()}
-    assert len(rows) == 6
+    with common.scope(spark) as made:
+        frame = common.written(frame, "docs").repartition(3)  # copies in several tasks
+        rows = {r.doc_id: r for r in media.media_columns(frame).collect()}
+        again = media.media_columns(common.written(frame, "docs")).collect()
+        folder = next(p for p in made if "/media-" in p and os.path.isdir(p.removeprefix("file://")) and any(x.endswith(".tar") for x in os.listdir(p.removeprefix("file://"))))
+        made.clear()
+    assert len(rows) == 6 and {r.payload_sha256 for r in again} == {r.payload_sha256 for r in rows.values()}
+    stored = [n for x in os.listdir(folder.removeprefix("file://")) if x.endswith(".tar") for n, _ in media.members(f"{folder}/{x}")]
+    assert len(stored) == len(set(stored)) == 4  # each payload once, over all tasks
     for i, t in enumerate(texts):
         payload, n = media.payload_of(t)
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.feature, r.height) == (media.features(payload), len(payload) // 64)
-        found = dict(media.members(r.shard))[f"{r.payload_sha256}.png"]  # a tar file that any tool reads
+        assert r.feature == slow_features(payload) and (r.width, r.height, r.bit_depth, r.colour_type) == (64, len(payload) // 64, 8, 0)
+        found = dict(media.members(f"{folder}/{r.shard}"))[f"{r.payload_sha256}.png"]  # a tar file that any tool reads
         assert len(found) == r.media_bytes == r.length and hashlib.sha256(found).hexdigest() == r.media_sha256
     assert (rows[2].shard, rows[2].offset) == (rows[4].shard, rows[4].offset) and rows[0].media_sha256 == rows[1].media_sha256
-    meta = {r.digest: r.height for r in media.metadata(media.store(frame)).collect()}
-    assert meta == {r.payload_sha256: r.height for r in rows.values()}
+    _, places, at = media.store(frame)
+    assert {r.digest: r.height for r in media.metadata(places, at).collect()} == {r.payload_sha256: r.height for r in rows.values()}
     assert media.media_columns(frame.limit(0)).count() == 0
 
 
+def test_one_very_long_payload(spark):
+    text = "long é " * 300_000
+    r = media.media_columns(docs(spark, [text, text])).collect()
+    payload, n = media.payload_of(text)
+    assert {(x.n_bytes, x.payload_sha256, x.feature) for x in r} == {(n, hashlib.sha256(payload).hexdigest(), slow_features(payload))}
+
+
 def test_shards_are_cut_and_read_in_parts(tmp_path, monkeypatch):
     monkeypatch.setattr(media, "SHARD_BYTES", 2000)
     shards = media.Shards(f"file://{tmp_path}")
@@ -203,9 +259,9 @@ def test_shards_are_cut_and_read_in_parts(tmp_path, monkeypatch):
     places = [shards.put(hashlib.sha256(p).hexdigest(), p) for p in payloads]
     assert shards.put(hashlib.sha256(payloads[0]).hexdigest(), payloads[0]) == places[0]
     shards.close()
-    assert len({s for s, _, _ in places}) > 1
+    assert len({s for s, _, _ in places}) > 1 and not [x for x in os.listdir(tmp_path) if x.endswith(".part")]
     for p, (shard, offset, length) in zip(payloads, places, strict=True):
-        with storage.read_at(shard) as f:
+        with storage.read_at(f"file://{tmp_path}/{shard}") as f:
             f.seek(offset)
             assert media.from_png(f.read(length)) == p
 
@@ -244,4 +300,19 @@ def test_archive_limits_and_odd_rows(spark):
     assert got == [("1", "response", "None"), ("1", "response", "None"), ("2", "revisit", "1"), ("3", "response", "None"), ("None", "response", "None"), ("None", "revisit", "1")]
     assert {r.record_type for r in warc.archive_pages(frame, min_bytes=5).where("payload_bytes < 5").collect()} == {"response"}
     assert warc.archive_pages(frame.limit(0)).count() == 0
-    assert warc.dictionary([]) is None and warc.dictionary([b"a"] * 20) is not None  # too alike to train on
+    named = spark.createDataFrame([("b\n1", "same", "u", "w"), ("a", "same", "u", "w"), ("", "x", None, "w"), (None, None, "u", "w")], "page_id string, html string, url string, SHA string")
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.archive_pages(named).collect())
+    assert got == [("", "response", "None"), ("None", "response", "None"), ("a", "response", "None"), ("b\n1", "revisit", "a")]
+
+
+def test_dictionaries_are_of_the_published_kind():
+    """Few, large, empty or equal records: there is always a trained dictionary, with the magic number of the format."""
+    for samples in ([], [b""], [b"a"] * 20, [b"x" * 5_000_000], [bytes(range(256)) * 4_000]):
+        assert warc.dictionary(samples).as_bytes()[:4] == bytes.fromhex("37a430ec")
+
+
+def test_a_very_long_page(spark):
+    html = "<p>längerer Text</p>" * 200_000
+    frame = spark.createDataFrame([(1, html), (2, html), (3, "x")], "page_id long, html string")
+    got = {r.page_id: r for r in warc.archive_pages(frame).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == len(html.encode()) and got[2].refers_to == 1
