@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import packing, quality, secret_scan, simhash, toxicity
-from tessera.llm.common import table, written
+from tessera.llm.common import scope, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with a written table between any two."""
+    """All stages over documents, with a written table between any two. What a stage wrote for itself is removed once
+    its result has been written; the last stage's tables stay, for its result is still to be computed."""
     rows = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        rows = stage(spark, rows, sf_dir)
-        if i + 1 < len(STAGES):
-            rows = written(rows, "pipeline-" + name.replace(" ", "-"))
+        with scope(spark) as made:
+            rows = stage(spark, rows, sf_dir)
+            if i + 1 < len(STAGES):
+                rows = written(rows, "pipeline-" + name.replace(" ", "-"))
+                made.pop()
+            else:
+                made.clear()
     return rows
