@@ -181,11 +181,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         + """, read AS (SELECT ordinal // 10 AS scan_id, set_total FROM printings WHERE ordinal % 10 = 0),
         many AS (SELECT c.scan_id, count(*) FILTER (c.art_id = t.art_id) AS n, arg_min(c.id, c.ordinal) AS first_id FROM candidates c JOIN tops t USING (scan_id) GROUP BY ALL),
         hits AS (SELECT c.scan_id, c.id, c.ordinal, 0.4 * (ltrim(p.number, '0') = r.set_total)::INT + 0.2 * (p.set_total = r.set_total)::INT AS score FROM candidates c JOIN read r USING (scan_id) JOIN printings p ON p.id = c.id),
-        best AS (SELECT scan_id, id FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, ordinal) = 1),
-        rated AS (SELECT t.*, CASE WHEN many.n > 1 THEN b.id END AS read_id, many.first_id, CASE WHEN second IS NULL THEN top ELSE top - second END AS gap FROM tops t LEFT JOIN many USING (scan_id) LEFT JOIN best b USING (scan_id)),
-        scored AS (SELECT *, greatest(0, least(1, 0.6 * top + 0.25 * least(1, gap * 8) + CASE WHEN read_id IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN frames >= 3 THEN 0.05 ELSE 0 END)) AS s FROM rated)
+        picked AS (SELECT scan_id, id FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, ordinal) = 1),
+        rated AS (SELECT t.*, CASE WHEN many.n > 1 THEN b.id END AS read_id, many.first_id, CASE WHEN second IS NULL THEN top ELSE top - second END AS gap FROM tops t LEFT JOIN many USING (scan_id) LEFT JOIN picked b USING (scan_id)),
+        marked AS (SELECT *, greatest(0, least(1, 0.6 * top + 0.25 * least(1, gap * 8) + CASE WHEN read_id IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN frames >= 3 THEN 0.05 ELSE 0 END)) AS s FROM rated)
         SELECT scan_id, coalesce(read_id, first_id) AS printing_id, CASE WHEN top < 0.5 THEN 'low' WHEN s >= 0.78 THEN 'high' WHEN s >= 0.6 THEN 'check' ELSE 'low' END AS tier, round(s, 6) AS score,
-        concat_ws('; ', CASE WHEN read_id IS NOT NULL THEN 'set/number matched' END, CASE WHEN frames >= 3 THEN concat(frames::VARCHAR, ' frames agreed') END, CASE WHEN top < 0.5 THEN 'weak match' END) AS reasons FROM scored""",
+        concat_ws('; ', CASE WHEN read_id IS NOT NULL THEN 'set/number matched' END, CASE WHEN frames >= 3 THEN concat(frames::VARCHAR, ' frames agreed') END, CASE WHEN top < 0.5 THEN 'weak match' END) AS reasons FROM marked""",
     ),
     "alternatives": (
         ("index_rows", "printings"),
