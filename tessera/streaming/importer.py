@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalogue import UPDATES, empty_tables, import_feed, merged
+from ..operators.catalogue import empty_tables, import_feed, merged
 from ..operators.merge import Snapshots
 from ..operators.publish import publish_next
 from ..sources.feed import GROUP, PRICE, PRODUCT, _typed

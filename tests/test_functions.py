@@ -71,6 +71,11 @@ def test_serials(spark):
     assert values(spark, [(x,) for x, _ in SERIALS], "s array<string>", R.parse_serial(col("s"))) == [y for _, y in SERIALS]
 
 
+def test_only_one_game_prints_serials(spark):
+    rows = [("onepiece", ["OP17-070"]), ("mtg", ["OP17-070"])]
+    assert values(spark, rows, "g string, l array<string>", R.serial_for_game(col("g"), col("l"))) == ["OP17-070", None]
+
+
 def test_near_patterns(spark):
     got = of_strings(spark, ["OP12-070", "P-001"], R.near_serial_patterns)
     assert got == [["OP12-070", "OP_2-070", "OP1_-070", "OP12-_70", "OP12-0_0", "OP12-07_"], ["P-001", "P-_01", "P-0_1", "P-00_"]]

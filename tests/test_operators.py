@@ -284,6 +284,13 @@ def test_collection_value(spark):
     assert got == {1: (5, 6.0, "USD"), 2: (1, 0.0, "GBP")}
 
 
+def test_corrections_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p1", None)], "predicted string, corrected string, created_at string")
+    for _ in range(2):
+        collection.record_correction(rows, f"file://{tmp_path}/log")
+    assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
+
+
 def test_growing_an_index_by_chunks(spark, tmp_path):
     from tessera.operators.fingerprint import fingerprint_missing
 
