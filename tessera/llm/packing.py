@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     seen[n] += 1
                 out.append((task, lengths, [zlib.crc32(x) for x in each], ranks))
             yield pd.DataFrame(out, columns=["task", "length", "crc", "rank"])
+        known.older = {}  # what an idle worker keeps is the younger half
 
     rows = docs.select("doc_id", cut(F.col("text")).alias("c"))
     rows = rows.select("doc_id", "c.task", F.posexplode(F.arrays_zip("c.length", "c.crc", "c.rank")).alias("piece", "x"))
