@@ -9,31 +9,40 @@ segment within one bit; the differing bit, or the segment's first bit when equal
 Copies are collapsed to distinct fingerprints before the join; they cost nothing however many there are.
 
 Near copies by similarity (`keep_representatives`) differ in more bits than segments guarantee. There each text has
-FINGERPRINTS fingerprints of independent hashes over its set of shingles; candidates share one of KEYS keys, each of
-KEY_BITS bits of any fingerprint, and are within NEAR bits of the first. `key_recall` gives the share of pairs with a
-common key. Candidates only count as near copies when the exact Jaccard similarity of their shingles is SIMILARITY or
-more. A group of near copies could make pairs with the square of its size, so a first pass links the members of each
-key to its least one, a row for each at most; the join then only makes pairs of what lies in different components.
+FINGERPRINTS fingerprints of independent hashes over its set of shingles, and keys of some of all their bits. The keys'
+width grows with the number of texts, so that few meet by chance, and their number so that the computed share of pairs
+at SIMILARITY with a key in common stays at KEY_RECALL (`key_recall`). Candidates are within NEAR of 64 bits, in the
+first fingerprint and over all, and only count as near copies when the exact Jaccard similarity of their shingles is
+SIMILARITY or more.
+
+A group of near copies could make pairs with the square of its size. So in each of TURNS turns a text is compared with
+the CLOSEST untried leaders of its keys that are of other components; leaders differ by key and turn. Pairs that have a
+key to themselves (FEW texts at most) and are still apart are compared at the end. So no lone pair with a key in common
+is missed, and in a group a text stays apart only if it is similar to few of the others, none of which was among the
+closest that led its keys.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
-doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are.
+doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are; an empty table
+gives no rows; extra columns are not read, whatever their names. Texts of any length count whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, tune, written
+from .common import connected_components, free_name, tune, with_values, written
 
 SEED = 42
-FINGERPRINTS, KEYS, KEY_BITS, NEAR = 8, 96, 16, 22
+FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, FEW = 8, 16, 0.99, 22, 2, 3, 2
+#: Of keys: most are different, so a task counts them in a table of about as many rows.
+ROWS_PER_TASK = 1 << 20
 SIMILARITY = 4, 5  # as a fraction, so that the bound is exact
 #: Bits that a signature's value has at most; the number of the masked bit is above them.
 WIDTH = 56
@@ -75,9 +84,12 @@ def bit_sums(h: np.ndarray) -> np.ndarray:
 
 
 def set_fingerprints(text: str | None, words: int = 5, count: int = FINGERPRINTS) -> list[int]:
-    """`count` fingerprints over the set of shingles: repeats count once, as in a Jaccard similarity."""
-    h = np.unique(hashes(text, words))
-    return np.packbits(np.array([bit_sums(mixed(h, k) if k else h) for k in range(count)]) * 2 > len(h), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    """`count` fingerprints over the set of shingles (repeats count once, as in a Jaccard similarity), and their number."""
+    h, ones = np.unique(hashes(text, words)), np.zeros((count, 64), dtype=np.int64)
+    for i in range(0, len(h), CHUNK):
+        for k in range(count):
+            ones[k] += bit_sums(mixed(h[i : i + CHUNK], k) if k else h[i : i + CHUNK])
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8")[:, 0].tolist() + [len(h)]
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -114,6 +126,7 @@ def simhashes(text: Column, words: int, count: int) -> Column:
 
 
 def set_simhashes(text: Column, words: int, count: int) -> Column:
+    """`count` fingerprints of the set of shingles, and the number of shingles last."""
     return per_text(text, lambda t: set_fingerprints(t, words, count))
 
 
@@ -196,138 +209,157 @@ def links(rows: DataFrame, max_distance: int = 4) -> DataFrame:
     return left.join(right, (F.col("l.k") == F.col("r.k")) & verified).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
-def names(count: int) -> list[str]:
-    return [f"f{i}" for i in range(count)]
-
-
-def apart(a: str, b: str, count: int) -> Column:
-    """Differing bits of two rows over all fingerprints."""
-    return sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in names(count)), F.lit(0))
-
+def key_width(classes: int) -> int:
+    """Bits of a key: so many that by chance four in five rows have a key for themselves."""
+    return max(KEY_BITS, math.ceil(math.log2(max(1, classes))) + 2)
 
-def leader_links(classes: DataFrame, of: str, count: int, max_distance: int, n: int) -> DataFrame:
-    """(a, b): each cid and the least one of a signature of fingerprint `of` that it shares, where that is near enough."""
-    cols = ["cid", *names(count)]
-    index = signatures(classes.select(*cols), n, of).select("k", F.struct(*cols).alias("x"))
-    led = index.join(index.groupBy("k").agg(F.min("x").alias("y")), "k")
-    return led.where("x.cid <> y.cid").where(apart("x", "y", count) <= max_distance).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
+def key_recall(share: float, keys: int, width: int, bits: int = 64 * FINGERPRINTS) -> float:
+    """The share of pairs with some key in common, of those that differ in each bit with probability `share`."""
+    met = lambda d: 1 - (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** keys
+    return sum(math.comb(bits, d) * share**d * (1 - share) ** (bits - d) * met(d) for d in range(bits + 1))
 
-def outer_links(classes: DataFrame, of: str, count: int, max_distance: int, n: int) -> DataFrame:
-    """(a, b) of near enough cids of different components that share a signature of fingerprint `of`."""
-    index = signatures(classes.select("cid", "component", *names(count)), n, of)
-    left, right = index.alias("l"), index.alias("r")
-    x = F.col(f"l.{of}").bitwiseXOR(F.col(f"r.{of}"))
-    verified = (F.col("l.cid") < F.col("r.cid")) & (F.col("l.component") != F.col("r.component")) & (apart("l", "r", count) <= max_distance) & first_signature(x, F.col("l.k"), n)
-    return left.join(right, (F.col("l.k") == F.col("r.k")) & verified).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
-
-
-def similar_components(classes: DataFrame, count: int, max_distance: int, n: int) -> DataFrame:
-    """(cid, component) of classes (cid, f0 and more) that are linked: within max_distance bits over all fingerprints."""
-
-    def union(find: Callable[..., DataFrame], rows: DataFrame) -> DataFrame:
-        return reduce(DataFrame.union, [find(rows, f, count, max_distance, n) for f in names(count)])
 
-    led = written(union(leader_links, classes).distinct(), "simhash-led")
-    first = connected_components(led).withColumnRenamed("node", "cid")
-    known = written(classes.join(first, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
-    return connected_components(led.union(union(outer_links, known))).withColumnRenamed("node", "cid")
+def keys_for(width: int, recall: float = KEY_RECALL) -> int:
+    """Keys of that width that give pairs at SIMILARITY this key_recall; multiples of eight."""
+    s = SIMILARITY[0] / SIMILARITY[1]
+    share, keys = math.acos(2 * s / (1 + s)) / math.pi, 8
+    while key_recall(share, keys, width) < recall:
+        keys += 8
+    return keys
 
 
-def key_positions(bits: int, keys: int = KEYS, width: int = KEY_BITS) -> np.ndarray:
+def key_positions(bits: int, keys: int, width: int) -> np.ndarray:
     """The bit positions of each key (keys x width): random, and apart among the bits // width keys of each deal."""
     rng, each = np.random.default_rng(SEED), bits // width
     deals = [rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-keys // each))]
     return np.concatenate(deals)[:keys]
 
 
-def key_recall(share: float, bits: int = 64 * FINGERPRINTS, keys: int = KEYS, width: int = KEY_BITS) -> float:
-    """The share of pairs with some key in common, of those that differ in each bit with probability `share`."""
-    from math import comb
-
-    met = lambda d: 1 - (1 - comb(bits - d, width) / comb(bits, width)) ** keys
-    return sum(comb(bits, d) * share**d * (1 - share) ** (bits - d) * met(d) for d in range(bits + 1))
-
+def keyed(rows: DataFrame, width: int, count: int) -> DataFrame:
+    """cid, f0 (the first fingerprint) and k (a key after its number) of rows (cid, fps), for each of `count` keys."""
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """The columns of rows (fps, and others) but fps, with f0 (the first fingerprint) and k: each key after its number."""
-
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        at = place = None
         for s in parts:
             bits = np.unpackbits(np.stack(s.to_numpy()).astype("<i8").view(np.uint8), axis=1, bitorder="little")
-            at = key_positions(bits.shape[1])
-            values = np.packbits(bits[:, at.ravel()].reshape(-1, KEY_BITS), axis=1, bitorder="little").view("<u2").reshape(len(s), -1)
-            yield pd.Series(list(values + (np.arange(len(at), dtype=np.int32) << KEY_BITS)), dtype=object)
+            if at is None:
+                at, place = key_positions(bits.shape[1], count, width), np.arange(count, dtype=np.int64) << width
+            values = np.zeros((len(s), count), dtype=np.int64)
+            for i in range(width):
+                values |= bits[:, at[:, i]].astype(np.int64) << i
+            yield pd.Series(list(values | place), dtype=object)
 
-    rest = [c for c in rows.columns if c != "fps"]
-    return rows.select(*rest, F.col("fps")[0].alias("f0"), keys("fps").alias("ks")).select(*rest, "f0", F.explode("ks").alias("k"))
+    return rows.select("cid", F.col("fps")[0].alias("f0"), keys("fps").alias("ks")).select("cid", "f0", F.explode("ks").alias("k"))
 
 
-def led_candidates(classes: DataFrame, near: int) -> DataFrame:
-    """(a, b): each cid and the least one that has the least f0 of a key that it shares, where their f0 are near enough.
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """cid, f0, k, n of classes (cid, fps): the keys that n of them have, more than one."""
+    size = classes.count()
+    width = key_width(size)
+    count = keys_for(width)
+    parts = max(1, -(-size * count // ROWS_PER_TASK))
+    index = written(keyed(classes.select("cid", "fps").repartition(parts), width, count), "simhash-index")
+    many = written(index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    return written(with_values(index, many, ["k"], "n", size * count).where("n IS NOT NULL"), "simhash-shared")
 
-    Least values are partially aggregated and joined back, so no key's rows are ever gathered.
-    """
-    index = keyed(classes)
-    least = index.groupBy("k").agg(F.min("f0").alias("g0"), F.count("*").alias("n")).where("n > 1").select("k", "g0")
-    pairs = index.join(least, "k").where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= near).select("cid", "g0").distinct()
-    of = classes.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("b"))
-    return pairs.join(of, "g0").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
 
+def near_enough(near: int, similarity: tuple[int, int] = SIMILARITY) -> Column:
+    """Whether x and y (fps, size) may be similar: d differing bits over all fingerprints, and sizes alike enough."""
+    of, per = similarity
+    sizes = per * F.least("x.size", "y.size") >= of * F.greatest("x.size", "y.size")
+    return (F.col("d") <= near * F.size("x.fps")) & sizes
+
+
+def differing() -> Column:
+    bits = F.zip_with("x.fps", "y.fps", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, n: s + n)
 
-def outer_candidates(classes: DataFrame, near: int) -> DataFrame:
-    """(a, b) of different components that share a key and whose f0 are near enough.
 
-    A large group of near copies is one component by now, most often the least of its keys: pairs are made of the rows
-    of other components with all, so not with the square of the group.
+def led_candidates(shared: DataFrame, known: DataFrame, tried: DataFrame | None, near: int, turn: int) -> DataFrame:
+    """(a, b): each cid of known (cid, component, fps, size) and, of the leaders of its keys that are of other components and
+    near enough, the CLOSEST ones that it hasn't tried.
+
+    A key's leader has the least f0 after an exclusive or with a mask of the key and turn, so the members of a large
+    group meet many leaders. Least values are partially aggregated and joined back: no key's rows are ever gathered. A
+    cid has as many leaders as keys at most.
     """
-    index = keyed(classes)
-    mixed_keys = index.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "lo")
-    left, right = index.join(mixed_keys, "k").where("component <> lo").alias("l"), index.alias("r")
-    once = (F.col("r.component") == F.col("l.lo")) | (F.col("l.cid") < F.col("r.cid"))
-    met = (F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))) <= near) & (F.col("l.component") != F.col("r.component")) & once
-    return left.join(right, (F.col("l.k") == F.col("r.k")) & met).select(F.greatest("l.cid", "r.cid").alias("a"), F.least("l.cid", "r.cid").alias("b")).distinct()
+    mask = F.xxhash64("k", F.lit(turn))
+    least = shared.groupBy("k").agg(F.min(F.col("f0").bitwiseXOR(mask)).alias("g0"), F.count("*").alias("n"))
+    led = with_values(shared.drop("n"), written(least.withColumn("g0", F.col("g0").bitwiseXOR(mask)), "simhash-least"), ["k"], "n")
+    met = led.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= near).select("cid", "g0").distinct()
+    mine = known.select("cid", "component", F.struct("fps", "size").alias("x"))
+    first = known.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("cid"))
+    leaders = first.join(mine, "cid").select("g0", F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
+    pairs = met.join(leaders, "g0").join(mine, "cid").where("component <> other").withColumn("d", differing())
+    pairs = pairs.where(near_enough(near)).select(F.col("cid").alias("a"), "b", "d")
+    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return pairs.withColumn("place", place).where(F.col("place") <= CLOSEST).select("a", "b")
+
+
+def few_candidates(shared: DataFrame, known: DataFrame, near: int, few: int = FEW) -> DataFrame:
+    """(a, b) of different components that share a key that `few` rows have at most, and whose f0 are near enough: a cid
+    meets fewer than `few` others by a key, whatever the size of its group."""
+    rows = shared.where(F.col("n") <= few).select("k", "cid", "f0")
+    left, right = rows.alias("l"), rows.alias("r")
+    met = (F.col("l.cid") < F.col("r.cid")) & (F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))) <= near)
+    pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & met).select(F.col("r.cid").alias("a"), F.col("l.cid").alias("b")).distinct()
+    mine = known.select("cid", "component", F.struct("fps", "size").alias("x"))
+    pairs = pairs.join(mine.withColumnRenamed("cid", "a"), "a").join(mine.select(F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y")), "b")
+    return pairs.where("component <> other").withColumn("d", differing()).where(near_enough(near)).select("a", "b")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (cid, text) have a Jaccard similarity of shingles of at least that; only texts of
     pairs are read."""
-    pairs = written(pairs, "simhash-pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = written(texts.join(met, "cid").select("cid", shingle_sets(F.col("text"), words).alias("s")), "simhash-shingles")
-    # sizes first: of sets too unlike in size no shingle is moved
-    sizes = sets.select("cid", F.size("s").alias("n"))
-    x, y = (sizes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    many, total = written(times(pairs), "simhash-times"), 2 * pairs.count()
+    sets = written(texts.join(many, "cid").select("cid", "n", shingle_sets(F.col("text"), words).alias("v")), "simhash-shingles")
+    for c, v in (("a", "x"), ("b", "y")):  # a leader may be in very many pairs
+        side = sets.select(F.col("cid").alias(c), F.col("v").alias(v), F.col("n").alias(f"n{v}"))
+        pairs = with_values(pairs, side, [c], f"n{v}", total).drop(f"n{v}")
     of, per = similarity
-    near = pairs.join(x, "a").join(y, "b").where(per * F.least("na", "nb") >= of * F.greatest("na", "nb")).select("a", "b")
-    x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return near.join(x, "a").join(y, "b").where(per * both >= of * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.where(per * both >= of * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def times(pairs: DataFrame) -> DataFrame:
+    """(cid, n): in how many pairs each cid is."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n"))
 
 
-def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NEAR) -> DataFrame:
-    """(cid, component) of classes (cid, fps) that are linked; texts (cid, text) decide."""
-    led = written(similar(led_candidates(classes, near), texts, words), "simhash-led")
-    first = connected_components(led).withColumnRenamed("node", "cid")
-    known = written(classes.join(first, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
-    return connected_components(led.union(similar(outer_candidates(known, near), texts, words))).withColumnRenamed("node", "cid")
+def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NEAR, turns: int = TURNS) -> DataFrame:
+    """(cid, component) of classes (cid, fps, size) that are linked; texts (cid, text) decide."""
+    shared, known, links, tried = shared_keys(classes), classes.withColumn("component", F.col("cid")), None, None
+    for turn in range(turns + 1):
+        met = written(led_candidates(shared, known, tried, near, turn) if turn < turns else few_candidates(shared, known, near), "simhash-met")
+        tried = met if tried is None else tried.union(met)
+        new = written(similar(met, texts, words), "simhash-links")
+        links = new if links is None else links.union(new)
+        found = connected_components(links).withColumnRenamed("node", "cid")
+        if turn < turns:
+            known = written(classes.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
+    return found
 
 
 def components(prints: DataFrame, max_distance: int = 4) -> DataFrame:
-    """(fp, component_id) for each distinct fp of `prints` (doc_id, fp): the smallest doc_id of all linked fingerprints."""
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    """(fp, component_id, n) for each distinct fp of `prints` (doc_id, fp): the smallest doc_id of all linked
+    fingerprints, and the number of rows with it."""
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
     cc = written(connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp"), "simhash-components")
-    low = cc.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("low"))
-    linked = cc.join(low, "component").select("fp", "low")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    low = cc.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("many"))
+    linked = with_values(cc, low, ["component"], "many").select("fp", "low")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of docs (doc_id, text)."""
     tune(docs.sparkSession)
     prints = written(docs.select("doc_id", simhash(F.col("text"), words).alias("fp")), "simhash")
-    return prints.join(components(prints, max_distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # copies of one text may be a large share of all rows
+    named = with_values(prints, written(components(prints, max_distance), "simhash-named"), ["fp"], "n")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRINTS) -> DataFrame:
@@ -335,17 +367,17 @@ def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRI
     by row order. Columns stay as they are.
 
     Shingles with a Jaccard similarity s differ in acos(2 s / (1 + s)) / pi of all bits on average: at 0.8 that is 9.7
-    of 64, and such pairs have a key in common in 0.996 of cases. Copies with equal fingerprints (all 512 bits) are
-    one class before any join. Each group keeps one row by a partially aggregated minimum over (doc_id, row number).
+    of 64. Copies with equal fingerprints (all 512 bits) are one class before any join. Each group keeps one row by a
+    partially aggregated minimum over (doc_id, row number).
     """
     tune(docs.sparkSession)
     fps, row = (free_name(docs.columns, c) for c in ("fps", "row"))
     rows = written(docs.withColumn(fps, set_simhashes(F.col("text"), words, count)).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
-    prints = rows.select(F.col(fps).alias("fps"), at.alias("at"))
-    classes = prints.groupBy("fps").agg(F.min("at").alias("at")).select("fps", "at", F.col("at.r").alias("cid"))
-    classes = written(classes, "simhash-classes")
+    prints = F.slice(fps, 1, count).alias("fps")
+    at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"), F.col(fps)[count].alias("size"))
+    classes = rows.select(prints, at.alias("at")).groupBy("fps").agg(F.min("at").alias("at"))
+    classes = written(classes.select("fps", "at", F.col("at.r").alias("cid"), F.col("at.size").alias("size")), "simhash-classes")
     texts = rows.select(F.col(row).alias("cid"), "text")  # a class is known by the row of its first document
-    cc = near_copies(classes.select("cid", "fps"), texts, words)
+    cc = near_copies(classes.select("cid", "fps", "size"), texts, words)
     first = classes.join(cc, "cid", "left").groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("at").alias("at"))
     return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)
