@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_dir as new_dir
@@ -36,6 +36,11 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def words(text: Column, gaps: str) -> Column:
+    """The words of a text column: what lies between signs of the class `gaps`. Of a null text: null."""
+    return F.array_remove(F.split(text, f"[{gaps}]+"), "")
+
+
 def with_values(rows: DataFrame, values: DataFrame, key: Sequence[str], many: str | None = None, total: int | None = None) -> DataFrame:
     """rows with the other columns of values (one row for each key), null where there are none.
 
@@ -51,9 +56,12 @@ def with_values(rows: DataFrame, values: DataFrame, key: Sequence[str], many: st
     others = [c for c in values.columns if c not in key and c != "__many"]
     known = values.select(*key, F.lit(0).cast("long").alias("__at"), F.struct(*others).alias("__cold"))
     hot = values.where(F.col(many) * SHARES >= max(1, total)).select(*key, F.struct(*others).alias("__hot"))
-    # a row with a hot key meets nothing in the second join, wherever it goes
+    # a row with a hot key, or a null in it, meets nothing in the second join, wherever it goes
     out = rows.join(F.broadcast(hot), list(key), "left")
-    out = out.withColumn("__at", F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    cold = F.col("__hot").isNull()
+    for c in key:
+        cold = cold & F.col(c).isNotNull()
+    out = out.withColumn("__at", F.when(cold, F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
     out = out.join(known, [*key, "__at"], "left").withColumn("__v", F.coalesce("__hot", "__cold"))
     return out.select(*[c for c in rows.columns], *[F.col(f"__v.{c}").alias(c) for c in others])
 

@@ -40,6 +40,40 @@ WARC = """
   f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
   SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+#: The letters of an order are taken one after another, each document's first failing one removes it.
+AUDIT = r"""
+  WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+  m AS (SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f FROM w),
+  l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+  d AS (SELECT part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+  k(c, i) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+  orders AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM k a, k b, k c, k d, k e
+    WHERE b.c <> a.c AND c.c NOT IN (a.c, b.c) AND d.c NOT IN (a.c, b.c, c.c) AND e.c NOT IN (a.c, b.c, c.c, d.c)),
+  g AS (SELECT part, filter_order, o, f, good, toxic, n, coalesce(list_position(list_transform(o, lambda i: f[i]), true), 6) AS gone, len(list_filter(f, lambda x: x)) AS many FROM d, orders),
+  s AS (SELECT *, unnest(range(1, 6)) AS step FROM g),
+  each AS (SELECT part, filter_order, step, o[step] AS filter,
+    sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (f[o[step]] AND gone < step) AS redundant, sum(n) FILTER (f[o[step]] AND many = 1) AS unique_fails,
+    sum(n) FILTER (gone = step AND good = 1) AS good_lost, sum(n) FILTER (gone = step AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL),
+  shares AS (SELECT part, filter, sum(removed) AS shapley FROM each GROUP BY ALL)
+  SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(shapley, 0)::BIGINT AS shapley FROM each JOIN shares USING (part, filter)"""
+
+#: Every window of every length that items have, and the places that windows of items cover.
+LEAKS = r"""
+  WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  bs AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+  bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bs)),
+  lens AS (SELECT DISTINCT n FROM bw),
+  dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens)),
+  met AS (SELECT DISTINCT doc_id, n, i, item_id FROM dw JOIN bw USING (n, win)),
+  hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+  own AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "op7_embedding_dedup": EMBEDDINGS, "op9_warc": WARC}
+    return {"op1_secret_scan": secret_scan(), "op7_embedding_dedup": EMBEDDINGS, "op9_warc": WARC, "op12_filter_audit": AUDIT, "op13_decontamination": LEAKS}
