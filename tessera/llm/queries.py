@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, filter_audit, media, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, toxicity, warc
+from . import alignment, decontamination, embedding_dedup, filter_audit, media, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, toxicity, warc
 from .common import table
 from .oracle import oracle_sql as oracle_sql
 
@@ -55,6 +55,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,5 +68,5 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_secret_scan, op2_toxicity, op3_media, op4_sentencepiece, op5_packing, op6_pii, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality, op12_filter_audit, op13_decontamination)
+    each = (op1_secret_scan, op2_toxicity, op3_media, op4_sentencepiece, op5_packing, op6_pii, op7_embedding_dedup, op8_simhash, op9_warc, op10_quality, op11_alignment, op12_filter_audit, op13_decontamination)
     return {f.__name__: f for f in each}
