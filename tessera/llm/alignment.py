@@ -116,11 +116,12 @@ class Aligner:
 
     def encode_b(self, units: list[str]) -> list[list[int]]:
         """B's tokens of units: what it puts before a text is their first space, or is taken off."""
-        ids = self.b.encode([u[1:] if u[0] == " " else PREFIX + u for u in units], num_threads=1)
+        led = [u[0] == " " and len(u) > 1 for u in units]  # an empty text gets no space
+        ids = self.b.encode([u[1:] if own else PREFIX + u for u, own in zip(units, led, strict=True)], num_threads=1)
         k = len(self.before)
-        if any(u[0] != " " and i[:k] != self.before for u, i in zip(units, ids, strict=True)):
+        if any(not own and i[:k] != self.before for i, own in zip(ids, led, strict=True)):
             raise ValueError(f"a token of B goes on from {PREFIX!r} to white space")
-        return [i if u[0] == " " else i[k:] for u, i in zip(units, ids, strict=True)]
+        return [i if own else i[k:] for i, own in zip(ids, led, strict=True)]
 
     def learn(self, units: list[str]) -> None:
         """Tokenizes and aligns new units, all together: tokens of neighbours never overlap."""
