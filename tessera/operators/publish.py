@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import re
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,67 +47,95 @@ def delta_pack(tables: dict[str, DataFrame], game: str, since: Column) -> dict[s
     return {"sets": shown(tables["sets"].limit(0), "sets"), "cards": shown(cards, "cards"), "printings": shown(changed, "printings"), "prices": shown(prices, "prices")}
 
 
-#: A pack's tables in the order of its document, and the client's names for them.
-SECTIONS = ("sets", "cards", "printings", "prices", "removedPrintings")
+def full_pack_of_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The full packs of all games in one pass over each table (prices with game_id), with `game`."""
+    return {n: tables[n].select(F.col("game_id").alias("game"), *[F.col(a).alias(b) for a, b in RENAMED[n].items() if a in tables[n].columns]) for n in RENAMED}
 
 
-def document(pack: dict[str, DataFrame], game: str, start: str | None, to: str) -> DataFrame:
-    """The lines (section, kind, value) of a pack as one JSON document, in their order but for the commas between rows:
-    a head, then each table as a list, a row a line. `removed` of pack (id) is the list of removed printings."""
-    spark = pack["printings"].sparkSession
-    head = f'{{"game":{json.dumps(game)},"from":{json.dumps(start)},"to":{json.dumps(to)}'
-    fixed = [(0, 0, head), (len(SECTIONS) + 1, 0, "}")]
-    for i, name in enumerate(SECTIONS, 1):
-        fixed += [(i, 0, f',"{name}":['), (i, 2, "]")]
-    out = spark.createDataFrame(fixed, "section int, kind int, value string")
-    for i, name in enumerate(SECTIONS, 1):
-        rows = pack.get("removed" if name == "removedPrintings" else name)
-        if rows is None:
-            continue
-        one = F.to_json(F.struct("*"))
-        if name == "removedPrintings":  # names alone: a list of one, without its brackets
-            one = F.regexp_replace(F.to_json(F.array("id")), r"^\[|\]$", "")
-        out = out.unionByName(rows.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), one.alias("value")))
+#: A pack's lists of what went, for each of its tables; readers of the first form know removedPrintings alone.
+GONE = {"printings": "removedPrintings", "sets": "removedSets", "cards": "removedCards", "prices": "removedPrices"}
+#: A pack's lists in the order of its document.
+SECTIONS = ("sets", "cards", "printings", "prices", "removedPrintings")
+MORE_SECTIONS = tuple(g for g in GONE.values() if g not in SECTIONS)
+
+
+def quoted(c: Column) -> Column:
+    """A string as JSON: a list of one, without its brackets."""
+    return F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
+
+
+def document_lines(sections: dict[str, DataFrame], heads: DataFrame) -> DataFrame:
+    """doc, section, kind, value: the lines of the documents of heads (doc, game, from, to), without the commas between the
+    rows of a list: a head, then each list, a row a line. sections: rows with `game`."""
+    names = [n for n in (*SECTIONS, *MORE_SECTIONS) if n in SECTIONS or n in sections]
+    start = F.coalesce(quoted(F.col("from")), F.lit("null"))
+    start = F.when(F.col("from").isNull(), F.lit("null")).otherwise(start)
+    head = F.concat(F.lit('{"game":'), quoted(F.col("game")), F.lit(',"from":'), start, F.lit(',"to":'), quoted(F.col("to")))
+    fixed = [(0, head), *[(i, F.lit(f',"{n}":[')) for i, n in enumerate(names, 1)], *[(i, F.lit("]")) for i, _ in enumerate(names, 1)], (len(names) + 1, F.lit("}"))]
+    kind = [0] * (len(names) + 1) + [2] * (len(names) + 1)
+    lines = F.array(*[F.struct(F.lit(i).alias("section"), F.lit(k).alias("kind"), v.alias("value")) for (i, v), k in zip(fixed, kind, strict=True)])
+    out = heads.select("doc", F.explode(lines).alias("x")).select("doc", "x.*")
+    for i, name in enumerate(names, 1):
+        if name in sections:
+            rows = sections[name].join(F.broadcast(heads.select("doc", "game")), "game").drop("game")
+            columns = [c for c in rows.columns if c != "doc"]
+            value = quoted(F.col(columns[0])) if name in GONE.values() and len(columns) == 1 else F.to_json(F.struct(*columns))
+            out = out.unionByName(rows.select("doc", F.lit(i).alias("section"), F.lit(1).alias("kind"), value.alias("value")))
     return out
 
 
-def with_commas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A document's sorted lines with commas before all rows of a list but the first."""
-    last = None
-    for b in batches:
-        here = b["section"].where(b["kind"] == 1, -1)
-        before = here.shift(fill_value=last if last is not None else -1)
-        again = (here == before) & (here >= 0)
-        last = here.iloc[-1] if len(here) else last
-        yield pd.DataFrame({"value": b["value"].where(~again, "," + b["value"])})
+def with_commas(lines: DataFrame) -> DataFrame:
+    """doc, value: the lines of each document in order, with commas before all rows of a list but the first."""
+    order = Window.partitionBy("doc").orderBy("section", "kind", "value")
+    again = (F.col("kind") == 1) & F.lag(F.col("section") * 3 + F.col("kind")).over(order).eqNullSafe(F.col("section") * 3 + F.col("kind"))
+    return lines.withColumn("value", F.concat(F.when(again, ",").otherwise(""), "value")).select("doc", "value")
+
+
+def write_documents(sections: dict[str, DataFrame], heads: DataFrame) -> list[str]:
+    """Writes one JSON document for each of heads (game, from, to, path), of the rows of sections with its game; the paths.
+
+    A document is one file, as the format asks for: one task sorts its lines (on disk, where they are many) and streams them
+    out, other documents' tasks beside it. Files take their names when all are whole.
+    """
+    spark = heads.sparkSession
+    rows = sorted(tuple(r) for r in heads.select("path", "game", "from", "to").collect())  # one for each document
+    if not rows:
+        return []
+    heads = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc int, game string, `from` string, `to` string")
+    with scope(spark):
+        parts = new_dir(spark, "packs")
+        with_commas(document_lines(sections, heads)).write.partitionBy("doc").text(parts)
+        path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for i, (path, *_) in enumerate(rows):
+            target = path_of(path)
+            store = target.getFileSystem(conf)
+            (part,) = [f.getPath() for f in store.globStatus(path_of(f"{parts}/doc={i}/part-*"))]
+            store.mkdirs(target.getParent())
+            store.delete(target, False)
+            if not store.rename(part, target):
+                raise OSError(f"{path} could not be written")
+    return [r[0] for r in rows]
 
 
 def write_pack(pack: dict[str, DataFrame], path: str, game: str, start: str | None, to: str) -> str:
-    """A pack as one JSON file of that name. Lines are sorted in parallel; the one file is streamed by one task, as the
-    format asks for, and takes its name when it is whole."""
+    """A pack as one JSON file of that name (see write_documents). `removed` of pack (id) is the list of removed printings."""
+    sections = {GONE["printings"] if n == "removed" else n: rows.withColumn("game", F.lit(game)) for n, rows in pack.items()}
     spark = pack["printings"].sparkSession
-    with scope(spark):
-        parts = new_dir(spark, "pack")
-        n, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ("section", "kind", "value")
-        lines = document(pack, game, start, to).repartitionByRange(n, *order).sortWithinPartitions(*order)
-        lines.coalesce(1).mapInPandas(with_commas, "value string").write.text(parts)
-        path_of = spark._jvm.org.apache.hadoop.fs.Path
-        target, conf = path_of(path), spark._jsc.hadoopConfiguration()
-        store = target.getFileSystem(conf)
-        (part,) = [f.getPath() for f in store.globStatus(path_of(f"{parts}/part-*"))]
-        store.mkdirs(target.getParent())
-        store.delete(target, False)
-        if not store.rename(part, target):
-            raise OSError(f"{path} could not be written")
+    write_documents(sections, spark.createDataFrame([(game, start, to, path)], "game string, `from` string, `to` string, path string"))
     return path
 
 
+KINDS = {"updatedAt": "timestamp", "asOf": "timestamp", "tcgplayerProductId": "bigint"} | dict.fromkeys(("market", "low", "trend", "avg7", "avg30"), "double")
+
+
+def row_schema(table: str) -> str:
+    return ",".join(f"{b}:{KINDS.get(b, 'string')}" for b in RENAMED[table].values())
+
+
 def read_pack(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a pack's document under the names of the catalogue's columns, with `seq` (their place in it), and
-    `removed`. Absent lists are empty. A document is one row to Spark: it must fit a task's memory."""
-    kinds = {"updatedAt": "timestamp", "asOf": "timestamp", "tcgplayerProductId": "bigint"} | dict.fromkeys(("market", "low", "trend", "avg7", "avg30"), "double")
-    fields = {t: ",".join(f"{b}:{kinds.get(b, 'string')}" for b in names.values()) for t, names in RENAMED.items()}
-    schema = ", ".join(["game string", "`from` string", "`to` string", *[f"{t} array<struct<{f}>>" for t, f in fields.items()], "removedPrintings array<string>"])
+    `removed`. Absent lists are empty. A document is one row to Spark: it must fit a task's memory (see read_documents)."""
+    schema = ", ".join(["game string, `from` string, `to` string", *[f"{t} array<struct<{row_schema(t)}>>" for t in RENAMED], "removedPrintings array<string>"])
     whole = spark.read.schema(schema).json(path, multiLine=True)
     out = {}
     for t, names in RENAMED.items():
@@ -118,6 +144,34 @@ def read_pack(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out | {"removed": whole.select(F.explode("removedPrintings").alias("id"))}
 
 
+def read_documents(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
+    """The tables of many documents with a row a line (as write_documents makes them), and the keys of what they removed
+    (under the lists' names): the catalogue's columns, `doc` (the place of the path) and `seq` (which sorts a document's rows).
+
+    Files are split by ranges of bytes at their lines. A line's list is the last whose head comes before it: of those there
+    are a handful a document, and they are broadcast.
+    """
+    bare = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
+    known = spark.createDataFrame([(re.sub("^[a-z0-9]+:/+", "/", p), i) for i, p in enumerate(paths)], "path string, doc int")
+    lines = spark.read.text(paths).select("value", bare.alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("seq"))
+    lines = written(lines.join(F.broadcast(known), "path").drop("path"), "documents")
+    name = F.regexp_extract("value", r'^,"(\w+)":\[$', 1)
+    heads = lines.select("doc", name.alias("name"), "seq").where("name <> ''").groupBy("doc").agg(F.collect_list(F.struct("seq", "name")).alias("heads"))
+    rows = lines.where(F.col("value").rlike(r'^,?[{"]') & (name == "")).join(F.broadcast(heads), "doc")
+    last = F.array_max(F.filter("heads", lambda h: h["seq"] < F.col("seq")))
+    rows = rows.select("doc", "seq", last["name"].alias("name"), F.regexp_replace("value", "^,", "").alias("value"))
+    out = {}
+    for t, names in RENAMED.items():
+        here = rows.where(F.col("name") == t).withColumn("x", F.from_json("value", f"struct<{row_schema(t)}>"))
+        out[t] = here.select(*[F.col(f"x.{b}").alias(a) for a, b in names.items()], "doc", "seq")
+        key, gone = CLIENT_UPDATES[t][0], rows.where(F.col("name") == GONE[t])
+        if len(key) == 1:
+            out[GONE[t]] = gone.select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0].alias(key[0]), "doc")
+        else:
+            out[GONE[t]] = gone.withColumn("x", F.from_json("value", ", ".join(f"{k} string" for k in key))).select("x.*", "doc")
+    return out
+
+
 def publish(tables: dict[str, DataFrame], game: str, version: str, root: str, previous: tuple[str, Column] | None = None) -> list[str]:
     """Writes the full pack, and a delta from the previous version (its name and time) unless that is the same one."""
     paths = [write_pack(full_pack(tables, game), f"{root}/games/{game}/catalog-{version}.json", game, None, version)]

@@ -118,6 +118,16 @@ AUTOSCAN = """RECURSIVE thumbs AS (SELECT user_id::VARCHAR AS camera_id, event_i
   SELECT camera_id, seq, keep AS kept FROM walk WHERE trigger"""
 
 #: Query name: (views that it reads, SQL). A leading + goes on with the list of common table expressions.
+#: The first and the third version of the catalogue, all tables in one form.
+RELEASED = """+ p0 AS (SELECT *, number AS shown FROM printings WHERE ordinal % 3 <> 0), p2 AS (SELECT *, CASE WHEN ordinal % 5 = 0 THEN concat(number, '*') ELSE number END AS shown FROM printings WHERE ordinal % 11 <> 0),
+  s0 AS (SELECT *, set_name AS shown FROM sets WHERE set_id % 7 <> 6), s2 AS (SELECT *, CASE WHEN set_id % 6 = 5 THEN concat(set_name, '*') ELSE set_name END AS shown FROM sets),
+  x0 AS (SELECT printing_id, source, max(market) AS market, min(low) AS low FROM prices GROUP BY ALL), x2 AS (SELECT printing_id, source, CASE WHEN source::INT % 3 = 0 THEN market * 2 ELSE market END AS market, low FROM x0),
+  """ + ",".join(f"""
+  l{n} AS (SELECT 'sets' AS tbl, game_id AS game, set_id::VARCHAR AS key, concat_ws('|', set_code, shown) AS text, NULL::DOUBLE AS market, NULL::DOUBLE AS low FROM s{n}
+    UNION ALL SELECT DISTINCT 'cards', game_id, concat_ws(':', game_id, name), concat_ws('|', name, art_id), NULL, NULL FROM printings
+    UNION ALL SELECT 'printings', game_id, id, concat_ws('|', concat_ws(':', game_id, name), set_id::VARCHAR, shown, rarity, variant), NULL, NULL FROM p{n}
+    UNION ALL SELECT 'prices', game_id, concat_ws('|', printing_id, source), NULL, x{n}.market::DOUBLE, x{n}.low::DOUBLE FROM x{n} JOIN p{n} ON id = printing_id)""" for n in (0, 2))
+
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "knn_topk": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
     "knn_topk_in_order": (("index_rows",), KNN + " SELECT query_id, rank, row, id, round(score, 6) AS score FROM knn"),
@@ -293,6 +303,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT id, concat('1:', name) AS card_id, set_id::VARCHAR AS set_id, CASE WHEN ordinal % 5 = 0 THEN concat(number, '*') ELSE number END AS number, rarity, variant,
         CASE WHEN ordinal % 5 = 0 THEN DATE '2024-03-01' WHEN ordinal % 3 = 0 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS updated_at FROM printings WHERE game_id = '1'""",
     ),
+    "snapshot_changes": (
+        ("printings", "sets", "prices"),
+        f"""{RELEASED} SELECT coalesce(n.tbl, o.tbl) AS tbl, coalesce(n.game, o.game) AS game, coalesce(n.key, o.key) AS key, n.text, n.market, n.low, CASE WHEN o.tbl IS NULL THEN 'added' WHEN n.tbl IS NULL THEN 'removed' ELSE 'changed' END AS change
+        FROM l0 o FULL JOIN l2 n ON n.tbl = o.tbl AND n.game = o.game AND n.key = o.key WHERE o.tbl IS NULL OR n.tbl IS NULL OR o.text IS DISTINCT FROM n.text OR o.market IS DISTINCT FROM n.market OR o.low IS DISTINCT FROM n.low""",
+    ),
+    "sync_all_games": (("printings", "sets", "prices"), f"{RELEASED} SELECT tbl, game, key, text, market, low FROM l2"),
     "manifest_latest": (
         ("versions",),
         """+ o AS (SELECT *, row_number() OVER w AS n, lag(version) OVER w AS newer FROM versions WINDOW w AS (PARTITION BY game_id ORDER BY created_at DESC, version DESC)),

@@ -14,7 +14,7 @@ from ..functions import image as I
 from ..functions import reading as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import catalogue, collection, frames, merge, publish, refresh, scan, search
+from ..operators import catalogue, changes, collection, frames, merge, publish, refresh, scan, search
 from ..scratch import new_dir, written
 from ..sources import index_pack
 from ..streaming import autoscan, capture_gate
@@ -539,6 +539,68 @@ def publish_and_sync(spark, sf):
     return rows.select("id", "card_id", "set_id", "number", "rarity", "variant", F.col("updated_at").cast("date").alias("updated_at"))
 
 
+def release(spark: SparkSession, sf: str, number: int) -> dict[str, DataFrame]:
+    """catalogue_at, and more that changes with the third version: of each eleven printings one goes, sets and prices change,
+    and sets that come with the second version."""
+    tables = catalogue_at(spark, sf, number)
+    if number == 0:
+        tables["sets"] = tables["sets"].where("id % 7 <> 6")
+    if number == 2:
+        tables["sets"] = tables["sets"].withColumn("name", F.when(F.col("id") % 6 == 5, F.concat("name", F.lit("*"))).otherwise(F.col("name")))
+        tables["printings"] = tables["printings"].where("ordinal % 11 <> 0")
+        tables["prices"] = tables["prices"].withColumn("market", F.when(F.col("source") % 3 == 0, F.col("market") * 2).otherwise(F.col("market")))
+    shown_ids = tables["printings"].select(F.col("id").alias("printing_id"))
+    return tables | {"prices": tables["prices"].join(shown_ids, "printing_id", "left_semi")}
+
+
+def long_form(tables: dict[str, DataFrame], *more: str) -> DataFrame:
+    """tbl, game, key, text, market and low of the rows of all tables, and the columns `more`."""
+    none = F.lit(None)
+    each = {
+        "sets": (F.col("id"), F.concat_ws("|", "code", "name"), none, none),
+        "cards": (F.col("id"), F.concat_ws("|", "name", "art_id"), none, none),
+        "printings": (F.col("id"), F.concat_ws("|", "card_id", F.col("set_id").cast("string"), "number", "rarity", "variant"), none, none),
+        "prices": (F.concat_ws("|", "printing_id", "source"), none, F.col("market"), F.col("low")),
+    }
+    out = None
+    for name, (key, text, market, low) in each.items():
+        rows = tables[name].select(F.lit(name).alias("tbl"), "game", key.alias("key"), text.cast("string").alias("text"), market.cast("double").alias("market"), low.cast("double").alias("low"), *more)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def snapshot_changes(spark, sf):
+    """What the third version added, changed and removed since the first, in all tables of all games."""
+    found = changes.snapshot_delta(release(spark, sf, 0), release(spark, sf, 2))
+    return long_form(found, "change").withColumn("text", F.when(F.col("change") != changes.REMOVED, F.col("text")))
+
+
+@query
+def sync_all_games(spark, sf):
+    """Three versions of all games as documents, deltas from comparisons; clients of five kinds follow them at once: two with
+    a chain of two deltas, one whose chain has a gap, one a version behind, and one that has nothing."""
+    root, names = new_dir(spark, "packs"), [name for name, _ in RELEASES]
+    tables = [{n: written(t, n) for n, t in release(spark, sf, i).items()} for i in range(3)]
+    games = tables[2]["sets"].select(F.col("game_id").alias("game")).distinct()
+    for i, name in enumerate(names):
+        before = F.lit(names[i - 1] if i else None).cast("string")
+        changes.publish_all(tables[i - 1] if i else None, tables[i], games.select("game", before.alias("from"), F.lit(name).alias("to")), root)
+    times = F.array(*[F.struct(F.lit(n).alias("version"), F.lit(t).cast("timestamp").alias("created_at")) for n, t in RELEASES])
+    versions = games.select(F.col("game").alias("game_id"), F.explode(times).alias("v")).select("game_id", "v.*", F.lit(0).cast("long").alias("printings_count"), F.lit(None).cast("string").alias("index_pack_key"))
+    manifest = publish.manifest(versions, "x")
+    stored = manifest.select("game", F.explode("deltas").alias("d")).select("game", "d.from", "d.to").where("NOT (game = '2' AND `from` = 'v2')")
+    has = F.when(F.col("game") == "3", names[1]).when(F.col("game") != "4", names[0])
+    local = games.select("game", has.alias("version"))
+    held = {}
+    for n in publish.RENAMED:
+        first, second = (changes.with_games(t)[n] for t in tables[:2])
+        held[n] = first.where("game_id IN ('0', '1', '2')").unionByName(second.where("game_id = '3'")).select(*[c for c in tables[0][n].columns if c in publish.RENAMED[n]])
+    plan = written(changes.plan_sync(manifest, local, stored), "plan")
+    got = changes.run_sync(spark, root, plan, held, F.lit("2024-03-01").cast("timestamp"))
+    return long_form({n: t.withColumnRenamed("game_id", "game") for n, t in changes.with_games(got).items()})
+
+
 @query
 def manifest_latest(spark, sf):
     m = publish.manifest(view(spark, sf, "versions"), "https://x.test/", None)

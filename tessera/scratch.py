@@ -9,12 +9,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders made within open scopes, innermost last.
-_scopes: list[list[str]] = []
+#: Folders made within the scopes that are open in this thread or task, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    for made in _scopes.get()[-1:]:
+        made.append(path)
     return path
 
 
@@ -50,13 +51,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Removes the folders made within it; what shall stay is taken off the list."""
+    """Removes the folders made within it; what shall stay is taken off the list. Scopes of other threads are their own."""
     made: list[str] = []
-    _scopes.append(made)
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(before)
         remove(spark, *made)
 
 

@@ -1,6 +1,9 @@
 import datetime as dt
 import json
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
+from threading import Event
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import catalogue, collection, merge, publish, scan, search
+from tessera.operators import catalogue, changes, collection, commits, merge, publish, scan, search
+from tessera.scratch import written
 
 ITEM = "array<struct<name:string,displayName:string,value:string>>"
 GROUPS = [(23425, "Five Hundred Years", "OP07", "2024-06-28"), (23024, "Wings of the Captain", "OP06", "2024-03-15")]
@@ -70,11 +74,13 @@ def test_published_packs(spark, tmp_path):
     assert sorted(r.id for r in publish.read_pack(spark, f"file://{tmp_path}/r.json")["removed"].collect()) == ['a"b', "c"]
 
 
-def test_commas_across_batches():
-    rows = [(0, 0, "h"), (1, 0, "["), (1, 1, "a"), (1, 1, "b"), (1, 1, "c"), (1, 2, "]"), (2, 0, "["), (2, 1, "d"), (2, 2, "]")]
-    for size in (1, 2, 4, 9):
-        batches = (pd.DataFrame(rows[i : i + size], columns=["section", "kind", "value"]) for i in range(0, 9, size))
-        assert "".join(v for b in publish.with_commas(batches) for v in b["value"]) == "h[a,b,c][d]"
+def test_commas_between_rows(spark):
+    rows = [(d, *r) for d in (0, 1) for r in [(0, 0, "h"), (1, 0, "["), (1, 1, "a"), (1, 1, "b"), (1, 1, "c"), (1, 2, "]"), (2, 0, "["), (2, 1, "d"), (2, 2, "]")]]
+    out = publish.with_commas(spark.createDataFrame(rows[::-1], "doc int, section int, kind int, value string").repartition(3))
+    got = {}
+    for r in out.collect():
+        got[r.doc] = got.get(r.doc, "") + r.value
+    assert got == {0: "h[a,b,c][d]", 1: "h[a,b,c][d]"}
 
 
 def test_versions_of_a_game(spark, tmp_path):
@@ -157,11 +163,60 @@ def test_snapshots(spark, tmp_path):
     assert store.versions() == [2, 3] and store.read(2)["a"].count() == 2
     with pytest.raises(Exception):
         store.read(1)
-    late = merge.Snapshots(spark, f"file://{tmp_path}/t")
-    late.versions = lambda: [2]  # another writer that has not seen the third version
-    with pytest.raises(Exception, match="exist"):
+    late, folders = merge.Snapshots(spark, f"file://{tmp_path}/t"), sorted(os.listdir(tmp_path / "t"))
+    late.log.newest = lambda: 2  # another writer that has not seen the third version
+    with pytest.raises(FileExistsError):
         late.write({"a": spark.range(9)})
-    assert store.read()["a"].count() == 2
+    with pytest.raises(FileExistsError):
+        store.write({"a": spark.range(9)}, base=2)
+    assert store.read()["a"].count() == 2 and sorted(os.listdir(tmp_path / "t")) == folders
+
+
+def test_a_writer_that_dies_leaves_the_newest_version(spark, tmp_path, monkeypatch):
+    """At each of its steps: in a table, between the tables, in the commit's part, and just before the commit."""
+    store = merge.Snapshots(spark, f"file://{tmp_path}/t")
+    store.write({"a": spark.range(3), "b": spark.range(1)})
+
+    def bad(df):
+        return df.select(F.when(F.col("id") > 0, F.raise_error("dies")).otherwise(F.col("id").cast("string")).alias("id"))
+
+    for tables in ({"a": bad(spark.range(9)), "b": spark.range(1)}, {"a": spark.range(9), "b": bad(spark.range(9))}):
+        with pytest.raises(Exception, match="dies"):
+            store.write(tables)
+        assert store.versions() == [1] and store.read()["a"].count() == 3
+    monkeypatch.setattr(commits.json, "dumps", lambda content: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.write({"a": spark.range(9)})
+    monkeypatch.undo()
+    (tmp_path / "t/commits/_0.part").write_text('{"fol')  # a part that was never given its name
+    assert store.versions() == [1] and store.read()["a"].count() == 3
+    assert store.write({"a": spark.range(4)}) == 2 and store.read()["a"].count() == 4
+
+
+def test_one_of_many_writers_makes_a_commit(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: commits.put_if_absent(spark, f"file://{tmp_path}/c/1", f"{i}".encode() * 1000), range(16)))
+    assert sum(made) == 1 and (tmp_path / "c/1").read_text() == f"{made.index(True)}" * 1000
+    assert [n for n in os.listdir(tmp_path / "c") if not n.startswith(".")] == ["1"]
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    from tessera import scratch
+
+    opened, done = Event(), Event()
+
+    def other():
+        with scratch.scope(spark) as made:
+            opened.set()
+            done.wait(60)
+            return len(made)
+
+    with ThreadPoolExecutor(1) as pool, scratch.scope(spark) as mine:
+        later = pool.submit(other)
+        opened.wait(60)
+        rows = scratch.written(spark.range(5), "x")
+        done.set()
+        assert later.result() == 0 and len(mine) == 1 and rows.count() == 5
 
 
 def test_scratch_tables(spark):
@@ -291,29 +346,103 @@ def test_corrections_are_appended(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
 
 
-def test_growing_an_index_by_chunks(spark, tmp_path):
-    from tessera.operators.fingerprint import fingerprint_missing
+def test_growing_an_index_keeps_what_was_done(spark, tmp_path):
+    """A run that dies, a load that fails once, and printings that come later, all with one folder."""
+    from tessera.operators.fingerprint import fingerprint_missing, forget
 
     printings = spark.createDataFrame([(i, c, c) for i, c in enumerate("abcdef")], "ordinal long, id string, address string")
     pack = spark.createDataFrame([(0, "c", [1.0])], "row long, id string, embedding array<double>")
-    seen = []
-
-    def embed(part):
-        ids = sorted(r.id for r in part.collect())
-        seen.append(ids)
-        if ids == ["d"] and len(seen) == 2:
-            raise RuntimeError("the run dies")
-        return part.select("id", F.array(F.lit(2.0)).alias("embedding"), F.when(F.col("id") == "b", "broken").alias("error"))
-
-    with pytest.raises(RuntimeError):
-        fingerprint_missing(printings, pack, embed, f"file://{tmp_path}/p", chunk=2)
-    out, ids = fingerprint_missing(printings, pack, embed, f"file://{tmp_path}/p", chunk=2)
-    assert seen == [["a", "b"], ["d"], ["d"], ["e", "f"]]  # what was done is not done again
+    progress, tried = f"file://{tmp_path}/p", spark.sparkContext.accumulator(0)
+
+    def embed(broken, dies):
+        def batches(parts):
+            for part in parts:
+                for i in part["id"]:
+                    tried.add(1)
+                    if i == dies:
+                        time.sleep(3)  # other tasks end before
+                        raise RuntimeError("the run dies")
+                    yield pd.DataFrame({"id": [i], "embedding": [[2.0]], "error": ["broken" if i == broken else None]})
+
+        return lambda part: part.mapInPandas(batches, "id string, embedding array<double>, error string")
+
+    with pytest.raises(Exception, match="the run dies"):
+        fingerprint_missing(printings, pack, embed("b", "d"), progress, chunk=1)
+    kept = {r.id for r in spark.read.parquet(progress).collect()}
+    assert kept and kept <= {"a", "e", "f"}
+    before = tried.value
+    out, ids = fingerprint_missing(printings, pack, embed("b", None), progress, chunk=2)
+    assert tried.value - before == 5 - len(kept)  # what was saved is not done again
     assert [r.id for r in out.orderBy("row").collect()] == ["c", "a", "d", "e", "f"] and sorted(r.id for r in ids.collect()) == ["a", "d", "e", "f"]
-    same, none = fingerprint_missing(printings.where("id = 'c'"), pack, embed, f"file://{tmp_path}/q")
+    more = printings.union(spark.createDataFrame([(6, "g", "g"), (7, "h", "h")], printings.schema))
+    out, ids = fingerprint_missing(more, pack, embed(None, None), progress)
+    assert [r.id for r in out.orderBy("row").collect()] == ["c", *"abdefgh"] and ids.count() == 7
+    out, ids = fingerprint_missing(more, written(out, "pack"), embed("x", "x"), progress)
+    assert out.count() == 8 and ids.count() == 0
+    forget(more, progress)
+    same, none = fingerprint_missing(printings.where("id = 'c'"), pack, embed("x", "x"), progress)
     assert same is pack and none.count() == 0
 
 
+def test_comparing_snapshots(spark):
+    kind = "id string, game_id string, x string, y string, at int"
+    old = spark.createDataFrame([("a", "g", None, "v", 1), ("b", "g", "1", "2", 1), ("c", "g", "1", "2", 1), ("d", "g", "1", "2", 1), ("d", "h", "1", "2", 1)], kind)
+    new = spark.createDataFrame([("a", "g", "v", None, 1), ("b", "g", "1", "2", 2), ("c", "g", "1", "3", 1), ("d", "h", "1", "2", 1), ("e", "h", None, None, None)], kind)
+    got = {(r.id, r.game_id, r.change, r.y) for r in changes.compare(old, new, ["id", "game_id"], ["at"]).collect()}
+    assert got == {("a", "g", "changed", None), ("c", "g", "changed", "3"), ("d", "g", "removed", None), ("e", "h", "added", None)}
+    assert changes.compare(old, old, ["id", "game_id"]).count() == 0
+    assert {r.change for r in changes.compare(old, new.limit(0), ["id", "game_id"]).collect()} == {"removed"}
+
+
+def test_plan_of_a_sync(spark):
+    deltas = [("3", "4"), ("2", "3"), ("1", "2")]
+    manifest = spark.createDataFrame([(g, "4", [{"from": a, "to": b} for a, b in deltas]) for g in "abcdef"], "game string, version string, deltas array<struct<`from`: string, to: string>>")
+    local = spark.createDataFrame([("a", "2"), ("b", "4"), ("c", "0"), ("d", "1"), ("e", None)], "game string, version string")
+    stored = spark.createDataFrame([(g, a, b) for g in "abcdef" for a, b in deltas if (g, a) != ("d", "2")], "game string, `from` string, to string")
+    plan = lambda *x: sorted((tuple(r) for r in changes.plan_sync(manifest, local, *x).collect()), key=str)
+    full = [(g, 1, None, "4") for g in "cef"]
+    assert plan(stored) == sorted([("a", 1, "2", "3"), ("a", 2, "3", "4"), ("d", 1, None, "4"), *full], key=str)
+    assert plan() == sorted([("a", 1, "2", "3"), ("a", 2, "3", "4"), ("d", 1, "1", "2"), ("d", 2, "2", "3"), ("d", 3, "3", "4"), *full], key=str)
+
+
+def test_changes_of_many_steps_at_once(spark):
+    """As the same steps one by one: removed and added again, removed last, changed twice, first values kept."""
+    base = spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("c", "1", "x"), ("d", "1", "x")], "id string, first string, last string")
+    steps = [([("a", "2", "y"), ("e", "2", "y")], ["b"]), ([("b", "3", "z"), ("a", "3", "z"), ("f", "3", "z")], ["c", "f"]), ([("b", "4", "w")], ["e"])]
+    put = spark.createDataFrame([(*r, i, 0) for i, (rows, _) in enumerate(steps) for r in rows], "id string, first string, last string, step int, seq int")
+    gone = spark.createDataFrame([(i, n) for n, (_, ids) in enumerate(steps) for i in ids], "id string, step int")
+    want = base
+    for n in range(3):
+        want = merge.merge_lww(want, put.where(F.col("step") == n).drop("step"), ["id"], "seq", ["last"])
+        want = merge.delete_keys(want, gone.where(F.col("step") == n), ["id"])
+    got = changes.apply_changes(base, put, gone, ["id"], ["last"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("a", "1", "z"), ("b", "3", "w"), ("d", "1", "x")]
+
+
+def test_documents_are_read_by_ranges(spark, tmp_path):
+    """Two documents, of more bytes than a task reads, with marks of JSON in their values; other layouts give no rows."""
+    values = ['a "quoted" ]', ',"sets":[', "line\nend", "é"]
+    rows = {g: spark.range(400).select(F.lit(g).alias("game"), F.concat(F.lit(g), F.col("id").cast("string")).alias("id"), F.lit(g).alias("gameId"), F.element_at(F.array(*map(F.lit, values)), (F.col("id") % 4 + 1).cast("int")).alias("name"), F.lit(None).cast("string").alias("artId")) for g in "gh"}
+    gone = spark.createDataFrame([("g", 'x"1'), ("h", "y")], "game string, id string")
+    lost = spark.createDataFrame([("h", "p", "s")], "game string, printing_id string, source string")
+    heads = spark.createDataFrame([(g, f, "2", f"file://{tmp_path}/{g}.json") for g, f in (("g", None), ("h", "1"))], "game string, `from` string, to string, path string")
+    paths = publish.write_documents({"cards": rows["g"].union(rows["h"]), "removedPrintings": gone, "removedPrices": lost}, heads)
+    assert [p[-6:] for p in paths] == ["g.json", "h.json"]
+    for g, f in (("g", None), ("h", "1")):
+        whole = json.loads((tmp_path / f"{g}.json").read_text())
+        assert (whole["game"], whole["from"], whole["to"]) == (g, f, "2") and len(whole["cards"]) == 400 and whole["sets"] == []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        read = publish.read_documents(spark, paths)
+        assert sorted((r.doc, r.id, r.name) for r in read["cards"].collect()) == sorted(("gh".index(g), f"{g}{i}", values[i % 4]) for g in "gh" for i in range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, read["removedPrintings"].select("id", "doc").collect())) == [('x"1', 0), ("y", 1)]
+    assert [tuple(r) for r in read["removedPrices"].collect()] == [("p", "s", 1)] and read["printings"].count() == 0
+    assert publish.write_documents({}, heads.limit(0)) == []
+
+
 def test_books(spark):
     from tessera.operators import refresh
 
