@@ -282,6 +282,13 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "fingerprints_done": (("printings", "index_rows"), "SELECT p.id, CASE WHEN i.id IS NOT NULL THEN 2 ELSE fingerprinted_at END AS fingerprinted_at FROM printings p LEFT JOIN index_rows i USING (id)"),
     "insert_missing": (("printings",), "SELECT id, CASE WHEN ordinal % 2 = 0 THEN name ELSE upper(name) END AS name FROM printings"),
+    "touched_files": (
+        ("printings", "prices"),
+        """+ b AS (SELECT printing_id, source, market FROM prices QUALIFY row_number() OVER (PARTITION BY printing_id, source ORDER BY as_of DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC, prices.market DESC, low DESC) = 1),
+        a AS (SELECT printing_id, source, market FROM b WHERE NOT (source = '0' AND printing_id IN (SELECT id FROM printings WHERE set_id % 12 = 5)) UNION ALL SELECT id, '0', 1.5 FROM printings WHERE set_id % 12 = 5),
+        n AS (SELECT printing_id AS id, count(*) AS prices, round(arg_max(market, source), 6) AS market FROM a GROUP BY ALL)
+        SELECT id, CASE WHEN set_id % 12 = 5 AND id::INT % 2 = 1 THEN upper(name) ELSE name END AS name, CASE WHEN set_id % 12 = 5 THEN concat(number, '*') ELSE number END AS number, prices, market FROM printings LEFT JOIN n USING (id)""",
+    ),
     "full_pack_counts": (
         ("printings", "sets", "prices"),
         PACKS

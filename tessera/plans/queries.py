@@ -14,7 +14,7 @@ from ..functions import image as I
 from ..functions import reading as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import catalogue, changes, collection, frames, merge, publish, refresh, scan, search
+from ..operators import catalogue, changes, collection, frames, merge, publish, ranged, refresh, scan, search
 from ..scratch import new_dir, written
 from ..sources import index_pack
 from ..streaming import autoscan, capture_gate
@@ -412,6 +412,26 @@ def insert_missing(spark, sf):
     return merge.insert_missing(rows.where("id % 2 = 0"), rows.withColumn("name", F.upper("name")), ["id"])
 
 
+@query
+def touched_files(spark, sf):
+    """Printings and prices as files of key ranges: loaded, then changed in the sets of one batch, which rewrites some of the
+    files (counted in tests) in one commit for both tables."""
+    store = ranged.RangedTables(spark, new_dir(spark, "ranged"), {"printings": ["id"], "prices": ["printing_id", "source"]}, file_rows=20_000)
+    p = view(spark, sf, "printings").select("id", "set_id", "name", "number", F.lit(0).alias("seq"))
+    prices = view(spark, sf, "prices").select("printing_id", "source", "market", F.struct("as_of", "l_orderkey", "l_linenumber", "l_quantity", "market", "low").alias("seq"))
+    update = {"printings": ["number"], "prices": ["market"]}
+    some = p.where("set_id % 12 = 5")
+    base = {"printings": p.where("set_id % 12 <> 5 OR id % 2 = 0"), "prices": prices}
+    store.merge({n: written(rows, n) for n, rows in base.items()}, "seq", update)
+    again = {"printings": some.withColumn("name", F.upper("name")).withColumn("number", F.concat("number", F.lit("*")))}
+    again["prices"] = some.select(F.col("id").alias("printing_id"), F.lit("0").alias("source"), F.lit(1.5).alias("market"), "seq")
+    for n, rows in again.items():
+        store.merge({n: rows}, "seq", update)
+    now = store.read()
+    priced = now["prices"].groupBy(F.col("printing_id").alias("id")).agg(F.count("*").alias("prices"), F.max(F.struct("source", "market"))["market"].alias("market"))
+    return now["printings"].join(priced, "id", "left").select("id", "name", "number", "prices", six(F.col("market")).alias("market"))
+
+
 def catalogue_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     p = view(spark, sf, "printings").withColumn("updated_at", F.expr("timestampadd(DAY, CAST(ordinal % 2000 AS INT), TIMESTAMP '1996-01-01 00:00:00')")).withColumn("card_id", F.concat_ws(":", "game_id", "name"))
     cards = p.select(F.col("card_id").alias("id"), "game_id", "name", "art_id").distinct()

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import catalogue, changes, collection, commits, merge, publish, scan, search
+from tessera.operators import catalogue, changes, collection, commits, merge, publish, ranged, scan, search
 from tessera.scratch import written
 
 ITEM = "array<struct<name:string,displayName:string,value:string>>"
@@ -200,6 +200,38 @@ def test_one_of_many_writers_makes_a_commit(spark, tmp_path):
     assert [n for n in os.listdir(tmp_path / "c") if not n.startswith(".")] == ["1"]
 
 
+KEYED = "k string, n long, first string, last string"
+
+
+def test_a_merge_touches_the_files_of_its_keys(spark, tmp_path):
+    store = ranged.RangedTables(spark, f"file://{tmp_path}/r", {"t": ["k", "n"], "u": ["k"]}, file_rows=100)
+    assert store.read() == {} and store.versions() == []
+    base = spark.range(1_000).select(F.format_string("k%04d", F.col("id")).alias("k"), (F.col("id") % 3).alias("n"), F.lit("1").alias("first"), F.lit("1").alias("last"), F.lit(0).alias("seq"))
+    update = {"t": ["last"], "u": ["last"]}
+    done = store.merge({"t": base, "u": base.limit(5)}, "seq", update)
+    assert done["t"].replaced == 0 and 8 <= done["t"].written <= 12 and done["u"].written == 1
+    few = spark.createDataFrame([("k0500", 2, "2", "2", 0), ("k0500", 9, "2", "2", 0), ("k0501", 0, "2", "2", 0), ("a", 0, "2", "2", 0), ("k0500", 2, "3", None, 1)], f"{KEYED}, seq int")
+    files = done["t"].written
+    done = store.merge({"t": few}, "seq", update)["t"]
+    assert done.replaced in (2, 3) and done.kept == files - done.replaced  # the first file, and one or two in the middle
+    want = merge.merge_lww(merge.merge_lww(base.drop("seq").limit(0), base, ["k", "n"], "seq", ["last"]), few, ["k", "n"], "seq", ["last"])
+    assert sorted(map(str, store.read()["t"].collect())) == sorted(map(str, want.collect())) and store.read(1)["t"].count() == 1_000 and store.read()["u"].count() == 5
+    listed = store.commit()["t"]["files"]
+    assert all(a["greatest"] < b["least"] for a, b in zip(listed, listed[1:], strict=False)) and sum(f["rows"] for f in listed) == want.count()
+    more = spark.range(900).select(F.format_string("k0500x%03d", F.col("id")).alias("k"), F.lit(1).cast("long").alias("n"), F.lit("4").alias("first"), F.lit("4").alias("last"), F.lit(0).alias("seq"))
+    done = store.merge({"t": more}, "seq", update)["t"]
+    assert done.replaced == 1 and done.written >= 8  # one file becomes many
+    assert store.merge({"t": few.limit(0)}, "seq", update)["t"] == ranged.Touched(len(store.commit()["t"]["files"]), 0, 0)
+    before = store.read()["t"].count()
+    assert before == want.count() + 900 and store.clean(keep=2) > 0 and store.versions() == [3, 4] and store.read()["t"].count() == before
+    late = ranged.RangedTables(spark, f"file://{tmp_path}/r", {"t": ["k", "n"]}, file_rows=100)
+    late.log.newest = lambda: 3
+    folders = sorted(os.listdir(tmp_path / "r"))
+    with pytest.raises(FileExistsError):
+        late.merge({"t": few}, "seq", update)
+    assert sorted(os.listdir(tmp_path / "r")) == folders and store.read()["t"].count() == before
+
+
 def test_scopes_of_threads_are_their_own(spark):
     from tessera import scratch
 

@@ -186,7 +186,7 @@ def test_resumable_import(spark, tmp_path):
 
     def go():
         importer.run_import(spark, "onepiece", f"file://{landing}", f"file://{tmp_path}/root", f"file://{tmp_path}/c", per_batch=1)
-        return {n: t.count() for n, t in importer.Snapshots(spark, f"file://{tmp_path}/root/catalogue").read().items()}
+        return {n: t.count() for n, t in importer.catalogue(spark, f"file://{tmp_path}/root").read().items()}
 
     land(1), land(2)
     assert go() == {"sets": 2, "cards": 2, "printings": 2, "prices": 2}
@@ -203,6 +203,26 @@ def test_resumable_import(spark, tmp_path):
     assert [(r.game_id, r.version, r.printings_count) for r in versions] == [("onepiece", "20240801", 4)]
 
 
+def test_an_import_rewrites_the_files_that_it_touches(spark, tmp_path):
+    """Twelve groups into a catalogue of many: some files of each table change, the rest stay as they are."""
+
+    def batch(gids, price):
+        rows = []
+        for gid in gids:
+            products = [{"productId": gid * 10 + i, "name": f"Card {gid} {i}", "cleanName": f"Card {gid} {i}", "imageUrl": "u", "groupId": gid, "extendedData": [{"name": "Number", "displayName": "n", "value": f"{i}/9"}]} for i in range(5)]
+            rows.append(json.dumps({"group": {"groupId": gid, "name": f"G{gid}", "abbreviation": f"S{gid:05d}", "publishedOn": "2024"}, "products": products, "prices": [{"productId": gid * 10 + i, "marketPrice": price} for i in range(5)]}))
+        return spark.createDataFrame([(r,) for r in rows], "value string").select(F.from_json("value", importer.SCHEMA).alias("x")).select("x.*")
+
+    root = f"file://{tmp_path}/root"
+    importer.import_batch("onepiece", batch(range(600), 1.0), root, 0, file_rows=100)
+    touched = importer.import_batch("onepiece", batch(range(301, 313), 2.0), root, 1, file_rows=100)
+    for name in ("sets", "printings", "prices"):
+        assert touched[name].replaced <= 3 and touched[name].kept >= 3, name
+    tables = importer.catalogue(spark, root).read()
+    assert {n: t.count() for n, t in tables.items()} == {"sets": 600, "cards": 3000, "printings": 3000, "prices": 3000}
+    assert tables["prices"].where("market = 2").count() == 60
+
+
 def test_image_functions(spark):
     a = np.arange(4 * 5 * 4, dtype=np.uint8).reshape(4, 5, 4)
     a[..., 3] = 255
