@@ -379,7 +379,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "stream_autoscan": ((), AUTOSCAN),
     "pack_roundtrip": (("index_rows",), "SELECT row, id, len(embedding)::INT AS dim, true AS near, CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 0 ELSE 1 END::DOUBLE AS squared FROM index_rows"),
 }
-SQL["pack_roundtrip_half"] = SQL["pack_roundtrip"]
+SQL["pack_roundtrip_half"] = SQL["pack_commit"] = SQL["pack_roundtrip"]
 SQL["manifest_latest"] = (
     ("versions",),
     re.sub(r'SELECT o\.game_id AS game', 'SELECT * EXCLUDE ("indexUrl0", "indexIdsUrl0", none), CASE WHEN NOT none THEN "indexUrl0" END AS "indexUrl", CASE WHEN NOT none THEN "indexIdsUrl0" END AS "indexIdsUrl" FROM (SELECT o.game_id AS game', SQL["manifest_latest"][1]) + ")",

@@ -765,10 +765,13 @@ def import_feed(spark, sf):
     return rows.select("id", "card_id", "set_id", "number", "set_total", "rarity", "variant", "tcgplayer_product_id", F.round("market", 2).alias("market"))
 
 
-def packed(spark: SparkSession, sf: str, half: bool) -> DataFrame:
+def packed(spark: SparkSession, sf: str, half: bool, together: bool = False) -> DataFrame:
     """Vectors written as index packs of 700 rows and read back, and whether each number is near the unit vector's."""
     index, root = view(spark, sf, "index_rows"), new_dir(spark, "packs")
-    index_pack.write_shards(index, root, half=half, shard_rows=700).agg(F.sum("rows")).first()
+    if together:
+        index_pack.save_packs(index, root, half=half, shard_rows=700)
+    else:
+        index_pack.write_shards(index, root, half=half, shard_rows=700).agg(F.sum("rows")).first()
     back = index_pack.read_pack(spark, root).select("row", "id", F.col("embedding").alias("e"))
     both = back.join(index.select("row", V.l2_normalise(F.col("embedding")).alias("v")), "row")
     near = F.zip_with("v", "e", lambda x, y: F.abs(x - y) <= F.abs(x) / (2e3 if half else 1e6) + 1e-7)
@@ -785,6 +788,12 @@ def pack_roundtrip_half(spark, sf):
     return packed(spark, sf, half=True)
 
 
+@query
+def pack_commit(spark, sf):
+    """The same through the data source's writer, whose packs are committed together."""
+    return packed(spark, sf, half=True, together=True)
+
+
 def thumbs(spark: SparkSession, sf: str) -> DataFrame:
     """Camera samples of four cells made of events: scenes that stay for eight samples."""
     e = view(spark, sf, "events")

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +166,71 @@ def test_index_pack_round_trip(spark, tmp_path):
     assert index_pack.unit_rows(np.zeros((1, 3))).tolist() == [[0, 0, 0]]
 
 
+def vectors(spark, first, n, dim=4):
+    rng = np.random.default_rng(first)
+    return spark.createDataFrame([(first + i, f"id {first + i}", v.tolist()) for i, v in enumerate(rng.standard_normal((n, dim)).astype(np.float32))], "row long, id string, embedding array<float>")
+
+
+def shown_packs(spark, folder):
+    return [(r.row, r.id, [round(x, 3) for x in r.embedding]) for r in index_pack.read_pack(spark, folder).orderBy("row").collect()]
+
+
+def unit_of(*frames):
+    return [(r.row, r.id, [round(x, 3) for x in index_pack.unit_rows(np.array([r.embedding], dtype=np.float32))[0].tolist()]) for f in frames for r in f.orderBy("row").collect()]
+
+
+def test_packs_of_a_folder_are_committed_together(spark, tmp_path):
+    folder, path = f"file://{tmp_path}/set", tmp_path / "set"
+    first, more = vectors(spark, 0, 25), vectors(spark, 25, 9)
+    index_pack.save_packs(first.repartition(5), folder, half=False, shard_rows=4)
+    assert shown_packs(spark, folder) == unit_of(first) and index_pack.check_digests(folder) == 25
+    index_pack.save_packs(more, folder, half=False, shard_rows=4, append=True)
+    assert shown_packs(spark, folder) == unit_of(first, more) and all(p.rows <= 4 for p in index_pack.tagged(folder))
+    before = sorted(str(p) for p in path.rglob("*") if not p.name.startswith("."))
+
+    def dying(batches):
+        for b in batches:
+            if (b["row"] == 7).any():
+                raise RuntimeError("the task dies")
+            yield b
+
+    for bad, said in ((first.mapInPandas(dying, first.schema), "dies"), (first.where("row <> 3"), "gaps|begins"), (more, "begins"), (first.withColumn("id", F.lit("a\nb")), "an id is")):
+        with pytest.raises(Exception, match=said):
+            index_pack.save_packs(bad, folder, half=False, shard_rows=4)
+        assert shown_packs(spark, folder) == unit_of(first, more)
+        time.sleep(2)  # tasks that were still running
+        index_pack.clean(folder, seconds=0)
+        assert sorted(str(p) for p in path.rglob("*") if not p.name.startswith(".")) == before  # nothing of it stays
+    index_pack.save_packs(more.withColumn("row", F.col("row") - 25), folder, half=False)
+    assert len(shown_packs(spark, folder)) == 9 and len(list(path.rglob("*.bin"))) == 1
+    (ids,) = path.rglob("*.ids")
+    whole = ids.read_bytes()
+    ids.write_bytes(whole.replace(b"id 26", b"id 62"))
+    with pytest.raises(index_pack.PackError, match="torn"):
+        index_pack.check_digests(folder)
+    ids.write_bytes(whole[:-3])
+    with pytest.raises(Exception, match="torn"):
+        index_pack.read_pack(spark, folder).collect()
+    none = f"file://{tmp_path}/none"
+    index_pack.save_packs(first.limit(0), none)
+    assert index_pack.tagged(none) == [] and index_pack.read_pack(spark, none).count() == 0
+
+
+def test_a_tag_is_stored_once_a_pair_is_checked(spark, tmp_path):
+    source, target = f"file://{tmp_path}/games/g/index-20240101.bin", f"file://{tmp_path}/phone/g.bin"
+    assert index_pack.write_pack(vectors(spark, 0, 3), source) == 3
+    assert index_pack.stale(target, "t1") and index_pack.install(source, target, "t1") == 3
+    assert not index_pack.stale(target, "t1") and not index_pack.stale(target, None) and index_pack.stale(target, "t2")
+    (tmp_path / "games/g/index-20240101.ids").write_text("one")
+    with pytest.raises(index_pack.PackError):
+        index_pack.install(source, target, "t2")
+    assert index_pack.stale(target, "t1") and index_pack.stale(target, "t2")  # torn: fetched again
+    keys = spark.createDataFrame([("games/g/index-20240101.bin",), ("games/g/index-20250101.bin",), ("games/h/index-20240101.bin",)], "key string")
+    index_pack.write_pack(vectors(spark, 0, 3), source)
+    got = lambda game, at: index_pack.load_existing(spark, f"file://{tmp_path}", keys, game, at).count()
+    assert (got("g", "20240601"), got("g", "20231231"), got("h", "20240601"), got("x", "20240601")) == (3, 0, 0, 0)
+
+
 def test_feed_files(spark, tmp_path):
     group = {"groupId": 7, "name": "n", "abbreviation": None, "publishedOn": "2024"}
     (tmp_path / "g.json").write_text(json.dumps({"success": True, "errors": [], "results": [group]}))
