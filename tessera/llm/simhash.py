@@ -12,14 +12,13 @@ Near copies by similarity (`keep_representatives`) differ in more bits than segm
 FINGERPRINTS fingerprints of independent hashes over its set of shingles, and keys of some of all their bits. The keys'
 width grows with the number of texts, so that few meet by chance, and their number so that the computed share of pairs
 at SIMILARITY with a key in common stays at KEY_RECALL (`key_recall`). Candidates are within NEAR of 64 bits, in the
-first fingerprint and over all, and only count as near copies when the exact Jaccard similarity of their shingles is
-SIMILARITY or more.
+first fingerprint and over all (of pairs at SIMILARITY, one in 100,000 is not), and only count as near copies when the
+exact Jaccard similarity of their shingles is SIMILARITY or more.
 
-A group of near copies could make pairs with the square of its size. So in each of TURNS turns a text is compared with
-the CLOSEST untried leaders of its keys that are of other components; leaders differ by key and turn. Pairs that have a
-key to themselves (FEW texts at most) and are still apart are compared at the end. So no lone pair with a key in common
-is missed, and in a group a text stays apart only if it is similar to few of the others, none of which was among the
-closest that led its keys.
+A group of near copies could make pairs with the square of its size. So each key has a leader, the same for most keys of a
+group. Texts and their near leaders make clusters. In each of TURNS turns, with leaders of its own, a text is compared with
+the CLOSEST of its leaders that are of other components; in a tight group that leaves little. Then what is still apart
+within a cluster is compared exactly, by blocks (module tiles): no link of a cluster is missed, whatever the turns found.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
 doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are; an empty table
@@ -30,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,10 +37,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, tune, with_values, written
+from . import tiles
+from .common import SHARES, connected_components, free_name, tune, with_values, written
 
 SEED = 42
-FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, FEW = 8, 16, 0.99, 22, 2, 3, 2
+FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST = 8, 16, 0.99, 22, 2, 3
+#: Pairs that one copy of a set serves in a join.
+PAIRS_PER_SET = 2_000
 #: Of keys: most are different, so a task counts them in a table of about as many rows.
 ROWS_PER_TASK = 1 << 20
 SIMILARITY = 4, 5  # as a fraction, so that the bound is exact
@@ -277,15 +280,14 @@ def differing() -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, n: s + n)
 
 
-def led_candidates(shared: DataFrame, known: DataFrame, tried: DataFrame | None, near: int, turn: int) -> DataFrame:
-    """(a, b): each cid of known (cid, component, fps, size) and, of the leaders of its keys that are of other components and
-    near enough, the CLOSEST ones that it hasn't tried.
+def near_leaders(shared: DataFrame, known: DataFrame, near: int, turn: int) -> DataFrame:
+    """(a, b, d): each cid of known (cid, component, fps, size) and those leaders of its keys that are of other components and
+    near enough; d is in how many bits they differ.
 
-    A key's leader has the least f0 after an exclusive or with a mask of the key and turn, so the members of a large
-    group meet many leaders. Least values are partially aggregated and joined back: no key's rows are ever gathered. A
-    cid has as many leaders as keys at most.
+    A key's leader has the least f0 after an exclusive or with a mask of the turn, so a group has few leaders in one turn,
+    and others in the next. Least values are partially aggregated and joined back: no key's rows are ever gathered.
     """
-    mask = F.xxhash64("k", F.lit(turn))
+    mask = F.xxhash64(F.lit(turn))
     least = shared.groupBy("k").agg(F.min(F.col("f0").bitwiseXOR(mask)).alias("g0"), F.count("*").alias("n"))
     led = with_values(shared.drop("n"), written(least.withColumn("g0", F.col("g0").bitwiseXOR(mask)), "simhash-least"), ["k"], "n")
     met = led.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= near).select("cid", "g0").distinct()
@@ -293,22 +295,25 @@ def led_candidates(shared: DataFrame, known: DataFrame, tried: DataFrame | None,
     first = known.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("cid"))
     leaders = first.join(mine, "cid").select("g0", F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
     pairs = met.join(leaders, "g0").join(mine, "cid").where("component <> other").withColumn("d", differing())
-    pairs = pairs.where(near_enough(near)).select(F.col("cid").alias("a"), "b", "d")
-    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.where(near_enough(near)).select(F.col("cid").alias("a"), "b", "d")
+
+
+def closest(pairs: DataFrame, most: int = CLOSEST) -> DataFrame:
+    """(a, b) of the pairs (a, b, d) with least d of each a."""
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return pairs.withColumn("place", place).where(F.col("place") <= CLOSEST).select("a", "b")
+    return pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
 
 
-def few_candidates(shared: DataFrame, known: DataFrame, near: int, few: int = FEW) -> DataFrame:
-    """(a, b) of different components that share a key that `few` rows have at most, and whose f0 are near enough: a cid
-    meets fewer than `few` others by a key, whatever the size of its group."""
-    rows = shared.where(F.col("n") <= few).select("k", "cid", "f0")
-    left, right = rows.alias("l"), rows.alias("r")
-    met = (F.col("l.cid") < F.col("r.cid")) & (F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))) <= near)
-    pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & met).select(F.col("r.cid").alias("a"), F.col("l.cid").alias("b")).distinct()
-    mine = known.select("cid", "component", F.struct("fps", "size").alias("x"))
-    pairs = pairs.join(mine.withColumnRenamed("cid", "a"), "a").join(mine.select(F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y")), "b")
-    return pairs.where("component <> other").withColumn("d", differing()).where(near_enough(near)).select("a", "b")
+def salted(pairs: DataFrame, values: DataFrame, key: str, total: int, each: int = PAIRS_PER_SET) -> DataFrame:
+    """pairs with the other columns of values (key, n: how many pairs have it, ...). A key of more than `each` pairs, or one in
+    SHARES of all, gets a copy of its values for so many pairs: only keys and numbers are broadcast, SHARES rows at most."""
+    per = max(each, total // SHARES + 1)
+    copies = F.ceil(F.col("n") / per).cast("int")
+    hot = values.where(F.col("n") > per).select(key, copies.alias("copies"))
+    spread = F.coalesce(F.pmod(F.xxhash64(*pairs.columns), F.col("copies")), F.lit(0)).cast("int")
+    left = pairs.join(F.broadcast(hot), key, "left").withColumn("salt", spread).drop("copies")
+    right = values.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -317,8 +322,7 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[in
     many, total = written(times(pairs), "simhash-times"), 2 * pairs.count()
     sets = written(texts.join(many, "cid").select("cid", "n", shingle_sets(F.col("text"), words).alias("v")), "simhash-shingles")
     for c, v in (("a", "x"), ("b", "y")):  # a leader may be in very many pairs
-        side = sets.select(F.col("cid").alias(c), F.col("v").alias(v), F.col("n").alias(f"n{v}"))
-        pairs = with_values(pairs, side, [c], f"n{v}", total).drop(f"n{v}")
+        pairs = salted(pairs, sets.select(F.col("cid").alias(c), F.col("v").alias(v), "n"), c, total)
     of, per = similarity
     both = F.size(F.array_intersect("x", "y"))
     return pairs.where(per * both >= of * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -329,18 +333,34 @@ def times(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n"))
 
 
+def between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): which components of known (cid, component) the pairs (a, b) of cids join; few, once most are one."""
+    ends = [known.select(F.col("cid").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+    both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").where("ca <> cb")
+    return both.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct()
+
+
+def joined(known: DataFrame, edges: DataFrame, to: str = "component") -> DataFrame:
+    """known with column `to`: the components that edges between components make of those of known."""
+    found = written(connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("__to")), "simhash-joined")
+    rows = with_values(known, found, ["component"]).withColumn("__to", F.coalesce("__to", "component"))
+    return written(rows.select(*[c for c in known.columns if c != to], F.col("__to").alias(to)), "simhash-known")
+
+
 def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NEAR, turns: int = TURNS) -> DataFrame:
-    """(cid, component) of classes (cid, fps, size) that are linked; texts (cid, text) decide."""
-    shared, known, links, tried = shared_keys(classes), classes.withColumn("component", F.col("cid")), None, None
-    for turn in range(turns + 1):
-        met = written(led_candidates(shared, known, tried, near, turn) if turn < turns else few_candidates(shared, known, near), "simhash-met")
-        tried = met if tried is None else tried.union(met)
-        new = written(similar(met, texts, words), "simhash-links")
-        links = new if links is None else links.union(new)
-        found = connected_components(links).withColumnRenamed("node", "cid")
-        if turn < turns:
-            known = written(classes.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-known")
-    return found
+    """(cid, component) of classes (cid, fps, size), each with what it is linked to; texts (cid, text) decide."""
+    shared, known, met = shared_keys(classes), classes.withColumn("component", F.col("cid")), []
+    for turn in range(turns):
+        met.append(written(near_leaders(shared, known, near, turn), "simhash-met"))
+        links = written(similar(closest(met[-1]), texts, words), "simhash-links")
+        known = joined(known, between(links, known))
+    known = known.select("cid", "component", "size")
+    rows = joined(known, between(reduce(DataFrame.union, met), known), "cluster")
+    apart = rows.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = written(rows.join(apart.select("cluster"), "cluster", "left_semi"), "simhash-apart")
+    sets = written(texts.join(rows.select("cid"), "cid", "left_semi").select("cid", shingle_sets(F.col("text"), words).alias("v")), "simhash-sets")
+    links = written(tiles.links(rows, sets, SIMILARITY), "simhash-links")
+    return joined(known, between(links, known)).select("cid", "component")
 
 
 def components(prints: DataFrame, max_distance: int = 4) -> DataFrame:
@@ -379,5 +399,5 @@ def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRI
     classes = written(classes.select("fps", "at", F.col("at.r").alias("cid"), F.col("at.size").alias("size")), "simhash-classes")
     texts = rows.select(F.col(row).alias("cid"), "text")  # a class is known by the row of its first document
     cc = near_copies(classes.select("cid", "fps", "size"), texts, words)
-    first = classes.join(cc, "cid", "left").groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("at").alias("at"))
+    first = classes.join(cc, "cid").groupBy("component").agg(F.min("at").alias("at"))
     return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

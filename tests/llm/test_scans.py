@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import common, media, secret_scan, simhash, storage, warc
+from tessera.llm import common, media, secret_scan, simhash, storage, tiles, warc
 
 EMPTY = "doc_id long, text string"
 
@@ -156,18 +156,82 @@ def test_keys_grow_with_the_number_of_texts():
         assert at.shape == (keys, width) and at.max() < 512 and all(len(set(k)) == width for k in at.tolist())
 
 
+def loose_group(rng, texts=300, words=120, changed=0.03):
+    base = [f"w{i}" for i in range(words)]
+    return [" ".join(w if rng.random() > changed else f"x{rng.randrange(10**6)}" for w in base) for _ in range(texts)]
+
+
 def test_candidates_of_a_large_group_grow_with_its_size(spark):
-    """Texts that share much, but less than 0.8: no more pairs than CLOSEST a text and turn, whatever the group."""
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(120)]
-    texts = [" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(300)]
+    """Texts that share much, but less than 0.8: they meet few leaders, whatever the group."""
+    texts = loose_group(random.Random(5))
     frame = docs(spark, texts).select(F.col("doc_id").alias("cid"), simhash.set_simhashes(F.col("text"), 5, 8).alias("f"))
     classes = common.written(frame.select("cid", F.slice("f", 1, 8).alias("fps"), F.col("f")[8].alias("size")), "classes")
     assert classes.where("cid = 0").first()["size"] == len({tuple(texts[0].split()[i : i + 5]) for i in range(116)})
     shared, known = simhash.shared_keys(classes), classes.withColumn("component", F.col("cid"))
-    first = common.written(simhash.led_candidates(shared, known, None, simhash.NEAR, 0), "first")
-    again = simhash.led_candidates(shared, known, first, simhash.NEAR, 0)
-    assert 300 <= first.count() <= simhash.CLOSEST * 300 and first.intersect(again).count() == 0
+    for turn in range(2):
+        met = common.written(simhash.near_leaders(shared, known, simhash.NEAR, turn), "met")
+        assert met.count() <= 40 * 300 and simhash.closest(met).count() <= simhash.CLOSEST * 300
+    assert len({r.component for r in common.connected_components(met.select("a", "b")).collect()}) == 1
+
+
+def kept_by_all_pairs(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return len(texts) - len(tiles.forest(links))
+
+
+def test_a_loose_group_and_lone_pairs_lose_no_link(spark):
+    """A group of which few pairs reach 0.8, and pairs just above it."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        for p in rng.sample(range(120), 2):
+            t[p] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    for i in range(100):
+        t = [f"y{i}.{j}" for j in range(100)]
+        texts += [" ".join(t), " ".join(["z", *t[1:50], "z", *t[51:-1], "z"])]
+    assert len(simhash.keep_representatives(docs(spark, texts)).collect()) == kept_by_all_pairs(texts)
+
+
+@pytest.mark.parametrize("block", [200, 2_000, tiles.BLOCK])
+def test_tiles_join_all_that_is_linked(spark, block):
+    """Clusters of one component and stragglers, of singles, and of two components, in blocks of any size."""
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for cluster in range(6):
+        base = [rng.randrange(1 << 40) for _ in range(40)]
+        for i in range(40):
+            cid = cluster * 100 + i
+            sets[cid] = sorted({x if rng.random() > 0.06 else rng.randrange(1 << 40) for x in base})
+            rows.append((cluster, cluster * 100 if i < (30 if cluster % 2 else 0) else cid, cid, len(sets[cid])))
+    frame = spark.createDataFrame(rows, "cluster long, component long, cid long, size long")
+    values = spark.createDataFrame(list(sets.items()), "cid long, v array<long>")
+    got = [tuple(r) for r in tiles.links(frame, values, simhash.SIMILARITY, block).collect()]
+    component = {cid: c for _, c, cid, _ in rows}
+    for a, b in got:
+        assert 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len({*sets[a], *sets[b]}) and component[a] != component[b] and a // 100 == b // 100
+    every = [(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len({*sets[a], *sets[b]})]
+    own = list(component.items())
+    size = lambda links: len(tiles.forest([*own, *links]))
+    assert size(every) > size([]) and size(got) == size(every)
+    assert tiles.links(frame.limit(0), values.limit(0), simhash.SIMILARITY, block).count() == 0
+
+
+def test_intersections_against_sets():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, 9_000, rng.integers(0, 900))) for _ in range(n)] for n in (30, 20))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert tiles.intersections(left, right).tolist() == want and tiles.intersections([], right).shape == (0, 20)
+
+
+def test_values_of_many_pairs_are_copied(spark):
+    pairs = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(300)], "a long, b long")
+    values = pairs.groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("x"))
+    got = sorted(map(tuple, simhash.salted(pairs, values, "a", 300, each=10).collect()))
+    assert got == sorted(map(tuple, pairs.join(values.drop("n"), "a").collect())) and len(got) == 300
 
 
 def test_components_and_representatives(spark):
