@@ -61,3 +61,7 @@ class CommitLog:
     def write(self, number: int, content: dict) -> None:
         if not put_if_absent(self.spark, f"{self.folder}/{number}", json.dumps(content).encode()):
             raise FileExistsError(f"{self.folder} has a commit {number} of another writer")
+
+    def made(self, number: int, content: dict) -> bool:
+        """Whether that is the commit of that number: a writer that failed may have committed before."""
+        return number in self.numbers() and self.read(number) == json.loads(json.dumps(content))

@@ -84,7 +84,8 @@ class RangedTables:
                     new[name], out[name] = self._merged(name, old.get(name), rows, order, update[name], f"{folder}/{name}")
             self.log.write(base + 1, new)
         except BaseException:
-            remove(self.spark, f"{self.root}/{folder}")
+            if not self.log.made(base + 1, new):
+                remove(self.spark, f"{self.root}/{folder}")
             raise
         return out
 

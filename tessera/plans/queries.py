@@ -17,7 +17,7 @@ from ..functions import vector as V
 from ..operators import catalogue, changes, collection, frames, merge, publish, ranged, refresh, scan, search
 from ..scratch import new_dir, written
 from ..sources import index_pack
-from ..streaming import autoscan, capture_gate
+from ..streaming import autoscan, capture_gate, importer, passes
 from .views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,15 +715,35 @@ def index_append(spark, sf):
     return out.select("row", "id", six(V.dot(F.col("embedding"), F.col("embedding"))).alias("squared"), six(F.col("embedding")[0].cast("double")).alias("first"))
 
 
-def parts_feed(spark: SparkSession, sf: str) -> catalogue.Imported:
-    """Parts as a feed: brands are groups, retail prices are price lines; every fifth part has no number."""
+def parts_groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as a feed (groups, products, prices): brands are groups, retail prices are price lines; every fifth part has no number."""
     part = view(spark, sf, "part").withColumn("groupId", F.expr("CAST(substr(p_brand, 7) AS BIGINT)"))
     groups = part.groupBy("groupId").agg(F.min("p_brand").alias("name")).select("groupId", "name", F.concat(F.lit("SET-"), "groupId").alias("abbreviation"), F.lit("2020-01-01").alias("publishedOn"))
     number = F.expr("CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 5 = 0 THEN '' ELSE concat(lpad(CAST(p_size AS STRING), 3, '0'), '/050') END")
     item = F.array(F.struct(F.lit("Number").alias("name"), F.lit("#").alias("displayName"), number.alias("value")), F.struct(F.lit("Rarity").alias("name"), F.lit("r").alias("displayName"), F.col("p_type").alias("value")))
     products = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.concat("p_name", F.expr("CASE WHEN p_type = 'PROMO' THEN ' (Foil)' ELSE '' END")).alias("name"), F.col("p_name").alias("cleanName"), F.lit("u").alias("imageUrl"), item.alias("extendedData"))
     prices = part.select("groupId", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("productId"), F.expr("CASE WHEN p_size % 4 <> 0 THEN p_retailprice END").alias("marketPrice"), F.lit(None).cast("double").alias("lowPrice"))
-    return catalogue.import_feed("onepiece", groups, products, prices, F.lit("2024-01-01").cast("timestamp"))
+    return groups, products, prices
+
+
+def parts_feed(spark: SparkSession, sf: str) -> catalogue.Imported:
+    return catalogue.import_feed("onepiece", *parts_groups(spark, sf), F.lit("2024-01-01").cast("timestamp"))
+
+
+@query
+def import_passes(spark, sf):
+    """The same feed landed as a file for each group, and taken in by steps of fifteen groups in order of their ids."""
+    root = new_dir(spark, "passes")
+    groups, products, prices = parts_groups(spark, sf)
+    gid = F.col("groupId")
+    lists = [rows.groupBy(gid.alias("gid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct([c for c in rows.columns if c not in ("pos", *out)]).alias("x")))), lambda r: r["x"]).alias(name)) for name, rows, out in (("products", products, ()), ("prices", prices, ("groupId",)))]
+    landed = groups.select(gid.alias("gid"), F.struct(*groups.columns).alias("group")).join(lists[0], "gid").join(lists[1], "gid")
+    landed.select("gid", F.to_json(F.struct("group", "products", "prices")).alias("value")).repartition("gid").write.partitionBy("gid").text(f"{root}/landing")
+    work = passes.Passes(spark, "onepiece", f"{root}/landing", f"{root}/game", batch=15, group_of=r"gid=(\d+)/")
+    work.run("20240801", datetime(2024, 8, 1))
+    tables = importer.catalogue(spark, f"{root}/game").read()
+    rows = tables["printings"].join(tables["prices"].select(F.col("printing_id").alias("id"), "market"), "id", "left")
+    return rows.select("id", "card_id", "set_id", "number", "set_total", "rarity", "variant", "tcgplayer_product_id", F.round("market", 2).alias("market"))
 
 
 @query

@@ -289,6 +289,59 @@ def test_an_import_rewrites_the_files_that_it_touches(spark, tmp_path):
     assert tables["prices"].where("market = 2").count() == 60
 
 
+def test_a_pass_goes_on_from_its_cursor(spark, tmp_path, monkeypatch):
+    """Killed before and after each of its commits, a pass ends as one that was not; groups that land meanwhile wait."""
+    from tessera.operators import commits
+    from tessera.streaming import passes
+
+    def land(folder, gids):
+        folder.mkdir(exist_ok=True)
+        for gid in gids:
+            products = [{"productId": gid * 10 + i, "name": f"Card {gid} {i}", "cleanName": f"Card {gid} {i}", "imageUrl": "u", "groupId": gid, "extendedData": [{"name": "Number", "displayName": "n", "value": f"{i}/9"}] if i else []} for i in range(3)]
+            body = {"group": {"groupId": gid, "name": f"G{gid}", "abbreviation": f"S{gid}", "publishedOn": "2024"}, "products": products, "prices": [{"productId": gid * 10 + i, "marketPrice": 1.5 * gid} for i in range(3)]}
+            (folder / f"{gid}.json").write_text(json.dumps(body))
+
+    def pass_of(name, batch):
+        return passes.Passes(spark, "onepiece", f"file://{tmp_path}/{name}-landing", f"file://{tmp_path}/{name}", batch)
+
+    def rows(name):
+        return {n: sorted(str(r) for r in t.drop("updated_at", "as_of").collect()) for n, t in importer.catalogue(spark, f"file://{tmp_path}/{name}").read().items()}
+
+    now, gids = dt.datetime(2024, 8, 1), [100, 9, 20, 3, 7]
+    land(tmp_path / "a-landing", gids), land(tmp_path / "b-landing", gids)
+    whole = pass_of("a", 100).run("20240801", now)
+    assert (whole.run, whole.cursor, whole.total, whole.sets, whole.printings, whole.unmatched, whole.version) == (1, 5, 5, 5, 10, 5, "20240801")
+    cut, write = pass_of("b", 2), commits.CommitLog.write
+
+    def die(after):
+        def at(log, number, content):
+            if after:
+                write(log, number, content)
+            raise RuntimeError("killed")
+
+        monkeypatch.setattr(commits.CommitLog, "write", at)
+        with pytest.raises(RuntimeError, match="killed"):
+            cut.step("20240801", now)
+        monkeypatch.undo()
+
+    seen = []
+    for after in (False, True):
+        die(after)
+        die(after)
+        state = cut.step("20240801", now)
+        seen.append((state.run, state.cursor))
+        if not after:
+            assert [r.gid for r in cut.listing(1).orderBy("place").collect()] == sorted(gids)
+            land(tmp_path / "b-landing", [1, 50])  # while the pass is under way
+    while not state.done:
+        state = cut.step("20240801", now)
+    assert seen[0] == (1, 2) and seen[1][1] > 2 and {f: getattr(state, f) for f in ("run", "cursor", "total", *passes.COUNTS)} == {f: getattr(whole, f) for f in ("run", "cursor", "total", *passes.COUNTS)}
+    assert rows("b") == rows("a")
+    again = cut.run("20240802", dt.datetime(2024, 8, 2))
+    assert (again.run, again.total, again.sets) == (2, 7, 7) and len(rows("b")["sets"]) == 7
+    assert sorted(p.name for p in (tmp_path / "b/packs/games/onepiece").iterdir() if p.suffix == ".json") == ["catalog-20240801.json", "catalog-20240802.json", "delta-20240801-20240802.json"]
+
+
 def test_image_functions(spark):
     a = np.arange(4 * 5 * 4, dtype=np.uint8).reshape(4, 5, 4)
     a[..., 3] = 255
