@@ -377,6 +377,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "autoscan_batch": ((), AUTOSCAN),
     "stream_autoscan": ((), AUTOSCAN),
+    "ordered_autoscan": ((), AUTOSCAN),
     "pack_roundtrip": (("index_rows",), "SELECT row, id, len(embedding)::INT AS dim, true AS near, CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 0 ELSE 1 END::DOUBLE AS squared FROM index_rows"),
 }
 SQL["import_passes"] = SQL["import_feed"]

@@ -827,6 +827,20 @@ def autoscan_batch(spark, sf):
     return autoscan.autoscan_batch(thumbs(spark, sf)).where("trigger").select("camera_id", "seq", "kept")
 
 
+@query
+def ordered_autoscan(spark, sf):
+    """The same samples as a stream of three files, each third sample in one, which wait for the watermark to be in order."""
+    root, rows = new_dir(spark, "ordered"), thumbs(spark, sf)
+    for third in range(3):
+        rows.where(F.col("seq") % 3 == third).write.parquet(f"{root}/in/{third}")
+    last = rows.agg(F.max("ts").alias("ts")).select(F.lit("").alias("camera_id"), (F.col("ts") + F.expr("INTERVAL 20000 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("array<double>").alias("thumb"))
+    last.where("ts IS NOT NULL").write.parquet(f"{root}/in/last")
+    stream = spark.readStream.schema("camera_id string, ts timestamp, seq long, thumb array<double>").option("recursiveFileLookup", "true").parquet(f"{root}/in").where("thumb IS NOT NULL OR seq = -1")
+    out = autoscan.autoscan_in_order(stream, delay="10000 days", idle_ms=1 << 60)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema(autoscan.OUT).parquet(f"{root}/out").where("trigger").select("camera_id", "seq", "kept")
+
+
 @query
 def stream_autoscan(spark, sf):
     """The same samples as a stream of files, in one pass over what is there."""

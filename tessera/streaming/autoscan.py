@@ -1,12 +1,14 @@
 """When to take a picture: a still scene that differs from the last one taken. As a batch job and as a stream.
 
-Samples are taken in order of (ts, seq) for each camera. In a stream the order holds within a micro-batch, and a sample
-that comes after a later one of its camera has been seen counts when it comes.
+Samples are taken in order of (ts, seq) for each camera. In autoscan_stream the order holds within a micro-batch, and a
+sample that comes after a later one of its camera has been seen counts when it comes; in autoscan_in_order samples wait for
+the watermark, so any order of files gives the batch job's rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.image import thumbnails
+from .ordered import in_order
 
 # Limits of the gate, in brightness, samples and milliseconds.
 STILL, CHANGED, STABLE, AWAY, NEVER = 4.0, 10.0, 5, 3, 1000.0
 SAMPLE_MS, REPEAT_MS = 120, 30_000
+#: How late a sample may come, and after how long without samples a camera begins anew.
+DELAY, IDLE_MS = "10 seconds", 600_000
 
 OUT = "camera_id string, ts timestamp, seq long, trigger boolean, kept boolean, still double, changed double"
 STATE = "sampled long, prev array<double>, ref array<double>, stable int, away int, armed boolean, kept_at long, kept array<double>"
@@ -62,6 +67,16 @@ class Gate:
         self.kept_at, self.kept = (ms, scene) if keeps else (self.kept_at, self.kept)
         return fires, keeps, motion, unlike
 
+    def take(self, row, ms: int) -> tuple | None:
+        return (row.camera_id, row.ts, row.seq, *self.step(ms, np.asarray(row.thumb, dtype=np.float64))) if self.takes(ms) else None
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_state())
+
+    @staticmethod
+    def from_json(text: str) -> Gate:
+        return Gate.from_state(json.loads(text))
+
     def to_state(self) -> tuple:
         return tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in vars(self).values())
 
@@ -125,3 +140,8 @@ def autoscan_stream(samples: DataFrame) -> DataFrame:
 
     keyed = samples.select("camera_id", "ts", "seq", "thumb").where("camera_id IS NOT NULL").groupBy("camera_id")
     return keyed.applyInPandasWithState(task, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def autoscan_in_order(samples: DataFrame, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The same for a streaming DataFrame of samples that come in any order, at most `delay` late (see ordered.in_order)."""
+    return in_order(samples, "camera_id", ["thumb"], Gate, Gate.from_json, OUT, delay, idle_ms)

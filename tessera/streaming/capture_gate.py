@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .autoscan import DELAY, IDLE_MS
+from .ordered import in_order
+
 FRAMES, DRIFT, SHARP = 3, 0.04, 12.0
 
 
@@ -56,6 +60,42 @@ STREAMED = "camera_id string, ts timestamp, seq long, reason string, scan long"
 STATE = "held array<double>, locked long"
 
 
+class Locks:
+    """One camera: its last n quads, and how many frames were locked."""
+
+    def __init__(self, n: int, drift: float, sharp: float, wanted: int, restart: bool, held: Sequence[float] = (), locked: int = 0):
+        self.n, self.drift, self.sharp, self.wanted, self.restart, self.locked = n, drift, sharp, wanted, restart, locked
+        self.quads = list(np.asarray(held, dtype=np.float64).reshape(-1, 4, 2))
+
+    def take(self, row, ms: int) -> tuple:
+        """The row of STREAMED for the next frame."""
+        reason = row.rejected if isinstance(row.rejected, str) else None
+        if reason is None:
+            self.quads = [*self.quads, np.array([(p["x"], p["y"]) for p in row.quad])][-self.n :]
+            apart = np.linalg.norm(np.array(self.quads[1:]).reshape(-1, 4, 2) - self.quads[0], axis=2)
+            reason = "blurry" if row.sharpness < self.sharp else "steadying" if len(self.quads) < self.n else "moving" if (apart > self.drift).any() else None
+        else:
+            self.quads = []
+        out = (row.camera_id, row.ts, row.seq, reason, None if reason else self.locked // self.wanted)
+        self.locked += reason is None
+        if self.restart and reason is None and self.locked % self.wanted == 0:
+            self.quads = []
+        return out
+
+    def held(self) -> list[float]:
+        return np.array(self.quads).ravel().tolist()
+
+    def to_json(self) -> str:
+        return json.dumps([self.held(), self.locked])
+
+
+def capture_in_order(frames: DataFrame, n: int = FRAMES, drift: float = DRIFT, sharp: float = SHARP, wanted: int = FRAMES, restart: bool = True, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """As capture_stream, for frames that come in any order, at most `delay` late (see ordered.in_order). A camera that
+    begins anew after idle_ms counts its scans from 0 again."""
+    make = lambda *held: Locks(n, drift, sharp, wanted, restart, *held)
+    return in_order(frames, "camera_id", ["quad", "sharpness", "rejected"], make, lambda text: make(*json.loads(text)), STREAMED, delay, idle_ms)
+
+
 def capture_stream(frames: DataFrame, n: int = FRAMES, drift: float = DRIFT, sharp: float = SHARP, wanted: int = FRAMES, restart: bool = True) -> DataFrame:
     """STREAMED for a streaming DataFrame of frames (camera_id, ts, seq, quad, sharpness, rejected): capture_gate's
     reason, and for a locked frame the number of the scan that it belongs to, `wanted` frames each.
@@ -67,21 +107,9 @@ def capture_stream(frames: DataFrame, n: int = FRAMES, drift: float = DRIFT, sha
 
     def task(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, locked = state.get if state.exists else ([], 0)
-        quads = [q for q in np.asarray(held, dtype=np.float64).reshape(-1, 4, 2)]
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
-            reason = r.rejected if isinstance(r.rejected, str) else None
-            if reason is None:
-                quads = [*quads, np.array([(p["x"], p["y"]) for p in r.quad])][-n:]
-                apart = np.linalg.norm(np.array(quads[1:]).reshape(-1, 4, 2) - quads[0], axis=2)
-                reason = "blurry" if r.sharpness < sharp else "steadying" if len(quads) < n else "moving" if (apart > drift).any() else None
-            else:
-                quads = []
-            out.append((r.camera_id, r.ts, r.seq, reason, None if reason else locked // wanted))
-            locked += reason is None
-            if restart and reason is None and locked % wanted == 0:
-                quads = []
-        state.update((np.array(quads).ravel().tolist(), locked))
+        locks = Locks(n, drift, sharp, wanted, restart, held, locked)
+        out = [locks.take(r, 0) for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False)]
+        state.update((locks.held(), locks.locked))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAMED.split(", ")]).astype({"scan": "Int64"})
 
     keyed = frames.select("camera_id", "ts", "seq", "quad", "sharpness", "rejected").where("camera_id IS NOT NULL").groupBy("camera_id")

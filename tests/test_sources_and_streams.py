@@ -3,12 +3,13 @@ import json
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import image as I
 from tessera.sources import feed, index_pack, media_files
-from tessera.streaming import autoscan, capture_gate, importer
+from tessera.streaming import autoscan, capture_gate, importer, ordered
 
 START = dt.datetime(2024, 1, 1)
 
@@ -73,6 +74,92 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert both[0] == both[1]
 
 
+def streamed(spark, make, rows, order, per_file, folder):
+    """What a stream makes of rows that come in that order, per_file of them a micro-batch, and a last one much later."""
+    for i in range(0, len(order), per_file):
+        spark.createDataFrame([rows.rows[j] for j in order[i : i + per_file]], rows.schema).coalesce(1).write.parquet(f"file://{folder}/in/{i:06d}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{folder}/in")
+    writer = make(stream).writeStream.format("parquet").option("checkpointLocation", f"file://{folder}/c")
+    writer.trigger(availableNow=True).start(f"file://{folder}/out").awaitTermination()
+    return [r for r in spark.read.parquet(f"file://{folder}/out").collect() if r.camera_id != "flush"]
+
+
+class Rows:
+    def __init__(self, frame, *last):
+        self.schema, self.rows = frame.schema, [*map(tuple, frame.collect()), *last]
+
+
+def test_samples_in_any_order_give_the_batch_rows(spark, tmp_path):
+    """Samples and frames that come scrambled, a camera without rows in a micro-batch, one that is idle, and one that is too late."""
+    frame = samples(spark).where("seq < 40 AND camera_id IN ('held', 'moving', 'changed', 'restarted')")
+    idle = [("idle", START + dt.timedelta(milliseconds=120 * i + (700_000 if i >= 6 else 0)), i, [100.0] * 384) for i in range(12)]
+    rows = Rows(frame, *idle, ("flush", START + dt.timedelta(hours=2), 0, [0.0] * 384))
+    rng = np.random.default_rng(4)
+    mixed = [*rng.permutation(len(rows.rows) - 1).tolist(), len(rows.rows) - 1]
+    want = [(r.camera_id, r.seq, r.trigger, r.kept) for r in autoscan.autoscan_batch(frame).collect()]
+    again = [r for r in autoscan.autoscan_batch(spark.createDataFrame(idle[6:], frame.schema)).collect()]
+    first = [r for r in autoscan.autoscan_batch(spark.createDataFrame(idle[:6], frame.schema)).collect()]
+    want += [(r.camera_id, r.seq, r.trigger, r.kept) for r in first + again]  # anew after so long
+    got = streamed(spark, lambda s: autoscan.autoscan_in_order(s, "1 hour"), rows, mixed, 60, tmp_path / "a")
+    assert sorted((r.camera_id, r.seq, r.trigger, r.kept) for r in got) == sorted(want) and sum(r.trigger for r in got if r.camera_id == "idle") == 2
+    due = sorted(range(len(rows.rows)), key=lambda i: rows.rows[i][1])
+    near = [i for j in range(0, len(due), 8) for i in rng.permutation(due[j : j + 8]).tolist()]  # a second late at most
+    rows.rows.append(("held", START, 99, [0.0] * 384))  # hours late: dropped
+    got = streamed(spark, lambda s: autoscan.autoscan_in_order(s, "3 seconds"), rows, [*near, len(rows.rows) - 1], 60, tmp_path / "b")
+    assert sorted((r.camera_id, r.seq, r.trigger, r.kept) for r in got) == sorted(want)
+
+
+def test_state_of_idle_keys_goes():
+    """The machine's calls one by one: rows wait, are due, a timer takes them, and an idle key is removed."""
+    calls, made = [], {}
+
+    class State:
+        def __init__(self):
+            self.value, self.exists, self.watermark, self.timeout = None, False, 0, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+        def setTimeoutTimestamp(self, ms):
+            assert ms > self.watermark
+            self.timeout = ms
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def applyInPandasWithState(self, task, *rest):
+            made["task"] = task
+            return self
+
+    class Machine:
+        def take(self, row, ms):
+            calls.append(ms)
+            return (row.k, row.seq)
+
+        def to_json(self):
+            return "m"
+
+    ordered.in_order(Frame(), "k", [], Machine, lambda text: Machine(), "k string, seq long", "1 second", 1_000)
+    state, frame = State(), lambda *ms: pd.DataFrame({"k": "a", "ts": pd.to_datetime(list(ms), unit="ms"), "seq": range(len(ms)), "us": [m * 1_000 for m in ms]})
+    go = lambda watermark, *parts: setattr(state, "watermark", watermark) or pd.concat(made["task"](("a",), iter(parts), state))["seq"].tolist()
+    assert go(0, frame(900, 300, 300)) == [] and state.timeout == 301
+    assert go(500, frame(700)) == [1, 2] and state.timeout == 701
+    assert go(901) == [0, 0] and calls == [300, 300, 700, 900] and state.timeout == 1_901 and state.exists
+    assert go(1_901) == [] and not state.exists
+    assert go(1_901, frame(5_000)) == [] and go(6_001) == [0] and not state.exists
+
+
 def test_repeats_within_half_a_minute_are_dropped():
     gate, kept = autoscan.Gate(), []
     scenes = [stripes(0)] * 6 + [flat(100)] * 8 + [stripes(0)] * 8
@@ -128,6 +215,10 @@ def test_gate_as_a_stream(spark, tmp_path):
         writer.trigger(availableNow=True).start(f"file://{tmp_path}/out{restart}").awaitTermination()
         got = spark.read.parquet(f"file://{tmp_path}/out{restart}").orderBy("seq").collect()
         assert [(r.seq, r.reason, r.scan) for r in got] == gate_by_a_loop(frames, restart)
+    mixed = Rows(df, ("flush", START + dt.timedelta(hours=2), 0, None, 0.0, "x"))
+    order = [*np.random.default_rng(3).permutation(90).tolist(), 90]
+    got = streamed(spark, lambda s: capture_gate.capture_in_order(s, delay="1 hour"), mixed, order, 30, tmp_path / "mixed")
+    assert sorted((r.seq, r.reason, r.scan) for r in got) == gate_by_a_loop(frames, True)
     batch = {r.seq: r.reason for r in capture_gate.capture_gate(df).collect()}
     assert batch == {seq: reason for seq, reason, _ in gate_by_a_loop(frames, False)}
 
