@@ -163,6 +163,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT w.s_suppkey::VARCHAR AS wanted, row_number() OVER (PARTITION BY w.s_suppkey ORDER BY p.id = m.id DESC, p.release_date DESC NULLS LAST, p.number, p.id) AS place, p.id, p.art_id FROM supplier w JOIN printings m ON m.id = w.s_suppkey::VARCHAR JOIN printings p ON p.art_id = m.art_id",
     ),
     "name_search": (("printings",), "SELECT id, name, set_code, number FROM printings WHERE name ILIKE '%RING%' ORDER BY name, id LIMIT 50"),
+    "names_search": (
+        ("printings",),
+        """+ q AS (SELECT DISTINCT unnest([substr(name, 2, 1), substr(name, 2, 2), substr(name, 2, 3), substr(name, 2, 4), concat(substr(name, 1, 1), '_', substr(name, 3, 2)), '%', 'no such name']) AS query_id FROM printings)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY name, id) AS place, id, name, number FROM printings, q WHERE name ILIKE concat('%', query_id, '%') QUALIFY place <= 50""",
+    ),
+    "prices_for": (("prices",), "SELECT printing_id, source, 'EUR' AS currency, market, low, as_of::DATE AS as_of, l_orderkey, l_linenumber FROM prices WHERE printing_id IN (SELECT s_suppkey::VARCHAR FROM supplier)"),
     "serial_near": (("printings", "reads"), NEAR + " SELECT scan_id, serial, id, number, place AS ordinal FROM near"),
     "serial_choose": (("printings", "reads", "index_rows"), CHOICE + " SELECT scan_id, read, serial, exact, round(name_score, 6) AS name_score, round(image_score, 6) AS image_score FROM chosen"),
     "serial_rank": (("printings", "reads", "index_rows"), RANKED + " SELECT scan_id, spot AS place, id, number, home, round(image_score, 6) AS image_score FROM placed"),

@@ -14,7 +14,7 @@ from ..functions import image as I
 from ..functions import reading as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import catalogue, changes, collection, frames, merge, publish, ranged, refresh, scan, search
+from ..operators import catalogue, changes, collection, frames, merge, names, publish, ranged, refresh, scan, search
 from ..scratch import new_dir, written
 from ..sources import index_pack
 from ..streaming import autoscan, capture_gate, importer, passes
@@ -129,6 +129,23 @@ def name_search(spark, sf):
     return catalogue.by_name(view(spark, sf, "printings"), "RING").select("id", "name", "set_code", "number")
 
 
+@query
+def names_search(spark, sf):
+    """Every part of a name that begins with its second sign, of one to four signs, and patterns with wildcards, all at once."""
+    rows = view(spark, sf, "printings").select("id", "name", "number")
+    cuts = F.array(*[F.substring("name", 2, n) for n in (1, 2, 3, 4)], F.concat(F.substring("name", 1, 1), F.lit("_"), F.substring("name", 3, 2)), F.lit("%"), F.lit("no such name"))
+    queries = rows.select(F.explode(cuts).alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
+    index = written(names.name_index(rows), "names")
+    return names.search_names(index, rows, queries).select("query_id", "place", "id", "name", "number")
+
+
+@query
+def prices_for(spark, sf):
+    """Prices of the printings that suppliers' numbers name."""
+    prices = view(spark, sf, "prices").select("printing_id", "source", F.lit("EUR").alias("currency"), "market", "low", F.col("as_of").cast("date").alias("as_of"), "l_orderkey", "l_linenumber")
+    return catalogue.prices_for(prices, view(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id")))
+
+
 def near(spark: SparkSession, sf: str) -> DataFrame:
     reads, rows, index = view(spark, sf, "reads"), view(spark, sf, "printings"), view(spark, sf, "index_rows")
     found = scan.near_printings(reads, rows).join(reads.select("scan_id", F.array(F.col("seen"), F.concat(F.lit("x "), "seen")).alias("lines")), "scan_id")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import catalogue, changes, collection, commits, merge, publish, ranged, scan, search
+from tessera.operators import catalogue, changes, collection, commits, merge, names, publish, ranged, scan, search
 from tessera.scratch import written
 
 ITEM = "array<struct<name:string,displayName:string,value:string>>"
@@ -83,6 +83,19 @@ def test_commas_between_rows(spark):
     assert got == {0: "h[a,b,c][d]", 1: "h[a,b,c][d]"}
 
 
+def test_names_are_found_by_their_pieces(spark):
+    """As ILIKE over all rows: short patterns, wildcards, escapes, repeated names, signs beyond ASCII, nulls."""
+    words = ["Blue Bolt", "blue bolt", "BOLT", "Öl", "öl lamp", "100% sure", "a_b", "a", "", None, "ring\\ring", "x" * 40]
+    rows = spark.createDataFrame([(str(i), n) for i, n in enumerate(words)], "id string, name string")
+    texts = ["o", "ol", "OLT", "bolt", "Ö", "ö", "", "%", "_", "%%", "b%t", "e_b", "100\\%", "a\\_", "xxx", "zzz", "blue bolt and more", None]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, text string")
+    got = names.search_names(names.name_index(rows), rows, queries, limit=5)
+    want = [(i, r.id) for i, t in enumerate(texts) if t is not None for r in rows.where(F.col("name").ilike(f"%{t}%")).orderBy("name", "id").limit(5).collect()]
+    assert [(r.query_id, r.id) for r in got.orderBy("query_id", "place").collect()] == want and len(want) > 40
+    met = names.pieces_of(F.lit("Bolt%ab_c"))
+    assert sorted(rows.limit(1).select(met.alias("p")).first().p) == ["ab", "bol", "c", "olt"]
+
+
 def test_versions_of_a_game(spark, tmp_path):
     new = feed(spark)
     tables = catalogue.merged(catalogue.empty_tables(new), new)
