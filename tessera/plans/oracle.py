@@ -386,6 +386,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "ordered_autoscan": ((), AUTOSCAN),
     "pack_roundtrip": (("index_rows",), "SELECT row, id, len(embedding)::INT AS dim, true AS near, CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 0 ELSE 1 END::DOUBLE AS squared FROM index_rows"),
 }
+CORNERS, PICTURE = SQL["picture_with_corner"][1].split("SELECT scan_id, coalesce(read_id", 1)
+SERIAL = re.search(r"SELECT scan_id, printing_id, 'serial'.*?FROM graded", SQL["scan_finish"][1], re.S)[0]
+SQL["finish_with_corner"] = (
+    ("printings", "reads", "index_rows"),
+    f"""{GRADED}, {CORNERS[1:]} {SERIAL} UNION ALL SELECT scan_id, printing_id, 'picture', tier, score FROM (SELECT scan_id, coalesce(read_id{PICTURE}) WHERE scan_id NOT IN (SELECT scan_id FROM graded)""",
+)
 SQL["import_passes"] = SQL["import_feed"]
 SQL["pack_roundtrip_half"] = SQL["pack_commit"] = SQL["pack_roundtrip"]
 SQL["manifest_latest"] = (

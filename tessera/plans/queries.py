@@ -210,6 +210,16 @@ def picture_with_corner(spark, sf):
     return out.select("scan_id", "printing_id", "confidence.tier", six(F.col("confidence.score")).alias("score"), F.array_join("confidence.reasons", "; ").alias("reasons"))
 
 
+@query
+def finish_with_corner(spark, sf):
+    """Serial, corner and picture through one finish: the serial's printing where one was read, else the picture's, among
+    whose printings the corner picks."""
+    expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
+    by_picture = scan.picture_results(search.top_pair(expanded), candidate_printings(spark, sf, expanded), corners_of(spark, sf))
+    out = scan.finish(scan.serial_results(scan.rank_by_serial(near(spark, sf))), by_picture)
+    return out.select("scan_id", "printing_id", "by", "confidence.tier", six(F.col("confidence.score")).alias("score"))
+
+
 @query
 def alternatives(spark, sf):
     expanded = search.expand_arts(voted(spark, sf), arts_of(view(spark, sf, "index_rows")))
@@ -894,6 +904,14 @@ def image_ops(spark, sf):
     return rows.select("p_partkey", F.sha2("image.data", 256).alias("sha"), (turned["data"] == F.col("image.data")).alias("same"), F.col("quarter.width").alias("turned_width"), F.sha2("square.data", 256).alias("square_sha"), F.sha2("flat.data", 256).alias("flat_sha"), "sharpness")
 
 
+@query
+def prepared_pictures(spark, sf):
+    """Pictures at the size of the embedder's input, and what its tensor holds."""
+    rows = pictures(spark, sf).select("p_partkey", I.sinc_resize(F.col("image"), 32, 32).alias("image"))
+    total = F.aggregate(I.to_tensor(F.col("image")), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("p_partkey", F.sha2("image.data", 256).alias("sha"), F.round(total, 2).alias("total"))
+
+
 def block_means(image: Column) -> Column:
     """A stand-in for the model: the colours of 4 x 4 blocks of a square image, less their mean, at length 1."""
 
@@ -914,7 +932,7 @@ def block_means(image: Column) -> Column:
 @query
 def process_frames(spark, sf):
     """Pictures as frames, some of them turned, against an index of all upright ones."""
-    rows = pictures(spark, sf).where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("frame_id"), "image")
+    rows = pictures(spark, sf).select(F.col("p_partkey").alias("frame_id"), "image")
     whole = F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0)])
     index = rows.select(F.col("frame_id").alias("row"), F.col("frame_id").cast("string").alias("id"), block_means(I.squash_resize(F.col("image"), 16)).alias("embedding"))
     turned = F.when(F.col("frame_id") % 8 == 0, I.rotate180(F.col("image"))).otherwise(F.col("image"))

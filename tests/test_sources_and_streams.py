@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 import time
 
 import numpy as np
@@ -503,6 +504,36 @@ def test_image_functions_against_pixel_loops(spark):
     assert list(frame.image.data) == [1, 2, 3, 255] and frame.note == "k"
 
 
+def sinc_by_loops(a, width, height):
+    """One row after another, then one column after another, from the window's formula."""
+
+    def line(values, target):
+        n, out = len(values), []
+        scale = n / target
+        wide = max(scale, 1)
+        for i in range(target):
+            d = [(j + 0.5 - (i + 0.5) * scale) / wide for j in range(n)]
+            w = [1.0 if x == 0 else 3 * math.sin(math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x) ** 2 if abs(x) < 3 else 0.0 for x in d]
+            out.append(min(255, max(0, math.floor(sum(p * q for p, q in zip(w, values)) / sum(w) + 0.5))))
+        return out
+
+    rows = [[line([int(a[y, x, c]) for x in range(a.shape[1])], width) for c in range(3)] for y in range(a.shape[0])]
+    columns = [[line([rows[y][c][x] for y in range(a.shape[0])], height) for c in range(3)] for x in range(width)]
+    return np.array(columns).transpose(2, 0, 1)
+
+
+def test_sinc_resampling_against_loops(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (11, 7, 4), dtype=np.uint8)
+    frame = spark.createDataFrame([(bytearray(a.tobytes()), 7, 11), (None, None, None)], I.IMAGE).select(F.struct("data", "width", "height").alias("image"))
+    for width, height in ((3, 4), (20, 5), (7, 30), (1, 1)):
+        first, second = (r[0] for r in frame.select(I.sinc_resize(F.col("image"), width, height)).collect())
+        got = np.frombuffer(first.data, np.uint8).reshape(height, width, 4)
+        assert np.abs(got[..., :3].astype(int) - sinc_by_loops(a, width, height)).max() <= 1 and (got[..., 3] == 255).all() and second.data is None
+    plane = np.full((500, 700, 4), 77, dtype=np.uint8)
+    assert np.unique(I.resample(plane, I.MODEL_SIZE, I.MODEL_SIZE)[..., :3]).tolist() == [77] and I.tensor(I.resample(plane, 448, 448)).shape == (3 * 448 * 448,)
+
+
 def test_small_sources(spark, tmp_path):
     product = {"productId": 1, "name": "n", "groupId": 7, "extendedData": [{"name": "Number", "displayName": "d", "value": "1"}]}
     (tmp_path / "p.json").write_text(json.dumps({"success": True, "results": [product, product]}))
