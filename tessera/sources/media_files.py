@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.image import IMAGE, from_plane, jpeg_size, packed
+from ..functions.jpeg import jpeg_image
 
 MAX_PIXELS = 3_500_000
 
@@ -22,6 +23,13 @@ def jpeg_files(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) ->
     return rows.select("path", "content", "size.width", "size.height", why.alias("rejected"))
 
 
+def jpeg_images(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """path, image and `rejected` (why there is none) of JPEG files; over-large ones are set aside by their headers."""
+    rows = jpeg_files(spark, path, max_pixels).withColumn("d", jpeg_image(F.when(F.col("rejected").isNull(), F.col("content")), max_pixels))
+    image = F.when(F.col("d.data").isNotNull(), F.struct("d.data", "d.width", "d.height"))
+    return rows.select("path", image.alias("image"), F.coalesce("rejected", "d.rejected").alias("rejected"))
+
+
 def camera_frames(planes: DataFrame) -> DataFrame:
     """planes (plane, width, height, stride, bgra and others) with `image` in place of the plane."""
 
