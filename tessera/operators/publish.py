@@ -227,16 +227,19 @@ def delta_chain(deltas: DataFrame, wanted: DataFrame, limit: int = CHAIN_LIMIT)
     deltas: game, from, to, ordinal (of several from one version the last counts). wanted: game, local, target.
 
     By pointer doubling: jumps of 1, 2, 4 ... links are made by joining each with itself, and every version reached is
-    taken on by the next jump, so a chain of `limit` links costs log2(limit) joins, whatever the number of games.
+    taken on by the next jump, so a chain of `limit` links costs log2(limit) joins, whatever the number of games. Once no
+    walk goes on, none of more links does, and no longer jump is made.
     """
     start = wanted.where(F.col("local").isNotNull() & (F.col("local") != "") & (F.col("local") != F.col("target")))
     links = deltas.join(start.select("game").distinct(), "game", "left_semi").groupBy("game", "from").agg(F.max_by("to", "ordinal").alias("to"))
     jump = links = written(links, "chain-links")
     walked, length = start.select("game", "local", "target", F.col("local").alias("at"), F.lit(0).alias("step")), 1
     while length <= limit:
-        far = walked.join(jump.select("game", F.col("from").alias("at"), F.col("to").alias("far")), ["game", "at"], "left")
-        both = F.filter(F.array(F.struct("at", "step"), F.struct(F.col("far").alias("at"), (F.col("step") + length).alias("step"))), lambda x: x["at"].isNotNull())
-        walked = far.select("game", "local", "target", F.explode(both).alias("x")).select("game", "local", "target", "x.*")
+        far = walked.join(jump.select("game", F.col("from").alias("at"), F.col("to").alias("far")), ["game", "at"])
+        new = written(far.select("game", "local", "target", F.col("far").alias("at"), (F.col("step") + length).alias("step")).where("at IS NOT NULL"), "chain-walks")
+        if new.isEmpty():
+            break
+        walked = walked.union(new)
         length *= 2
         if length <= limit:
             left, right = jump.select("game", "from", F.col("to").alias("mid")), jump.select("game", F.col("from").alias("mid"), "to")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +20,19 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def finite(frame: pd.DataFrame) -> dict[int, tuple[pd.DataFrame, np.ndarray]]:
-    """The rows whose embeddings hold finite numbers only, and these as a matrix, by length."""
-    out = {}
-    for size, rows in frame.groupby(frame["v"].map(len)) if len(frame) else ():
-        if size:
-            v = np.stack([np.asarray(x, dtype=np.float64) for x in rows["v"]])
-            fine = np.isfinite(v).all(axis=1)
-            out[size] = rows[fine], v[fine]
+def finite(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Which rows' vectors (v) hold finite numbers only, and these as a matrix, by length. Numbers are taken as they lie in
+    the batch, without an object for each row."""
+    v = pa.concat_arrays(table["v"].chunks) if table.num_rows else None
+    if v is None:
+        return {}
+    n, flat = pc.list_value_length(v).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    out, starts = {}, np.cumsum(n) - n
+    for size in np.unique(n[n > 0]).tolist():
+        at = np.flatnonzero(n == size)
+        m = flat.reshape(-1, size) if len(at) == len(n) else flat[starts[at][:, None] + np.arange(size)]
+        fine = np.isfinite(m).all(axis=1)
+        out[size] = at[fine], m if fine.all() else m[fine]
     return out
 
 
@@ -35,7 +41,7 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def best_of_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_of_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """The k best rows of each query. A matrix product finds all rows that may be among them; their scores are then
     summed in order, and ranked by those."""
     out, indexed = [], finite(rows)
@@ -43,7 +49,7 @@ def best_of_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
         if size not in indexed or not len(asked):
             continue
         mine, v = indexed[size]
-        row = mine["row"].to_numpy()
+        row = rows["row"].to_numpy()[mine]
         slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0)
         at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)  # query, row and score of the best so far
         for i in range(0, len(v), ROWS_AT_ONCE):
@@ -57,9 +63,11 @@ def best_of_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
             a, b, exact = a[order], b[order], exact[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
             at = a[place < k], b[place < k], exact[place < k]
-        a, b, exact = at
-        out.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[a], "row": row[b], "id": mine["id"].to_numpy()[b], "score": exact})[np.isfinite(exact)])
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "id": [], "score": []}, dtype=object)
+        good = np.isfinite(at[2])
+        a, b, exact = (x[good] for x in at)
+        out.append(pa.table([queries["query_id"].take(asked[a]), rows["row"].take(mine[b]), rows["id"].take(mine[b]), pa.array(exact)], ["query_id", "row", "id", "score"]))
+    none = pa.table([queries["query_id"].slice(0, 0), rows["row"].slice(0, 0), rows["id"].slice(0, 0), pa.array([], pa.float64())], ["query_id", "row", "id", "score"])
+    return pa.concat_tables(out or [none])
 
 
 def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
@@ -83,7 +91,7 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "row"), (rows, "id"))}
     schema = f"query_id {kind['query_id']}, row {kind['row']}, id {kind['id']}, score double"
     left, right = dealt(asked, "query_id", "j", across, "i", down), dealt(rows, "row", "i", down, "j", across)
-    found = left.cogroup(right).applyInPandas(lambda q, r: best_of_cell(q, r, k), schema)
+    found = left.cogroup(right).applyInArrow(lambda q, r: best_of_cell(q, r, k), schema)
     return top(found, k).select("query_id", "rank", "row", "id", "score")
 
 
