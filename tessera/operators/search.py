@@ -41,6 +41,15 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null, as Spark expects what a function returns."""
+    return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
+def taken(column: pa.ChunkedArray, at: np.ndarray) -> pa.ChunkedArray:
+    return column.take(pa.array(at)).cast(nullable(column.type))
+
+
 def best_of_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """The k best rows of each query. A matrix product finds all rows that may be among them; their scores are then
     summed in order, and ranked by those."""
@@ -65,8 +74,9 @@ def best_of_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             at = a[place < k], b[place < k], exact[place < k]
         good = np.isfinite(at[2])
         a, b, exact = (x[good] for x in at)
-        out.append(pa.table([queries["query_id"].take(asked[a]), rows["row"].take(mine[b]), rows["id"].take(mine[b]), pa.array(exact)], ["query_id", "row", "id", "score"]))
-    none = pa.table([queries["query_id"].slice(0, 0), rows["row"].slice(0, 0), rows["id"].slice(0, 0), pa.array([], pa.float64())], ["query_id", "row", "id", "score"])
+        out.append(pa.table([taken(queries["query_id"], asked[a]), taken(rows["row"], mine[b]), taken(rows["id"], mine[b]), pa.array(exact)], ["query_id", "row", "id", "score"]))
+    no = np.zeros(0, dtype=np.int64)
+    none = pa.table([taken(queries["query_id"], no), taken(rows["row"], no), taken(rows["id"], no), pa.array([], pa.float64())], ["query_id", "row", "id", "score"])
     return pa.concat_tables(out or [none])
 
 

@@ -418,7 +418,6 @@ def test_a_pass_goes_on_from_its_cursor(spark, tmp_path, monkeypatch):
 
     seen = []
     for after in (False, True):
-        die(after)
         die(after)
         state = cut.step("20240801", now)
         seen.append((state.run, state.cursor))
