@@ -15,8 +15,8 @@ at SIMILARITY with a key in common stays at KEY_RECALL (`key_recall`). Candidate
 first fingerprint and over all (of pairs at SIMILARITY, one in 100,000 is not), and only count as near copies when the
 exact Jaccard similarity of their shingles is SIMILARITY or more.
 
-A group of near copies could make pairs with the square of its size. So each key has a leader, the same for most keys of a
-group. Texts and their near leaders make clusters. In each of TURNS turns, with leaders of its own, a text is compared with
+A group of near copies could make pairs with the square of its size. So each key has a leader, the same for many keys of a
+group. Texts and their near leaders (the LEADERS first in the turn's order, and as many of the nearest) make clusters. In each of TURNS turns, with leaders of its own, a text is compared with
 the CLOSEST of its leaders that are of other components; in a tight group that leaves little. Then what is still apart
 within a cluster is compared exactly, by blocks (module tiles): no link of a cluster is missed, whatever the turns found.
 
@@ -41,7 +41,7 @@ from . import tiles
 from .common import SHARES, connected_components, free_name, tune, with_values, written
 
 SEED = 42
-FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST = 8, 16, 0.99, 22, 2, 3
+FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, LEADERS = 8, 16, 0.99, 22, 2, 3, 5
 #: Pairs that one copy of a set serves in a join.
 PAIRS_PER_SET = 2_000
 #: Of keys: most are different, so a task counts them in a table of about as many rows.
@@ -280,9 +280,10 @@ def differing() -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, n: s + n)
 
 
-def near_leaders(shared: DataFrame, known: DataFrame, near: int, turn: int) -> DataFrame:
-    """(a, b, d): each cid of known (cid, component, fps, size) and those leaders of its keys that are of other components and
-    near enough; d is in how many bits they differ.
+def near_leaders(shared: DataFrame, known: DataFrame, near: int, turn: int, first: int = LEADERS) -> DataFrame:
+    """(a, b, d): each cid of known (cid, component, fps, size) and leaders of its keys that are of other components and
+    near enough; d is in how many bits they differ. Of its near leaders a cid takes the `first` ones in the turn's order,
+    which it has in common with most of its group, and as many of the nearest ones.
 
     A key's leader has the least f0 after an exclusive or with a mask of the turn, so a group has few leaders in one turn,
     and others in the next. Least values are partially aggregated and joined back: no key's rows are ever gathered.
@@ -290,10 +291,13 @@ def near_leaders(shared: DataFrame, known: DataFrame, near: int, turn: int) -> D
     mask = F.xxhash64(F.lit(turn))
     least = shared.groupBy("k").agg(F.min(F.col("f0").bitwiseXOR(mask)).alias("g0"), F.count("*").alias("n"))
     led = with_values(shared.drop("n"), written(least.withColumn("g0", F.col("g0").bitwiseXOR(mask)), "simhash-least"), ["k"], "n")
-    met = led.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= near).select("cid", "g0").distinct()
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0")))
+    met = led.where(apart <= near).select("cid", "g0", apart.alias("bits")).distinct()
+    ranks = [F.row_number().over(Window.partitionBy("cid").orderBy(*order)) for order in ((F.col("g0").bitwiseXOR(mask),), ("bits", "g0"))]
+    met = met.withColumn("r", F.least(*ranks)).where(F.col("r") <= first).select("cid", "g0")
     mine = known.select("cid", "component", F.struct("fps", "size").alias("x"))
-    first = known.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("cid"))
-    leaders = first.join(mine, "cid").select("g0", F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
+    leaders = known.groupBy(F.col("fps")[0].alias("g0")).agg(F.min("cid").alias("cid")).join(mine, "cid")
+    leaders = leaders.select("g0", F.col("cid").alias("b"), F.col("component").alias("other"), F.col("x").alias("y"))
     pairs = met.join(leaders, "g0").join(mine, "cid").where("component <> other").withColumn("d", differing())
     return pairs.where(near_enough(near)).select(F.col("cid").alias("a"), "b", "d")
 
