@@ -132,12 +132,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = real.select("tid", "window").distinct()
     owned = pairs.join(F.broadcast(windows), "window") if small(windows) else pairs.join(windows, "window")
     lists = owned.groupBy("tid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    result = written(spans.join(lists, "tid").select("tid", "n_hit", F.size("ids").alias("n_items"), F.concat_ws(",", "ids").alias("items")), "leak-texts")
+    result = written(spans.join(lists, "tid").select("tid", "n_hit", F.size("ids").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items")), "leak-texts")
 
     rows = written(docs.select("doc_id", tid, F.coalesce(F.size(text_words(F.col("text"))), F.lit(0)).alias("n_words")), "leak-rows")
     out = with_values(rows, result, ["tid"])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("items", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
