@@ -203,10 +203,14 @@ def first_signature(x: Column, k: Column, n: int) -> Column:
 
 
 def links(rows: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits: all of them."""
+    """Pairs (a, b), a < b, of distinct values of column fp that differ in at most max_distance bits: all of them.
+
+    A row makes 64 of the index, which Spark's estimate from the files' bytes does not know: it would broadcast the index,
+    and so pass it through the driver. Both sides are therefore shuffled and sorted.
+    """
     n = exact_segments(max_distance)
     index = signatures(rows.select("fp").distinct(), n)
-    left, right = index.alias("l"), index.alias("r")
+    left, right = index.hint("merge").alias("l"), index.hint("merge").alias("r")
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     verified = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= max_distance) & first_signature(x, F.col("l.k"), n)
     return left.join(right, (F.col("l.k") == F.col("r.k")) & verified).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
