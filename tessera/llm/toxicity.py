@@ -14,8 +14,10 @@ seen, turns it into a probability.
 
 The table of letters has ALPHABET ** ORDER cells. Words are known by 63-bit hashes and counted in Spark, however many
 there are. A word that no class has in more than WORD_DISCOUNT documents has no evidence. Of the others the model holds
-those of most evidence, MOST_WORDS at most: where there are more, words of an evidence up to `slack` are left at 0, so
-that a mean or greatest value over words, and with it any feature, is off by `slack` at most.
+those of most evidence, MOST_WORDS at most. Where there are more, the rest, of an evidence up to `slack`, stays a table
+(`Model.rest`): texts' other words are joined with it, and their sums and greatest values added to those of the words
+that the model holds (`features`). So every word counts, however many there are. `Model.evidence` alone, without that
+table, is off by `slack` at most.
 
 Null and empty texts have no evidence and score by the
 curve's constant. Without labels, or with one class only, every score is the share of 1 among the sample (0.5 without
@@ -26,7 +28,7 @@ Texts of any length count whole; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, tune, written
+from .common import free_name, tune, with_values, written
 from .labelled import held_out, odds_shift, training_ids
 
 ALPHABET, ORDER, DISCOUNT, SHARED_DISCOUNT, WINDOWS = 32, 4, 1.0, 0.75, (4, 8)
@@ -108,6 +110,7 @@ class Model:
     slack: float = 0.0
     prior: float = 0.5
     fitted: bool = False
+    rest: DataFrame | None = None  # (k, r, n) of words that are not in keys; n: how many documents have each
 
     def of_words(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -122,7 +125,19 @@ class Model:
     def probability(self, texts) -> np.ndarray:
         if not self.fitted:
             return np.full(len(texts), self.prior)
-        x = np.array([self.evidence(t) for t in texts]).reshape(-1, FEATURES)
+        return self.curved(np.array([self.evidence(t) for t in texts]).reshape(-1, FEATURES))
+
+    def parts(self, text: str | None) -> dict:
+        """What `features` needs of a text: x (of its letters), n (words), total and top (the sum and the two greatest
+        values of words in keys), and the other words (k) with how often each is there (many)."""
+        runs, words = expressions(text)
+        at = np.minimum(np.searchsorted(self.keys, words), max(0, len(self.keys) - 1))
+        held = self.keys[at] == words if len(self.keys) else np.zeros(len(words), dtype=bool)
+        values = self.words[at[held]].astype(np.float64)
+        k, many = np.unique(words[~held], return_counts=True)
+        return {"x": stretches(self.letters[runs], WINDOWS), "n": len(words), "total": float(values.sum()), "top": np.sort(values)[:-3:-1].tolist(), "k": k.tolist(), "many": many.tolist()}
+
+    def curved(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -500, 500)))
 
 
@@ -192,8 +207,9 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from sliced(at, *letters[:, at])
 
 
-def word_evidence(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Keys of words and their evidence, of counts (k, n, o, t), and the greatest evidence that a word left out may have."""
+def word_evidence(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float, DataFrame | None]:
+    """Keys of words and their evidence, of counts (k, n, o, t), the `most` ones of most evidence; the greatest evidence that
+    others may have, and those others (k, r, n), which stay in Spark (None if there are none)."""
     over = {c: F.greatest(F.col(c) - WORD_DISCOUNT, F.lit(0.0)) for c in "ot"}
     sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), F.col("o"), over["o"], F.col("t"), over["t"])]
     kinds, n, o, rest_o, t, rest_t = counts.agg(F.count("*"), *sums).first()
@@ -202,7 +218,7 @@ def word_evidence(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
     f = (F.col("n") + 0.5) / (n + 0.5 * (kinds + 1))
     p = {c: over[c] / F.lit(float(totals[c])) + F.lit(left[c]) * f for c in "ot"}
     r = F.log(p["t"] / F.lit(left["t"])) - F.log(p["o"] / F.lit(left["o"]))
-    known = counts.where((F.col("o") > WORD_DISCOUNT) | (F.col("t") > WORD_DISCOUNT)).select("k", r.alias("r"))
+    known = counts.where((F.col("o") > WORD_DISCOUNT) | (F.col("t") > WORD_DISCOUNT)).select("k", r.alias("r"), "n")
     by_step = known.groupBy(F.floor(F.abs("r") * STEPS).alias("step")).count().collect()  # logarithms: some thousand steps
     slack, words = 0.0, 0
     for step, many in sorted(by_step, reverse=True):
@@ -210,10 +226,42 @@ def word_evidence(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
         if words > most:
             slack = (step + 1) / STEPS
             break
-    got = known.where(F.floor(F.abs("r") * STEPS) >= round(slack * STEPS)).toArrow()
+    step = F.floor(F.abs("r") * STEPS)
+    got = known.where(step >= round(slack * STEPS)).select("k", "r").toArrow()
+    rest = written(known.where(step < round(slack * STEPS)).withColumn("r", F.col("r").cast("float")), "toxicity-rest") if slack else None
     keys, values = got["k"].to_numpy(), got["r"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order].astype(np.float32), slack
+    return keys[order], values[order].astype(np.float32), slack, rest
+
+
+def features(model: Model, rows: DataFrame, to: str) -> DataFrame:
+    """rows (text, ...) with column `to`: the FEATURES of each text, by the model's words and by those of model.rest.
+
+    A text's words that the model does not hold are joined with the rest by their keys; a sum and the two greatest values
+    come back to it. So no table of words is ever whole in the driver or in a task.
+    """
+    row, part = (free_name([*rows.columns, to], c) for c in ("row", "part"))
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+
+    @F.pandas_udf("x array<double>, n long, total double, top array<double>, k array<long>, many array<long>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([shared.value.parts(t) for t in s], columns=["x", "n", "total", "top", "k", "many"])
+
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()).withColumn(part, parts("text")), "toxicity-parts")
+    words = rows.select(F.col(row).alias("row"), F.explode(F.arrays_zip(f"{part}.k", f"{part}.many")).alias("w")).select("row", "w.k", "w.many")
+    met = with_values(words, model.rest, ["k"], "n").where("r IS NOT NULL").withColumn("r", F.col("r").cast("double"))
+    top = F.slice(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(r, int(least(many, 2)))"))), asc=False), 1, 2)
+    met = met.groupBy("row").agg(F.sum(F.col("r") * F.col("many")).alias("total"), F.sum("many").alias("many"), top.alias("top"))
+    met = met.select(F.col("row").alias(row), F.struct("total", "many", "top").alias("__met"))
+    none = F.array().cast("array<double>")
+    others = F.aggregate(f"{part}.many", F.lit(0).cast("long"), lambda a, b: a + b) - F.coalesce("__met.many", F.lit(0))
+    zeros = F.array_repeat(F.lit(0.0), F.least(others, F.lit(2)).cast("int"))
+    tops = F.sort_array(F.concat(f"{part}.top", F.coalesce("__met.top", none), zeros), asc=False)
+    mean = (F.col(f"{part}.total") + F.coalesce("__met.total", F.lit(0.0))) / F.greatest(f"{part}.n", F.lit(1))
+    at = [F.coalesce(F.get(tops, F.lit(i)), F.lit(0.0)) for i in (0, 1)]
+    out = rows.join(met, row, "left").withColumn(to, F.concat(f"{part}.x", F.array(mean, *at)))
+    return out.drop(row, part, "__met")
 
 
 def whole_number(rows: DataFrame, name: str) -> Column:
@@ -267,16 +315,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     chain = shared_chain(dense("n"))
     t, o = (discounted(dense(c), chain, DISCOUNT) for c in "to")
     letters = np.log(np.maximum(t, 1e-12) / np.maximum(o, 1e-12)).astype(np.float32)
-    keys, words, slack = word_evidence(counts.where("k < 0"), most_words)
-    model = Model(letters, keys, words, np.zeros(FEATURES + 1), slack)
-    held = spark.sparkContext.broadcast(model)
+    keys, words, slack, rest = word_evidence(counts.where("k < 0"), most_words)
+    model = Model(letters, keys, words, np.zeros(FEATURES + 1), slack, rest=rest)
+    held = spark.sparkContext.broadcast(replace(model, rest=None))
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array([held.value.evidence(t) for t in b["text"]]).reshape(-1, FEATURES)
             yield pd.DataFrame({"h": b["h"], "y": b["y"]} | {f"x{i}": x[:, i] for i in range(FEATURES)})
 
-    each = rows.select(F.xxhash64("doc_id").alias("h"), "text", "y").mapInPandas(evidence, "h long, y int, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
+    each = rows.select(F.xxhash64("doc_id").alias("h"), "text", "y")
+    if rest is None:
+        each = each.mapInPandas(evidence, "h long, y int, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
+    else:
+        each = features(model, each, "x").select("h", "y", *[F.col("x")[i].alias(f"x{i}") for i in range(FEATURES)])
     got = each.toPandas().sort_values(["h", "y"])  # 2 * (per_class // 4) rows at most
     y = got["y"].to_numpy(dtype=float)
     model.prior = float(y.mean()) if len(y) else 0.5
@@ -286,9 +338,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return model
 
 
+def scored(model: Model, docs: DataFrame, to: str) -> DataFrame:
+    """docs with column `to`: the probability of label 1 for column text, by all words that have evidence."""
+    if model.rest is None or not model.fitted:
+        return docs.withColumn(to, score(model, F.col("text"), docs.sparkSession))
+    shared, x = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None)), free_name([*docs.columns, to], "x")
+
+    @F.pandas_udf("double")
+    def curved(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.curved(np.array(v.tolist(), dtype=np.float64).reshape(-1, FEATURES)))
+
+    return features(model, docs, x).withColumn(to, curved(x)).drop(x)
+
+
 def score(model: Model, text: Column, spark) -> Column:
-    """The probability of label 1 for a text column. What is broadcast has 4 MB and 12 bytes a word of the model (MOST_WORDS)."""
-    shared = spark.sparkContext.broadcast(model)
+    """The probability of label 1 for a text column, by the words that the model holds. What is broadcast has 4 MB and 12 bytes a word of the model (MOST_WORDS)."""
+    shared = spark.sparkContext.broadcast(replace(model, rest=None))
 
     @F.pandas_udf("double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -298,14 +363,14 @@ def score(model: Model, text: Column, spark) -> Column:
     return udf(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs."""
-    model = fit(docs, labels, "toxic", per_class)
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(model, F.col("text"), docs.sparkSession).alias("score"))
+    model = fit(docs, labels, "toxic", per_class, most_words)
+    out = scored(model, docs.select("doc_id", "text"), "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns as they are."""
     model, name = fit(docs, labels, "toxic", per_class), free_name(docs.columns, "score")
-    return docs.withColumn(name, score(model, F.col("text"), docs.sparkSession)).where(F.col(name) < THRESHOLD).select(*docs.columns)
+    return scored(model, docs, name).where(F.col(name) < THRESHOLD).select(*docs.columns)

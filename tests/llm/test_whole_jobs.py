@@ -1,6 +1,11 @@
 """What must not pass through the driver, and what must not be cut."""
 
-from tessera.llm import simhash
+import random
+
+import numpy as np
+import pytest
+
+from tessera.llm import simhash, toxicity
 from tessera.llm.common import written
 
 
@@ -12,3 +17,19 @@ def test_the_signature_index_is_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     pairs = {(0, 1), (0, 3), (1, 3), (-2, -1)}
     assert {(r.a, r.b) for r in links.collect()} == pairs
+
+
+def test_words_beyond_the_model_count_as_those_in_it(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(words[: 40 if i % 5 else 80]) for _ in range(rng.randint(1, 30))) + (" zzzq qwzxj" if i % 5 == 0 else "")) for i in range(600)]
+    rows += [(600, ""), (601, None), (602, words[3]), (603, words[3] + " " + words[3]), (604, "neverseen")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    whole, few = (toxicity.fit(frame, labels, per_class=16, most_words=n) for n in (1_000, 10))
+    assert whole.rest is None and len(few.keys) <= 10 and len(few.keys) + few.rest.count() == len(whole.keys)
+    for r in toxicity.features(few, frame, "x").collect():
+        assert r.x == pytest.approx(whole.evidence(r.text), abs=1e-5)
+    assert np.allclose(few.curve, whole.curve, atol=1e-3)
+    a, b = ({r.doc_id: r.score for r in toxicity.classify(frame, labels, 16, n).collect()} for n in (1_000, 10))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-4) for i in a)
