@@ -16,9 +16,11 @@ first fingerprint and over all (of pairs at SIMILARITY, one in 100,000 is not),
 exact Jaccard similarity of their shingles is SIMILARITY or more.
 
 A group of near copies could make pairs with the square of its size. So each key has a leader, the same for many keys of a
-group. Texts and their near leaders (the LEADERS first in the turn's order, and as many of the nearest) make clusters. In each of TURNS turns, with leaders of its own, a text is compared with
-the CLOSEST of its leaders that are of other components; in a tight group that leaves little. Then what is still apart
-within a cluster is compared exactly, by blocks (module tiles): no link of a cluster is missed, whatever the turns found.
+group. Texts and their near leaders (the LEADERS first in the turn's order, and as many of the nearest) make clusters. In
+each of TURNS turns, with leaders of its own, a text is compared with the CLOSEST of its leaders that are of other
+components; in a tight group that leaves little. Then what is still apart within a cluster is compared exactly, by blocks
+(module tiles), and so are all near pairs of different clusters that have a key in common (`across`). So the bounds on
+leaders only order the work: no link of texts with a common key is missed, whatever the turns found.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null
 doc_id keep their row; the smallest non-null doc_id names the component. Repeated rows stay as they are; an empty table
@@ -287,7 +289,7 @@ def differing() -> Column:
 def near_leaders(shared: DataFrame, known: DataFrame, near: int, turn: int, first: int = LEADERS) -> DataFrame:
     """(a, b, d): each cid of known (cid, component, fps, size) and leaders of its keys that are of other components and
     near enough; d is in how many bits they differ. Of its near leaders a cid takes the `first` ones in the turn's order,
-    which it has in common with most of its group, and as many of the nearest ones.
+    which it has in common with most of its group, and as many of the nearest ones. What that leaves out, `across` compares.
 
     A key's leader has the least f0 after an exclusive or with a mask of the turn, so a group has few leaders in one turn,
     and others in the next. Least values are partially aggregated and joined back: no key's rows are ever gathered.
@@ -336,6 +338,27 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[in
     return pairs.where(per * both >= of * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def across(shared: DataFrame, rows: DataFrame, classes: DataFrame, near: int) -> DataFrame:
+    """(a, b): all pairs of cids with a key of shared (cid, f0, k) in common that are of different clusters of rows (cid,
+    cluster) and near enough by classes (cid, fps, size); whatever leaders the turns have taken.
+
+    Of such a pair at least one is not of the cluster that most rows of the key are of. So only those others are met with a
+    key's rows: a key of one cluster costs nothing, and one of a large cluster and few others its rows times the others.
+    """
+    mine = written(shared.select("cid", "f0", "k").join(rows.select("cid", "cluster"), "cid"), "simhash-clustered")
+    by = mine.groupBy("k", "cluster").agg(F.count("*").alias("many"))
+    by = by.groupBy("k").agg(F.max(F.struct("many", "cluster"))["cluster"].alias("main"), F.sum("many").alias("n"), F.count("*").alias("clusters"))
+    main = written(by.where("clusters > 1").select("k", "main", "n"), "simhash-mixed")
+    mixed = with_values(mine, main, ["k"], "n").where("main IS NOT NULL")
+    left, right = mixed.where("cluster <> main").hint("merge").alias("l"), mixed.hint("merge").alias("r")
+    apart = (F.col("l.cluster") != F.col("r.cluster")) & (F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))) <= near)
+    pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & apart)
+    pairs = pairs.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
+    for c, v in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(classes.select(F.col("cid").alias(c), F.struct("fps", "size").alias(v)), c)
+    return written(pairs.withColumn("d", differing()).where(near_enough(near)).select("a", "b"), "simhash-across")
+
+
 def times(pairs: DataFrame) -> DataFrame:
     """(cid, n): in how many pairs each cid is."""
     return pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n"))
@@ -364,10 +387,11 @@ def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NE
         known = joined(known, between(links, known))
     known = known.select("cid", "component", "size")
     rows = joined(known, between(reduce(DataFrame.union, met), known), "cluster")
+    others = across(shared, rows, classes, near)
     apart = rows.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = written(rows.join(apart.select("cluster"), "cluster", "left_semi"), "simhash-apart")
     sets = written(texts.join(rows.select("cid"), "cid", "left_semi").select("cid", shingle_sets(F.col("text"), words).alias("v")), "simhash-sets")
-    links = written(tiles.links(rows, sets, SIMILARITY), "simhash-links")
+    links = written(tiles.links(rows, sets, SIMILARITY).union(similar(others, texts, words)), "simhash-links")
     return joined(known, between(links, known)).select("cid", "component")
 
 

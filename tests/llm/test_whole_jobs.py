@@ -33,3 +33,23 @@ def test_words_beyond_the_model_count_as_those_in_it(spark):
     assert np.allclose(few.curve, whole.curve, atol=1e-3)
     a, b = ({r.doc_id: r.score for r in toxicity.classify(frame, labels, 16, n).collect()} for n in (1_000, 10))
     assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-4) for i in a)
+
+
+def test_links_that_no_leader_has_are_compared(spark):
+    """A text has one link, to a text that is no leader it takes: its cluster is its own, but they share a key."""
+    prints = {0: [0b111], 1: [0b110], 2: [-1], 3: [0b101], 4: [0b011]}
+    classes = spark.createDataFrame([(c, f * 8, 100) for c, f in prints.items()], "cid long, fps array<long>, size long")
+    shared = spark.createDataFrame([(c, f[0], k) for c, f in prints.items() for k in (5, 6)], "cid long, f0 long, k long")
+    rows = spark.createDataFrame([(0, 0), (1, 0), (3, 0), (2, 2), (4, 4)], "cid long, cluster long")
+    got = sorted((r.a, r.b) for r in simhash.across(shared, rows, classes, 22).collect())
+    assert got == [(0, 4), (1, 4), (3, 4)]  # 2 is near none, and what is of one cluster is compared there
+
+
+def test_no_bound_on_leaders_loses_a_link(spark, monkeypatch):
+    """With no leaders at all, what shares a key is still compared."""
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(100_000)}" for _ in range(150)] for _ in range(40)]
+    texts = [" ".join(b) for b in bases] + [" ".join(b[:-3]) for b in bases]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "near_leaders", lambda shared, known, near, turn: spark.createDataFrame([], "a long, b long, d long"))
+    assert sorted(r.doc_id for r in simhash.keep_representatives(docs).collect()) == list(range(40))
