@@ -71,7 +71,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per node and a join,
     so no neighbour list is ever gathered; adaptive execution splits the join of a star's hub. A round's edges are
-    written to the shared folder, which cuts lineage; those of the round before are removed. Self loops and repeated
+    written to the shared folder, which cuts lineage; those of the round before are removed. Both joins are by shuffles: a
+    broadcast would take a job, a thread and a table of the driver's memory in every round. Self loops and repeated
     edges are fine; an edge with a null end is left out; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -90,10 +91,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
         both = cur.union(cur.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         cur = small.where("a <> b").distinct()
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
