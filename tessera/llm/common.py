@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,19 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def shuffled(spark: SparkSession) -> Iterator[None]:
+    """What runs within it joins by shuffles, but for hints: many small joins would each take a table of the driver's memory
+    and a thread that stays for a minute."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,38 +60,50 @@ def with_values(rows: DataFrame, values: DataFrame, key: Sequence[str], many: st
 
     `many` of values says how many rows have its key. Hot keys, with one in SHARES of all rows or more, are looked up in
     a broadcast of SHARES rows at most; rows that have one are spread over all tasks of the join that serves the rest.
-    Without `many`, rows are counted by key here.
+    Only joins that have something to do are made: no broadcast where no key is hot, no other join where all are. Each
+    would take a job, threads and memory of the driver. Without `many`, rows are counted by key here.
     """
     if many is None:
         many = "__many"
         values = written(values.join(rows.groupBy(*key).agg(F.count("*").alias(many)), list(key), "left").fillna(0, [many]), "values")
-    if total is None:
-        total = values.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    found, most, least = values.agg(*(F.coalesce(f(many), F.lit(0)) for f in (F.sum, F.max, F.min))).first()
+    total = max(1, found if total is None else total)
     others = [c for c in values.columns if c not in key and c != "__many"]
     known = values.select(*key, F.lit(0).cast("long").alias("__at"), F.struct(*others).alias("__cold"))
-    hot = values.where(F.col(many) * SHARES >= max(1, total)).select(*key, F.struct(*others).alias("__hot"))
-    # a row with a hot key, or a null in it, meets nothing in the second join, wherever it goes
-    out = rows.join(F.broadcast(hot), list(key), "left")
-    cold = F.col("__hot").isNull()
-    for c in key:
-        cold = cold & F.col(c).isNotNull()
-    out = out.withColumn("__at", F.when(cold, F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
-    out = out.join(known, [*key, "__at"], "left").withColumn("__v", F.coalesce("__hot", "__cold"))
+    hot = values.where(F.col(many) * SHARES >= total).select(*key, F.struct(*others).alias("__hot"))
+    out, cold, got = rows, F.lit(True), []
+    if most * SHARES >= total:
+        out, cold, got = out.join(F.broadcast(hot), list(key), "left"), F.col("__hot").isNull(), ["__hot"]
+    if least * SHARES < total:
+        # a row with a hot key, or a null in it, meets nothing in this join, wherever it goes
+        for c in key:
+            cold = cold & F.col(c).isNotNull()
+        out = out.withColumn("__at", F.when(cold, F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+        out, got = out.join(known, [*key, "__at"], "left"), [*got, "__cold"]
+    out = out.withColumn("__v", F.coalesce(*got))
     return out.select(*[c for c in rows.columns], *[F.col(f"__v.{c}").alias(c) for c in others])
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (a, b) is a root, which is no a, or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return ends.where("ups > 1 OR ups = 1 AND low = 0").agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per node and a join,
-    so no neighbour list is ever gathered; adaptive execution splits the join of a star's hub. A round's edges are
+    so no neighbour list is ever gathered; adaptive execution splits the join of a star's hub. There are no more rounds
+    once all components are stars: none for lone pairs, and none to see that nothing changes. A round's edges are
     written to the shared folder, which cuts lineage; those of the round before are removed. Both joins are by shuffles: a
     broadcast would take a job, a thread and a table of the driver's memory in every round. Self loops and repeated
     edges are fine; an edge with a null end is left out; no edges give no rows.
     """
     spark = edges.sparkSession
     cur = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    before, old = None, None
+    old = None
     while True:
         with scope(spark) as made:
             cur = written(cur, "cc")
@@ -85,10 +111,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if old:
             remove(spark, old)
         old = path
-        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now[0] == 0 or now == before:
+        if stars(cur):
             break
-        before = now
         both = cur.union(cur.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import SHARES, connected_components, free_name, tune, with_values, written
+from .common import SHARES, connected_components, free_name, shuffled, tune, with_values, written
 
 SEED = 42
 FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, LEADERS = 8, 16, 0.99, 22, 2, 3, 5
@@ -314,10 +314,13 @@ def closest(pairs: DataFrame, most: int = CLOSEST) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
 
 
-def salted(pairs: DataFrame, values: DataFrame, key: str, total: int, each: int = PAIRS_PER_SET) -> DataFrame:
+def salted(pairs: DataFrame, values: DataFrame, key: str, total: int, each: int = PAIRS_PER_SET, most: int | None = None) -> DataFrame:
     """pairs with the other columns of values (key, n: how many pairs have it, ...). A key of more than `each` pairs, or one in
-    SHARES of all, gets a copy of its values for so many pairs: only keys and numbers are broadcast, SHARES rows at most."""
+    SHARES of all, gets a copy of its values for so many pairs: only keys and numbers are broadcast, SHARES rows at most, and
+    nothing where no key has so many (`most`: of the commonest, if known)."""
     per = max(each, total // SHARES + 1)
+    if most is not None and most <= per:
+        return pairs.join(values.drop("n"), key)
     copies = F.ceil(F.col("n") / per).cast("int")
     hot = values.where(F.col("n") > per).select(key, copies.alias("copies"))
     spread = F.coalesce(F.pmod(F.xxhash64(*pairs.columns), F.col("copies")), F.lit(0)).cast("int")
@@ -329,10 +332,11 @@ def salted(pairs: DataFrame, values: DataFrame, key: str, total: int, each: int
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (cid, text) have a Jaccard similarity of shingles of at least that; only texts of
     pairs are read."""
-    many, total = written(times(pairs), "simhash-times"), 2 * pairs.count()
+    many = written(times(pairs), "simhash-times")
+    total, most = many.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     sets = written(texts.join(many, "cid").select("cid", "n", shingle_sets(F.col("text"), words).alias("v")), "simhash-shingles")
     for c, v in (("a", "x"), ("b", "y")):  # a leader may be in very many pairs
-        pairs = salted(pairs, sets.select(F.col("cid").alias(c), F.col("v").alias(v), "n"), c, total)
+        pairs = salted(pairs, sets.select(F.col("cid").alias(c), F.col("v").alias(v), "n"), c, total, most=most)
     of, per = similarity
     both = F.size(F.array_intersect("x", "y"))
     return pairs.where(per * both >= of * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -430,6 +434,7 @@ def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRI
     classes = rows.select(prints, at.alias("at")).groupBy("fps").agg(F.min("at").alias("at"))
     classes = written(classes.select("fps", "at", F.col("at.r").alias("cid"), F.col("at.size").alias("size")), "simhash-classes")
     texts = rows.select(F.col(row).alias("cid"), "text")  # a class is known by the row of its first document
-    cc = near_copies(classes.select("cid", "fps", "size"), texts, words)
+    with shuffled(docs.sparkSession):
+        cc = near_copies(classes.select("cid", "fps", "size"), texts, words)
     first = classes.join(cc, "cid").groupBy("component").agg(F.min("at").alias("at"))
     return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

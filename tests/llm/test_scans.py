@@ -129,6 +129,12 @@ def test_rows_with_hot_keys_find_their_values(spark):
     assert sorted(map(tuple, common.with_values(rows, values.select("k", "high"), ["k"]).collect()), key=str) == sorted(((k, n, h) for k, n, _, h in want), key=str)
 
 
+def test_only_hot_keys_are_broadcast(spark):
+    rows = spark.range(4_000).select((F.col("id") % 2_000).alias("k"))
+    hinted = lambda n: "strategy=broadcast" in common.with_values(rows, rows.groupBy("k").agg(F.count("*").alias("n"), F.max("k").alias("v")), ["k"], "n", n)._jdf.queryExecution().analyzed().toString()
+    assert hinted(2_000) and not hinted(4_000)
+
+
 def test_near_copies_are_those_of_brute_force_at_0_8(spark):
     rng, texts = random.Random(12), []
     for i in range(400):  # pairs of similarities about 0.8, on either side of it
@@ -264,6 +270,14 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    written, tags = common.written, []
+    monkeypatch.setattr(common, "written", lambda df, tag: tags.append(tag) or written(df, tag))
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 100, 2)] + [(200, 201), (200, 202)], "a long, b long")
+    got = {r.node: r.component for r in common.connected_components(pairs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(100)} | {200: 200, 201: 200, 202: 200} and tags == ["cc"]
+
+
 # --- media
 
 
