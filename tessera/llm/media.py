@@ -4,7 +4,8 @@ A payload is kept as a greyscale PNG of 64 samples of 8 bits a line, named by th
 stored once: digests are computed first, and each goes to the first task that reads a text of it; a task then appends
 the payloads that are its own to tar shards of SHARD_BYTES at most (one larger payload has a shard to itself). Texts are
 read twice but never shuffled. Metadata columns come from range reads of the PNG headers alone (HEADER bytes at the
-offset); digests and features from reads of whole payloads, once for each.
+offset); digests and features from reads of whole payloads, once for each. A task makes both for its places, so they are
+dealt once and meet the rows in one join; until then digests are bytes, for hexadecimal digits take twice their room.
 
 A shard is named by its first payload's digest and takes that name when it is whole, so runs over the same partitions
 give the same columns, and a task that is tried again, or twice at once, leaves one whole shard. Null texts count as
@@ -27,7 +28,7 @@ import pandas as pd
 from pyarrow import fs
 from pyarrow.dataset import dataset
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_dir, remove, tune, with_values, written
@@ -114,31 +115,32 @@ class Shards:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, digest and task of each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, payload_bytes, digest (its bytes) and task of each row of docs (doc_id, text)."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", body.alias("b")).select("doc_id", "b", F.octet_length("b").cast("long").alias("n_bytes"))
     size = F.greatest(F.lit(WIDTH), F.ceil(F.col("n_bytes") / WIDTH) * WIDTH)
-    digest = F.sha2(F.rpad("b", size.cast("int"), F.lit(b"\0")), 256)
+    digest = F.unhex(F.sha2(F.rpad("b", size.cast("int"), F.lit(b"\0")), 256))
     return rows.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), digest.alias("digest"), F.spark_partition_id().alias("task"))
 
 
-def owned(folder: str, task: int) -> set[bytes]:
-    """The digests that a task has to store: those of its own file under the folder."""
+def owned(folder: str, task: int) -> dict[bytes, int]:
+    """The digests that a task has to store, and how many rows have each: those of its own file under the folder."""
     system, path = opened(f"{folder}/task={task}")
     if system.get_file_info(path).type == fs.FileType.NotFound:
-        return set()
-    return {bytes.fromhex(x) for x in dataset(path, filesystem=system, format="parquet").to_table(["digest"])["digest"].to_pylist()}
+        return {}
+    found = dataset(path, filesystem=system, format="parquet").to_table(["digest", "n"])
+    return dict(zip(found["digest"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
 def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
-    """(rows as keyed, places (digest, shard, offset, length), the shards' folder); None where docs was dealt to tasks otherwise when it
-    was read again."""
+    """(rows as keyed, places (digest, __many: rows that have it, shard, offset, length), the shards' folder); None where docs
+    was dealt to tasks otherwise when it was read again."""
     spark = docs.sparkSession
     folder, owners = new_dir(spark, "media"), new_dir(spark, "media-owners")
     rows = written(keyed(docs), "media-rows")
-    rows.groupBy("digest").agg(F.min("task").alias("task")).repartition("task").write.partitionBy("task").parquet(owners)
+    rows.groupBy("digest").agg(F.min("task").alias("task"), F.count("*").alias("n")).repartition("task").write.partitionBy("task").parquet(owners)
 
-    @F.pandas_udf("array<struct<digest:string,shard:string,offset:bigint,length:bigint>>")
+    @F.pandas_udf("array<struct<digest:binary,__many:bigint,shard:string,offset:bigint,length:bigint>>")
     def put(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shards, mine = Shards(folder), owned(owners, TaskContext.get().partitionId())
         for texts in parts:
@@ -146,26 +148,32 @@ def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
             for text in texts:
                 payload, _ = payload_of(text)
                 raw = hashlib.sha256(payload).digest()
-                new = raw in mine
-                if new:
-                    mine.discard(raw)
-                    out.append([{"digest": raw.hex()} | dict(zip(("shard", "offset", "length"), shards.put(raw.hex(), payload), strict=True))])
+                many = mine.pop(raw, None)
+                if many is not None:
+                    out.append([{"digest": raw, "__many": many} | dict(zip(("shard", "offset", "length"), shards.put(raw.hex(), payload), strict=True))])
                 else:
                     out.append([])
             yield pd.Series(out)
         shards.close()
 
     at = written(docs.select(F.explode(put(F.col("text"))).alias("s")).select("s.*"), "media-places")
-    same = at.count() == spark.read.schema("digest string").parquet(owners).count()
+    same = at.count() == spark.read.schema("digest binary").parquet(owners).count()
     remove(spark, owners)
     return (rows, at, folder) if same else None
 
 
+def hexed(c: str) -> Column:
+    return F.lower(F.hex(c)).alias(c)
+
+
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """(doc_id, n_bytes, payload_bytes, digest, task of each row; the places of all digests (digest, shard, offset, length); the folder of the shards).
+    """(doc_id, n_bytes, payload_bytes, digest, task of each row; the places of all digests (digest, shard, offset, length); the folder of the shards)."""
+    rows, at, folder = store_once(docs)
+    return rows.withColumn("digest", hexed("digest")), at.select(hexed("digest"), "shard", "offset", "length"), folder
 
-    Files are dealt to tasks alike whenever they are read; what is not read from files is written first.
-    """
+
+def store_once(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """As stored. Files are dealt to tasks alike whenever they are read; what is not read from files is written first."""
     tune(docs.sparkSession)
     done = stored(docs) or stored(written(docs.select("doc_id", "text"), "media-docs"))
     if not done:
@@ -190,6 +198,26 @@ def dealt(places: DataFrame) -> DataFrame:
 
 
 METADATA = "width long, height long, bit_depth int, colour_type int"
+CONTENTS = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def heads(rows: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """METADATA of each of rows, by position."""
+    got = {i: tuple(png_header(head).values()) for i, head in ranges(rows, folder, HEADER)}
+    return pd.DataFrame.from_dict(got, orient="index", columns=names(METADATA))
+
+
+def bodies(rows: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """CONTENTS of each of rows, by position; digests as bytes."""
+    got = {}
+    for i, media in ranges(rows, folder):
+        payload = from_png(media)
+        got[i] = hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).digest(), features(payload)
+    return pd.DataFrame.from_dict(got, orient="index", columns=names(CONTENTS))
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
@@ -197,8 +225,7 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [{"digest": b["digest"].iloc[i]} | png_header(head) for i, head in ranges(b, folder, HEADER)]
-            yield pd.DataFrame(got, columns=["digest", "width", "height", "bit_depth", "colour_type"])
+            yield b[["digest"]].reset_index(drop=True).join(heads(b, folder))
 
     tune(places.sparkSession)
     return dealt(places).mapInPandas(task, f"digest string, {METADATA}")
@@ -213,31 +240,30 @@ def features(payload: bytes) -> str:
     return f"{len(x)}:{n[0]}:{n @ v}:{n @ (v * v)}:{x.max()}:{bins}"
 
 
-CONTENTS = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def contents(places: DataFrame, folder: str) -> DataFrame:
-    """digest and CONTENTS of each of places: what its whole stored bytes say."""
+def described(places: DataFrame, folder: str) -> DataFrame:
+    """places (digests as bytes) with METADATA, by range reads of the headers alone, and CONTENTS, from the whole stored bytes.
+    The payload's digest is compared with the one that it is stored under, so one column is both."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, media in ranges(b, folder):
-                payload = from_png(media)
-                out.append((b["digest"].iloc[i], hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
-            yield pd.DataFrame(out, columns=["digest", *(x.split()[0] for x in CONTENTS.split(", "))])
+            whole = bodies(b, folder)
+            out = b.reset_index(drop=True).join(heads(b, folder)).join(whole)
+            if (out["digest"] != out["payload_sha256"]).any():
+                raise ValueError("a payload that was read back is not the one that was stored")
+            yield out[list(b.columns) + [c for c in [*names(METADATA), *names(CONTENTS)] if c != "payload_sha256"]]
 
     tune(places.sparkSession)
-    return dealt(places).mapInPandas(task, f"digest string, {CONTENTS}")
+    kinds = ", ".join(f"{c} {kind}" for c, kind in places.dtypes)
+    rest = CONTENTS.replace("payload_sha256 string, ", "").replace("media_sha256 string", "media_sha256 binary")
+    return dealt(places).mapInPandas(task, f"{kinds}, {METADATA}, {rest}")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Every row's place, METADATA and CONTENTS."""
-    rows, at, folder = store(docs)
-    known = written(at.join(contents(at, folder), "digest").join(metadata(at, folder), "digest"), "media-known")
-    rows = with_values(rows.drop("task"), known, ["digest"])
-    names = ["doc_id", "n_bytes", "payload_bytes", *(x.split()[0] for x in f"{CONTENTS}, {METADATA}".split(", ")), "shard", "offset", "length"]
-    return rows.select(*names)
+    rows, at, folder = store_once(docs)
+    rows = with_values(rows.drop("task"), written(described(at, folder), "media-known"), ["digest"], "__many")
+    rows = rows.withColumn("payload_sha256", hexed("digest")).withColumn("media_sha256", hexed("media_sha256"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", *names(f"{CONTENTS}, {METADATA}"), "shard", "offset", "length")
 
 
 def members(uri: str) -> list[tuple[str, bytes]]:
