@@ -38,6 +38,12 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage. Spark removes the shuffle files and broadcasts of finished queries only then,
+    and in a long chain of small queries the heap grows by what nobody needs any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,8 +102,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per node and a join,
     so no neighbour list is ever gathered; adaptive execution splits the join of a star's hub. There are no more rounds
-    once all components are stars: none for lone pairs, and none to see that nothing changes. A round's edges are
-    written to the shared folder, which cuts lineage; those of the round before are removed. Both joins are by shuffles: a
+    once all components are stars: none for lone pairs, and none to see that nothing changes. Edges
+    that are made twice go at a round's end only, not between its steps too, which would take a shuffle more. A round's edges
+    are written to the shared folder, which cuts lineage; those of the round before are removed. Both joins are by shuffles: a
     broadcast would take a job, a thread and a table of the driver's memory in every round. Self loops and repeated
     edges are fine; an edge with a null end is left out; no edges give no rows.
     """
@@ -113,12 +120,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         old = path
         if stars(cur):
             break
-        both = cur.union(cur.select("b", "a"))
+        both = cur.selectExpr("inline(array(struct(a, b), struct(b AS a, a AS b)))")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(low.hint("merge"), "a").selectExpr("inline(array(struct(a, m AS b), struct(b AS a, m AS b)))")
         cur = small.where("a <> b").distinct()
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

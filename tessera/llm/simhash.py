@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import SHARES, connected_components, free_name, shuffled, tune, with_values, written
+from .common import SHARES, connected_components, free_name, release, shuffled, tune, with_values, written
 
 SEED = 42
 FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, LEADERS = 8, 16, 0.99, 22, 2, 3, 5
@@ -375,10 +375,13 @@ def between(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct()
 
 
-def joined(known: DataFrame, edges: DataFrame, to: str = "component") -> DataFrame:
-    """known with column `to`: the components that edges between components make of those of known."""
+def joined(known: DataFrame, edges: DataFrame, to: str = "component", lone: bool = False) -> DataFrame:
+    """known with column `to`: the components that edges between components make of those of known. `lone`: each row of
+    known is a component of its own, so none has many rows."""
+    release(known.sparkSession)
     found = written(connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("__to")), "simhash-joined")
-    rows = with_values(known, found, ["component"]).withColumn("__to", F.coalesce("__to", "component"))
+    rows = known.join(found, "component", "left") if lone else with_values(known, found, ["component"])
+    rows = rows.withColumn("__to", F.coalesce("__to", "component"))
     return written(rows.select(*[c for c in known.columns if c != to], F.col("__to").alias(to)), "simhash-known")
 
 
@@ -386,9 +389,11 @@ def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NE
     """(cid, component) of classes (cid, fps, size), each with what it is linked to; texts (cid, text) decide."""
     shared, known, met = shared_keys(classes), classes.withColumn("component", F.col("cid")), []
     for turn in range(turns):
+        release(classes.sparkSession)
         met.append(written(near_leaders(shared, known, near, turn), "simhash-met"))
         links = written(similar(closest(met[-1]), texts, words), "simhash-links")
-        known = joined(known, between(links, known))
+        # before the first turn a text is a component of its own
+        known = joined(known, between(links, known) if turn else links, lone=not turn)
     known = known.select("cid", "component", "size")
     rows = joined(known, between(reduce(DataFrame.union, met), known), "cluster")
     others = across(shared, rows, classes, near)

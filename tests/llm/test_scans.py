@@ -278,6 +278,22 @@ def test_components_that_are_stars_take_no_round(spark, monkeypatch):
     assert got == {i: i // 2 * 2 for i in range(100)} | {200: 200, 201: 200, 202: 200} and tags == ["cc"]
 
 
+def test_a_round_of_components_takes_few_shuffles(spark, monkeypatch):
+    written, taken = common.written, []
+    monkeypatch.setattr(common, "written", lambda df, tag: taken.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or written(df, tag))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    assert {r.component for r in common.connected_components(chain).collect()} == {0} and max(taken[1:]) <= 7
+
+
+def test_near_copies_release_the_drivers_garbage(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(simhash, "release", lambda s: calls.append(s))
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_representatives(docs).collect()) == [1, 3]
+    assert len(calls) >= simhash.TURNS
+
+
 # --- media
 
 
