@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -39,6 +40,13 @@ from .common import tune, written
 
 CAPACITY, END = 2048, 0
 KNOWN_PARTS, PART_CHARS = 250_000, 32
+#: After a letter a run of these is a pre-token of its own. Not < and >, as special tokens have them, nor the ' of short forms.
+SIGNS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
+#: Letters below are one code point in any normal form, and so are their lower cases.
+LATIN = "\u0130"
+#: The byte-level alphabet: a sign for each byte.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 # Settings with which a tokenizer may be asked for a text's parts one by one.
 BY_PARTS = {
     "truncation": None,
@@ -66,8 +74,8 @@ class Encoder(dict):
     """Ids of texts as unsigned 32-bit little-endian bytes; its items are those of parts without spaces.
 
     A tokenizer of BY_PARTS treats white space as a gap that no token crosses, so a text's ids are those of its parts
-    between spaces or line ends. It lower-cases, and ends a word where points or commas follow a letter, so most parts
-    that are new have known ids but for their case or last signs. A process remembers short parts: when there are
+    between spaces or line ends. It lower-cases, and ends a word where SIGNS follow a letter, so most parts that are
+    new have known ids but for their case or last signs; a word of Latin letters goes to the model without the other steps. A process remembers short parts: when there are
     KNOWN_PARTS of them they become the older half, of which only those that are met again stay. Any other tokenizer
     encodes each text as a whole.
     """
@@ -91,17 +99,25 @@ class Encoder(dict):
         return ids
 
     def learned(self, part: str) -> bytes:
-        low = part.lower() if part.isascii() else part
-        body = low.rstrip(".,")
+        low = part.lower() if part.isascii() or max(part) < LATIN else part
+        body = low.rstrip(SIGNS)
         if "<" in part:  # may hold a special token, whose case counts
             return self.fresh(part)
-        if body and body != low and body[-1].isalpha():
+        if body and body != low and self.letter(body[-1]):
             return self[body] + self[low[len(body) :]]
         return self[low] if low != part else self.fresh(part)
 
+    @staticmethod
+    def letter(c: str) -> bool:
+        """Whether c is a letter, and ends in one when it is normalised; some become a letter and a mark."""
+        return c.isalpha() and (c < LATIN or unicodedata.normalize("NFC", c).lower()[-1].isalpha())
+
     def fresh(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha() and part.islower():  # one word that no normaliser changes
-            return packed(token.id for token in self.tokenizer.model.tokenize(part))
+        if part.isalpha() and part.islower():  # one word; Latin ones no normaliser changes
+            if part.isascii():
+                return packed([token.id for token in self.tokenizer.model.tokenize(part)])
+            if max(part) < LATIN:
+                return packed([token.id for token in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTES))])
         return packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:

@@ -235,6 +235,26 @@ def test_other_tokenizers_encode_whole_texts(name):
         assert e.ids(t) == packing.packed(plain.encode(t or "", add_special_tokens=False).ids)
 
 
+def test_new_parts_seldom_need_all_steps_of_the_tokenizer():
+    e, plain, asked = packing.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE), []
+
+    class Asked:
+        model = e.tokenizer.model
+
+        @staticmethod
+        def encode(part, **kw):
+            asked.append(part)
+            return plain.encode(part, **kw)
+
+    e.tokenizer = Asked
+    whole = lambda t: packing.packed(plain.encode(t, add_special_tokens=False).ids)
+    for part in ("enlichch!!", "straße", "Èoïèch", "heitautz&&&", "chüau.", "gaf!!"):
+        assert e.ids(part) == whole(part)
+    assert asked == ["!!", "&&&", "."]
+    for part in ("İ.", "aİ!!", "\u0958.", "a\u0301.", "it's!", "<|x|>!", "Ĳssel?", "ªº.", "e\u0338=", "x<\u0338", "日本語。", "n't_", "²!"):
+        assert e.ids(part) == whole(part), part
+
+
 def test_the_search_ends_only_where_no_exchange_gains():
     for seed in range(6):
         rng = random.Random(seed)
