@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,40 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver's JVM collect its garbage. Spark removes the shuffle files and broadcasts of finished queries only then,
-    and in a long chain of small queries the heap grows by what nobody needs any more."""
+    """Has the driver's JVM collect its garbage, and the driver give free memory back to the system. Spark removes the shuffle
+    files and broadcasts of finished queries only then, and in a long chain of small queries heap and allocators grow by what
+    nobody needs any more."""
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
+    if own := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        own(0)
+
+
+def release_grown(spark: SparkSession) -> None:
+    """`release`, but garbage is collected only where the heap has grown beyond half of what it may have: a collection at every
+    step would itself let it grow."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        release(spark)
+    else:
+        trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> str | None:
+    """Has the driver's JVM return what its C allocator holds free: compilers of a chain of queries and threads that have
+    ended leave it in an arena for each thread. What the JVM says, or null where it has no such command (jcmd's
+    System.trim_native_heap, with glibc)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # the server's own class is closed to reflection, its interface is not
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = name, "systemTrimNativeHeap"
+    try:
+        return invoke.invoke(server, args)
+    except Py4JJavaError:
+        return None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +138,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     once all components are stars: none for lone pairs, and none to see that nothing changes. Edges
     that are made twice go at a round's end only, not between its steps too, which would take a shuffle more. A round's edges
     are written to the shared folder, which cuts lineage; those of the round before are removed. Both joins are by shuffles: a
-    broadcast would take a job, a thread and a table of the driver's memory in every round. Self loops and repeated
+    broadcast would take a job, a thread and a table of the driver's memory in every round, and between rounds the driver's
+    memory is released where it has grown. Self loops and repeated
     edges are fine; an edge with a null end is left out; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -120,6 +154,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         old = path
         if stars(cur):
             break
+        release_grown(spark)
         both = cur.selectExpr("inline(array(struct(a, b), struct(b AS a, a AS b)))")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

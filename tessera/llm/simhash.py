@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import SHARES, connected_components, free_name, release, shuffled, tune, with_values, written
+from .common import SHARES, connected_components, free_name, release, release_grown, shuffled, tune, with_values, written
 
 SEED = 42
 FINGERPRINTS, KEY_BITS, KEY_RECALL, NEAR, TURNS, CLOSEST, LEADERS = 8, 16, 0.99, 22, 2, 3, 5
@@ -391,11 +391,13 @@ def near_copies(classes: DataFrame, texts: DataFrame, words: int, near: int = NE
     for turn in range(turns):
         release(classes.sparkSession)
         met.append(written(near_leaders(shared, known, near, turn), "simhash-met"))
+        release_grown(classes.sparkSession)
         links = written(similar(closest(met[-1]), texts, words), "simhash-links")
         # before the first turn a text is a component of its own
         known = joined(known, between(links, known) if turn else links, lone=not turn)
     known = known.select("cid", "component", "size")
     rows = joined(known, between(reduce(DataFrame.union, met), known), "cluster")
+    release(classes.sparkSession)
     others = across(shared, rows, classes, near)
     apart = rows.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = written(rows.join(apart.select("cluster"), "cluster", "left_semi"), "simhash-apart")
@@ -441,5 +443,6 @@ def keep_representatives(docs: DataFrame, words: int = 5, count: int = FINGERPRI
     texts = rows.select(F.col(row).alias("cid"), "text")  # a class is known by the row of its first document
     with shuffled(docs.sparkSession):
         cc = near_copies(classes.select("cid", "fps", "size"), texts, words)
+    release(docs.sparkSession)
     first = classes.join(cc, "cid").groupBy("component").agg(F.min("at").alias("at"))
     return rows.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -294,6 +295,21 @@ def test_near_copies_release_the_drivers_garbage(spark, monkeypatch):
     assert len(calls) >= simhash.TURNS
 
 
+def test_the_drivers_native_memory_is_given_back(spark, monkeypatch):
+    version = spark.sparkContext._jvm.System.getProperty("java.version")
+    said = common.trim_native(spark)
+    assert said is None or "rim" in said
+    if tuple(map(int, version.split("."))) >= (17, 0, 9) and sys.platform == "linux":
+        assert said and "native heap" in said
+    calls = []
+    for name in ("release", "trim_native"):
+        monkeypatch.setattr(common, name, lambda s, name=name: calls.append(name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.component for r in common.connected_components(chain).collect()} == {0} and len(calls) >= 2  # once a round
+    calls.clear()
+    assert common.connected_components(chain.limit(1)).count() == 2 and not calls  # a star takes no round
+
+
 # --- media
 
 
