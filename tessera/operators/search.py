@@ -95,7 +95,8 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     down, across = (max(1, -(-r["n"] // size)) for r, size in zip(sizes, (index_block, query_block), strict=True))
 
     def dealt(side: DataFrame, by: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        cells = side.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks)))
+        # both numbers of a cell have one type on both sides: Spark deals a cogroup's sides by hashes, which differ by type
+        cells = side.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int"))
         return cells.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("i", "j")
 
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "row"), (rows, "id"))}
