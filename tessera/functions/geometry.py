@@ -68,15 +68,27 @@ def ordered_corners(quad: Column, width: Column | None = None, height: Column |
     return out[0]
 
 
+def homographies(source: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of targets (n x 4 x 2) the nine numbers that map the four source points to it, the last of them 1, and which
+    of them hold: those of degenerate points are zeros."""
+    (x, y), (u, v) = np.asarray(source, dtype=np.float64).T, np.moveaxis(np.asarray(targets, dtype=np.float64), 2, 0)
+    no, one = np.zeros_like(u), np.ones_like(u)
+    x, y = x * one, y * one
+    a = np.stack([np.stack([x, y, one, no, no, no, -u * x, -u * y], axis=2), np.stack([no, no, no, x, y, one, -v * x, -v * y], axis=2)], axis=2)
+    a, b = a.reshape(-1, 8, 8), np.stack([u, v], axis=2).reshape(-1, 8)
+    fine = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    fine[fine] = np.linalg.matrix_rank(a[fine]) == 8
+    out = np.zeros((len(a), 9))
+    out[fine, :8], out[fine, 8] = np.linalg.solve(a[fine], b[fine][..., None])[..., 0], 1.0
+    return out, fine
+
+
 def solve_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The nine numbers that map four source points to four target points; the last is 1. Raises for degenerate points."""
-    rows = []
-    for (x, y), (u, v) in zip(source, target, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-    a = np.array(rows, dtype=np.float64)
-    if np.linalg.matrix_rank(a) < 8:
+    maps, fine = homographies(source, np.asarray(target, dtype=np.float64)[None])
+    if not fine[0]:
         raise ValueError("degenerate points")
-    return np.append(np.linalg.solve(a, np.asarray(target, dtype=np.float64).ravel()), 1.0)
+    return maps[0]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
