@@ -47,7 +47,7 @@ def process_frames(frames: DataFrame, index: DataFrame, embed: Callable[[Column]
     turned = [I.rotate180(F.col("crop")), I.rotate90(F.col("crop")), I.rotate90(F.col("crop"), clockwise=False)]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), c.alias("crop")) for i, c in enumerate(turned, 1)]))
     again = weak.select("frame_id", each.alias("t")).select("frame_id", "t.turn", embed(F.col("t.crop")).alias("embedding"))
-    found = best_rotation(upright.unionByName(searched(again)), retry_below)
+    found = best_rotation(upright.unionByName(searched(written(again, "again"))), retry_below)
     degrees = F.array(*map(F.lit, TURNS))
     return rows, found.withColumn("turn", F.get(degrees, F.col("turn")))
 

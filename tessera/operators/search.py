@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, INDEX_BLOCK = 8_192, 32_768
 #: Products are taken this many rows at a time, so a cell's scores have at most 64 MB.
 ROWS_AT_ONCE = 1_024
+#: Vectors that occur so many times on average are compared once.
+COPIES = 2
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -86,13 +88,30 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     All rows are compared with every query (query_id, embedding). Both sides are dealt into blocks by hashes, and each
     pair of blocks is a cell of a grid: queries are copied to the blocks of rows, rows to those of queries, so neither
     side passes through the driver or has to fit in one place. A cell gives k rows for each of its queries at most.
-    Scores are double precision sums in order of the vectors' numbers, so they have equal bits on every machine. A
+    Scores are double precision sums in order of the vectors' numbers, so they have equal bits everywhere. A
     query of another length than a row's, a vector with other than finite numbers, or a score that is none, gives no row.
+
+    Where most vectors of a side are copies of others, each distinct one is compared once for all that have it: equal
+    vectors have equal scores, so of rows with one vector the k lowest can be among the best, and queries with one vector
+    have the same rows. Both sides are read more than once; rows and query_ids occur once.
     """
     rows = index.where("embedding IS NOT NULL").select(*[F.col(c).alias(a) for c, a in (("row", "row"), ("id", "id"), ("embedding", "v"))])
     asked = queries.where("embedding IS NOT NULL").select(*[F.col(c).alias(a) for c, a in (("query_id", "query_id"), ("embedding", "v"))])
-    sizes = rows.agg(F.count("*").alias("n")).union(asked.agg(F.count("*"))).collect()
-    down, across = (max(1, -(-r["n"] // size)) for r, size in zip(sizes, (index_block, query_block), strict=True))
+    # an estimate decides only whether copies are worth a shuffle of their own
+    counts = [F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("kinds")]
+    sizes = [side.agg(*counts).first() for side in (rows, asked)]
+    copied = [r["n"] > COPIES * r["kinds"] for r in sizes]
+    down, across = (max(1, -(-(r["kinds"] if many else r["n"]) // size)) for r, many, size in zip(sizes, copied, (index_block, query_block), strict=True))
+    same_rows = same_queries = None
+    if copied[0]:
+        lowest = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("row"))).where(F.col("n") <= k)
+        kinds = lowest.groupBy("v").agg(F.min(F.struct("row", "id")).alias("first"), F.collect_list(F.struct("row", "id")).alias("same"))
+        same_rows = kinds.select(F.col("first.row").alias("row"), "same")
+        rows = kinds.select("first.row", "first.id", "v")
+    if copied[1]:
+        kinds = asked.groupBy("v").agg(F.min("query_id").alias("first"))
+        same_queries = asked.join(kinds, "v").select(F.col("first").alias("query_id"), F.col("query_id").alias("each"))
+        asked = kinds.select(F.col("first").alias("query_id"), "v")
 
     def dealt(side: DataFrame, by: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
         # both numbers of a cell have one type on both sides: Spark deals a cogroup's sides by hashes, which differ by type
@@ -103,7 +122,13 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     schema = f"query_id {kind['query_id']}, row {kind['row']}, id {kind['id']}, score double"
     left, right = dealt(asked, "query_id", "j", across, "i", down), dealt(rows, "row", "i", down, "j", across)
     found = left.cogroup(right).applyInArrow(lambda q, r: best_of_cell(q, r, k), schema)
-    return top(found, k).select("query_id", "rank", "row", "id", "score")
+    if same_rows is not None:
+        each = top(found, k).drop("rank").join(same_rows, "row").withColumn("same", F.explode("same"))
+        found = each.select("query_id", "same.row", "same.id", "score")
+    best = top(found, k)
+    if same_queries is not None:
+        best = best.join(same_queries, "query_id").withColumn("query_id", F.col("each"))
+    return best.select("query_id", "rank", "row", "id", "score")
 
 
 def vote_frames(candidates: DataFrame, k: int = 10) -> DataFrame:
